@@ -145,7 +145,7 @@ def placed(rows: DataFrame, block: int, seed: int) -> DataFrame:
     both = (F.col("wrapped") > 0) & (F.col("first") > 0)
     part_from = F.when(both, part_from).when(F.col("wrapped") > 0, 0).otherwise(part_from)
     part = F.col("first") + F.col("wrapped")
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("rounds") * size + part).cast("long").alias("taken"), F.when(size > 0, F.col("rounds")).otherwise(0).alias("rounds"), part_from.cast("long").alias("part_from"), part_to.cast("long").alias("part_to"), part.cast("long").alias("part"))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("rounds") * size + part).cast("long").alias("taken"), F.when(size > 0, F.col("rounds")).otherwise(0).alias("rounds"), part_from.cast("long").alias("part_from"), part_to.cast("long").alias("part_to"), part.cast("long").alias("part"), "tie")
 
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

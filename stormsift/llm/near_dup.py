@@ -61,7 +61,7 @@ def registers(s: np.ndarray) -> np.ndarray:
     for turn in range(2):
         h = np.sort(mix(s + _SEEDS[turn]))
         at = np.searchsorted(h, np.arange(REGISTERS, dtype=np.uint64) << shift)
-        bucket = np.append(h, 0)[at] >> shift
+        bucket = np.append(h, np.uint64(0))[at] >> shift
         new = empty & (at < len(h)) & (bucket == np.arange(REGISTERS))
         least[new] = h[at[new]] << np.uint64(64 - int(shift)) | np.uint64(turn)
         empty &= ~new

@@ -58,16 +58,14 @@ def double_array(pieces: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.n
     used[0] = 1
     base, check, leaf = [0] * size, [-1] * size, [-1] * size
     place = {0: 0}
-    free, queue = 1, [0]
+    free, queue = 0, [0]
     for node in queue:
         kids = sorted(children[node])
         queue += [children[node][b] for b in kids]
         leaf[place[node]] = ids[node]
         if not kids:
             continue
-        while used[free]:
-            free += 1
-        b0 = max(0, free - kids[0] - 1)
+        b0 = free
         while True:
             if b0 + 258 > size:
                 used.extend(bytes(size))
@@ -76,6 +74,8 @@ def double_array(pieces: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.n
             if not any(used[b0 + b + 1] for b in kids):
                 break
             b0 += 1
+        if b0 - free > 64:  # what lies before is nearly full
+            free = b0 - 32
         s = place[node]
         base[s] = b0
         for b in kids:
