@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stormsift.llm.common import chunks, mix, table, word_hashes
 
@@ -244,8 +245,7 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
                 part = batch.slice(at, len(counts))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(ends, pa.array(ids))], [*part.schema.names, "ids"])
 
-    schema = docs.schema.add("ids", "array<int>") if "ids" not in docs.columns else docs.schema
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
