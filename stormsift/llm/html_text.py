@@ -142,7 +142,7 @@ def render(page: str) -> str:
                 k = next(j for j in range(k + 1, len(stack)) if stack[j].tag in closes)
                 while len(stack) > k:
                     _close(stack, blocks)
-        if tag in _BLOCK and stack[-1].seen:
+        if tag in _BLOCK:
             k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].block), 0)
             if stack[k].tag == "p":
                 while len(stack) > k:
