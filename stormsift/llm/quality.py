@@ -123,7 +123,7 @@ g AS (SELECT r, i, ws[i] || chr(1) || ws[i + 1] || chr(1) || ws[i + 2] AS g FROM
 c AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g),
 p AS (SELECT r, least(3, coalesce(i - lag(i) OVER (PARTITION BY r ORDER BY i), 3)) AS new FROM c WHERE n > 1),
 rep AS (SELECT r, sum(new) AS n_repeat_words FROM p GROUP BY r),
-l AS (SELECT r, list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '{WORD_PATTERN}')) AS ls FROM d),
+l AS (SELECT r, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{WORD_PATTERN}')) AS ls FROM d),
 f AS (SELECT d.r, doc_id, CASE WHEN lang IS NULL THEN '' ELSE '=' || lang END AS lk, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS sk,
         len(ws)::BIGINT AS n_words, length(regexp_replace(text, '{_WS}', '', 'g'))::BIGINT AS word_chars,
         length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,

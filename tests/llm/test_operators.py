@@ -141,7 +141,8 @@ def test_toxicity_learns_spellings(spark):
     got = {r["doc_id"]: r for r in toxicity.score_toxicity(d, labels).collect()}
     held = [k for k in range(120) if zlib.crc32(str(k).encode()) % 3 == 1]
     assert all(got[k]["predicted"] == int(k % 3 == 0) and got[k]["held_out"] for k in held)
-    assert got[502]["predicted"] == 1 and 0 <= got[500]["score"] == got[501]["score"] <= 1
+    assert got[502]["score"] > max(got[k]["score"] for k in range(120) if k % 3)  # an unseen spelling stands above all clean rows
+    assert 0 <= got[500]["score"] == got[501]["score"] <= 1
     assert toxicity.score_toxicity(d, labels.where("toxic = 0")).agg({"score": "max"}).first()[0] == 0
 
 
