@@ -10,6 +10,7 @@ from pyspark.sql.window import Window as W
 
 from stormsift.operators.baseline import covering, spike_windows
 from stormsift.params import DEFAULT, Params
+from stormsift.sources.io import kept
 
 
 def _with_island(windows: DataFrame) -> DataFrame:
@@ -39,11 +40,12 @@ def claim(alarms: DataFrame, windows: DataFrame, min_alarms: int, min_severity:
 
 def find_clusters(signal: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """(alarm_id, cluster_id, window_kind) from a baseline model of the severe signal itself: bursts first, then slow windows over the rest."""
-    windows = spike_windows(signal, p)
+    windows = kept(spike_windows(signal, p))
     burst = claim(signal, windows.where("kind = 'burst'"), p.burst_min_alarms).withColumn("window_kind", F.lit("burst"))
+    burst = kept(burst)
     rest = signal.join(burst.select("alarm_id"), "alarm_id", "left_anti")
     slow = claim(rest, windows.where("kind = 'slow'"), p.slow_min_alarms, p.slow_min_severity).withColumn("window_kind", F.lit("slow_burn"))
-    members = burst.union(slow)
+    members = kept(burst.union(slow))
     found = members.select("window_kind", "service", "window_no").distinct()
     number = F.row_number().over(W.orderBy("window_kind", "service", "window_no"))  # clusters only, no alarms
     ids = found.withColumn("cluster_id", F.concat(F.lit("CL-"), F.lpad(number.cast("string"), 3, "0")))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stormsift.operators import baseline, cards, cluster, enrich, graph, merge, noise, rootcause
 from stormsift.params import DEFAULT, Params
+from stormsift.sources.io import kept
 
 
 @dataclass(frozen=True)
@@ -25,20 +26,20 @@ class Storm:
 
 
 def reduce_storm(raw: DataFrame, hosts: DataFrame, edges: DataFrame, p: Params = DEFAULT) -> Storm:
-    """Tables that several later steps read are kept by persist(); it is the caller's to clear them."""
-    alarms = enrich.enrich_alarms(raw, hosts).persist()
+    """Tables that several later steps read are written once and read again."""
+    alarms = kept(enrich.enrich_alarms(raw, hosts))
     nodes = graph.graph_nodes(edges, hosts)
-    classified = noise.classify_noise(alarms, baseline.spike_windows(alarms, p), p=p).persist()
-    signal = enrich.cluster_gate(classified.where("rule IS NULL"), p.cluster_severity).select(alarms.columns)
-    in_cluster = cluster.find_clusters(signal, p).persist()
-    clusters = cluster.cluster_summary(in_cluster, alarms).persist()
-    links = merge.candidate_links(clusters, graph.related_pairs(edges, nodes, p.max_hops), p)
-    merged = merge.merge_incidents(clusters, links, p).persist()
-    numbered = merge.number_incidents(merged, clusters)
-    members = in_cluster.join(numbered, "cluster_id").select("alarm_id", "incident_id").persist()
-    incidents = merge.incident_summary(members, alarms).persist()
-    roots = rootcause.root_and_counter(rootcause.score_alarms(members, alarms, graph.centrality(edges, nodes), p)).persist()
-    gated = cards.with_gate(incidents, roots, p)
+    classified = kept(noise.classify_noise(alarms, kept(baseline.spike_windows(alarms, p)), p=p))
+    signal = kept(enrich.cluster_gate(classified.where("rule IS NULL"), p.cluster_severity).select(alarms.columns))
+    in_cluster = kept(cluster.find_clusters(signal, p))
+    clusters = kept(cluster.cluster_summary(in_cluster, alarms))
+    links = kept(merge.candidate_links(clusters, kept(graph.related_pairs(edges, nodes, p.max_hops)), p))
+    merged = kept(merge.merge_incidents(clusters, links, p))
+    numbered = kept(merge.number_incidents(merged, clusters))
+    members = kept(in_cluster.join(numbered, "cluster_id").select("alarm_id", "incident_id"))
+    incidents = kept(merge.incident_summary(members, alarms))
+    roots = kept(rootcause.root_and_counter(rootcause.score_alarms(members, alarms, kept(graph.centrality(edges, nodes)), p)))
+    gated = kept(cards.with_gate(incidents, roots, p))
     ranked = cards.cap_cards(cards.prioritise(gated, members, alarms), p=p)
     carded = members.join(gated.where("passes").select("incident_id"), "incident_id", "left_semi")
     entries = noise.ledger(classified, in_cluster.select("alarm_id"), carded.select("alarm_id"), p)

@@ -2,11 +2,27 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+
+def kept(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the folder that the cluster shares (below the warehouse where none is set, as in tests).
+
+    Steps that read a table several times then plan on a scan, not on copies of its whole lineage, and lost executors
+    cost no more than the step at hand.
+    """
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared"
+    path = f"{shared}/storm-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 ALARM_COLUMNS = ("alarm_id", "timestamp", "source_system", "host", "service", "severity", "alarm_type", "message", "veri_merkezi", "kabin", "ortam")
 _TAGS = {"veri_merkezi": "datacenter", "kabin": "rack", "ortam": "environment"}
 _STRINGS = T.StructType([T.StructField(c, T.StringType()) for c in ALARM_COLUMNS])
