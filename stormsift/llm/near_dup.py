@@ -143,9 +143,10 @@ def _bucket_links(keys: np.ndarray, docs: np.ndarray, sizes: np.ndarray, bits: n
 def candidates(reps: DataFrame) -> DataFrame:
     """Pairs (a, b) from rows (doc_id, n, registers, bits) that share a band and may be similar by their bits.
 
-    Buckets of more than BUCKET_ROWS rows are dealt again by the same band and each other one; a pair at the threshold
-    shares none of the 31 others with probability 8e-6. Rows that still meet in large numbers are close to each other,
-    and a pivot or two gathers them in one tree.
+    Buckets of more than BUCKET_ROWS rows are dealt again by the same band and each later one: a pair that meets in two
+    large buckets meets under the earlier, and a pair that meets in a small one is found there. A pair at the threshold
+    shares none of the 31 other bands with probability 8e-6. Rows that still meet in large numbers are close to each
+    other, and a pivot or two gathers them in one tree.
     """
     width = 2 * BAND
     band = lambda k: F.xxhash64(k, F.substring(F.col("registers"), k * width + 1, F.lit(width)))
@@ -154,7 +155,7 @@ def candidates(reps: DataFrame) -> DataFrame:
     hot = written(rows.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > BUCKET_ROWS).select("key"))
     if not hot.isEmpty():
         again = rows.join(hot, "key", "left_semi").select("doc_id", "n", "bits", "band", "key").join(reps.select("doc_id", "registers"), "doc_id")
-        again = again.select("doc_id", "n", "bits", F.col("band").alias("from"), F.col("key").alias("outer"), every.alias("band", "inner")).where("band <> from")
+        again = again.select("doc_id", "n", "bits", F.col("band").alias("from"), F.col("key").alias("outer"), every.alias("band", "inner")).where("band > from")
         again = again.select("doc_id", "n", "bits", F.xxhash64("outer", "inner").alias("key"))
         rows = rows.join(hot, "key", "left_anti").select("doc_id", "n", "bits", "key").union(again)
 

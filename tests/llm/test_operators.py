@@ -36,7 +36,14 @@ def docs(spark, texts):
     return spark.createDataFrame([(i, t, None if k % 7 == 0 else "en", None if k % 5 == 0 else f"s{k % 3}", 0, 9, "z", "z", 1, 7) for k, (i, t) in enumerate(texts)], SCHEMA).repartition(3)
 
 
-def test_near_duplicates(docs, texts):
+@pytest.mark.parametrize("bucket,family", [(near_dup.BUCKET_ROWS, near_dup.FAMILY_ROWS), (2, 3)])
+def test_near_duplicates(docs, texts, monkeypatch, bucket, family):
+    """The second pair of limits deals nearly all buckets again and splits nearly all families."""
+    monkeypatch.setattr(near_dup, "BUCKET_ROWS", bucket)
+    monkeypatch.setattr(near_dup, "FAMILY_ROWS", family)
+    more = [(i, t) for i, t in enumerate((" ".join(f"q{k}" for k in range(60)).replace(f"q{j} ", f"z{j} ") for j in range(40, 58)), 1000)]
+    texts = texts + more
+    docs = docs.select("doc_id", "text").union(docs.sparkSession.createDataFrame(more, "doc_id long, text string"))
     sets = {}
     for i, t in texts:
         w = words(t)
