@@ -433,15 +433,28 @@ def card_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cards.card_stats(gated, capped)
 
 
-@_query()
+_EVENT = "array_to_string(list_transform(string_split(replace(root_type, '_', ' '), ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ')"
+_SLOTS = "sl AS (SELECT *, CASE WHEN rank <= CASE WHEN (SELECT count(*) FROM rd) > 15 THEN 14 ELSE 15 END THEN 'card' ELSE 'bucket' END AS slot FROM rd)"
+
+
+@_query(_CHAIN + "," + _SLOTS + f""", pl AS (SELECT incident_id, min(datacenter) AS dc, min(rack) AS rack FROM ma GROUP BY incident_id HAVING count(DISTINCT datacenter || '/' || rack) = 1),
+cd AS (SELECT 'INC-' || lpad(cast(sl.rank AS varchar), 3, '0') AS card_id, sl.start_us, sl.n_services, dc, pl.rack, rt.service AS root_service, root_type, {_EVENT} AS event FROM sl JOIN rt ON rt.incident_id = sl.incident_id LEFT JOIN pl ON pl.incident_id = sl.incident_id WHERE slot = 'card'),
+st AS (SELECT *, CASE WHEN dc IS NOT NULL AND root_type IN ('network_down', 'pkt_loss', 'network_flap') THEN upper(dc) || ' ' || replace(rack, 'rack-', 'Rack-') || ' ' || event ELSE root_service || ' ' || event END AS short FROM cd)
+SELECT card_id, root_service || ': ' || event || ' - ' || CASE WHEN n_services > 1 THEN 'spread to ' || cast(n_services AS varchar) || ' services' ELSE 'within one service' END AS title,
+  CASE WHEN count(*) OVER (PARTITION BY short) > 1 THEN short || ' (' || strftime(make_timestamp(start_us), '%H:%M') || ')' ELSE short END AS display_title FROM st""")
 def card_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cards.titles(_ranked(spark, sf_dir)[0])
 
 
-@_query()
+@_query(_CHAIN + "," + _SLOTS + """, ov AS (SELECT sl.*, rt.alarm_id AS root_alarm_id FROM sl JOIN rt ON rt.incident_id = sl.incident_id WHERE slot = 'bucket'),
+ot AS (SELECT count(*) AS alarm_count, string_agg(DISTINCT service, '|' ORDER BY service) AS services, string_agg(DISTINCT host, '|' ORDER BY host) AS hosts, string_agg(DISTINCT datacenter || '/' || rack, '|' ORDER BY datacenter || '/' || rack) AS locations, max(severity) AS max_severity, min(us) AS start_us, max(us) AS end_us FROM ma WHERE incident_id IN (SELECT incident_id FROM ov))
+SELECT 'INC-UNCLUSTERED' AS card_id, 'P4' AS label, ot.*, (SELECT string_agg(cast(rank AS varchar) || ':' || incident_id || ':' || cast(alarm_count AS varchar) || ':' || root_alarm_id, '|' ORDER BY rank) FROM ov) AS rolled_up, (SELECT cast(count(*) AS varchar) FROM ov) || ' incidents ranked below the cards' AS reasons FROM ot WHERE alarm_count > 0""")
 def bucket_card(spark: SparkSession, sf_dir: str) -> DataFrame:
     capped, _, m, a = _ranked(spark, sf_dir)
-    return cards.bucket_card(capped, m, a)
+    b = cards.bucket_card(io.kept(capped), m, a)
+    rolled = F.transform("rolled_up", lambda x: F.concat_ws(":", x["rank"], x["incident_id"], x["alarm_count"], x["root_alarm_id"]))
+    joined = [F.array_join(c, "|").alias(c) for c in ("services", "hosts", "locations", "reasons")]
+    return b.select("card_id", "label", "alarm_count", *joined, "max_severity", "start_us", "end_us", F.array_join(rolled, "|").alias("rolled_up"))
 
 
 _PAT = "pat(key, roots, symptoms) AS (VALUES " + ", ".join(f"('{k}', [{', '.join(repr(x) for x in r)}], [{', '.join(repr(x) for x in s)}])" for k, r, s in PATTERNS) + ")"
@@ -456,25 +469,46 @@ def match_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patterns.match_patterns(m, a, rootcause.root_and_counter(s), patterns.known_patterns(spark)).select("incident_id", "pattern_key", "confidence", "symptom_share")
 
 
-def _signatures(spark: SparkSession, sf_dir: str, run_id: str = "run-2") -> DataFrame:
+def _signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, m, a = _scored(spark, sf_dir)
-    return patterns.signatures(merge.incident_summary(m, a), m, a, rootcause.root_and_counter(s), run_id)
-
-
-@_query()
+    return patterns.signatures(merge.incident_summary(m, a), m, a, rootcause.root_and_counter(s), "run-2")
+
+
+_FAMILY = _case("root_type", {t: key for key, types, _ in reversed(PATTERNS) for t in types}, "root_type")
+_SIGS = f"""sv AS (SELECT incident_id, list_sort(list(DISTINCT service)) AS services, list_sort(list(DISTINCT datacenter || '/' || rack)) AS locations FROM ma GROUP BY incident_id),
+hk AS (SELECT incident_id, alarm_type, floor(cast(count(*) AS double) / cast(sum(count(*)) OVER (PARTITION BY incident_id) AS double) * 10000.0 + 0.5) / 10000.0 AS share FROM ma GROUP BY 1, 2),
+sg AS (SELECT *, {_FAMILY} AS family FROM (SELECT inc.*, services, locations, rt.alarm_type AS root_type, rt.service AS root_service FROM inc JOIN sv ON sv.incident_id = inc.incident_id JOIN rt ON rt.incident_id = inc.incident_id)),
+nm AS (SELECT incident_id, sqrt(sum(share * share)) AS norm FROM hk GROUP BY incident_id),
+dt AS (SELECT x.incident_id AS a, y.incident_id AS b, sum(x.share * y.share) AS dot FROM hk x JOIN hk y USING (alarm_type) GROUP BY 1, 2),
+pa AS (SELECT x.incident_id AS a, y.incident_id AS b, CASE WHEN x.root_type = y.root_type THEN 1.0 WHEN x.family = y.family THEN 0.6 ELSE 0.0 END::DOUBLE AS root, x.root_service = y.root_service AS same,
+  len(list_intersect(x.services, y.services))::DOUBLE / len(list_distinct(list_concat(x.services, y.services))) AS js, len(list_intersect(x.locations, y.locations))::DOUBLE / len(list_distinct(list_concat(x.locations, y.locations))) AS jl,
+  coalesce(dot, 0.0)::DOUBLE / (n.norm * o.norm) AS cosine, abs(x.max_severity - y.max_severity)::DOUBLE AS gap
+  FROM sg x JOIN sg y ON x.family = y.family OR x.root_service = y.root_service JOIN nm n ON n.incident_id = x.incident_id JOIN nm o ON o.incident_id = y.incident_id LEFT JOIN dt ON dt.a = x.incident_id AND dt.b = y.incident_id),
+sm AS (SELECT a, b, floor((0.30::DOUBLE * root + 0.28::DOUBLE * CASE WHEN same THEN least(1.0::DOUBLE, js + 0.25::DOUBLE) ELSE js END + 0.24::DOUBLE * cosine + 0.10::DOUBLE * jl + 0.08::DOUBLE * (1.0::DOUBLE - gap / 4.0::DOUBLE)) * 1000.0 + 0.5) / 1000.0 AS similarity FROM pa)"""
+_ALIKE = _MEMBERS + "," + _GRAPH + "," + _SCORES + "," + _SIGS
+
+
+@_query(_ALIKE + """ SELECT incident_id, 'run-2' AS run_id, start_us AS occurred_us, root_type, root_service, array_to_string(services, '|') AS services, array_to_string(locations, '|') AS locations,
+  (SELECT string_agg(alarm_type || ':' || cast(cast(round(share * 10000.0) AS bigint) AS varchar), '|' ORDER BY alarm_type) FROM hk WHERE hk.incident_id = sg.incident_id) AS type_histogram,
+  max_severity, alarm_count, floor((end_us - start_us) / 60000000.0 * 10.0 + 0.5) / 10.0 AS duration_min FROM sg""")
 def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _signatures(spark, sf_dir)
+    parts = F.transform(F.array_sort(F.map_entries("type_histogram")), lambda x: F.concat_ws(":", x["key"], F.round(x["value"] * 10000.0).cast("long")))
+    joined = {c: F.array_join(c, "|") for c in ("services", "locations")} | {"type_histogram": F.array_join(parts, "|")}
+    return _signatures(spark, sf_dir).withColumns(joined)
 
 
-@_query()
+@_query(_ALIKE + " SELECT a, b, 'run-2' AS b_run, similarity FROM sm WHERE a < b")
 def compare_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _signatures(spark, sf_dir)
+    s = io.kept(_signatures(spark, sf_dir))
     return patterns.compare_signatures(s, s).where("a < b")
 
 
-@_query()
+@_query(_ALIKE + """, ev AS (SELECT a, b, 'run-2' AS run, 0 AS src, similarity FROM sm WHERE a <> b AND similarity >= 0.4::DOUBLE UNION ALL SELECT a, b, 'run-1', 1, similarity FROM sm WHERE similarity >= 0.4::DOUBLE),
+er AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b, src, run) AS rank FROM ev)
+SELECT a AS incident_id, b AS match, run AS match_run, similarity, rank::INTEGER AS rank FROM er WHERE rank <= 5""")
 def similar_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return patterns.similar_incidents(_signatures(spark, sf_dir), _signatures(spark, sf_dir, "run-1"))
+    s = io.kept(_signatures(spark, sf_dir))
+    return patterns.similar_incidents(s, s.withColumn("run_id", F.lit("run-1")))
 
 
 # ------------------------------------------------------------------ reports, archive, actions

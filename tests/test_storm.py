@@ -12,7 +12,7 @@ from stormsift.params import MINUTE
 from stormsift.plans import queries
 
 SF = "/root/testdata/sf0.001"
-ORACLE = ["input_checks", "enrich_alarms", "spike_windows", "rule_counts", "centrality", "root_and_counter", "timeline", "apply_transitions", "retained_runs"]
+ORACLE = ["input_checks", "enrich_alarms", "spike_windows", "rule_counts", "centrality", "root_and_counter", "timeline", "apply_transitions", "retained_runs", "signatures", "similar_incidents"]
 
 
 @pytest.mark.parametrize("name", ORACLE)
