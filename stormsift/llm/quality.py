@@ -13,6 +13,10 @@ FLOORS = {"symbols": 20, "capitals": 300, "repeats": 300, "dup_lines": 300}
 #: A group's upper fence is q75 + SPREAD * (q75 - q25). A group of fewer documents than MIN_GROUP takes its language's
 #: sketch, and a language of fewer takes that of all documents.
 SPREAD, MIN_GROUP = 3, 50
+#: Buckets of a share in the sketches of op5_group_fences, and the least limits there, in these buckets. Where the quartiles
+#: coincide, the fence is q90 + SPREAD * (q90 - q75), so that a share most rows have at 0 gets the limit of its tail.
+FINE = 10_000
+MINIMA = {"symbols": 100, "capitals": 200, "repeats": 500, "dup_lines": 1000}
 
 
 def text_features(docs: DataFrame) -> DataFrame:
@@ -47,8 +51,8 @@ def text_features(docs: DataFrame) -> DataFrame:
     return done.select("c.*", F.col("n_repeat_words").cast("long").alias("n_repeat_words"))
 
 
-def _share(part: Column, whole: Column) -> Column:
-    return F.when(whole > 0, F.floor(part * 1000 / whole)).otherwise(F.lit(0)).cast("long")
+def _share(part: Column, whole: Column, scale: int) -> Column:
+    return F.when(whole > 0, F.floor(part * scale / whole)).otherwise(F.lit(0)).cast("long")
 
 
 def _key(name: str) -> Column:
@@ -56,63 +60,73 @@ def _key(name: str) -> Column:
     return F.when(F.col(name).isNull(), "").otherwise(F.concat(F.lit("="), F.col(name)))
 
 
-def with_shares(f: DataFrame) -> DataFrame:
+def with_shares(f: DataFrame, scale: int = 1000) -> DataFrame:
     shares = {"symbols": ("n_symbols", "word_chars"), "capitals": ("n_capitals", "word_chars"), "repeats": ("n_repeat_words", "n_words"), "dup_lines": ("n_dup_lines", "n_lines")}
-    return f.withColumns({k: _share(F.col(a), F.col(b)) for k, (a, b) in shares.items()} | {"lang_key": _key("lang"), "source_key": _key("source")})
+    return f.withColumns({k: _share(F.col(a), F.col(b), scale) for k, (a, b) in shares.items()} | {"lang_key": _key("lang"), "source_key": _key("source")})
 
 
 def sketch(f: DataFrame) -> DataFrame:
-    """(lang_key, source_key, feature, bucket, n): counts per thousandth. Sums of n merge sketches exactly; a quantile is off by a thousandth at most."""
+    """(lang_key, source_key, feature, bucket, n): counts per bucket of the shares. Sums of n merge sketches exactly; a quantile is off by a bucket at most."""
     pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("feature"), F.col(k).alias("bucket")) for k in FLOORS)))
     return f.select("lang_key", "source_key", pairs.alias("p")).groupBy("lang_key", "source_key", "p.feature", "p.bucket").agg(F.count("*").alias("n"))
 
 
-def fences(sketches: DataFrame, by: list[str]) -> DataFrame:
-    """Per group and feature, the upper fence from the merged sketch: by, feature, size, fence. At most 1001 buckets meet in a window."""
+def fences(sketches: DataFrame, by: list[str], tail: bool = False) -> DataFrame:
+    """Per group and feature, the upper fence from the merged sketch: by, feature, size, fence. At most 1001 buckets (10,001 of FINE) meet in a window."""
     merged = sketches.groupBy(*by, "feature", "bucket").agg(F.sum("n").alias("n"))
     w = W.partitionBy(*by, "feature")
     up = merged.select(*by, "feature", "bucket", F.sum("n").over(w.orderBy("bucket")).alias("rank"), F.sum("n").over(w).alias("size"))
-    q = lambda p: F.min(F.when(F.col("rank") * 4 >= F.col("size") * p, F.col("bucket")))
-    found = up.groupBy(*by, "feature").agg(F.first("size").alias("size"), q(1).alias("q1"), q(3).alias("q3"))
-    return found.select(*by, "feature", "size", (F.col("q3") + SPREAD * (F.col("q3") - F.col("q1"))).alias("fence"))
+    q = lambda p, of=4: F.min(F.when(F.col("rank") * of >= F.col("size") * p, F.col("bucket")))
+    found = up.groupBy(*by, "feature").agg(F.first("size").alias("size"), q(1).alias("q1"), q(3).alias("q3"), q(9, 10).alias("q90"))
+    fence = F.col("q3") + SPREAD * (F.col("q3") - F.col("q1"))
+    if tail:
+        fence = F.when(F.col("q1") < F.col("q3"), fence).otherwise(F.col("q90") + SPREAD * (F.col("q90") - F.col("q3")))
+    return found.select(*by, "feature", "size", fence.alias("fence"))
 
 
-def thresholds(sketches: DataFrame) -> DataFrame:
+def thresholds(sketches: DataFrame, least: dict[str, int] = FLOORS, tail: bool = False) -> DataFrame:
     """One row per (lang_key, source_key) with the fence of each feature, from the smallest group that is large enough."""
-    own = fences(sketches, ["lang_key", "source_key"])
-    lang = fences(sketches, ["lang_key"]).select("lang_key", "feature", F.col("size").alias("lang_size"), F.col("fence").alias("lang_fence"))
-    every = fences(sketches, []).select("feature", F.col("fence").alias("all_fence"))
+    own = fences(sketches, ["lang_key", "source_key"], tail)
+    lang = fences(sketches, ["lang_key"], tail).select("lang_key", "feature", F.col("size").alias("lang_size"), F.col("fence").alias("lang_fence"))
+    every = fences(sketches, [], tail).select("feature", F.col("fence").alias("all_fence"))
     best = own.join(lang, ["lang_key", "feature"]).join(F.broadcast(every), "feature")  # every: a row per feature
     fence = F.when(F.col("size") >= MIN_GROUP, F.col("fence")).when(F.col("lang_size") >= MIN_GROUP, F.col("lang_fence")).otherwise(F.col("all_fence"))
-    floor = F.create_map(*(x for k, v in FLOORS.items() for x in (F.lit(k), F.lit(v))))[F.col("feature")]
+    floor = F.create_map(*(x for k, v in least.items() for x in (F.lit(k), F.lit(v))))[F.col("feature")]
     best = best.withColumn("limit", F.greatest(fence, floor))
     return best.groupBy("lang_key", "source_key").agg(*(F.max(F.when(F.col("feature") == k, F.col("limit"))).alias(f"max_{k}") for k in FLOORS))
 
 
-def judge(docs: DataFrame) -> DataFrame:
+def judge(docs: DataFrame, by_fences: bool = False) -> DataFrame:
     """doc_id, counts, base_failed, kept and the shares of every document.
 
     Base: fails under 50 words, or if more than half of its words stand in repeated windows of three. Verdict: a document
     is rejected if a share (symbols and capitals of word characters, repeated words of words, equal lines of lines) is
-    above its group's fence and above the share's floor. Groups are (language, source); nulls form groups of their own.
+    above its group's fence and above the share's floor, or with by_fences above the group's fence of the finer sketch and
+    the small minimum of MINIMA. Groups are (language, source); nulls form groups of their own.
 
     Null or empty texts have no words and fail the base; an empty table gives no rows; repeated rows each give a row;
     columns other than doc_id, text, lang and source are not read.
     """
-    f = written(with_shares(text_features(docs)))
-    limits = written(thresholds(sketch(f)))
+    scale = FINE if by_fences else 1000
+    f = written(with_shares(text_features(docs), scale))
+    limits = written(thresholds(sketch(f), MINIMA, True) if by_fences else thresholds(sketch(f)))
     out = sized_join(f, limits, ["lang_key", "source_key"])
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     odd = F.lit(False)
     for k in FLOORS:
         odd = odd | (F.col(k) > F.col(f"max_{k}"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~odd).alias("kept"), *FLOORS)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~odd).alias("kept"), *(F.floor(F.col(k) * 1000 / scale).alias(k) for k in FLOORS))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
 
+def op5_group_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdicts of the pipeline: op5_quality_rules with limits from the sketches instead of the fixed floors."""
+    return judge(table(spark, sf_dir, "documents"), by_fences=True)
+
+
 _WS = r"[\x20\x09-\x0D]+"
 _ALL = ", ".join(f"('{k}', {v})" for k, v in FLOORS.items())
 #: The whole operator in SQL, over a view named documents.
@@ -142,3 +156,18 @@ wide AS (SELECT lk, sk, max(lim) FILTER (feature = 'symbols') AS l1, max(lim) FI
 v AS (SELECT s.*, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, (symbols > l1 OR capitals > l2 OR repeats > l3 OR dup_lines > l4) AS odd FROM s JOIN wide USING (lk, sk))
 """
 OP5_SQL = f"WITH {FEATURES_SQL} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND NOT odd) AS kept, symbols::BIGINT AS symbols, capitals::BIGINT AS capitals, repeats::BIGINT AS repeats, dup_lines::BIGINT AS dup_lines FROM v"
+
+_FINE_SHARES = ", ".join(f"CASE WHEN {b} > 0 THEN {a} * {FINE} // {b} ELSE 0 END AS {k}" for k, a, b in (("symbols", "n_symbols", "word_chars"), ("capitals", "n_capitals", "word_chars"), ("repeats", "n_repeat_words", "n_words"), ("dup_lines", "n_dup_lines", "n_lines")))
+_FENCE = f"quantile_disc(v, 0.75) + {SPREAD} * CASE WHEN quantile_disc(v, 0.25) < quantile_disc(v, 0.75) THEN quantile_disc(v, 0.75) - quantile_disc(v, 0.25) ELSE 0 END + CASE WHEN quantile_disc(v, 0.25) < quantile_disc(v, 0.75) THEN 0 ELSE {SPREAD + 1} * (quantile_disc(v, 0.9) - quantile_disc(v, 0.75)) END"
+_MINIMA = ", ".join(f"('{k}', {k}, {v})" for k, v in MINIMA.items())
+#: The rows of op5_group_fences: the same counts, with limits from the finer sketches.
+FENCES_SQL = f"""WITH {FEATURES_SQL},
+fs AS (SELECT *, {_FINE_SHARES} FROM f),
+fl AS (SELECT lk, sk, feature, v, least_limit FROM fs, LATERAL (VALUES {_MINIMA}) AS t(feature, v, least_limit)),
+f0 AS (SELECT lk, sk, feature, any_value(least_limit) AS least_limit, count(*) AS n, {_FENCE} AS fence FROM fl GROUP BY lk, sk, feature),
+f1 AS (SELECT lk, feature, count(*) AS n, {_FENCE} AS fence FROM fl GROUP BY lk, feature),
+f2 AS (SELECT feature, {_FENCE} AS fence FROM fl GROUP BY feature),
+fm AS (SELECT lk, sk, feature, greatest(least_limit, CASE WHEN f0.n >= {MIN_GROUP} THEN f0.fence WHEN f1.n >= {MIN_GROUP} THEN f1.fence ELSE f2.fence END) AS lim FROM f0 JOIN f1 USING (lk, feature) JOIN f2 USING (feature)),
+fw AS (SELECT lk, sk, max(lim) FILTER (feature = 'symbols') AS l1, max(lim) FILTER (feature = 'capitals') AS l2, max(lim) FILTER (feature = 'repeats') AS l3, max(lim) FILTER (feature = 'dup_lines') AS l4 FROM fm GROUP BY ALL),
+fv AS (SELECT fs.*, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, (symbols > l1 OR capitals > l2 OR repeats > l3 OR dup_lines > l4) AS odd FROM fs JOIN fw USING (lk, sk))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND NOT odd) AS kept, (symbols // 10)::BIGINT AS symbols, (capitals // 10)::BIGINT AS capitals, (repeats // 10)::BIGINT AS repeats, (dup_lines // 10)::BIGINT AS dup_lines FROM fv"""

@@ -35,7 +35,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) ->
 
 
 def of_quality(docs: DataFrame) -> DataFrame:
-    return _of_ids(docs, quality.judge(docs).where("kept"))
+    return _of_ids(docs, quality.judge(docs, by_fences=True).where("kept"))
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from stormsift.llm import html_text, language_model, license_scan, mixing, near_dup, quality, sentence_piece, topk, toxicity, url_filter
+from stormsift.llm import html_text, language_model, license_scan, mixing, near_dup, quality, sentence_piece, stages, topk, toxicity, url_filter
 from stormsift.llm.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -191,6 +191,20 @@ def test_quality_counts(docs, texts):
     assert got == want
 
 
+def test_groups_get_different_verdicts_for_one_share(spark):
+    """A fifth of capitals is below the fixed floor of 300: usual among headings, odd in prose."""
+    rng = random.Random(4)
+
+    def text(capitals):
+        t = ["".join(rng.choices("abcdefgh", k=10)) for _ in range(60)]
+        return " ".join(w[:c].upper() + w[c:] for w, c in zip(t, (capitals // 60 + (k < capitals % 60) for k in range(60)), strict=True))
+
+    rows = [(k, text(rng.randrange(40, 130)), "en", "headings") for k in range(80)] + [(100 + k, text(rng.randrange(4, 9)), "en", "prose") for k in range(80)] + [(200, text(120), "en", "headings"), (201, text(120), "en", "prose")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert {r["doc_id"]: r["capitals"] for r in quality.judge(docs).collect() if r["doc_id"] >= 200} == {200: 200, 201: 200}
+    assert {r["doc_id"] for r in stages.of_quality(docs).collect()} == {r[0] for r in rows} - {201}
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
