@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from stormsift.functions.columns import criticality_weight, half_up, type_prior
-from stormsift.params import DEFAULT, Params
+from stormsift.params import DEFAULT, MINUTE, Params
 
 
 def with_gate(incidents: DataFrame, roots: DataFrame, p: Params = DEFAULT) -> DataFrame:
@@ -58,31 +58,62 @@ def titles(cards: DataFrame) -> DataFrame:
     return c.select("card_id", "title", F.when(again, F.concat("short", F.lit(" ("), clock, F.lit(")"))).otherwise(F.col("short")).alias("display_title"))
 
 
-def build_cards(cards: DataFrame, members: DataFrame, alarms: DataFrame, roots: DataFrame, texts: DataFrame, actions: DataFrame, reasons: DataFrame) -> DataFrame:
-    """One nested document per card: sets, histogram, root and counter, evidence text, action with its first history entry."""
+_HISTORY = lambda: F.array(F.struct(F.lit("open").alias("status"), F.lit("card opened").alias("note")))
+
+
+def build_cards(cards: DataFrame, members: DataFrame, alarms: DataFrame, roots: DataFrame, texts: DataFrame, actions: DataFrame, reasons: DataFrame, evidence: DataFrame, known: DataFrame, similar: DataFrame) -> DataFrame:
+    """One nested document per card, and one of the same shape for the bucket if incidents go there.
+
+    Sets, histogram, root and counter, explanation, evidence, action with its first history entry, known patterns and
+    similar incidents; similar has card ids as incident_id.
+    """
     a = members.join(alarms, "alarm_id")
     kinds = a.groupBy("incident_id", "alarm_type").agg(F.count("*").alias("n"))
     histogram = kinds.groupBy("incident_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("alarm_type", "n")))).alias("alarm_type_histogram"))
     ids = a.groupBy("incident_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("us", "alarm_id"))), lambda x: x["alarm_id"]).alias("alarm_ids"), F.sort_array(F.collect_set("source_system")).alias("source_systems"))
     c = cards.where("slot = 'card'").join(titles(cards), "card_id").join(histogram, "incident_id").join(ids, "incident_id")
     c = c.join(roots.drop("root_service", "root_type", "root_alarm_id").join(roots.select("incident_id", "root_alarm_id").withColumnRenamed("root_alarm_id", "root_id"), "incident_id"), "incident_id").join(texts, "incident_id", "left").join(actions, "incident_id", "left").join(reasons, "incident_id", "left")
-    history = F.array(F.struct(F.lit("open").alias("status"), F.lit("card opened").alias("note")))
-    return c.select(
+    c = c.join(evidence.select("incident_id", F.struct(*(x for x in evidence.columns if x not in ("incident_id", "n"))).alias("evidence")), "incident_id", "left")
+    met = known.groupBy("incident_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("confidence")).alias("by"), "pattern_key", "confidence", "matched_symptoms", "symptom_share"))).alias("known"))
+    alike = similar.groupBy(F.col("incident_id").alias("card_id")).agg(F.sort_array(F.collect_list(F.struct("rank", "match", "match_run", "similarity"))).alias("similar_incidents"))
+    c = c.join(met, "incident_id", "left").join(alike, "card_id", "left")
+    own = c.select(
         "card_id", "incident_id", "title", "display_title", "label", "score", F.struct("p_severity", "p_breadth", "p_volume", "p_criticality").alias("score_parts"), "alarm_count", "services", "hosts", "locations", "max_severity",
         F.struct("start_us", "end_us", "duration_min").alias("time_range"), "alarm_ids", "alarm_type_histogram", "source_systems",
         F.struct("root_id", "root_service", "root_type", "root_total", "explanation").alias("root_cause"), F.struct("counter_alarm_id", "counter_service", "counter_total", "delta", "counter_reason").alias("counter"),
-        F.struct("action", "owner", F.lit("open").alias("status"), history.alias("history")).alias("recommended_action"), "reasons",
+        F.struct("action", "owner", F.lit("open").alias("status"), _HISTORY().alias("history")).alias("recommended_action"), "reasons",
+        "evidence", F.transform("known", lambda x: x.dropFields("by")).alias("known_patterns"), "similar_incidents",
     )
+    b = bucket_card(cards, members, alarms)
+    title = F.format_string("Other - %d alarms, %d services", F.col("alarm_count"), F.size("services"))
+    action = F.struct(F.lit("review the remaining signals together").alias("action"), F.lit("platform-oncall").alias("owner"), F.lit("open").alias("status"), _HISTORY().alias("history"))
+    minutes = half_up((F.col("end_us") - F.col("start_us")) / float(MINUTE), 1).alias("duration_min")
+    rest = b.select(
+        "card_id", F.col("card_id").alias("incident_id"), title.alias("title"), F.lit("Other").alias("display_title"), "label", F.lit(0.0).alias("score"), "alarm_count", "services", "hosts", "locations", "max_severity",
+        F.struct("start_us", "end_us", minutes).alias("time_range"), "alarm_ids", "alarm_type_histogram", "source_systems", action.alias("recommended_action"), "reasons", "rolled_up",
+    )
+    return own.unionByName(rest, allowMissingColumns=True)
+
+
+def held(documents: DataFrame) -> DataFrame:
+    """(alarm_id) as often as the documents hold it."""
+    return documents.select(F.explode("alarm_ids").alias("alarm_id"))
 
 
-def bucket_card(cards: DataFrame, members: DataFrame, alarms: DataFrame) -> DataFrame:
-    """One document over the incidents that got no card of their own; no row if there are none."""
+def bucket_card(cards: DataFrame, members: DataFrame, alarms: DataFrame, residual: DataFrame | None = None) -> DataFrame:
+    """One document over the incidents that got no card of their own and the alarms (alarm_id) of residual; no row if there are none."""
     over = cards.where("slot = 'bucket'")
-    a = over.select("incident_id").join(members, "incident_id").join(alarms, "alarm_id").withColumn("location", F.concat_ws("/", "datacenter", "rack"))
-    total = a.agg(F.count("*").alias("alarm_count"), F.sort_array(F.collect_set("service")).alias("services"), F.sort_array(F.collect_set("host")).alias("hosts"), F.sort_array(F.collect_set("location")).alias("locations"), F.max("severity").alias("max_severity"), F.min("us").alias("start_us"), F.max("us").alias("end_us"))
+    ids = over.select("incident_id").join(members, "incident_id").select("alarm_id", F.lit(0).alias("residual"))
+    if residual is not None:
+        ids = ids.union(residual.select("alarm_id", F.lit(1)))
+    a = ids.join(alarms, "alarm_id").withColumn("location", F.concat_ws("/", "datacenter", "rack"))
+    total = a.agg(F.count("*").alias("alarm_count"), F.sort_array(F.collect_set("service")).alias("services"), F.sort_array(F.collect_set("host")).alias("hosts"), F.sort_array(F.collect_set("location")).alias("locations"), F.max("severity").alias("max_severity"), F.min("us").alias("start_us"), F.max("us").alias("end_us"),
+        F.transform(F.sort_array(F.collect_list(F.struct("us", "alarm_id"))), lambda x: x["alarm_id"]).alias("alarm_ids"), F.sort_array(F.collect_set("source_system")).alias("source_systems"), F.sum("residual").alias("residual"))
+    kinds = a.groupBy("alarm_type").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("alarm_type", "n")))).alias("alarm_type_histogram"))
     rolled = over.agg(F.sort_array(F.collect_list(F.struct("rank", "incident_id", "alarm_count", "score", "root_alarm_id"))).alias("rolled_up"))
-    reason = F.concat(F.size("rolled_up").cast("string"), F.lit(" incidents ranked below the cards"))
-    return total.join(F.broadcast(rolled)).where("alarm_count > 0").select(F.lit("INC-UNCLUSTERED").alias("card_id"), F.lit("P4").alias("label"), "*", F.array(reason).alias("reasons"))  # one row each
+    below = F.when(F.size("rolled_up") > 0, F.concat(F.size("rolled_up").cast("string"), F.lit(" incidents ranked below the cards")))
+    sparse = F.when(F.col("residual") > 0, F.concat(F.col("residual").cast("string"), F.lit(" alarms in no cluster")))
+    return total.join(F.broadcast(rolled)).join(F.broadcast(kinds)).where("alarm_count > 0").select(F.lit("INC-UNCLUSTERED").alias("card_id"), F.lit("P4").alias("label"), "*", F.array_compact(F.array(below, sparse)).alias("reasons"))  # one row each
 
 
 def card_stats(gated: DataFrame, capped: DataFrame) -> DataFrame:

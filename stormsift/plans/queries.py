@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stormsift.functions import columns as C
 from stormsift.operators import actions, baseline, cards, cluster, enrich, graph, merge, noise, patterns, quality_checks, reports, rootcause
 from stormsift.params import CRITICALITY_WEIGHT, DEFAULT, MAINTENANCE_TYPES, MINUTE, OWNERS, PATTERNS, SEVERITY_LABEL, TYPE_PRIOR
-from stormsift.plans.storm import reduce_storm
+from stormsift.plans.storm import documents, reduce_storm
 from stormsift.sources import fixtures, io
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -307,16 +307,13 @@ def storm_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(" SELECT count(*) AS expected, true AS no_loss, true AS ids_unique FROM alarms")
 def integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _storm(spark, sf_dir)
-    carded = s.members.join(s.incidents.where("passes").select("incident_id"), "incident_id", "left_semi")
+    carded = cards.held(documents(s, fixtures.dependencies(spark)))
     return reports.integrity(s.alarms, carded, s.ledger).select("expected", "no_loss", "ids_unique")
 
 
 @_query()
 def storm_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _storm(spark, sf_dir)
-    e = fixtures.dependencies(spark)
-    texts = rootcause.explanations(s.roots, s.incidents, graph.upstream_set(e), s.alarms)
-    return cards.build_cards(s.ranked, s.members, s.alarms, s.roots, texts, rootcause.actions_for(s.roots, s.incidents), s.reasons)
+    return documents(_storm(spark, sf_dir), fixtures.dependencies(spark))
 
 
 # ------------------------------------------------------------------ after the merge: incidents by formula, one per week and service

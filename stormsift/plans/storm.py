@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stormsift.operators import baseline, cards, cluster, enrich, graph, merge, noise, rootcause
+from stormsift.operators import baseline, cards, cluster, enrich, graph, merge, noise, patterns, rootcause
 from stormsift.params import DEFAULT, Params
 from stormsift.sources.io import kept
 
@@ -26,7 +26,10 @@ class Storm:
 
 
 def reduce_storm(raw: DataFrame, hosts: DataFrame, edges: DataFrame, p: Params = DEFAULT) -> Storm:
-    """Tables that several later steps read are written once and read again."""
+    """Tables that several later steps read are written once and read again.
+
+    Residual alarms go to the ledger, so they take no slot of a card.
+    """
     alarms = kept(enrich.enrich_alarms(raw, hosts))
     nodes = graph.graph_nodes(edges, hosts)
     classified = kept(noise.classify_noise(alarms, kept(baseline.spike_windows(alarms, p)), p=p))
@@ -45,3 +48,16 @@ def reduce_storm(raw: DataFrame, hosts: DataFrame, edges: DataFrame, p: Params =
     entries = noise.ledger(classified, in_cluster.select("alarm_id"), carded.select("alarm_id"), p)
     reasons = merged.where(F.size("reasons") > 0).join(numbered, "cluster_id").select("incident_id", "reasons")
     return Storm(alarms, classified, clusters, gated, members, roots, ranked, entries, reasons)
+
+
+def documents(s: Storm, edges: DataFrame, history: DataFrame | None = None, run_id: str = "run", p: Params = DEFAULT) -> DataFrame:
+    """The card documents of a run, the bucket's among them; history are the signatures of past runs, if there are any."""
+    ranked = kept(s.ranked)
+    slots = ranked.where("slot = 'card'")
+    texts = rootcause.explanations(s.roots, s.incidents, graph.upstream_set(edges), s.alarms)
+    evidence = rootcause.evidence(s.members, s.alarms, s.roots, graph.impact_set(edges))
+    known = patterns.match_patterns(s.members, s.alarms, s.roots, patterns.known_patterns(edges.sparkSession), p)
+    sigs = patterns.signatures(slots.drop("root_service", "root_type"), s.members, s.alarms, s.roots, run_id)
+    sigs = kept(sigs.join(slots.select("incident_id", "card_id"), "incident_id").withColumn("incident_id", F.col("card_id")).drop("card_id"))
+    similar = patterns.similar_incidents(sigs, sigs.limit(0) if history is None else history, p=p)
+    return cards.build_cards(ranked, s.members, s.alarms, s.roots, texts, rootcause.actions_for(s.roots, s.incidents), s.reasons, evidence, known, similar)

@@ -1,15 +1,18 @@
 """Order-dependent steps against plain Python, traps at limits, and queries against DuckDB."""
 
 import random
+from dataclasses import replace
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from stormsift.operators import baseline, cluster, merge
+from stormsift.operators import baseline, cards, cluster, merge, reports
 from stormsift.operators.graph import impact_set
-from stormsift.params import MINUTE
+from stormsift.params import DEFAULT, MINUTE
 from stormsift.plans import queries
+from stormsift.plans.storm import documents, reduce_storm
+from stormsift.sources import fixtures
 
 SF = "/root/testdata/sf0.001"
 ORACLE = ["input_checks", "enrich_alarms", "spike_windows", "rule_counts", "centrality", "root_and_counter", "timeline", "apply_transitions", "retained_runs", "signatures", "similar_incidents"]
@@ -71,3 +74,26 @@ def test_neighbour_at_exactly_thirty_minutes(spark):
 def test_nothing_is_lost(spark):
     r = queries.QUERIES["integrity"](spark, SF).first()
     assert r["no_loss"] and r["ids_unique"] and F is not None
+
+
+def test_cards_hold_incidents_past_the_cap(spark):
+    p = replace(DEFAULT, cap=2)
+    edges = fixtures.dependencies(spark)
+    s = reduce_storm(fixtures.alarms(spark, SF.replace("0.001", "0.01")), fixtures.hosts(spark), edges, p)
+    docs = documents(s, edges, p=p).cache()
+    passing = {r["incident_id"] for r in s.incidents.where("passes").collect()}
+    assert len(passing) > 2
+    rows = {r["card_id"]: r for r in docs.collect()}
+    assert sorted(rows) == ["INC-001", "INC-UNCLUSTERED"]
+    assert {rows["INC-001"]["incident_id"]} | {x["incident_id"] for x in rows["INC-UNCLUSTERED"]["rolled_up"]} == passing
+    assert sorted(x for r in rows.values() for x in r["alarm_ids"]) == sorted(r["alarm_id"] for r in s.members.collect() if r["incident_id"] in passing)
+    assert rows["INC-001"]["evidence"]["offset_min"] is not None and {"known_patterns", "similar_incidents"} <= set(docs.columns)
+    whole, lost = (reports.integrity(s.alarms, cards.held(d), s.ledger).first() for d in (docs, docs.where("card_id = 'INC-001'")))
+    assert whole["no_loss"] and whole["ids_unique"] and not lost["no_loss"]
+
+
+def test_bucket_over_residual_alone(spark):
+    a = spark.createDataFrame([("x", "s", "h", "d", "r", 4, 5, "timeout", "m"), ("y", "s", "h", "d", "r", 5, 6, "timeout", "m")], "alarm_id string, service string, host string, datacenter string, rack string, severity int, us long, alarm_type string, source_system string")
+    none = spark.createDataFrame([], "incident_id string, rank int, alarm_count long, score double, root_alarm_id string, slot string")
+    r = cards.bucket_card(none, a.limit(0).select("alarm_id", F.lit("i").alias("incident_id")), a, a.where("alarm_id = 'y'")).collect()
+    assert [(x["alarm_ids"], x["reasons"]) for x in r] == [(["y"], ["1 alarms in no cluster"])]
