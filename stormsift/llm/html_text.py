@@ -22,6 +22,8 @@ _SPACED = frozenset(("p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "dl",
 _BLOCK = _SPACED | frozenset(("html", "body", "div", "article", "section", "nav", "header", "footer", "main", "aside", "address", "form", "li", "dt", "dd", "tr", "td", "th", "thead", "tbody", "tfoot", "caption", "figcaption", "details", "summary", "hr", "center"))
 #: What an opening tag closes, and the elements beyond which it does not look.
 _IMPLIED = {"li": (("li",), ("ul", "ol")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "tbody": (("thead", "tbody", "tfoot", "tr", "td", "th"), ("table",)), "thead": (("tbody", "tr", "td", "th"), ("table",)), "tfoot": (("thead", "tbody", "tr", "td", "th"), ("table",)), "option": (("option",), ("select",)), "body": (("head",), ("html",))}
+#: What may stand in head; any other element, and text, ends it.
+_IN_HEAD = frozenset(("html", "head", "body", "base", "link", "meta", "title", "noscript", "noframes", "style", "script", "template"))
 
 
 class _Box:
@@ -111,6 +113,12 @@ def _open(stack: list[_Box], blocks: list[_Box], tag: str, hidden: bool) -> None
     stack.append(box)
 
 
+def _end_head(stack: list[_Box], blocks: list[_Box]) -> None:
+    if stack[-1].tag == "head":
+        _close(stack, blocks)
+        _open(stack, blocks, "body", False)
+
+
 def render(page: str) -> str:
     """The page's visible text as laid out: blocks on lines of their own, blank lines around paragraphs, headings, lists and
     tables, list marks with indents, table columns aligned, preformatted text as it is. Tags may be missing or unclosed."""
@@ -124,6 +132,8 @@ def render(page: str) -> str:
             text = m[0]
             if text[0] == "<" and len(text) > 1:
                 continue
+            if text.strip(" \t\n\r\f"):
+                _end_head(stack, blocks)
             if stack[-1].seen:
                 text = html.unescape(text)
                 blocks[-1].inline.append(text if blocks[-1].pre else _BLANKS.sub(" ", text) if not _ends_blank(blocks[-1]) else _BLANKS.sub(" ", text).lstrip(" "))
@@ -135,6 +145,10 @@ def render(page: str) -> str:
                 while len(stack) > k:
                     _close(stack, blocks)
             continue
+        if tag not in _IN_HEAD:
+            _end_head(stack, blocks)
+        if tag == "body" and any(b.tag == "body" for b in stack):
+            continue
         if tag in _IMPLIED:
             closes, until = _IMPLIED[tag]
             k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag in until), 0)

@@ -181,6 +181,14 @@ def test_html(page, text):
     assert html_text.render(page or "") == text
 
 
+@pytest.mark.parametrize("page,text", [
+    ("<!DOCTYPE html><head><title>T</title><p>Hello", "Hello"), ("<html><head><meta charset=utf-8>\n<title>T</title>\nHi <b>you</b>", "Hi you"), ("<head><title>T</title><style>x</style></head><body><p>a", "a"),
+    ("<head><noscript><link></noscript><title>T</title><div>a</div><body><p>b", "a\n\nb"),
+])
+def test_html_without_end_of_head(page, text):
+    assert html_text.render(page) == text
+
+
 def test_quality_counts(docs, texts):
     got = Counter((r["doc_id"], r["n_words"], r["n_repeat_words"]) for r in quality.judge(docs).collect())
     want = Counter()
