@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 
 from stormsift.llm.common import table
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)|[^<]+|<", re.S)
-_HIDING = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|style\s*=\s*(?:\"[^\"]*|'[^']*|\S*)(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+#: An attribute: a name, and after = a value, which quotes enclose only where it begins.
+_ATTRIBUTE = r"([^\s/>][^\s/>=]*+)(?>\s*+=\s*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^\s>]*+)))?+"
+_ATTRIBUTES = re.compile(_ATTRIBUTE)
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*+)((?>[\s/]++|" + re.sub(r"\((?=\[)", "(?:", _ATTRIBUTE) + r")*+)(?:>|\Z)|[^<]+|<", re.S)
+_MAY_HIDE = re.compile(r"hidden|style", re.I)
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
 _RAW = frozenset(("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"))
 _UNSEEN = frozenset(("head", "script", "style", "title", "template", "noscript", "iframe", "object", "select", "datalist", "noembed", "noframes"))
@@ -75,8 +78,8 @@ def _close(stack: list[_Box], blocks: list[_Box]) -> None:
     if not box.seen or not blocks:
         return
     outer = blocks[-1]
-    if box.tag in ("td", "th"):
-        row = next((b for b in reversed(blocks) if b.tag in ("tr", "table")), outer)
+    row = next((b for b in reversed(blocks) if b.tag in ("tr", "table")), None)
+    if box.tag in ("td", "th") and row is not None:
         row.cells.append(" ".join(x for x in box.lines if x))
         return
     if box.tag in ("tr", "table") and box.cells:
@@ -113,6 +116,17 @@ def _open(stack: list[_Box], blocks: list[_Box], tag: str, hidden: bool) -> None
     stack.append(box)
 
 
+def _hides(attributes: str) -> bool:
+    """Whether the attribute hidden or the element's own style hides it; of equal names the first counts, of equal properties the last."""
+    if not _MAY_HIDE.search(attributes):
+        return False
+    values: dict[str, str] = {}
+    for m in _ATTRIBUTES.finditer(attributes):
+        values.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    style = dict(map(str.strip, x.split(":", 1)) for x in html.unescape(values.get("style", "")).lower().split(";") if ":" in x)
+    return "hidden" in values or style.get("display", "").startswith("none") or style.get("visibility", "").startswith("hidden")
+
+
 def _end_head(stack: list[_Box], blocks: list[_Box]) -> None:
     if stack[-1].tag == "head":
         _close(stack, blocks)
@@ -167,7 +181,7 @@ def render(page: str) -> str:
             blocks[-1].flush()
             blocks[-1].gap = True
         elif tag not in _VOID:
-            _open(stack, blocks, tag, bool(m[3]) and bool(_HIDING.search(m[3])))
+            _open(stack, blocks, tag, bool(m[3]) and _hides(m[3]))
             if tag in _RAW:
                 end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
                 text = page[at : end.start() if end else len(page)]

@@ -189,6 +189,15 @@ def test_html_without_end_of_head(page, text):
     assert html_text.render(page) == text
 
 
+@pytest.mark.parametrize("page,text", [
+    ('<p title="a hidden gem">text</p>', "text"), ('<div class="nav hidden lg">a</div>', "a"), ("<p data-style='display:none'>a", "a"), ("<p HIDDEN=''>no<p>b", "b"), ("<p style='color:red; Display : NONE'>no<p>b", "b"), ("<p style=visibility:hidden>no<p>b", "b"),
+    ("<a title=don't>text</a> it's", "text it's"), ('<a ">text</a> "x"', 'text "x"'), ('<a title="x>y" b>text</a>', "text"), ("<a title = 'x>y'/>text", "text"), ("<a href=x/y>t</a><a =>u", "tu"),
+    ("<div><td>a</td><td>b</td></div>c", "a\nb\nc"), ("<th>a", "a"), ("<tr><td>a<td>b", "a  b"), ("<table><td>a<td>b</table>", "a  b"),
+])
+def test_html_attributes_and_stray_cells(page, text):
+    assert html_text.render(page) == text
+
+
 def test_quality_counts(docs, texts):
     got = Counter((r["doc_id"], r["n_words"], r["n_repeat_words"]) for r in quality.judge(docs).collect())
     want = Counter()
