@@ -76,19 +76,14 @@ def registers(s: np.ndarray) -> np.ndarray:
     return (zeros.astype(np.uint64) << np.uint64(MANTISSA) | tail).astype(np.uint16)
 
 
-def collision_rate() -> float:
-    """Chance that two unequal least hashes share leading zeros and mantissa: the sum over leading-zero classes of p^2 / 2^MANTISSA."""
-    return sum(0.25 ** (k + 1) for k in range(63)) / (1 << MANTISSA)
-
-
-def estimate(equal: np.ndarray) -> np.ndarray:
-    """Jaccard similarity from counts of equal registers, corrected for chance collisions."""
-    c = collision_rate()
-    return (equal / REGISTERS - c) / (1 - c)
+def nibbles(x: np.ndarray) -> np.ndarray:
+    """Four hashed bits of each register, two registers to a byte."""
+    four = (mix(x.astype(np.uint64) + np.uint64(3)) & np.uint64(15)).astype(np.uint8)
+    return four[::2] << np.uint8(4) | four[1::2]
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n (distinct shingles), print (a digest of the set), registers and bits (one bit of each register)."""
+    """doc_id, n (distinct shingles), print (a digest of the set), registers and bits (four hashed bits of each register)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,25 +95,32 @@ def sketches(docs: DataFrame) -> DataFrame:
                     b.append(np.add.reduce(mix(s + np.uint64(2))) if len(s) else np.uint64(0))
                     x = registers(s) if len(s) else None
                     r.append(x.tobytes() if x is not None else None)
-                    bits.append(np.packbits((mix(x.astype(np.uint64) + np.uint64(3)) & np.uint64(1)).astype(np.uint8)).tobytes() if x is not None else None)
+                    bits.append(nibbles(x).tobytes() if x is not None else None)
             as_long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), as_long(a), as_long(b), pa.array(r, pa.binary()), pa.array(bits, pa.binary())], ["doc_id", "n", "print1", "print2", "registers", "bits"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, print1 long, print2 long, registers binary, bits binary")
 
 
-def _ones(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x).sum(1, dtype=np.int64)
+def _unequal(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many registers differ in their four bits, row by row."""
+    z = x ^ y
+    z |= z >> np.uint64(2)
+    z |= z >> np.uint64(1)
+    return np.bitwise_count(z & np.uint64(0x1111111111111111)).sum(1, dtype=np.int64)
 
 
 def _bucket_links(keys: np.ndarray, docs: np.ndarray, sizes: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one bucket that may be similar by size and by bits, as a forest of each bucket; rows are sorted by key."""
-    sd = np.sqrt((1 + SIMILARITY) / 2 * (1 - SIMILARITY) / 2 / REGISTERS)
-    most = REGISTERS * ((1 - SIMILARITY) / 2 + SLACK * sd)
+    """Pairs of one bucket that may be similar by size and by bits, as a forest of each bucket; rows are sorted by key.
+
+    This is the only estimate: a link is never dropped later, so rows of one tree stay in one family, where full sets decide.
+    """
+    differ = (1 - SIMILARITY) * 15 / 16
+    most = REGISTERS * (differ + SLACK * np.sqrt(differ * (1 - differ) / REGISTERS))
     cuts = np.flatnonzero(np.diff(keys)) + 1
     starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(keys)]))
     left, right = [], []
-    fits = lambda i, j: (np.minimum(sizes[i], sizes[j]) * 100 >= np.maximum(sizes[i], sizes[j]) * 75) & (_ones(bits[i] ^ bits[j]) <= most)
+    fits = lambda i, j: (np.minimum(sizes[i], sizes[j]) * 100 >= np.maximum(sizes[i], sizes[j]) * 75) & (_unequal(bits[i], bits[j]) <= most)
     two = starts[ends - starts == 2]
     ok = fits(two, two + 1)
     left.append(docs[two[ok]])
@@ -174,20 +176,6 @@ def candidates(reps: DataFrame) -> DataFrame:
     return dealt.mapInArrow(link, "a long, b long").where("a <> b").distinct()
 
 
-def likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs whose corrected estimate from all registers is within SLACK deviations of the threshold or above."""
-    least = SIMILARITY - SLACK * np.sqrt(SIMILARITY * (1 - SIMILARITY) / REGISTERS)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, REGISTERS) for c in ("ra", "rb"))
-            keep = pa.array(estimate((x == y).sum(1)) >= least)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
-
-    side = lambda c, r: reps.select(F.col("doc_id").alias(c), F.col("registers").alias(r))
-    return pairs.join(side("a", "ra"), "a").join(side("b", "rb"), "b").select("a", "b", "ra", "rb").mapInArrow(run, "a long, b long")
-
-
 def exact_links(ids: np.ndarray, own: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Links of a family as a forest (a, b), found by search: each document met looks up the unmet ones that hold its shingles."""
     order = np.argsort([-len(s) for s in own], kind="stable")
@@ -264,8 +252,8 @@ def verified(docs: DataFrame, families: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document.
 
-    Equal sets are one class, known by its smallest doc_id. Classes are sketched, banded, compared by one bit of each
-    register and then by the corrected estimate of all registers; what is left falls into families, and inside a family
+    Equal sets are one class, known by its smallest doc_id. Classes are sketched, banded, compared by four bits of
+    each register; what is linked falls into families, and inside a family
     links are confirmed on the full sets: 100 * intersection >= 75 * union. Components join linked classes.
 
     Null, empty and blank texts have no shingles and are linked with nothing, as are rows without doc_id (component_id
@@ -277,8 +265,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     known = base.where("n > 0 AND doc_id IS NOT NULL")
     prints = ["n", "print1", "print2"]
     classes = written(known.groupBy(*prints).agg(F.min("doc_id").alias("class"), F.min_by(F.struct("registers", "bits"), "doc_id").alias("s")).select(*prints, F.col("class").alias("doc_id"), "s.*"))
-    pairs = likely(candidates(classes), classes)
-    families = components(pairs)
+    families = components(candidates(classes))
     links = verified(rows.where("doc_id IS NOT NULL"), families)
     # a document with two texts stands in two classes
     same = known.join(classes.select(*prints, F.col("doc_id").alias("class")), prints).where("doc_id <> class").select(F.col("doc_id").alias("a"), F.col("class").alias("b"))

@@ -69,6 +69,14 @@ def test_near_duplicates(docs, texts, monkeypatch, bucket, family):
             assert (r["component_id"], r["n_shingles"]) == (find(r["doc_id"]), len(sets[r["doc_id"]]))
 
 
+def test_near_pairs_in_a_family_of_half_similar_documents(spark):
+    """200 pairs at 0.76 that all share one passage (0.45 across pairs); links by the passage must not hide a pair."""
+    run = lambda kind, n, *of: [f"{kind}.21.{'.'.join(map(str, of))}.{k}" for k in range(n)]
+    rows = [(2 * i + j, " ".join(run("p", 200) + run("c", 77, i) + run("o", 43, i, j))) for i in range(200) for j in range(2)]
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: k - k % 2 for k in range(400)}
+
+
 def test_language_model_equals_a_walk_over_the_automaton(docs, texts):
     uni, bi, ctx = Counter(), Counter(), Counter()
     train = [(i, t) for i, t in texts if zlib.crc32(str(i).encode()) % 7 != 2 or i is None]
