@@ -91,8 +91,8 @@ def score_documents(docs: DataFrame, order: int = ORDER, block_docs: int = BLOCK
     N-grams of all training rows are counted; a state is an n-gram that was seen, its arcs lead to the words seen after
     it, and its failure arc to the n-gram without its first word. Dirichlet smoothing gives the weights: a state h of
     count c sends a word w with (c(hw) + PULL * p(w | shorter)) / (c + PULL), so the failure arc weighs
-    PULL / (c + PULL). At the root stands the add-one unigram of base_score. One left-to-right traversal carries the
-    state: the longest suffix that is a state.
+    PULL / (c + PULL). At the root stands the add-one unigram of base_score. No automaton
+    is built: counts are looked up order by order for all tokens at once, which gives the scores of its traversal.
 
     Documents are dealt to blocks by id. Each block sends its distinct n-grams in ranges of hashes (buckets); a bucket
     sums all blocks' counts and sends each block the totals of its own n-grams back, as one array in the order sent. So a

@@ -101,6 +101,29 @@ def test_language_model_equals_a_walk_over_the_automaton(docs, texts):
     assert {r["train_tokens"] for r in got} == {n}
 
 
+def test_language_model_of_order_three_equals_a_walk(docs, texts):
+    count = [Counter(), Counter(), Counter()]
+    for i, t in texts:
+        if zlib.crc32(str(i).encode()) % 7 != 2 or i is None:
+            w = ["<end>", *words(t), "<end>"]
+            for k in range(1, len(w)):
+                for size in range(1, min(3, k + 1) + 1):
+                    count[size - 1][tuple(w[k + 1 - size : k + 1])] += 1
+    n, v = sum(count[0].values()), len(count[0])
+    want = Counter()
+    for i, t in texts:
+        w, score = ["<end>", *words(t), "<end>"], 0.0
+        for k in range(1, len(w)):
+            p = (count[0][(w[k],)] + 1) / (n + v + 1)
+            for size in range(2, min(3, k + 1) + 1):
+                seen = count[size - 2][tuple(w[k + 1 - size : k])]
+                p = (count[size - 1][tuple(w[k + 1 - size : k + 1])] + 5 * p) / (seen + 5) if seen else p
+            score += math.log10(p)
+        want[i, round(score, 6)] += 1
+    got = language_model.score_documents(docs, order=3, block_docs=16).collect()
+    assert Counter((r["doc_id"], round(r["score"], 6)) for r in got) == want
+
+
 def test_licences(docs, texts):
     want = {}
     for i, t in texts:
