@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel holds as wide arrays at once; a longer document is one chunk of its own.
@@ -16,6 +16,9 @@ CHUNK_BYTES = 1 << 19
 #: Rows up to which a table may be broadcast; beyond it the join is left to shuffles.
 BROADCAST_ROWS = 100_000
 
+#: A key is hot if it holds more than one in HOT_KEYS of all rows, so there are fewer hot keys than that.
+HOT_KEYS = 10_000
+
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -53,6 +56,18 @@ def sized_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "left
     return big.join(F.broadcast(small) if small.limit(rows + 1).count() <= rows else small, on, how)
 
 
+def skew_join(big: DataFrame, small: DataFrame, on: list[str], rows: int, how: str = "left") -> DataFrame:
+    """big (of about so many rows) joined with small, which has one row a key and in `copies` the rows of big that hold it.
+
+    Keys of more than one in HOT_KEYS of all rows number fewer than HOT_KEYS, so they are broadcast; the others meet by
+    shuffle, where no key is large.
+    """
+    most = max(1, rows // HOT_KEYS)
+    hot = F.broadcast(small.where(F.col("copies") > most).drop("copies"))
+    cold = small.where(F.col("copies") <= most).drop("copies")
+    return big.join(hot, on).unionByName(big.join(hot.select(on), on, "left_anti").join(cold, on, how))
+
+
 # ------------------------------------------------------------------ text kernels
 
 
@@ -159,31 +174,24 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) of all nodes of the edges (a, b); component is the smallest node reachable.
 
     Large-star and small-star steps in turn: every node hooks what it sees to the smallest node in sight, so the number
-    of rounds follows the logarithm of a component's size, and a hub is only a key of partial aggregates. Each round is
-    written to the shared folder. Empty edges give no rows.
+    of rounds follows the logarithm of a component's size. Hubs (nodes of more than one in HOT_KEYS edges) are joined by
+    broadcast, so none gathers its edges in one task. Each round is written to the shared folder. Empty edges give no rows.
     """
     e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    if e.isEmpty():
+    n, seen = e.count(), None
+    if not n:
         return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    seen = None
     while True:
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("copies"))
+        large = skew_join(both.where("b > a"), least, ["a"], 2 * n, "inner").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = written(large.where("a <> b").distinct())
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("copies"))
+        small = skew_join(large, low, ["a"], n, "inner").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
         e = written(small.where("a <> b").distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             break
-        seen = now
+        seen, n = now, now[0]
     star = e.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component")
     return star.union(star.select(F.col("component").alias("node"), "component").distinct())
-
-
-def in_shards(df: DataFrame, key: Column, n: int) -> DataFrame:
-    return df.repartition(n, key)
-
-
-Kernel = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]

@@ -9,16 +9,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stormsift.llm.common import chunks, components, mix, runs, table, word_hashes, word_spans, written
+from stormsift.llm.common import chunks, components, mix, runs, skew_join, table, word_hashes, word_spans, written
 
 SHINGLE, SIMILARITY = 5, 0.75
 #: Registers of a sketch, bits of mantissa in a register, registers of a band: a pair at the threshold shares no band with probability 5e-6.
 REGISTERS, MANTISSA, BAND = 128, 10, 4
 BANDS = REGISTERS // BAND
 #: How far below the threshold an estimate may fall and still be verified, in standard deviations.
-SLACK = 5.0
+SLACK = 4.5
+_DIFFER = (1 - SIMILARITY) * 15 / 16
+_SPREAD = np.sqrt(REGISTERS * _DIFFER * (1 - _DIFFER))
+#: Registers that may differ in their four bits: in a pair that is verified at all, and in one that is most likely linked.
+MOST, STRONG = REGISTERS * _DIFFER + SLACK * _SPREAD, REGISTERS * _DIFFER - 2 * _SPREAD
 #: Members of a bucket or of a family that one task compares with each other; larger ones are split.
 BUCKET_ROWS, FAMILY_ROWS = 2048, 2048
+#: Second texts of a document's pairs in a task.
+PIVOT_ROWS = 256
 
 
 def shingles(n: np.ndarray, word: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -110,70 +116,116 @@ def _unequal(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(z & np.uint64(0x1111111111111111)).sum(1, dtype=np.int64)
 
 
-def _bucket_links(keys: np.ndarray, docs: np.ndarray, sizes: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one bucket that may be similar by size and by bits, as a forest of each bucket; rows are sorted by key.
+def _bucket_pairs(keys: np.ndarray, docs: np.ndarray, sizes: np.ndarray, bits: np.ndarray, trees: np.ndarray, strong_most: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (row, row, strong) of each bucket that may be similar by size and by bits; rows are sorted by key.
 
-    This is the only estimate: a link is never dropped later, so rows of one tree stay in one family, where full sets decide.
+    Strong pairs come as a forest that starts from the given trees; of the other pairs, all between different trees of the
+    finished forest. So a pair is left out only if its rows hang together by pairs that are strong or known to be linked.
     """
-    differ = (1 - SIMILARITY) * 15 / 16
-    most = REGISTERS * (differ + SLACK * np.sqrt(differ * (1 - differ) / REGISTERS))
+    fits = lambda i, j: np.minimum(sizes[i], sizes[j]) * 100 >= np.maximum(sizes[i], sizes[j]) * 75
     cuts = np.flatnonzero(np.diff(keys)) + 1
     starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(keys)]))
-    left, right = [], []
-    fits = lambda i, j: (np.minimum(sizes[i], sizes[j]) * 100 >= np.maximum(sizes[i], sizes[j]) * 75) & (_unequal(bits[i], bits[j]) <= most)
     two = starts[ends - starts == 2]
-    ok = fits(two, two + 1)
-    left.append(docs[two[ok]])
-    right.append(docs[two[ok] + 1])
+    differ = np.where(fits(two, two + 1) & (trees[two] != trees[two + 1]), _unequal(bits[two], bits[two + 1]), REGISTERS)
+    left, right, strong = [two[differ <= MOST]], [two[differ <= MOST] + 1], [differ[differ <= MOST] <= strong_most]
     for a, b in zip(starts[ends - starts > 2], ends[ends - starts > 2], strict=True):
-        # a forest: a pivot meets all rows; rows of other trees are pivots in turn until every pair across trees was met
-        tree = np.arange(b - a)
+        tree = np.unique(trees[a:b], return_inverse=True)[1]
+        place = np.arange(b - a)
+        weak: list[np.ndarray] = []
         for p in range(b - a - 1):
-            others = np.flatnonzero((tree != tree[p]) & (np.arange(b - a) > p))
+            others = np.flatnonzero((tree != tree[p]) & (place > p))
             if not len(others):
                 if (tree == tree[0]).all():
                     break
                 continue
-            near = others[fits(np.full(len(others), a + p), a + others)]
+            others = others[fits(a + p, a + others)]
+            differ = _unequal(bits[[a + p]], bits[a + others])
+            near = others[differ <= strong_most]
             if len(near):
-                left.append(np.full(len(near), docs[a + p]))
-                right.append(docs[a + near])
+                left.append(np.full(len(near), a + p))
+                right.append(a + near)
+                strong.append(np.ones(len(near), bool))
                 tree[np.isin(tree, tree[near])] = tree[p]
-    return np.concatenate(left), np.concatenate(right)
-
-
-def candidates(reps: DataFrame) -> DataFrame:
-    """Pairs (a, b) from rows (doc_id, n, registers, bits) that share a band and may be similar by their bits.
-
-    Buckets of more than BUCKET_ROWS rows are dealt again by the same band and each later one: a pair that meets in two
-    large buckets meets under the earlier, and a pair that meets in a small one is found there. A pair at the threshold
-    shares none of the 31 other bands with probability 8e-6. Rows that still meet in large numbers are close to each
-    other, and a pivot or two gathers them in one tree.
-    """
-    width = 2 * BAND
-    band = lambda k: F.xxhash64(k, F.substring(F.col("registers"), k * width + 1, F.lit(width)))
-    every = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band))
-    rows = reps.select("doc_id", "n", "bits", every.alias("band", "key"))
-    hot = written(rows.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > BUCKET_ROWS).select("key"))
-    if not hot.isEmpty():
-        again = rows.join(hot, "key", "left_semi").select("doc_id", "n", "bits", "band", "key").join(reps.select("doc_id", "registers"), "doc_id")
-        again = again.select("doc_id", "n", "bits", F.col("band").alias("from"), F.col("key").alias("outer"), every.alias("band", "inner")).where("band > from")
-        again = again.select("doc_id", "n", "bits", F.xxhash64("outer", "inner").alias("key"))
-        rows = rows.join(hot, "key", "left_anti").select("doc_id", "n", "bits", "key").union(again)
+            rest = others[(differ <= MOST) & (differ > strong_most)]
+            weak.append(np.stack([np.full(len(rest), p), rest]))
+        if weak:
+            i, j = np.concatenate(weak, 1)
+            apart = tree[i] != tree[j]
+            left.append(a + i[apart])
+            right.append(a + j[apart])
+            strong.append(np.zeros(int(apart.sum()), bool))
+    i, j = np.concatenate(left), np.concatenate(right)
+    return docs[i], docs[j], np.concatenate(strong)
+
+
+def _paired(rows: DataFrame, strong_most: float | None = None) -> DataFrame:
+    """Distinct (a, b, strong) from rows (key, doc_id, n, bits, tree): what _bucket_pairs finds in each bucket."""
+    strong_most = STRONG if strong_most is None else strong_most
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, "key"):
             t = t.combine_chunks()
-            keys, docs, sizes = (t.column(c).to_numpy() for c in ("key", "doc_id", "n"))
+            keys, docs, sizes, trees = (t.column(c).to_numpy() for c in ("key", "doc_id", "n", "tree"))
             bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(len(keys), -1)
-            a, b = _bucket_links(keys, docs, sizes, bits)
+            a, b, strong = _bucket_pairs(keys, docs, sizes, bits, trees, strong_most)
             a, b = np.minimum(a, b), np.maximum(a, b)
-            if len(a):
-                pair = np.unique(np.stack([a, b], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
+            pair = np.unique(np.stack([a, b, strong], 1), axis=0)
+            if len(pair):
+                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(pair[:, 2] > 0)], ["a", "b", "strong"])
+
+    dealt = rows.select("key", "doc_id", "n", "bits", "tree").repartition("key").sortWithinPartitions("key", "doc_id")
+    return dealt.mapInArrow(link, "a long, b long, strong boolean").where("a <> b").groupBy("a", "b").agg(F.max("strong").alias("strong"))
 
-    dealt = rows.select("key", "doc_id", "n", "bits").repartition("key").sortWithinPartitions("key", "doc_id")
-    return dealt.mapInArrow(link, "a long, b long").where("a <> b").distinct()
+
+def banded(reps: DataFrame) -> DataFrame:
+    """(key, doc_id, n, bits): a row for each band of each representative; key tells the band and its registers."""
+    width = 2 * BAND
+    band = lambda k: F.xxhash64(k, F.substring(F.col("registers"), k * width + 1, F.lit(width)))
+    return reps.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)).alias("key"), "doc_id", "n", "bits")
+
+
+def candidates(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs (a, b, strong) of rows (doc_id, n, registers, bits) that share a band and may be similar by their bits.
+
+    A bucket of more than BUCKET_ROWS rows is split. Its rows are first held against its smallest document, and what is
+    confirmed on full sets joins up; the largest group then falls into parts that need not meet each other, the rest into
+    parts that meet all. A task holds two parts, no pair is left out, and a bucket of one kind of text costs its own length.
+    """
+    rows = banded(reps)
+    sizes = rows.groupBy("key").agg(F.count("*").alias("rows"))
+    hot = written(sizes.where(F.col("rows") > BUCKET_ROWS).select("key"))
+    if hot.isEmpty():
+        return _paired(rows.withColumn("tree", F.col("doc_id")))
+    full = written(rows.join(hot, "key", "left_semi"))
+    pivot = full.groupBy("key").agg(F.min_by(F.struct(F.col("doc_id").alias("p"), F.col("n").alias("pn"), F.col("bits").alias("pbits")), "doc_id").alias("s")).select("key", "s.*")
+
+    strong = STRONG
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            x, y = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint64).reshape(t.num_rows, -1) for c in ("bits", "pbits"))
+            yield t.select(["p", "doc_id"]).filter(pa.array(_unequal(x, y) <= strong))
+
+    stars = full.join(pivot, "key").where("doc_id <> p").select("p", "doc_id", "bits", "pbits").mapInArrow(near, "p long, doc_id long").select(F.col("p").alias("a"), F.col("doc_id").alias("b")).distinct()
+    found = written(confirmed(docs, written(stars)))
+    joined = written(components(found))
+    copies = written(full.groupBy("doc_id").agg(F.count("*").alias("copies")).join(joined, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("tree")))
+    full = written(full.join(copies, "doc_id"))
+    trees = full.groupBy("key", "tree").agg(F.count("*").alias("rows"))
+    top = trees.groupBy("key").agg(F.max_by("tree", F.struct("rows", "tree")).alias("top"), F.max("rows").alias("most"), F.sum("rows").alias("all"))
+    parts = lambda n: F.greatest(F.lit(1), F.ceil(n / BUCKET_ROWS)).cast("int")
+    split = full.join(top.select("key", "top", parts(F.col("most")).alias("tops"), parts(F.col("all") - F.col("most")).alias("rests")), "key")
+    is_top = F.col("tree") == F.col("top")
+    part = F.pmod(F.xxhash64("doc_id"), F.when(is_top, F.col("tops")).otherwise(F.col("rests"))).cast("int")
+    split = split.withColumn("part", part)
+    up_to = lambda n: F.sequence(F.lit(0), n - 1)
+    with_rest = F.transform(up_to(F.col("rests")), lambda r: F.when(is_top, F.struct(F.lit(0).alias("kind"), F.col("part").alias("i"), r.alias("j"))).otherwise(F.struct(F.lit(1).alias("kind"), F.least("part", r).alias("i"), F.greatest("part", r).alias("j"))))
+    with_top = F.when(is_top, F.array().cast("array<struct<kind:int,i:int,j:int>>")).otherwise(F.transform(up_to(F.col("tops")), lambda t: F.struct(F.lit(0).alias("kind"), t.alias("i"), F.col("part").alias("j"))))
+    cells = split.withColumn("cell", F.explode(F.concat(with_rest, with_top)))
+    cells = cells.select(F.xxhash64("key", "cell.kind", "cell.i", "cell.j").alias("key"), "doc_id", "n", "bits", "tree")
+    cold = rows.join(hot, "key", "left_anti").withColumn("tree", F.col("doc_id")).select("key", "doc_id", "n", "bits", "tree")
+    again = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(True).alias("strong"))
+    return _paired(cold.union(cells)).union(again).groupBy("a", "b").agg(F.max("strong").alias("strong"))
 
 
 def exact_links(ids: np.ndarray, own: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -220,20 +272,8 @@ def exact_links(ids: np.ndarray, own: list[np.ndarray]) -> tuple[np.ndarray, np.
     return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, np.int64),) * 2
 
 
-def verified(docs: DataFrame, families: DataFrame) -> DataFrame:
-    """Links (a, b) on full sets within families (node, component), as forests; docs: one row (doc_id, text) per node.
-
-    A family of more than FAMILY_ROWS documents is split into parts by hash, and each two parts meet in a task of their
-    own, so a task stays bounded and no pair is left out.
-    """
-    sizes = families.groupBy("component").agg(F.count("*").alias("members"))
-    parts = F.ceil(F.col("members") * 2 / FAMILY_ROWS).cast("int")
-    split = families.join(sizes, "component").withColumn("parts", F.when(F.col("members") > FAMILY_ROWS, parts).otherwise(1))
-    split = split.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    other = F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cells = split.withColumn("other", other).where("parts = 1 OR part <> other")
-    cell = F.xxhash64("component", F.least("part", "other"), F.greatest("part", "other"))
-    cells = cells.select(F.col("node").alias("doc_id"), cell.alias("cell")).distinct()
+def in_families(docs: DataFrame, families: DataFrame) -> DataFrame:
+    """Links (a, b) on full sets within families (node, component) of FAMILY_ROWS documents at most, as forests; docs: rows (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, "cell"):
@@ -244,17 +284,81 @@ def verified(docs: DataFrame, families: DataFrame) -> DataFrame:
             out = [exact_links(ids[a:b], own[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in out])) for k in (0, 1)], ["a", "b"])
 
+    cells = families.select(F.col("node").alias("doc_id"), F.col("component").alias("cell"))
     # no side has a proven bound, and the plan is the same at every size
     dealt = docs.join(cells.hint("merge"), "doc_id").select("cell", "doc_id", "text").repartition("cell").sortWithinPartitions("cell", "doc_id")
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are linked on full sets; docs: rows (doc_id, text).
+
+    The second texts of a document's pairs meet the first in its task; a document of many pairs has several tasks.
+    """
+    degree = pairs.groupBy("a").agg(F.count("*").alias("copies")).withColumn("parts", F.ceil(F.col("copies") / PIVOT_ROWS))
+    cell = skew_join(pairs.select("a", "b"), degree, ["a"], pairs.count(), "inner").select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("parts"))).alias("cell"))
+    needs = cell.select(F.col("b").alias("doc_id"), "cell", "a", F.lit(1).alias("role")).union(cell.select(F.col("a").alias("doc_id"), "cell", "a", F.lit(0).alias("role")).distinct())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches, "cell"):
+            t = t.combine_chunks()
+            cell, role, first, ids = (t.column(c).to_numpy() for c in ("cell", "role", "a", "doc_id"))
+            own = [s for c in t.column("text").chunks for part in sets(c) for s in part]
+            size = np.array([len(s) for s in own])
+            out = []
+            for p in np.flatnonzero(role == 0):
+                lo, hi = np.searchsorted(cell, cell[p], "left"), np.searchsorted(cell, cell[p], "right")
+                k = lo + np.flatnonzero((role[lo:hi] == 1) & (first[lo:hi] == first[p]))
+                if not len(k) or not size[p]:
+                    continue
+                flat = np.concatenate([own[x] for x in k])
+                at = np.minimum(np.searchsorted(own[p], flat), size[p] - 1)
+                shared = np.bincount(np.repeat(np.arange(len(k)), size[k]), own[p][at] == flat, len(k)).astype(np.int64)
+                k = k[(100 * shared >= 75 * (size[p] + size[k] - shared)) & (shared > 0)]
+                out.append(np.stack([np.full(len(k), first[p]), ids[k]]))
+            if out:
+                a, b = np.concatenate(out, 1)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    dealt = docs.join(needs.hint("merge"), "doc_id").select("cell", "role", "a", "doc_id", "text").repartition("cell").sortWithinPartitions("cell", "role")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def linked(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links (a, b) on full sets whose components are those of all links among the representatives (doc_id, n, registers, bits).
+
+    Candidate pairs fall into families. A small family is searched as a whole. In a larger one its pairs are confirmed one
+    by one; where a strong pair fails, the pairs that its bucket left out for its sake are made up for.
+    """
+    pairs = written(candidates(docs, reps))
+    families = written(components(pairs))
+    sizes = families.groupBy("component").agg(F.count("*").alias("members"))
+    large = written(sizes.where(F.col("members") > FAMILY_ROWS).select("component"))
+    if large.isEmpty():
+        return in_families(docs, families)
+    # families above FAMILY_ROWS are at most one in FAMILY_ROWS documents, which is no fixed bound: no broadcast
+    small = in_families(docs, families.join(large, "component", "left_anti"))
+    members = written(families.join(large, "component", "left_semi").select(F.col("node").alias("a")))
+    own = written(pairs.join(members, "a", "left_semi"))
+    found = written(confirmed(docs, own))
+    failed = own.where("strong").join(found, ["a", "b"], "left_anti")
+    suspects = written(failed.select(F.col("a").alias("doc_id")).union(failed.select("b")).distinct())
+    if suspects.isEmpty():
+        return small.union(found)
+    rows = banded(reps.join(members.withColumnRenamed("a", "doc_id"), "doc_id", "left_semi"))
+    open_keys = rows.join(suspects, "doc_id", "left_semi").select("key").distinct()
+    joined = components(found)
+    again = rows.join(open_keys, "key", "left_semi").join(joined, F.col("doc_id") == F.col("node"), "left").withColumn("tree", F.coalesce("component", "doc_id"))
+    more = written(_paired(again, -1).join(own, ["a", "b"], "left_anti"))
+    return small.union(found).union(confirmed(docs, more))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document.
 
     Equal sets are one class, known by its smallest doc_id. Classes are sketched, banded, compared by four bits of
-    each register; what is linked falls into families, and inside a family
-    links are confirmed on the full sets: 100 * intersection >= 75 * union. Components join linked classes.
+    each register, and links are confirmed on full sets: 100 * intersection >= 75 * union. Components join linked classes;
+    copies take the component of their class and are no part of that search.
 
     Null, empty and blank texts have no shingles and are linked with nothing, as are rows without doc_id (component_id
     null, kept). Rows that repeat a doc_id are one document: equal ones are one class, different texts are both linked
@@ -264,15 +368,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     base = written(sketches(rows))
     known = base.where("n > 0 AND doc_id IS NOT NULL")
     prints = ["n", "print1", "print2"]
-    classes = written(known.groupBy(*prints).agg(F.min("doc_id").alias("class"), F.min_by(F.struct("registers", "bits"), "doc_id").alias("s")).select(*prints, F.col("class").alias("doc_id"), "s.*"))
-    families = components(candidates(classes))
-    links = verified(rows.where("doc_id IS NOT NULL"), families)
-    # a document with two texts stands in two classes
-    same = known.join(classes.select(*prints, F.col("doc_id").alias("class")), prints).where("doc_id <> class").select(F.col("doc_id").alias("a"), F.col("class").alias("b"))
+    classes = written(known.groupBy(*prints).agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("registers", "bits"), "doc_id").alias("s"), F.count("*").alias("copies")).select(*prints, "doc_id", "copies", "s.*"))
+    links = linked(rows.where("doc_id IS NOT NULL"), classes)
+    # a document with two texts stands in two classes and links them
+    print_ = F.struct(*prints)
+    twice = known.groupBy("doc_id").agg((F.min(print_) != F.max(print_)).alias("differ")).where("differ").select("doc_id")
+    same = known.select("doc_id", *prints).join(twice, "doc_id", "left_semi").join(classes.select(*prints, F.col("doc_id").alias("class")), prints).select(F.col("doc_id").alias("a"), F.col("class").alias("b"))
     joined = components(links.union(same))
-    out = base.select("doc_id", "n").join(joined, base["doc_id"] == joined["node"], "left")
-    component = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    labels = classes.join(joined, classes["doc_id"] == joined["node"], "left").select(*prints, F.coalesce("component", "doc_id").alias("component_id"), "copies")
+    total = known.count()
+    out = skew_join(known.select("doc_id", *prints), written(labels), prints, total, "inner").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    alone = base.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return out.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 
 from stormsift.llm import html_text, language_model, license_scan, mixing, near_dup, quality, sentence_piece, stages, topk, toxicity, url_filter
@@ -36,9 +37,11 @@ def docs(spark, texts):
     return spark.createDataFrame([(i, t, None if k % 7 == 0 else "en", None if k % 5 == 0 else f"s{k % 3}", 0, 9, "z", "z", 1, 7) for k, (i, t) in enumerate(texts)], SCHEMA).repartition(3)
 
 
-@pytest.mark.parametrize("bucket,family", [(near_dup.BUCKET_ROWS, near_dup.FAMILY_ROWS), (2, 3)])
+@pytest.mark.parametrize("bucket,family", [(near_dup.BUCKET_ROWS, near_dup.FAMILY_ROWS), (2, 3), (3, 100), (10000, 2)])
 def test_near_duplicates(docs, texts, monkeypatch, bucket, family):
-    """The second pair of limits deals nearly all buckets again and splits nearly all families."""
+    """Small limits split nearly all buckets, or confirm nearly all families pair by pair; with the last, many strong pairs fail."""
+    if family == 2:
+        monkeypatch.setattr(near_dup, "STRONG", near_dup.MOST)
     monkeypatch.setattr(near_dup, "BUCKET_ROWS", bucket)
     monkeypatch.setattr(near_dup, "FAMILY_ROWS", family)
     more = [(i, t) for i, t in enumerate((" ".join(f"q{k}" for k in range(60)).replace(f"q{j} ", f"z{j} ") for j in range(40, 58)), 1000)]
@@ -77,6 +80,38 @@ def test_near_pairs_in_a_family_of_half_similar_documents(spark):
     assert got == {k: k - k % 2 for k in range(400)}
 
 
+def test_pool_of_passages(spark):
+    """Documents drawn from one pool of passages (mean Jaccard 0.4), near pairs among them: the components are those of all pairs."""
+    rng = random.Random(11)
+    pool = [" ".join(f"p{k}x{j}" for j in range(14)) for k in range(150)]
+    rows = [(i, " ".join(p for p in pool if rng.random() < 0.66)) for i in range(1500)]
+    for j in range(30):
+        w = rows[j * 7][1].split()
+        for _ in range(len(w) // 46):
+            w[rng.randrange(len(w))] = f"z{rng.random()}"
+        rows.append((1500 + j, " ".join(w)))
+    sets = []
+    for _, t in rows:
+        w = t.split()
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)})
+    number = {x: k for k, x in enumerate({x for s in sets for x in s})}
+    m = np.zeros((len(rows), len(number)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, [number[x] for x in s]] = 1
+    size = m.sum(1)
+    both = m @ m.T
+    link = 100 * both >= 75 * (size[:, None] + size[None, :] - both)
+    want = np.arange(len(rows))
+    while True:
+        new = np.where(link, want[None, :], len(rows)).min(1)
+        if (new == want).all():
+            break
+        want = new
+    assert (want[1500:] < 1500).sum() >= 25
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(want.tolist()))
+
+
 def test_language_model_equals_a_walk_over_the_automaton(docs, texts):
     uni, bi, ctx = Counter(), Counter(), Counter()
     train = [(i, t) for i, t in texts if zlib.crc32(str(i).encode()) % 7 != 2 or i is None]
@@ -153,8 +188,6 @@ def test_pieces_round_trip_and_best_score(docs, texts):
     assert len(rows) == len(texts) and all(r["round_trip"] for r in rows)
     back = sentence_piece.decode(sentence_piece.encode(docs)).collect()
     assert Counter((r["doc_id"], r["text"]) for r in back) == Counter((i, t or "") for i, t in texts)
-    import numpy as np
-
     p = sentence_piece.load_pieces()
     known = {x: p.scores[k] for k, x in enumerate(p.data) if x and k not in set(p.byte_ids.tolist())}
     for text in ("hello", "ein Wörtchen", "▁xé\n"):
