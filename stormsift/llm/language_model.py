@@ -3,19 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stormsift.llm.common import CHUNK_BYTES, chunks, mix, table, word_hashes, word_spans
+from stormsift.llm.common import CHUNK_BYTES, chunks, mix, table, word_hashes, word_spans, written
 
 #: Longest n-gram, and the pseudo-count that a state gives to its failure arc.
-ORDER, PULL = 2, 5.0
-#: Documents of a block about; a task holds the n-grams of one block, or of one bucket of all blocks.
-BLOCK_DOCS, BUCKET_BLOCKS = 2048, 2
+ORDER, PULL = 3, 5.0
+#: Bytes of text of a block about, and blocks whose n-grams a bucket sums about. A task holds one block or one bucket.
+BLOCK_BYTES, BUCKET_BLOCKS = 8 << 20, 2
+#: Tokens that a lane of the traversal walks; lanes of a block walk side by side.
+LANE = 64
 _END = np.uint64(0x5851F42D4C957F2D)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def tokens(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -28,21 +33,52 @@ def tokens(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield n + 1, out
 
 
-def grams(n: np.ndarray, token: np.ndarray, order: int) -> list[np.ndarray]:
-    """For each length 1..order, the hash of the n-gram that ends at each token; an end token stands before each row."""
-    out = [token]
-    first = np.concatenate(([0], np.cumsum(n)[:-1]))
-    place = np.arange(len(token)) - np.repeat(first, n)
-    before = token
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct values, ascending; a place of each; for each place its value's number)."""
+    by = np.argsort(keys)
+    ordered = keys[by]
+    new = np.ones(len(keys), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    number = np.empty(len(keys), np.int64)
+    number[by] = np.cumsum(new) - 1
+    return ordered[new], by[new], number
+
+
+@dataclass
+class Level:
+    """Distinct n-grams of one length in a block: hashes, last tokens, the n-grams without their last and without their first token, and the n-gram that ends at each place (-1: none)."""
+
+    hashes: np.ndarray
+    token: np.ndarray
+    context: np.ndarray
+    suffix: np.ndarray
+    at: np.ndarray
+
+
+def levels(texts: pa.Array, order: int) -> tuple[np.ndarray, list[Level]]:
+    """(tokens per row, levels 1..order) of a block's rows; an end token stands before each row."""
+    found = list(tokens(texts))
+    n = np.concatenate([x for x, _ in found]) if found else np.empty(0, np.int64)
+    word = np.concatenate([x for _, x in found]) if found else np.empty(0, np.uint64)
+    hashes, _, at = distinct(word)
+    none = np.zeros(len(hashes), np.int64)
+    out = [Level(hashes, np.arange(len(hashes)), none, none, at)]
+    place = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+    end = int(np.searchsorted(hashes, _END))
     for k in range(2, order + 1):
-        shifted = np.empty_like(before)
-        shifted[1:] = before[:-1]
-        if len(before):
-            shifted[0] = 0
-        shifted[place == 0] = _END if k == 2 else mix(_END + np.uint64(k))
-        out.append(mix(shifted * np.uint64(0x9E3779B97F4A7C15) + token + np.uint64(k)))
-        before = out[-1]
-    return out
+        low = out[-1]
+        before = np.full(len(at), -1)
+        before[1:] = low.at[:-1]
+        before[place == 0] = end if k == 2 else -1
+        here = np.flatnonzero(before >= 0)
+        keys, place_of, back = distinct(before[here] * len(hashes) + at[here])
+        context, token = np.divmod(keys, len(hashes)) if len(keys) else (keys, keys)
+        own = np.full(len(at), -1)
+        own[here] = back
+        # 56 bits of hash: the last byte is 0 and costs nothing on its way
+        h = mix(low.hashes[context] * _STEP + hashes[token] + np.uint64(k)) & ~np.uint64(255)
+        out.append(Level(h, token, context, low.at[here[place_of]], own))
+    return n, out
 
 
 def planes(a: np.ndarray) -> bytes:
@@ -55,144 +91,223 @@ def from_planes(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
 
 
-def _unique(parts: list[np.ndarray]) -> np.ndarray:
-    return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
-
-
-def block_grams(texts: pa.Array, train: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each length: the block's distinct n-grams, ascending, and their counts in its training rows."""
-    every: list[list[np.ndarray]] = [[] for _ in range(order)]
-    learned: list[list[np.ndarray]] = [[] for _ in range(order)]
-    at = 0
-    for n, token in tokens(texts):
-        keep = np.repeat(train[at : at + len(n)], n)
-        for k, g in enumerate(grams(n, token, order)):
-            every[k].append(_unique([g]))
-            learned[k].append(g[keep])
-        at += len(n)
-    out = []
-    for k in range(order):
-        all_k = _unique(every[k])
-        got, counts = np.unique(np.concatenate(learned[k]) if learned[k] else np.empty(0, np.uint64), return_counts=True)
-        total = np.zeros(len(all_k), np.uint32)
-        total[np.searchsorted(all_k, got)] = counts
-        out.append((all_k, total))
-    return out
+def local_counts(level: Level, train: np.ndarray) -> np.ndarray:
+    """How often each n-gram stands in training rows of the block; train tells it for each place."""
+    here = level.at[train & (level.at >= 0)]
+    return np.bincount(here, minlength=len(level.hashes)).astype(np.int64)
+
+
+def messages(block: int, number: int, hashes: np.ndarray, counts: np.ndarray, n_buckets: int) -> pa.Table:
+    """The block's n-grams of one level, ascending, one row for each bucket (range of hashes) that holds any."""
+    cuts = np.searchsorted(hashes, np.array([(k << 64) // n_buckets for k in range(1, n_buckets)], np.uint64))
+    cuts = np.concatenate(([0], cuts, [len(hashes)]))
+    full = np.flatnonzero(np.diff(cuts))
+    part = lambda a: pa.array([planes(a[cuts[q] : cuts[q + 1]]) for q in full], pa.binary())
+    return pa.table({"block": pa.array(np.full(len(full), block), pa.int32()), "level": pa.array(np.full(len(full), number), pa.int32()), "bucket": pa.array(full, pa.int32()), "grams": part(hashes), "counts": part(counts.astype(np.uint32))})
+
 
+SENT = "block int, level int, bucket int, grams binary, counts binary"
+BACK = "block int, level int, bucket int, totals binary, n_tokens long, n_types long"
 
-def _cuts(values: np.ndarray, n: int) -> np.ndarray:
-    """Places where ascending 64-bit values pass from one of n equal ranges to the next."""
-    return np.searchsorted(values, np.array([(k << 64) // n for k in range(1, n)], np.uint64))
+
+def add(bucket: pa.Table) -> pa.Table:
+    """Answers each block of a bucket with the totals of its n-grams, doubled, plus 1 where other blocks hold them too.
+
+    n_tokens and n_types of the bucket stand in the first row.
+    """
+    g = [from_planes(x, np.uint64) for x in bucket.column("grams").to_pylist()]
+    c = np.concatenate([from_planes(x, np.uint32) for x in bucket.column("counts").to_pylist()])
+    keys, _, at = distinct(np.concatenate(g))
+    total = np.bincount(at, c, len(keys)).astype(np.int64)
+    back = (2 * total + (np.bincount(at, minlength=len(keys)) > 1))[at]
+    ends = np.concatenate(([0], np.cumsum([len(x) for x in g])))
+    first = lambda x: pa.array([int(x)] + [0] * (len(g) - 1), pa.int64())
+    return pa.table({"block": bucket.column("block"), "level": bucket.column("level"), "bucket": bucket.column("bucket"), "totals": pa.array([planes(back[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()), "n_tokens": first(total.sum()), "n_types": first((total > 0).sum())})
+
+
+def answers(model: pa.Table, number: int) -> tuple[np.ndarray, np.ndarray]:
+    """(totals, held elsewhere) of a block's n-grams of one level, in the order sent."""
+    own = model.filter(pc.equal(model.column("level"), number)).sort_by("bucket")
+    x = np.concatenate([np.empty(0, np.int64), *(from_planes(x, np.int64) for x in own.column("totals").to_pylist())])
+    return x >> 1, (x & 1).astype(bool)
+
+
+def to_send(level: Level, elsewhere: np.ndarray | None) -> np.ndarray:
+    """N-grams to send, ascending by hash. elsewhere tells which n-grams one shorter other blocks hold too: no other block
+    holds an n-gram of which either part stands in this block alone, so its local count is its total."""
+    pick = np.arange(len(level.hashes)) if elsewhere is None else np.flatnonzero(elsewhere[level.context] & elsewhere[level.suffix])
+    return pick[np.argsort(level.hashes[pick])]
+
+
+def totals_of(model: pa.Table, found: list[Level], train: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(total, held elsewhere) of each level's n-grams, as far as the model answers."""
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    for k, level in enumerate(found):
+        pick = to_send(level, out[-1][1] if k >= 2 else None)
+        total, elsewhere = local_counts(level, train), np.zeros(len(level.hashes), bool)
+        total[pick], elsewhere[pick] = answers(model, k + 1)
+        out.append((total, elsewhere))
+    return out
 
 
-def score_documents(docs: DataFrame, order: int = ORDER, block_docs: int = BLOCK_DOCS) -> DataFrame:
+@dataclass
+class Automaton:
+    """States are the root (0) and the n-grams seen in training. An arc takes a token from a state to the state of the
+    longest suffix and weighs a log10 probability; where a state has no arc for a token, its failure arc leads to the
+    n-gram without its first token and weighs what the state gives away."""
+
+    n_types: int
+    keys: np.ndarray
+    target: np.ndarray
+    weight: np.ndarray
+    failure: np.ndarray
+    give: np.ndarray
+    start: int
+
+    def walk(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(states, log10 probabilities) after one token in each lane; the root has an arc for every token."""
+        gain = np.zeros(len(state))
+        out = np.empty(len(state), np.int64)
+        lane = np.arange(len(state))
+        while len(lane):
+            key = state * self.n_types + token
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[at] == key
+            out[lane[hit]] = self.target[at[hit]]
+            gain[lane[hit]] += self.weight[at[hit]]
+            lane, state, token = lane[~hit], state[~hit], token[~hit]
+            gain[lane] += self.give[state]
+            state = self.failure[state]
+        return out, gain
+
+
+def automaton(found: list[Level], totals: list[np.ndarray], size: int, types: int) -> Automaton:
+    """The part of the automaton that a block's texts can reach, of totals over all blocks, training tokens and types.
+
+    Dirichlet smoothing: a state h of count c sends w with (c(hw) + PULL * p(w | shorter h)) / (c + PULL), so its failure
+    arc weighs PULL / (c + PULL). At the root stands the add-one unigram.
+    """
+    n, order = len(found[0].hashes), len(found)
+    first = np.cumsum([1] + [len(x.hashes) for x in found[: order - 1]])  # the first state of each level
+    p = (totals[0] + 1) / (size + types + 1)
+    keys, target, weight = [np.arange(n)], [np.where(totals[0] > 0, first[0] + np.arange(n), 0) if order > 1 else np.zeros(n, np.int64)], [np.log10(p)]
+    failure, give = [np.zeros(1, np.int64)], [np.zeros(1)]
+    for k in range(1, order):
+        level, low = found[k], totals[k - 1]
+        seen = np.flatnonzero(totals[k] > 0)
+        failure.append(first[k - 2] + found[k - 1].suffix if k > 1 else np.zeros(n, np.int64))
+        give.append(np.log10(PULL / (low + PULL)))
+        shorter = p[level.suffix[seen]]
+        q = np.zeros(len(level.hashes))
+        q[seen] = (totals[k][seen] + PULL * shorter) / (low[level.context[seen]] + PULL)
+        keys.append((first[k - 1] + level.context[seen]) * n + level.token[seen])
+        target.append(first[k] + seen if k < order - 1 else first[k - 1] + level.suffix[seen])
+        weight.append(np.log10(q[seen]))
+        p = q
+    key = np.concatenate(keys)
+    by = np.argsort(key)
+    end = int(np.searchsorted(found[0].hashes, _END))
+    start = int(first[0]) + end if order > 1 and n and totals[0][end] else 0
+    return Automaton(n, key[by], np.concatenate(target)[by], np.concatenate(weight)[by], np.concatenate(failure), np.concatenate(give), start)
+
+
+def traverse(a: Automaton, n: np.ndarray, token: np.ndarray, order: int) -> np.ndarray:
+    """Log10 probability of each row, from left to right, the state carried on.
+
+    Long rows are cut into lanes. A state depends on the last order - 1 tokens, so a later lane takes up the state that the
+    lane before it ends in by walking these tokens from the root, unscored.
+    """
+    lanes = -(-n // LANE)
+    row = np.repeat(np.arange(len(n)), lanes)
+    turn = np.arange(len(row)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+    begin = (np.cumsum(n) - n)[row] + turn * LANE
+    size = np.minimum(LANE, n[row] - turn * LANE)
+    by = np.argsort(-size, kind="stable")
+    row, turn, begin, size = row[by], turn[by], begin[by], size[by]
+    state = np.where(turn == 0, a.start, 0)
+    later = np.flatnonzero(turn > 0)
+    for back in range(order - 1, 0, -1):
+        state[later] = a.walk(state[later], token[begin[later] - back])[0]
+    score = np.zeros(len(row))
+    for step in range(int(size[0]) if len(size) else 0):
+        live = int(np.searchsorted(-size, -step, "left"))
+        state[:live], gain = a.walk(state[:live], token[begin[:live] + step])
+        score[:live] += gain
+    return np.bincount(row, score, len(n))
+
+
+def score_documents(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text.
 
-    N-grams of all training rows are counted; a state is an n-gram that was seen, its arcs lead to the words seen after
-    it, and its failure arc to the n-gram without its first word. Dirichlet smoothing gives the weights: a state h of
-    count c sends a word w with (c(hw) + PULL * p(w | shorter)) / (c + PULL), so the failure arc weighs
-    PULL / (c + PULL). At the root stands the add-one unigram of base_score. No automaton
-    is built: counts are looked up order by order for all tokens at once, which gives the scores of its traversal.
+    N-grams of all training rows are counted and become the states of a backoff automaton (see automaton), over which each
+    text is one traversal from left to right.
 
-    Documents are dealt to blocks by id. Each block sends its distinct n-grams in ranges of hashes (buckets); a bucket
-    sums all blocks' counts and sends each block the totals of its own n-grams back, as one array in the order sent. So a
-    block scores with just the part of the automaton that its texts can reach: nothing grows with the corpus but the
-    number of blocks, and nothing is broadcast.
+    Rows are dealt to blocks of about block_bytes. Each block sends its distinct n-grams in ranges of hashes (buckets), a
+    row for each range that it touches; a bucket sums all blocks' counts and answers each with the totals of its own
+    n-grams. From length 3 on, a block sends only n-grams of which both parts stand in other blocks too, as the others
+    stand nowhere else. So a block scores with just the part of the automaton that its texts can reach, what is sent
+    grows with the texts, and nothing is broadcast. N-grams of two and more tokens are told apart by 56 bits of hash.
 
     Null text counts as empty (one token, the end); repeated rows count as often as they stand; an empty table gives no
     rows; null doc_ids count as training rows; other columns are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    n_blocks = max(1, -(-rows.count() // block_docs))
+    total = rows.agg(F.sum(F.octet_length("text") + F.lit(16)), F.count("*")).first()
+    n_blocks = max(1, -(-max(total[0] or 0, total[1]) // block_bytes))
     n_buckets = max(1, n_blocks // BUCKET_BLOCKS)
     out_held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
-    rows = rows.withColumn("held_out", out_held).withColumn("block", F.pmod(F.xxhash64(F.coalesce("doc_id", F.crc32(F.col("text").cast("binary")), F.lit(0))), F.lit(n_blocks)).cast("int"))
+    rows = rows.withColumn("held_out", out_held).withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_blocks)).cast("int"))
     rows = rows.repartition(n_blocks, "block")
 
+    def read(block: pa.Table, upto: int) -> tuple[np.ndarray, list[Level], np.ndarray]:
+        n, found = levels(_one(block, "text"), upto)
+        return n, found, np.repeat(~_bools(block, "held_out"), n)
+
     def send(block: pa.Table) -> pa.Table:
-        b = block.column("block")[0].as_py()
-        found = block_grams(_one(block, "text"), ~_bools(block, "held_out"), order)
-        cuts = [np.concatenate(([0], _cuts(g, n_buckets), [len(g)])) for g, _ in found]
-        out: list[list] = [[] for _ in range(4)]
-        for q in range(n_buckets):
-            part = [(g[c[q] : c[q + 1]], n[c[q] : c[q + 1]]) for (g, n), c in zip(found, cuts, strict=True)]
-            for to, x in zip(out, (b, q, planes(np.concatenate([g for g, _ in part])), planes(np.concatenate([n for _, n in part]))), strict=True):
-                to.append(x)
-        sizes = pa.array([[int(c[q + 1] - c[q]) for c in cuts] for q in range(n_buckets)], pa.list_(pa.int32()))
-        return pa.table({"block": pa.array(out[0], pa.int32()), "bucket": pa.array(out[1], pa.int32()), "sizes": sizes, "grams": pa.array(out[2], pa.binary()), "counts": pa.array(out[3], pa.binary())})
-
-    def add(bucket: pa.Table) -> pa.Table:
-        sizes = np.array(bucket.column("sizes").to_pylist(), np.int64).reshape(bucket.num_rows, order)
-        g = [from_planes(x, np.uint64) for x in bucket.column("grams").to_pylist()]
-        c = [from_planes(x, np.uint32) for x in bucket.column("counts").to_pylist()]
-        back: list[list[np.ndarray]] = [[] for _ in g]
-        n_tokens = n_types = 0
-        for k in range(order):
-            lo, hi = sizes[:, :k].sum(1), sizes[:, : k + 1].sum(1)
-            keys, at = np.unique(np.concatenate([x[i:j] for x, i, j in zip(g, lo, hi, strict=True)]), return_inverse=True)
-            total = np.bincount(at, np.concatenate([x[i:j] for x, i, j in zip(c, lo, hi, strict=True)]), len(keys)).astype(np.int64)
-            if k == 0:
-                n_tokens, n_types = int(total.sum()), int((total > 0).sum())
-            ends = np.concatenate(([0], np.cumsum(hi - lo)))
-            for r in range(len(g)):
-                back[r].append(total[at[ends[r] : ends[r + 1]]])
-        n = bucket.num_rows
-        return pa.table({"block": bucket.column("block"), "bucket": bucket.column("bucket"), "sizes": bucket.column("sizes"), "totals": pa.array([planes(np.concatenate(x)) for x in back], pa.binary()), "n_tokens": pa.array([n_tokens] * n, pa.int64()), "n_types": pa.array([n_types] * n, pa.int64())})
+        _, found, train = read(block, min(order, 2))
+        picks = [to_send(x, None) for x in found]
+        return pa.concat_tables([messages(block.column("block")[0].as_py(), k + 1, x.hashes[pick], local_counts(x, train)[pick], n_buckets) for k, (x, pick) in enumerate(zip(found, picks, strict=True))])
+
+    def send_longer(number: int):
+        def run(block: pa.Table, model: pa.Table) -> pa.Table:
+            _, found, train = read(block, number)
+            known = totals_of(model, found[:-1], train)
+            pick = to_send(found[-1], known[-1][1])
+            return messages(block.column("block")[0].as_py(), number, found[-1].hashes[pick], local_counts(found[-1], train)[pick], n_buckets)
+
+        return run
+
+    model = written(rows.groupBy("block").applyInArrow(send, SENT).groupBy("level", "bucket").applyInArrow(add, BACK))
+    x = model.where("level = 1").agg(F.sum("n_tokens"), F.sum("n_types")).first()  # two numbers
+    size, types = x[0] or 0, x[1] or 0
+    for number in range(3, order + 1):
+        longer = rows.groupBy("block").cogroup(model.groupBy("block")).applyInArrow(send_longer(number), SENT)
+        model = model.union(longer.groupBy("level", "bucket").applyInArrow(add, BACK))
+        model = written(model) if number < order else model
 
     def walk(block: pa.Table, model: pa.Table) -> pa.Table:
-        model = model.sort_by("bucket")
-        sizes = np.array(model.column("sizes").to_pylist(), np.int64).reshape(model.num_rows, order)
-        totals = [from_planes(x, np.int64) for x in model.column("totals").to_pylist()]
-        counts = [np.concatenate([t[s[:k].sum() : s[: k + 1].sum()] for t, s in zip(totals, sizes, strict=True)]) for k in range(order)]
-        size, types = sum(model.column("n_tokens").to_pylist()), sum(model.column("n_types").to_pylist())
-        texts, held = _one(block, "text"), _bools(block, "held_out")
-        keys = [g for g, _ in block_grams(texts, ~held, order)]
-        out = [traverse(n, token, keys, counts, size, types) for n, token in tokens(texts)]
-        join = lambda k: np.concatenate([x[k] for x in out])
-        return pa.table({"doc_id": _one(block, "doc_id"), "held_out": _one(block, "held_out"), "n_tokens": pa.array(join(0)), "n_known": pa.array(join(1)), "train_tokens": pa.array(np.full(block.num_rows, size)), "base_score": pa.array(join(2)), "score": pa.array(join(3))})
-
-    sent = rows.groupBy("block").applyInArrow(send, "block int, bucket int, sizes array<int>, grams binary, counts binary")
-    model = sent.groupBy("bucket").applyInArrow(add, "block int, bucket int, sizes array<int>, totals binary, n_tokens long, n_types long")
-    scored = rows.groupBy("block").cogroup(model.groupBy("block")).applyInArrow(walk, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return scored
+        n, found, train = read(block, order)
+        totals = [t for t, _ in totals_of(model, found, train)]
+        token = found[0].at
+        row = np.repeat(np.arange(len(n)), n)
+        base = np.bincount(row, np.log10((totals[0] + 1) / (size + types + 1))[token], len(n))
+        known = np.bincount(row, (totals[0] > 0)[token], len(n)).astype(np.int64)
+        score = traverse(automaton(found, totals, size, types), n, token, order)
+        return pa.table({"doc_id": _one(block, "doc_id"), "held_out": _one(block, "held_out"), "n_tokens": pa.array(n.astype(np.int64)), "n_known": pa.array(known), "train_tokens": pa.array(np.full(block.num_rows, size)), "base_score": pa.array(base), "score": pa.array(score)})
+
+    return rows.groupBy("block").cogroup(model.groupBy("block")).applyInArrow(walk, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def _one(t: pa.Table, name: str) -> pa.Array:
-    return t.column(name).combine_chunks() if t.column(name).num_chunks != 1 else t.column(name).chunk(0)
+    c = t.column(name)
+    if pa.types.is_string(c.type):  # 32-bit offsets end at 2 GB
+        c = c.cast(pa.large_string())
+    return c.chunk(0) if c.num_chunks == 1 else c.combine_chunks()
 
 
 def _bools(t: pa.Table, name: str) -> np.ndarray:
     return _one(t, name).to_numpy(zero_copy_only=False).astype(bool)
 
 
-def traverse(n: np.ndarray, token: np.ndarray, keys: list[np.ndarray], counts: list[np.ndarray], size: int, types: int) -> tuple[np.ndarray, ...]:
-    """Per row: tokens, known tokens, log10 base score, log10 score. All rows walk at once, level by level of states.
-
-    At level k a token's context is the state of k-1 tokens before it; where that state was never seen, the walk fails
-    on to the shorter one, whose probability is already at hand.
-    """
-    row = np.repeat(np.arange(len(n)), n)
-    found = [c[np.searchsorted(k, g)] for k, c, g in zip(keys, counts, grams(n, token, len(keys)), strict=True)]
-    p = (found[0] + 1) / (size + types + 1)
-    base = np.bincount(row, np.log10(p), len(n))
-    first = np.concatenate(([0], np.cumsum(n)[:-1]))
-    start = np.zeros(len(token), bool)
-    start[first[n > 0]] = True
-    ends = int(counts[0][np.searchsorted(keys[0], _END)]) if len(keys[0]) else 0
-    for k in range(1, len(keys)):
-        context = np.empty(len(token), np.float64)
-        context[1:] = found[k - 1][:-1]
-        context[start] = ends if k == 1 else 0
-        seen = context > 0
-        if k == 1:
-            p = np.where(seen, (found[k] + PULL * p) / (context + PULL), p)
-        else:
-            near = np.arange(len(token)) - np.repeat(first, n) < k - 1
-            context[near & ~start] = 0
-            seen = context > 0
-            p = np.where(seen, (found[k] + PULL * p) / (context + PULL), p)
-    return n.astype(np.int64), np.bincount(row, found[0] > 0, len(n)).astype(np.int64), base, np.bincount(row, np.log10(p), len(n))
-
-
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
