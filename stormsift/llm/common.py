@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel holds as wide arrays at once; a longer document is one chunk of its own.
 CHUNK_BYTES = 1 << 19
-#: Rows up to which a table may be broadcast; beyond it the join is left to shuffles.
-BROADCAST_ROWS = 100_000
 
 #: A key is hot if it holds more than one in HOT_KEYS of all rows, so there are fewer hot keys than that.
 HOT_KEYS = 10_000
@@ -51,11 +49,6 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sized_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Joins with a written table: broadcast if it counts rows at most, else a shuffle join whose skewed keys AQE splits."""
-    return big.join(F.broadcast(small) if small.limit(rows + 1).count() <= rows else small, on, how)
-
-
 def skew_join(big: DataFrame, small: DataFrame, on: list[str], rows: int, how: str = "left") -> DataFrame:
     """big (of about so many rows) joined with small, which has one row a key and in `copies` the rows of big that hold it.
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from stormsift.llm.common import WORD_PATTERN, sized_join, table, written
+from stormsift.llm.common import WORD_PATTERN, skew_join, table, written
 
-#: Words in a block at most (small sources make blocks smaller), documents in a shard about, shards of a source at most.
-BLOCK, SHARD_DOCS, SHARDS = 64, 100, 4096
+#: Words in a block, documents in a shard about, shards in a rack (a source has as many racks as its documents need).
+BLOCK, SHARD_DOCS, RACK = 8, 100, 4096
 #: No document is taken more than CAP times; the weights of the sources repeat by rank (fixed values of the contract).
 CAP, WEIGHTS = 3, (5, 2, 1)
 #: Divisors that one pass tries at once.
@@ -78,57 +80,75 @@ def sainte_lague(parties: DataFrame, votes: str, seats: int, order: list[str]) -
     return sure.drop("more").join(tied.select(*order, F.lit(1).alias("extra")), order, "left").withColumn("seats", F.col("seats") + F.coalesce("extra", F.lit(0))).drop("extra")
 
 
-def shard_seats(shards: DataFrame) -> DataFrame:
-    """Sainte-Laguë among the shards of each source, in one window: (source, shard, shard_size, seats of the source) adds blocks.
+def highest_quotients(votes: np.ndarray, seats: int) -> np.ndarray:
+    """Seats of each party: the `seats` highest quotients votes / (2k - 1) win, ties to the party that comes first."""
+    total = votes.sum()
+    if seats <= 0 or not total:
+        return np.zeros(len(votes), np.int64)
+    won = lambda d: np.floor(votes * d + 0.5).astype(np.int64)
+    low, high = 0.0, 2.0 * seats / total
+    while won(high).sum() < seats:
+        high *= 2
+    for _ in range(80):
+        d = (low + high) / 2
+        low, high = (d, high) if won(d).sum() <= seats else (low, d)
+    out = won(low)
+    for k in np.lexsort((np.arange(len(votes)), -votes / (2 * out + 1)))[: seats - int(out.sum())]:
+        out[k] += 1
+    return out
 
-    A shard's exact share rounds to its blocks; sources have at most SHARDS shards, so a window is bounded. What rounding
-    leaves over or short is settled by the quotients next in line.
-    """
-    w = W.partitionBy("rank")
-    e = shards.withColumn("exact", F.col("seats") * F.col("shard_size") / F.sum("shard_size").over(w))
-    e = e.withColumn("n", F.floor(F.col("exact") + 0.5)).withColumn("off", F.sum("n").over(w) - F.col("seats"))
-    near = F.when(F.col("off") > 0, (2 * F.col("n") - 1) / F.col("shard_size")).otherwise(-(2 * F.col("n") + 1) / F.col("shard_size"))
-    e = e.withColumn("place", F.row_number().over(w.orderBy((F.col("shard_size") == 0), near.desc(), "shard")))
-    step = F.when(F.col("place") <= F.abs("off"), F.signum("off")).otherwise(0)
-    return e.withColumn("blocks", F.greatest(F.lit(0), F.col("n") - step).cast("long")).drop("exact", "n", "off", "place")
 
+def seats_within(parties: DataFrame, by: list[str], key: str, seats: str) -> DataFrame:
+    """Adds won (long) to (by..., key, votes, seats): the seats of each group dealt among its parties. A group is one task's: racks of a source, or shards of a rack."""
+    def deal(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(key)
+        return part.assign(won=highest_quotients(part["votes"].to_numpy(np.float64), int(part[seats].iloc[0])))
+
+    kinds = ", ".join(f"{c} {t}" for c, t in parties.dtypes)
+    return parties.groupBy(*by).applyInPandas(deal, f"{kinds}, won long")
 
-def mix_sources(docs: DataFrame, seed: int = 42) -> DataFrame:
+
+def mix_sources(docs: DataFrame, seed: int = 42, block: int = BLOCK, carry: bool = False) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document, and where its taken words lie.
 
     Sizes are words; sources by code point (null last) weigh 5, 2, 1 in turn. Blocks of equal words are apportioned to
-    sources, then to each source's shards. In a shard the documents stand in seeded order as one ring of words; its
+    sources, then to each source's racks and each rack's shards. In a shard the documents stand in seeded order as one ring of words; its
     quota of blocks is taken as whole rounds, and the rest as blocks from a seeded start, so only the two documents at
     the ends of that run are cut. Columns: `rounds` whole copies and words [part_from, part_to) once more, which wrap
-    around if part_from > part_to.
+    around if part_from > part_to; with carry also `doc`, the row as a struct.
 
     Null and empty texts have size 0 and nothing taken; an empty table gives no rows; repeated rows are documents of
-    their own; other columns are not read. Reruns agree: order and start come from hashes of seed, source and doc_id.
+    their own; other columns are not read. Reruns agree: order and start come from hashes of seed, text and doc_id.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(seed), "text", "doc_id").alias("tie"))
-    rows = written(rows)
-    sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
+    row = (F.struct("*").alias("doc"),) if carry else ()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(seed), "text", "doc_id").alias("tie"), *row)
+    sized = written(rows.drop("doc"))
+    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("copies"))
     weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("rank") % len(WEIGHTS) + 1).cast("int"))
     sources = written(with_targets(with_rank(sources, "source").withColumn("weight", weight)))
-    x = sources.agg(F.sum("source_size").alias("total"), F.min(F.when(F.col("source_size") > 0, F.col("source_size"))).alias("least")).first()
-    block = max(1, min(BLOCK, (x["least"] or 1) // 128))
-    sources = sainte_lague(sources, "target", round((x["total"] or 0) / block), ["rank"])
-    n_shards = F.least(F.lit(SHARDS), F.greatest(F.lit(1), F.ceil(F.col("n_docs") / SHARD_DOCS))).cast("long")
-    sources = written(sources.withColumn("n_shards", n_shards).withColumn("source_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).drop("source"))
-
-    rows = rows.withColumn("source_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).drop("source")
-    rows = sized_join(rows, sources, ["source_key"], "inner")
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "tie"), F.col("n_shards")))
-    rows = rows.select("doc_id", "tie", "size", "source_size", "target", "rank", "seats", "shard")
-    shards = rows.groupBy("rank", "shard").agg(F.sum("size").alias("shard_size"), F.max("seats").alias("seats"))
-    shards = written(shard_seats(shards).drop("seats"))
+    x = sources.agg(F.sum("source_size").alias("words"), F.sum("copies").alias("docs")).first()
+    sources = sainte_lague(sources, "target", round((x["words"] or 0) / block), ["rank"])
+    n_shards = F.greatest(F.lit(1), F.ceil(F.col("copies") / SHARD_DOCS)).cast("long")
+    sources = written(sources.withColumn("n_shards", n_shards).withColumn("source_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).select("source_key", "rank", "source_size", "target", "seats", "n_shards", "copies"))
+
+    def in_shards(df: DataFrame) -> DataFrame:
+        df = df.withColumn("source_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).drop("source")
+        return skew_join(df, sources, ["source_key"], x["docs"] or 0, "inner").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "tie"), F.col("n_shards")))
+
+    shards = in_shards(sized).groupBy("rank", "shard").agg(F.sum("size").alias("votes"), F.max("seats").alias("seats"), F.count("*").alias("copies"))
+    shards = written(shards.withColumn("rack", F.floor(F.col("shard") / RACK)))
+    racks = shards.groupBy("rank", "rack").agg(F.sum("votes").alias("votes"), F.max("seats").alias("seats"))
+    racks = seats_within(racks, ["rank"], "rack", "seats").select("rank", "rack", F.col("won").alias("quota"))
+    shards = seats_within(shards.join(racks, ["rank", "rack"]), ["rank", "rack"], "shard", "quota")
+    shards = written(shards.select("rank", "shard", F.col("votes").alias("shard_size"), F.col("won").alias("blocks"), "copies"))
     cell = W.partitionBy("rank", "shard")
+    rows = in_shards(rows if carry else sized).drop("source_key", "seats", "n_shards")
     rows = rows.withColumn("end", F.sum("size").over(cell.orderBy(F.xxhash64(F.lit(seed + 2), "doc_id"), "doc_id", "tie").rowsBetween(W.unboundedPreceding, 0)))
-    rows = sized_join(rows, shards, ["rank", "shard"], "inner")
-    return placed(rows, block, seed)
+    # a shard holds about SHARD_DOCS rows, so no key of this join is hot
+    return placed(rows.join(shards.drop("copies"), ["rank", "shard"]), block, seed, ("doc",) if carry else ())
 
 
-def placed(rows: DataFrame, block: int, seed: int) -> DataFrame:
+def placed(rows: DataFrame, block: int, seed: int, more: tuple[str, ...] = ()) -> DataFrame:
     size, ring = F.col("size"), F.col("shard_size")
     quota = F.least(F.col("blocks") * block, CAP * ring)
     rounds = F.when(ring > 0, F.floor(quota / ring)).otherwise(0).cast("long")
@@ -145,10 +165,8 @@ def placed(rows: DataFrame, block: int, seed: int) -> DataFrame:
     both = (F.col("wrapped") > 0) & (F.col("first") > 0)
     part_from = F.when(both, part_from).when(F.col("wrapped") > 0, 0).otherwise(part_from)
     part = F.col("first") + F.col("wrapped")
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("rounds") * size + part).cast("long").alias("taken"), F.when(size > 0, F.col("rounds")).otherwise(0).alias("rounds"), part_from.cast("long").alias("part_from"), part_to.cast("long").alias("part_to"), part.cast("long").alias("part"), "tie")
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("rounds") * size + part).cast("long").alias("taken"), F.when(size > 0, F.col("rounds")).otherwise(0).alias("rounds"), part_from.cast("long").alias("part_from"), part_to.cast("long").alias("part_to"), part.cast("long").alias("part"), "tie", *more)
 
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
-
-

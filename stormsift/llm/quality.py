@@ -6,21 +6,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from stormsift.llm.common import WORD_PATTERN, sized_join, table, written
+from stormsift.llm.common import WORD_PATTERN, skew_join, table, written
 
-#: Judged shares, in thousandths, and the least share from which a document can be rejected whatever its group's fence.
-FLOORS = {"symbols": 20, "capitals": 300, "repeats": 300, "dup_lines": 300}
-#: A group's upper fence is q75 + SPREAD * (q75 - q25). A group of fewer documents than MIN_GROUP takes its language's
-#: sketch, and a language of fewer takes that of all documents.
-SPREAD, MIN_GROUP = 3, 50
-#: Buckets of a share in the sketches of op5_group_fences, and the least limits there, in these buckets. Where the quartiles
-#: coincide, the fence is q90 + SPREAD * (q90 - q75), so that a share most rows have at 0 gets the limit of its tail.
-FINE = 10_000
-MINIMA = {"symbols": 100, "capitals": 200, "repeats": 500, "dup_lines": 1000}
+#: Judged shares as (part, whole), and the least spread of a group's share, in sketch buckets: what a document may owe to
+#: chance. A group's fence stands SPREAD spreads above its upper quartile.
+SHARES = {"symbols": ("n_symbols", "word_chars"), "capitals": ("n_capitals", "word_chars"), "repeats": ("n_repeat_words", "n_words"), "dup_lines": ("n_dup_lines", "n_lines")}
+LEAST = {"symbols": 34, "capitals": 34, "repeats": 200, "dup_lines": 400}
+SPREAD = 3
+#: Buckets of a share in a sketch, and documents that a group's parent counts for in the group's limit.
+FINE, PARENT = 10_000, 20
 
 
 def text_features(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and counts of each whole text, one row per input row.
+    """doc_id, lang, source, text_hash and counts of each whole text, one row per input row.
 
     The rows are dealt once by a row number. Each then becomes one row per window of three words plus one that carries
     the other counts; windows are counted by (row, hash) and places by row, both within that partitioning, so words
@@ -31,7 +29,7 @@ def text_features(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("words", F.regexp_extract_all("text", F.lit(WORD_PATTERN), F.lit(0)))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD_PATTERN))
     counts = F.struct(
-        "doc_id", "lang", "source",
+        "doc_id", "lang", "source", F.xxhash64("text").alias("text_hash"),
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -60,75 +58,103 @@ def _key(name: str) -> Column:
     return F.when(F.col(name).isNull(), "").otherwise(F.concat(F.lit("="), F.col(name)))
 
 
-def with_shares(f: DataFrame, scale: int = 1000) -> DataFrame:
-    shares = {"symbols": ("n_symbols", "word_chars"), "capitals": ("n_capitals", "word_chars"), "repeats": ("n_repeat_words", "n_words"), "dup_lines": ("n_dup_lines", "n_lines")}
-    return f.withColumns({k: _share(F.col(a), F.col(b), scale) for k, (a, b) in shares.items()} | {"lang_key": _key("lang"), "source_key": _key("source")})
+def with_shares(f: DataFrame) -> DataFrame:
+    return f.withColumns({k: _share(F.col(a), F.col(b), FINE) for k, (a, b) in SHARES.items()} | {"lang_key": _key("lang"), "source_key": _key("source")})
 
 
 def sketch(f: DataFrame) -> DataFrame:
     """(lang_key, source_key, feature, bucket, n): counts per bucket of the shares. Sums of n merge sketches exactly; a quantile is off by a bucket at most."""
-    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("feature"), F.col(k).alias("bucket")) for k in FLOORS)))
+    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("feature"), F.col(k).alias("bucket")) for k in SHARES)))
     return f.select("lang_key", "source_key", pairs.alias("p")).groupBy("lang_key", "source_key", "p.feature", "p.bucket").agg(F.count("*").alias("n"))
 
 
-def fences(sketches: DataFrame, by: list[str], tail: bool = False) -> DataFrame:
-    """Per group and feature, the upper fence from the merged sketch: by, feature, size, fence. At most 1001 buckets (10,001 of FINE) meet in a window."""
+def fences(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """Per group and feature, from the merged sketch: by, feature, size, fence. At most FINE + 1 buckets meet in a window.
+
+    The spread is that of the quartiles; where they coincide, that from the upper quartile to the ninth decile, a third
+    more; and never less than LEAST.
+    """
     merged = sketches.groupBy(*by, "feature", "bucket").agg(F.sum("n").alias("n"))
     w = W.partitionBy(*by, "feature")
     up = merged.select(*by, "feature", "bucket", F.sum("n").over(w.orderBy("bucket")).alias("rank"), F.sum("n").over(w).alias("size"))
     q = lambda p, of=4: F.min(F.when(F.col("rank") * of >= F.col("size") * p, F.col("bucket")))
     found = up.groupBy(*by, "feature").agg(F.first("size").alias("size"), q(1).alias("q1"), q(3).alias("q3"), q(9, 10).alias("q90"))
-    fence = F.col("q3") + SPREAD * (F.col("q3") - F.col("q1"))
-    if tail:
-        fence = F.when(F.col("q1") < F.col("q3"), fence).otherwise(F.col("q90") + SPREAD * (F.col("q90") - F.col("q3")))
-    return found.select(*by, "feature", "size", fence.alias("fence"))
+    spread = F.when(F.col("q1") < F.col("q3"), SPREAD * (F.col("q3") - F.col("q1"))).otherwise((SPREAD + 1) * (F.col("q90") - F.col("q3")))
+    least = F.create_map(*(F.lit(x) for pair in LEAST.items() for x in pair))[F.col("feature")]
+    fence = F.col("q3") + F.greatest(spread, SPREAD * least)
+    return found.select(*by, "feature", "size", fence.cast("long").alias("fence"))
+
 
+def thresholds(sketches: DataFrame) -> DataFrame:
+    """(lang_key, source_key, copies, max_* per feature): each group's limits, with the number of its documents.
 
-def thresholds(sketches: DataFrame, least: dict[str, int] = FLOORS, tail: bool = False) -> DataFrame:
-    """One row per (lang_key, source_key) with the fence of each feature, from the smallest group that is large enough."""
-    own = fences(sketches, ["lang_key", "source_key"], tail)
-    lang = fences(sketches, ["lang_key"], tail).select("lang_key", "feature", F.col("size").alias("lang_size"), F.col("fence").alias("lang_fence"))
-    every = fences(sketches, [], tail).select("feature", F.col("fence").alias("all_fence"))
-    best = own.join(lang, ["lang_key", "feature"]).join(F.broadcast(every), "feature")  # every: a row per feature
-    fence = F.when(F.col("size") >= MIN_GROUP, F.col("fence")).when(F.col("lang_size") >= MIN_GROUP, F.col("lang_fence")).otherwise(F.col("all_fence"))
-    floor = F.create_map(*(x for k, v in least.items() for x in (F.lit(k), F.lit(v))))[F.col("feature")]
-    best = best.withColumn("limit", F.greatest(fence, floor))
-    return best.groupBy("lang_key", "source_key").agg(*(F.max(F.when(F.col("feature") == k, F.col("limit"))).alias(f"max_{k}") for k in FLOORS))
+    A limit is the group's fence averaged with its parent's limit, which weighs as much as PARENT documents: the parent of
+    a source is its language, that of a language is all documents. A small group so leans on its parent, and a large one
+    goes by its own sketch.
+    """
+    own = fences(sketches, ["lang_key", "source_key"])
+    lang = fences(sketches, ["lang_key"]).select("lang_key", "feature", F.col("size").alias("lang_size"), F.col("fence").alias("lang_fence"))
+    every = fences(sketches, []).select("feature", F.col("fence").alias("all_fence"))
+    lean = lambda size, fence, parent: F.expr(f"({size} * {fence} + {PARENT} * {parent}) div ({size} + {PARENT})")
+    best = lang.join(F.broadcast(every), "feature").withColumn("lang_limit", lean("lang_size", "lang_fence", "all_fence"))  # every: a row per feature
+    best = own.join(best.select("lang_key", "feature", "lang_limit"), ["lang_key", "feature"]).withColumn("limit", lean("size", "fence", "lang_limit"))
+    return best.groupBy("lang_key", "source_key").agg(F.max("size").alias("copies"), *(F.max(F.when(F.col("feature") == k, F.col("limit"))).alias(f"max_{k}") for k in SHARES))
+
+
+def judged(docs: DataFrame) -> DataFrame:
+    """Counts, shares, limits, base_failed and kept of every row, with its doc_id, lang, source and text_hash (see judge)."""
+    f = written(with_shares(text_features(docs)))
+    limits = written(thresholds(sketch(f)))
+    out = skew_join(f, limits, ["lang_key", "source_key"], f.count(), "inner")
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    odd = F.lit(False)
+    for k in SHARES:
+        odd = odd | (F.col(k) > F.col(f"max_{k}"))
+    return out.withColumns({"base_failed": failed, "kept": ~failed & ~odd})
 
 
-def judge(docs: DataFrame, by_fences: bool = False) -> DataFrame:
-    """doc_id, counts, base_failed, kept and the shares of every document.
+def judge(docs: DataFrame) -> DataFrame:
+    """doc_id, counts, base_failed, kept and the shares (ten-thousandths) of every document.
 
     Base: fails under 50 words, or if more than half of its words stand in repeated windows of three. Verdict: a document
     is rejected if a share (symbols and capitals of word characters, repeated words of words, equal lines of lines) is
-    above its group's fence and above the share's floor, or with by_fences above the group's fence of the finer sketch and
-    the small minimum of MINIMA. Groups are (language, source); nulls form groups of their own.
+    above the limit that its group's sketch sets (see thresholds). Groups are (language, source); nulls form groups of their own.
 
     Null or empty texts have no words and fail the base; an empty table gives no rows; repeated rows each give a row;
     columns other than doc_id, text, lang and source are not read.
     """
-    scale = FINE if by_fences else 1000
-    f = written(with_shares(text_features(docs), scale))
-    limits = written(thresholds(sketch(f), MINIMA, True) if by_fences else thresholds(sketch(f)))
-    out = sized_join(f, limits, ["lang_key", "source_key"])
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    odd = F.lit(False)
-    for k in FLOORS:
-        odd = odd | (F.col(k) > F.col(f"max_{k}"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~odd).alias("kept"), *(F.floor(F.col(k) * 1000 / scale).alias(k) for k in FLOORS))
+    return judged(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *SHARES)
+
+
+def group_limits(docs: DataFrame) -> DataFrame:
+    """lang, source, n_docs and the limit of each share (ten-thousandths) of every group."""
+    f = with_shares(text_features(docs))
+    name = lambda c: F.when(F.col(c) != "", F.substr(F.col(c), F.lit(2)))
+    return thresholds(written(sketch(f))).select(name("lang_key").alias("lang"), name("source_key").alias("source"), F.col("copies").alias("n_docs"), *(f"max_{k}" for k in SHARES))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
 
-def op5_group_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The verdicts of the pipeline: op5_quality_rules with limits from the sketches instead of the fixed floors."""
-    return judge(table(spark, sf_dir, "documents"), by_fences=True)
+def quality_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_limits(table(spark, sf_dir, "documents"))
 
 
 _WS = r"[\x20\x09-\x0D]+"
-_ALL = ", ".join(f"('{k}', {v})" for k, v in FLOORS.items())
+_SHARES = ", ".join(f"CASE WHEN {b} > 0 THEN {a} * {FINE} // {b} ELSE 0 END AS {k}" for k, (a, b) in SHARES.items())
+_LEAST = ", ".join(f"('{k}', {k}, {v})" for k, v in LEAST.items())
+
+
+def _quartiles(by: int) -> str:
+    q = lambda p, of: f"min(v) FILTER (r{by} * {of} >= n{by} * {p})"
+    return f"any_value(n{by}) AS n, any_value(least) AS least, {q(1, 4)} AS a, {q(3, 4)} AS b, {q(9, 10)} AS d"
+
+
+def _fence(t: str) -> str:
+    return f"({t}.b + greatest(CASE WHEN {t}.a < {t}.b THEN {SPREAD} * ({t}.b - {t}.a) ELSE {SPREAD + 1} * ({t}.d - {t}.b) END, {SPREAD} * {t}.least))"
+
+
 #: The whole operator in SQL, over a view named documents.
 FEATURES_SQL = rf"""
 d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
@@ -144,30 +170,17 @@ f AS (SELECT d.r, doc_id, CASE WHEN lang IS NULL THEN '' ELSE '=' || lang END AS
         (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, len(ls)::BIGINT AS n_lines,
         length(regexp_replace(text, '[^A-Z]+', '', 'g'))::BIGINT AS n_capitals, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
       FROM d JOIN w USING (r) JOIN l USING (r) LEFT JOIN rep USING (r)),
-s AS (SELECT *, CASE WHEN word_chars > 0 THEN n_symbols * 1000 // word_chars ELSE 0 END AS symbols, CASE WHEN word_chars > 0 THEN n_capitals * 1000 // word_chars ELSE 0 END AS capitals,
-        CASE WHEN n_words > 0 THEN n_repeat_words * 1000 // n_words ELSE 0 END AS repeats, CASE WHEN n_lines > 0 THEN n_dup_lines * 1000 // n_lines ELSE 0 END AS dup_lines FROM f),
-long AS (SELECT lk, sk, feature, v, floor FROM s, LATERAL (VALUES ('symbols', symbols, {FLOORS["symbols"]}), ('capitals', capitals, {FLOORS["capitals"]}), ('repeats', repeats, {FLOORS["repeats"]}), ('dup_lines', dup_lines, {FLOORS["dup_lines"]})) AS t(feature, v, floor)),
-q0 AS (SELECT lk, sk, feature, any_value(floor) AS floor, count(*) AS n, quantile_disc(v, 0.25) AS a, quantile_disc(v, 0.75) AS b FROM long GROUP BY ALL),
-q1 AS (SELECT lk, feature, count(*) AS n, quantile_disc(v, 0.25) AS a, quantile_disc(v, 0.75) AS b FROM long GROUP BY ALL),
-q2 AS (SELECT feature, quantile_disc(v, 0.25) AS a, quantile_disc(v, 0.75) AS b FROM long GROUP BY ALL),
-lim AS (SELECT lk, sk, feature, greatest(q0.floor, CASE WHEN q0.n >= {MIN_GROUP} THEN q0.b + {SPREAD} * (q0.b - q0.a) WHEN q1.n >= {MIN_GROUP} THEN q1.b + {SPREAD} * (q1.b - q1.a) ELSE q2.b + {SPREAD} * (q2.b - q2.a) END) AS lim
-        FROM q0 JOIN q1 USING (lk, feature) JOIN q2 USING (feature)),
-wide AS (SELECT lk, sk, max(lim) FILTER (feature = 'symbols') AS l1, max(lim) FILTER (feature = 'capitals') AS l2, max(lim) FILTER (feature = 'repeats') AS l3, max(lim) FILTER (feature = 'dup_lines') AS l4 FROM lim GROUP BY ALL),
+s AS (SELECT *, {_SHARES} FROM f),
+long AS (SELECT lk, sk, feature, v, least FROM s, LATERAL (VALUES {_LEAST}) AS t(feature, v, least)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lk, sk, feature ORDER BY v) AS r0, count(*) OVER (PARTITION BY lk, sk, feature) AS n0, row_number() OVER (PARTITION BY lk, feature ORDER BY v) AS r1,
+           count(*) OVER (PARTITION BY lk, feature) AS n1, row_number() OVER (PARTITION BY feature ORDER BY v) AS r2, count(*) OVER (PARTITION BY feature) AS n2 FROM long),
+q0 AS (SELECT lk, sk, feature, {_quartiles(0)} FROM ranked GROUP BY lk, sk, feature),
+q1 AS (SELECT lk, feature, {_quartiles(1)} FROM ranked GROUP BY lk, feature),
+q2 AS (SELECT feature, {_quartiles(2)} FROM ranked GROUP BY feature),
+l1 AS (SELECT lk, feature, (q1.n * {_fence("q1")} + {PARENT} * {_fence("q2")}) // (q1.n + {PARENT}) AS lim FROM q1 JOIN q2 USING (feature)),
+l0 AS (SELECT lk, sk, feature, q0.n, (q0.n * {_fence("q0")} + {PARENT} * l1.lim) // (q0.n + {PARENT}) AS lim FROM q0 JOIN l1 USING (lk, feature)),
+wide AS (SELECT lk, sk, max(n) AS n_docs, max(lim) FILTER (feature = 'symbols') AS l1, max(lim) FILTER (feature = 'capitals') AS l2, max(lim) FILTER (feature = 'repeats') AS l3, max(lim) FILTER (feature = 'dup_lines') AS l4 FROM l0 GROUP BY lk, sk),
 v AS (SELECT s.*, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, (symbols > l1 OR capitals > l2 OR repeats > l3 OR dup_lines > l4) AS odd FROM s JOIN wide USING (lk, sk))
 """
 OP5_SQL = f"WITH {FEATURES_SQL} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND NOT odd) AS kept, symbols::BIGINT AS symbols, capitals::BIGINT AS capitals, repeats::BIGINT AS repeats, dup_lines::BIGINT AS dup_lines FROM v"
-
-_FINE_SHARES = ", ".join(f"CASE WHEN {b} > 0 THEN {a} * {FINE} // {b} ELSE 0 END AS {k}" for k, a, b in (("symbols", "n_symbols", "word_chars"), ("capitals", "n_capitals", "word_chars"), ("repeats", "n_repeat_words", "n_words"), ("dup_lines", "n_dup_lines", "n_lines")))
-_FENCE = f"quantile_disc(v, 0.75) + {SPREAD} * CASE WHEN quantile_disc(v, 0.25) < quantile_disc(v, 0.75) THEN quantile_disc(v, 0.75) - quantile_disc(v, 0.25) ELSE 0 END + CASE WHEN quantile_disc(v, 0.25) < quantile_disc(v, 0.75) THEN 0 ELSE {SPREAD + 1} * (quantile_disc(v, 0.9) - quantile_disc(v, 0.75)) END"
-_MINIMA = ", ".join(f"('{k}', {k}, {v})" for k, v in MINIMA.items())
-#: The rows of op5_group_fences: the same counts, with limits from the finer sketches.
-FENCES_SQL = f"""WITH {FEATURES_SQL},
-fs AS (SELECT *, {_FINE_SHARES} FROM f),
-fl AS (SELECT lk, sk, feature, v, least_limit FROM fs, LATERAL (VALUES {_MINIMA}) AS t(feature, v, least_limit)),
-f0 AS (SELECT lk, sk, feature, any_value(least_limit) AS least_limit, count(*) AS n, {_FENCE} AS fence FROM fl GROUP BY lk, sk, feature),
-f1 AS (SELECT lk, feature, count(*) AS n, {_FENCE} AS fence FROM fl GROUP BY lk, feature),
-f2 AS (SELECT feature, {_FENCE} AS fence FROM fl GROUP BY feature),
-fm AS (SELECT lk, sk, feature, greatest(least_limit, CASE WHEN f0.n >= {MIN_GROUP} THEN f0.fence WHEN f1.n >= {MIN_GROUP} THEN f1.fence ELSE f2.fence END) AS lim FROM f0 JOIN f1 USING (lk, feature) JOIN f2 USING (feature)),
-fw AS (SELECT lk, sk, max(lim) FILTER (feature = 'symbols') AS l1, max(lim) FILTER (feature = 'capitals') AS l2, max(lim) FILTER (feature = 'repeats') AS l3, max(lim) FILTER (feature = 'dup_lines') AS l4 FROM fm GROUP BY ALL),
-fv AS (SELECT fs.*, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, (symbols > l1 OR capitals > l2 OR repeats > l3 OR dup_lines > l4) AS odd FROM fs JOIN fw USING (lk, sk))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND NOT odd) AS kept, (symbols // 10)::BIGINT AS symbols, (capitals // 10)::BIGINT AS capitals, (repeats // 10)::BIGINT AS repeats, (dup_lines // 10)::BIGINT AS dup_lines FROM fv"""
+LIMITS_SQL = f"WITH {FEATURES_SQL} SELECT CASE WHEN lk <> '' THEN lk[2:] END AS lang, CASE WHEN sk <> '' THEN sk[2:] END AS source, n_docs, l1 AS max_symbols, l2 AS max_capitals, l3 AS max_repeats, l4 AS max_dup_lines FROM wide"

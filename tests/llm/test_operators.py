@@ -163,6 +163,34 @@ def test_mixing(docs, texts):
             assert abs(sum(r["taken"] for r in own) - target) <= 0.03 * target + 8
 
 
+def quotients(votes, seats):
+    """The plain loop: seat by seat to the highest votes / (2k - 1), ties to the first."""
+    won = [0] * len(votes)
+    for _ in range(seats if sum(votes) else 0):
+        won[max(range(len(votes)), key=lambda k: (votes[k] / (2 * won[k] + 1), -k))] += 1
+    return won
+
+
+@pytest.mark.parametrize("votes,seats", [([50, 30, 20], 10), ([10, 10, 10], 4), ([0, 5, 0], 3), ([1000, 1, 1, 1, 1, 1], 7), ([7], 5), ([3, 3, 1], 0), ([0, 0], 3), ([123, 77, 19, 19, 4, 300], 57)])
+def test_highest_quotients(spark, votes, seats):
+    assert mixing.highest_quotients(np.array(votes, float), seats).tolist() == quotients(votes, seats)
+    parties = spark.createDataFrame([(k, float(v)) for k, v in enumerate(votes)], "rank long, target double")
+    assert [r["seats"] for r in mixing.sainte_lague(parties, "target", seats, ["rank"]).orderBy("rank").collect()] == quotients(votes, seats)
+
+
+@pytest.mark.parametrize("rack", [mixing.RACK, 2])
+def test_mix_of_two_sources_in_shards(spark, monkeypatch, rack):
+    """Racks of two shards deal the same number of blocks."""
+    monkeypatch.setattr(mixing, "RACK", rack)
+    monkeypatch.setattr(mixing, "SHARD_DOCS", 5)
+    rows = [(k, "w " * (k % 17), "a" if k % 3 else "b") for k in range(120)] + [(200, "only four words here", "c")]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for source, target in {(r[2], g["target"]) for r in rows for g in got if g["doc_id"] == r[0]}:
+        own = [g for g in got if g["target"] == target and g["doc_id"] in {r[0] for r in rows if r[2] == source}]
+        assert abs(sum(g["taken"] for g in own) - target) <= 0.02 * target + 8
+    assert next(g["taken"] for g in got if g["doc_id"] == 200) == 12
+
+
 def test_pieces_round_trip_and_best_score(docs, texts):
     rows = sentence_piece.digests(docs).collect()
     assert len(rows) == len(texts) and all(r["round_trip"] for r in rows)
@@ -252,17 +280,20 @@ def test_quality_counts(docs, texts):
     assert got == want
 
 
-def test_groups_get_different_verdicts_for_one_share(spark):
-    """A fifth of capitals is below the fixed floor of 300: usual among headings, odd in prose."""
+def test_groups_get_different_limits_and_verdicts_for_one_share(spark):
+    """A fifth of capitals is usual among headings and odd in prose; a group of two leans on its language."""
     rng = random.Random(4)
 
     def text(capitals):
         t = ["".join(rng.choices("abcdefgh", k=10)) for _ in range(60)]
         return " ".join(w[:c].upper() + w[c:] for w, c in zip(t, (capitals // 60 + (k < capitals % 60) for k in range(60)), strict=True))
 
-    rows = [(k, text(rng.randrange(40, 130)), "en", "headings") for k in range(80)] + [(100 + k, text(rng.randrange(4, 9)), "en", "prose") for k in range(80)] + [(200, text(120), "en", "headings"), (201, text(120), "en", "prose")]
+    rows = [(k, text(rng.randrange(40, 130)), "en", "headings") for k in range(80)] + [(100 + k, text(rng.randrange(4, 9)), "en", "prose") for k in range(80)]
+    rows += [(200, text(120), "en", "headings"), (201, text(120), "en", "prose"), (300, text(5), "en", "few"), (301, text(5), "en", "few")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    assert {r["doc_id"]: r["capitals"] for r in quality.judge(docs).collect() if r["doc_id"] >= 200} == {200: 200, 201: 200}
+    assert {r["doc_id"]: r["capitals"] for r in quality.judge(docs).collect() if r["doc_id"] in (200, 201)} == {200: 2000, 201: 2000}
+    limit = {r["source"]: r["max_capitals"] for r in quality.group_limits(docs).collect()}
+    assert limit["prose"] < 2000 < limit["headings"] and limit["prose"] < limit["few"]
     assert {r["doc_id"] for r in stages.of_quality(docs).collect()} == {r[0] for r in rows} - {201}
 
 
