@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,188 +16,278 @@ from stormsift.llm.common import table
 #: An attribute: a name, and after = a value, which quotes enclose only where it begins.
 _ATTRIBUTE = r"([^\s/>][^\s/>=]*+)(?>\s*+=\s*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^\s>]*+)))?+"
 _ATTRIBUTES = re.compile(_ATTRIBUTE)
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*+)((?>[\s/]++|" + re.sub(r"\((?=\[)", "(?:", _ATTRIBUTE) + r")*+)(?:>|\Z)|[^<]+|<", re.S)
-_MAY_HIDE = re.compile(r"hidden|style", re.I)
+_COMMENT = r"<!---?>|<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)"
+_TOKEN = re.compile(_COMMENT + r"|<(/?)([a-zA-Z][^\s/>]*+)((?>[\s/]++|" + re.sub(r"\((?=\[)", "(?:", _ATTRIBUTE) + r")*+)(?:>|\Z)|[^<]+|<", re.S)
+_USED = re.compile(r"hidden|style|span", re.I)
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
 _RAW = frozenset(("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"))
 _UNSEEN = frozenset(("head", "script", "style", "title", "template", "noscript", "iframe", "object", "select", "datalist", "noembed", "noframes"))
 _VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 _SPACED = frozenset(("p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "dl", "table", "pre", "blockquote", "figure", "fieldset"))
 _BLOCK = _SPACED | frozenset(("html", "body", "div", "article", "section", "nav", "header", "footer", "main", "aside", "address", "form", "li", "dt", "dd", "tr", "td", "th", "thead", "tbody", "tfoot", "caption", "figcaption", "details", "summary", "hr", "center"))
+_CELLS, _GROUPS = ("td", "th"), ("thead", "tbody", "tfoot")
 #: What an opening tag closes, and the elements beyond which it does not look.
-_IMPLIED = {"li": (("li",), ("ul", "ol")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "tbody": (("thead", "tbody", "tfoot", "tr", "td", "th"), ("table",)), "thead": (("tbody", "tr", "td", "th"), ("table",)), "tfoot": (("thead", "tbody", "tr", "td", "th"), ("table",)), "option": (("option",), ("select",)), "body": (("head",), ("html",))}
+_IMPLIED = {"li": (("li",), ("ul", "ol")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", *_CELLS), ("table",)), "td": (_CELLS, ("tr", "table")), "th": (_CELLS, ("tr", "table")), "tbody": ((*_GROUPS, "tr", *_CELLS), ("table",)), "thead": (("tbody", "tr", *_CELLS), ("table",)), "tfoot": (("thead", "tbody", "tr", *_CELLS), ("table",)), "option": (("option",), ("select",))}
 #: What may stand in head; any other element, and text, ends it.
 _IN_HEAD = frozenset(("html", "head", "body", "base", "link", "meta", "title", "noscript", "noframes", "style", "script", "template"))
+#: End tags that reach beyond the cell or table they stand in.
+_FAR = frozenset(("table", "tr", *_CELLS, *_GROUPS, "body", "html"))
+#: Columns that lists and quotes indent at most; what lies deeper stands no further in, so nesting costs no more than its text.
+_INDENT = 36
+#: Columns or rows that a cell spans at most.
+_SPAN = 1000
 
 
-class _Box:
-    """An open element: its tag, whether its text is seen, and, if it is a block, the lines laid out so far."""
+class _Out:
+    """Lines laid out so far at one place: the page, or a table cell; and the inline text of the line at hand."""
 
-    __slots__ = ("tag", "seen", "block", "lines", "inline", "gap", "pre", "count", "rows", "cells")
+    __slots__ = ("lines", "inline", "gap", "marks")
 
-    def __init__(self, tag: str, seen: bool, block: bool, pre: bool):
-        self.tag, self.seen, self.block, self.pre = tag, seen, block, pre
+    def __init__(self) -> None:
         self.lines: list[str] = []
         self.inline: list[str] = []
-        self.gap, self.count = False, 0
-        self.rows: list[list[str]] = []
-        self.cells: list[str] = []
+        self.gap = False
+        self.marks: list[str] = []  # what list items put before their first line
 
-    def flush(self) -> None:
+    def flush(self, indent: str, pre: bool) -> None:
         """Ends the line of inline text."""
-        if self.inline:
-            text = "".join(self.inline)
-            self.inline = []
-            if self.pre:
-                self.add(text.strip("\n").split("\n"), False)
-            else:
-                found = [x.strip() for x in text.split("\v")]
-                while found and not found[-1]:
-                    found.pop()
-                self.add(found, False)
-
-    def add(self, lines: list[str], spaced: bool) -> None:
-        if lines:
-            if self.lines and (spaced or self.gap):
-                self.lines.append("")
-            self.lines += lines
-            self.gap = spaced
-
-
-def _aligned(rows: list[list[str]]) -> list[str]:
-    widths = [max(len(r[k]) if k < len(r) else 0 for r in rows) for k in range(max(map(len, rows)))]
-    return ["  ".join(c.ljust(widths[k]) for k, c in enumerate(r)).rstrip() for r in rows]
-
-
-def _close(stack: list[_Box], blocks: list[_Box]) -> None:
-    """Closes the innermost element and lays it out in the block around it."""
-    box = stack.pop()
-    if not box.block:
-        return
-    box.flush()
-    blocks.pop()
-    if not box.seen or not blocks:
-        return
-    outer = blocks[-1]
-    row = next((b for b in reversed(blocks) if b.tag in ("tr", "table")), None)
-    if box.tag in ("td", "th") and row is not None:
-        row.cells.append(" ".join(x for x in box.lines if x))
-        return
-    if box.tag in ("tr", "table") and box.cells:
-        box.rows.append(box.cells)
-        box.cells = []
-    if box.tag in ("tr", "thead", "tbody", "tfoot") and box.rows:
-        holder = next((b for b in reversed(blocks) if b.tag == "table"), None)
-        if holder is not None:
-            holder.rows += box.rows
-            outer.flush()
-            outer.add(box.lines, False)
+        if not self.inline:
+            return
+        text = "".join(self.inline)
+        self.inline = []
+        if pre:
+            found = text.strip("\n").split("\n")
+        else:
+            found = [x.strip() for x in text.split("\v")]
+            while found and not found[-1]:
+                found.pop()
+        self.add(found, indent)
+
+    def add(self, lines: list[str], indent: str) -> None:
+        if not lines:
+            return
+        if self.lines and self.gap:
+            self.lines.append("")
+        self.gap = False
+        for k, x in enumerate(lines):
+            start = indent
+            if k == 0 and self.marks:
+                mark = self.marks[-1]
+                self.marks.clear()
+                start = indent[: max(0, len(indent) - len(mark))] + mark
+            self.lines.append(start + x if x else start.rstrip() if k == 0 and start != indent else x)
+
+
+class _Box:
+    """An open element: its tag, whether its text is seen and laid out as it stands, its indent, and what a list or table holds."""
+
+    __slots__ = ("tag", "seen", "shown", "block", "pre", "indent", "count", "rows", "row", "out", "span")
+
+    def __init__(self, tag: str, shown: bool, seen: bool, block: bool, pre: bool, indent: int):
+        self.tag, self.shown, self.seen, self.block, self.pre, self.indent = tag, shown, seen, block, pre, indent
+        self.count = 0
+        self.rows: list[list[tuple[str, int, int]]] = []
+        self.row: list[tuple[str, int, int]] = []
+        self.out: _Out | None = None
+        self.span = (1, 1)
+
+
+def aligned(rows: list[list[tuple[str, int, int]]]) -> list[str]:
+    """Lines of a table of rows of (text, columns, rows spanned): a column is as wide as its widest cell of one column."""
+    grid: list[dict[int, str]] = [{} for _ in rows]
+    wide: dict[int, int] = defaultdict(int)
+    open_rows: dict[int, int] = {}  # column: rows that a cell above still takes
+    for at, row in enumerate(rows):
+        column = 0
+        taken = {c for c, n in open_rows.items() if n > 0}
+        open_rows = {c: n - 1 for c, n in open_rows.items() if n > 1}
+        for text, across, down in row:
+            while column in taken:
+                column += 1
+            grid[at][column] = text
+            if across == 1:
+                wide[column] = max(wide[column], len(text))
+            for c in range(column, column + across):
+                if down > 1:
+                    open_rows[c] = down - 1
+            column += across
+    columns = sorted({c for row in grid for c in row})
+    start, place = {}, 0
+    for c in columns:
+        start[c] = place
+        place += wide[c] + 2
+    lines = []
+    for row in grid:
+        line = ""
+        for c in sorted(row):
+            if row[c]:
+                line = line.ljust(start[c]) if len(line) < start[c] or not line else line + "  "
+                line += row[c]
+        lines.append(line)
+    return lines
+
+
+class _Page:
+    """The tree builder: open elements, and for each tag the places where it is open, so every step looks at few of them."""
+
+    def __init__(self) -> None:
+        self.stack = [_Box("#root", True, True, True, False, 0)]
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.blocks = [0]
+        self.outs = [_Out()]
+
+    def last(self, tags: tuple[str, ...]) -> int:
+        """The place of the innermost open element among these tags, or 0."""
+        return max((self.places[t][-1] for t in tags if self.places[t]), default=0)
+
+    def flush(self) -> None:
+        box = self.stack[self.blocks[-1]]
+        self.outs[-1].flush(" " * box.indent, box.pre)
+
+    def open(self, tag: str, hidden: str, span: tuple[int, int]) -> None:
+        up = self.stack[-1]
+        block = tag in _BLOCK
+        shown = up.shown and tag not in _UNSEEN and hidden != "none"
+        seen = shown and (hidden == "visible" or up.seen and hidden != "hidden")
+        holder = self.stack[self.last(("ul", "ol"))] if tag == "li" else up
+        deeper = (3 if holder.tag == "ol" else 2) if tag in ("li", "dd", "blockquote") else 0
+        box = _Box(tag, shown, seen, block, up.pre or tag == "pre", min(up.indent + deeper, _INDENT) if up.indent < _INDENT else up.indent)
+        box.span = span
+        if block:
+            self.flush()
+            if seen and tag in _SPACED and not (tag in ("ul", "ol") and self.places["li"]):
+                self.outs[-1].gap = True
+            self.blocks.append(len(self.stack))
+        if tag == "li" and seen:
+            holder.count += 1
+            self.outs[-1].marks.append(f"{holder.count}. " if holder.tag == "ol" else "- ")
+        if tag in _CELLS and self.last(("tr", "table")):
+            box.out = _Out()
+            self.outs.append(box.out)
+        self.places[tag].append(len(self.stack))
+        self.stack.append(box)
+
+    def close(self) -> None:
+        """Closes the innermost element and lays out what it held."""
+        box = self.stack[-1]
+        if box.block:
+            self.flush()
+            self.blocks.pop()
+        self.stack.pop()
+        self.places[box.tag].pop()
+        if box.out is not None:
+            self.outs.pop()
+            if box.shown:
+                self.stack[self.last(("tr", "table"))].row.append((" ".join(x.strip() for x in box.out.lines if x), *box.span))
             return
-    lines = box.lines + (_aligned(box.rows) if box.rows else [])
-    if box.tag == "li":
-        outer_list = next((b for b in reversed(blocks) if b.tag in ("ul", "ol")), None)
-        mark = "- "
-        if outer_list is not None and outer_list.tag == "ol":
-            outer_list.count += 1
-            mark = f"{outer_list.count}. "
-        lines = [(mark if k == 0 else " " * len(mark)) + x if x else x for k, x in enumerate(lines)]
-    elif box.tag in ("dd", "blockquote"):
-        lines = ["  " + x if x else x for x in lines]
-    nested = box.tag in ("ul", "ol") and any(b.tag == "li" for b in blocks)
-    outer.flush()
-    outer.add(lines, box.tag in _SPACED and not nested)
-
-
-def _open(stack: list[_Box], blocks: list[_Box], tag: str, hidden: bool) -> None:
-    block = tag in _BLOCK
-    box = _Box(tag, stack[-1].seen and not hidden and tag not in _UNSEEN, block, stack[-1].pre or tag == "pre")
-    if block:
-        blocks[-1].flush()
-        blocks.append(box)
-    stack.append(box)
-
-
-def _hides(attributes: str) -> bool:
-    """Whether the attribute hidden or the element's own style hides it; of equal names the first counts, of equal properties the last."""
-    if not _MAY_HIDE.search(attributes):
-        return False
+        if box.tag in ("tr", "table") and box.row:
+            box.rows.append(box.row)
+        if box.tag == "tr" and box.rows and self.last(("table",)):
+            self.stack[self.last(("table",))].rows += box.rows
+        elif box.rows and box.tag in ("tr", "table"):
+            self.outs[-1].add(aligned(box.rows), " " * box.indent)
+        if box.tag == "li" and box.seen and self.outs[-1].marks:
+            self.outs[-1].marks.pop()
+        if box.seen and box.tag in _SPACED and not (box.tag in ("ul", "ol") and self.places["li"]):
+            self.outs[-1].gap = True
+
+    def close_to(self, k: int) -> None:
+        while len(self.stack) > k:
+            self.close()
+
+    def end_head(self) -> None:
+        if self.stack[-1].tag == "head":
+            self.close()
+            self.open("body", "", (1, 1))
+
+    def text(self, text: str) -> None:
+        if text.strip(" \t\n\r\f"):
+            self.end_head()
+        if not self.stack[-1].seen:
+            return
+        text = html.unescape(text)
+        inline = self.outs[-1].inline
+        if not self.stack[self.blocks[-1]].pre:
+            text = _BLANKS.sub(" ", text)
+            if not inline or inline[-1][-1:] in (" ", "\v"):
+                text = text.lstrip(" ")
+        if text:
+            inline.append(text)
+
+    def end_tag(self, tag: str) -> None:
+        k = self.last((tag,))
+        if k and (tag in _FAR or k > self.last((*_CELLS, "table"))) and (tag in ("table", "body", "html") or k >= self.last(("table",))):
+            self.close_to(k)
+
+    def start_tag(self, tag: str, attributes: str) -> None:
+        if tag not in _IN_HEAD:
+            self.end_head()
+        if tag == "body":
+            if self.places["body"]:
+                return
+            if self.places["head"]:
+                self.close_to(self.places["head"][-1])
+        if tag in _IMPLIED:
+            closes, until = _IMPLIED[tag]
+            limit = self.last(until)
+            inner = [p for t in closes for p in self.places[t][-1:] if p > limit]
+            while inner:
+                self.close_to(min(inner))
+                inner = [p for t in closes for p in self.places[t][-1:] if p > limit]
+        if tag in _BLOCK and self.stack[self.blocks[-1]].tag == "p":
+            self.close_to(self.blocks[-1])
+        if tag == "br":
+            if self.stack[-1].seen:
+                self.outs[-1].inline.append("\n" if self.stack[self.blocks[-1]].pre else "\v")
+        elif tag == "hr":
+            self.flush()
+            self.outs[-1].gap = True
+        elif tag not in _VOID:
+            self.open(tag, *_looks(attributes))
+
+
+def _looks(attributes: str) -> tuple[str, tuple[int, int]]:
+    """(none, hidden, visible or nothing; (columns, rows) spanned) by an element's attributes; of equal names the first counts, of equal properties the last."""
+    if not attributes or not _USED.search(attributes):
+        return "", (1, 1)
     values: dict[str, str] = {}
     for m in _ATTRIBUTES.finditer(attributes):
         values.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
     style = dict(map(str.strip, x.split(":", 1)) for x in html.unescape(values.get("style", "")).lower().split(";") if ":" in x)
-    return "hidden" in values or style.get("display", "").startswith("none") or style.get("visibility", "").startswith("hidden")
-
-
-def _end_head(stack: list[_Box], blocks: list[_Box]) -> None:
-    if stack[-1].tag == "head":
-        _close(stack, blocks)
-        _open(stack, blocks, "body", False)
+    display, visible = style.get("display", ""), style.get("visibility", "")
+    how = "none" if "hidden" in values or display.startswith("none") else "hidden" if visible.startswith(("hidden", "collapse")) else "visible" if visible.startswith("visible") else ""
+    number = lambda x: min(max(int(m[0]), 1), _SPAN) if (m := re.match(r"\s*[0-9]{1,9}", x)) else 1
+    return how, (number(values.get("colspan", "")), number(values.get("rowspan", "")))
 
 
 def render(page: str) -> str:
     """The page's visible text as laid out: blocks on lines of their own, blank lines around paragraphs, headings, lists and
     tables, list marks with indents, table columns aligned, preformatted text as it is. Tags may be missing or unclosed."""
-    stack = [_Box("#root", True, True, False)]
-    blocks = [stack[0]]
+    p = _Page()
     at = 0
     while m := _TOKEN.match(page, at):
         at = m.end()
         tag = m[2]
         if tag is None:
-            text = m[0]
-            if text[0] == "<" and len(text) > 1:
-                continue
-            if text.strip(" \t\n\r\f"):
-                _end_head(stack, blocks)
-            if stack[-1].seen:
-                text = html.unescape(text)
-                blocks[-1].inline.append(text if blocks[-1].pre else _BLANKS.sub(" ", text) if not _ends_blank(blocks[-1]) else _BLANKS.sub(" ", text).lstrip(" "))
+            if len(m[0]) == 1 or m[0][0] != "<":
+                p.text(m[0])
             continue
         tag = tag.lower()
         if m[1]:
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag or tag not in ("table",) and stack[k].tag in ("td", "th", "table") and tag not in ("tr", "td", "th", "tbody", "thead", "tfoot", "body", "html")), 0)
-            if k and stack[k].tag == tag:
-                while len(stack) > k:
-                    _close(stack, blocks)
+            p.end_tag(tag)
             continue
-        if tag not in _IN_HEAD:
-            _end_head(stack, blocks)
-        if tag == "body" and any(b.tag == "body" for b in stack):
-            continue
-        if tag in _IMPLIED:
-            closes, until = _IMPLIED[tag]
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag in until), 0)
-            if any(b.tag in closes for b in stack[k + 1 :]):
-                k = next(j for j in range(k + 1, len(stack)) if stack[j].tag in closes)
-                while len(stack) > k:
-                    _close(stack, blocks)
-        if tag in _BLOCK:
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].block), 0)
-            if stack[k].tag == "p":
-                while len(stack) > k:
-                    _close(stack, blocks)
-        if tag == "br":
-            blocks[-1].inline.append("\n" if blocks[-1].pre else "\v")
-        elif tag == "hr":
-            blocks[-1].flush()
-            blocks[-1].gap = True
-        elif tag not in _VOID:
-            _open(stack, blocks, tag, bool(m[3]) and _hides(m[3]))
-            if tag in _RAW:
-                end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
-                text = page[at : end.start() if end else len(page)]
-                at = end.end() if end else len(page)
-                if stack[-1].seen:
-                    blocks[-1].inline.append(html.unescape(text))
-                _close(stack, blocks)
-    while len(stack) > 1:
-        _close(stack, blocks)
-    stack[0].flush()
-    return "\n".join(stack[0].lines)
-
-
-def _ends_blank(box: _Box) -> bool:
-    return not box.inline or box.inline[-1][-1:] in (" ", "\v")
+        p.start_tag(tag, m[3])
+        if tag in _RAW:
+            end = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, at)
+            text = page[at : end.start() if end else len(page)]
+            at = end.end() if end else len(page)
+            if p.stack[-1].tag == tag:
+                if p.stack[-1].seen:
+                    p.outs[-1].inline.append(html.unescape(text) if tag in ("textarea", "title") else text)
+                p.close()
+    p.close_to(1)
+    p.flush()
+    return "\n".join(p.outs[0].lines)
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

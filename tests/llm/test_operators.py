@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -270,6 +271,111 @@ def test_html_attributes_and_stray_cells(page, text):
     assert html_text.render(page) == text
 
 
+@pytest.mark.parametrize("page,text", [
+    ("<!-->a<!--->b<!-- c --!>d", "abd"), ("<div style='visibility:hidden'>no<p style='visibility:visible'>yes</p></div>", "yes"), ("<div style='display:none'>no<p style='visibility:visible'>no</p></div>a", "a"),
+    ("<table><tr><td colspan=2>wide cell<td>c<tr><td>a<td>b<td>d</table>", "wide cell  c\na  b  d"), ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a  b\n   c"),
+    ("<table><tr><td>a<td hidden>no<td>b</table>", "a  b"), ("<ul><li><li>x<li hidden>no<li>y</ul>", "- x\n- y"), ("<ol>" + "<li>x" * 10, "\n".join(f"{k}. x" for k in range(1, 11))),
+    ("<dl><dt>a<dd>b<dt>c</dl>", "a\n  b\nc"), ("<table><tr><td>a<table><tr><td>b<td>c</table></table>", "a b  c"), ("a<hr>b", "a\n\nb"), ("<textarea>&lt;b></textarea><xmp><b></xmp>", "<b><b>"),
+])
+def test_html_layout(page, text):
+    assert html_text.render(page) == text
+
+
+@pytest.mark.parametrize("part", ["<ul><li>x", "<div>", "<b>", "<table><tr><td>", "<blockquote>y", "<p>x<table><td>a", "<a ", "<!-- ", "<p x='"])
+def test_html_nested_deeply_costs_its_length(part):
+    began = time.process_time()
+    html_text.render(part * 20_000)
+    assert time.process_time() - began < 8
+
+
+def _plain(nodes, depth=0):
+    """Lines of a tree by a plain walk; None is a gap. Nodes: text, (tag, children) or (table, rows)."""
+    out = []
+    for kind, value in nodes:
+        if kind == "text":
+            out.append(value)
+        elif kind == "p":
+            out += [None, *value.split("|"), None]
+        elif kind == "div":
+            out += _plain(value, depth)
+        elif kind == "quote":
+            out += [None, *(x if x is None else "  " + x for x in _plain(value, depth)), None]
+        elif kind in ("ul", "ol"):
+            gap = [] if depth else [None]
+            out += gap
+            for k, item in enumerate(value):
+                mark = "- " if kind == "ul" else f"{k + 1}. "
+                lines = _plain(item, depth + 1)
+                first = next((j for j, x in enumerate(lines) if x is not None), None)
+                out += [x if x is None else (mark if j == first else " " * len(mark)) + x for j, x in enumerate(lines)]
+            out += gap
+        elif kind == "table":
+            widths = [max(len(r[c]) for r in value) for c in range(len(value[0]))]
+            out += [None, *("  ".join(x.ljust(w) for x, w in zip(r, widths, strict=True)).rstrip() for r in value), None]
+    return out
+
+
+def _tree(rng, depth=0):
+    word = lambda: rng.choice(["alpha", "be", "gamma delta", "e"])
+    kinds = ["p", "p", "table", "hidden"] + ([] if depth > 2 else ["div", "quote", "ul", "ol"])
+    nodes = []
+    for _ in range(rng.randrange(1, 4)):
+        kind = rng.choice(kinds)
+        if kind in ("p", "hidden"):
+            nodes.append((kind, "|".join(word() for _ in range(rng.randrange(1, 3)))))
+        elif kind == "table":
+            n = rng.randrange(1, 4)
+            nodes.append((kind, [[word() for _ in range(n)] for _ in range(rng.randrange(1, 4))]))
+        elif kind in ("ul", "ol"):
+            nodes.append((kind, [[("text", word()), *(_tree(rng, depth + 1) if rng.random() < 0.4 else [])] for _ in range(rng.randrange(1, 4))]))
+        else:
+            nodes.append((kind, [("text", word())] if rng.random() < 0.3 else _tree(rng, depth + 1)))
+    return nodes
+
+
+def _html(rng, nodes):
+    end = lambda tag: "" if rng.random() < 0.5 else f"</{tag}>"
+    out = []
+    for kind, value in nodes:
+        if kind == "text":
+            out.append(f"<b>{value}</b>" if rng.random() < 0.3 else f"\n {value}  ")
+        elif kind == "p":
+            out.append("<p class='x'>" + value.replace("|", "<br>") + end("p"))
+        elif kind == "hidden":
+            out.append(f"<div hidden><p>{value}</div>")
+        elif kind == "table":
+            out.append("<table>" + "".join("<tr>" + "".join(f"<td>{c}{end('td')}" for c in r) + end("tr") for r in value) + "</table>")
+        elif kind in ("ul", "ol"):
+            out.append(f"<{kind}>" + "".join("<li>" + _html(rng, item) + end("li") for item in value) + f"</{kind}>")
+        else:
+            tag = "blockquote" if kind == "quote" else kind
+            out.append(f"<{tag}>" + _html(rng, value) + f"</{tag}>")
+    return "".join(out)
+
+
+@pytest.mark.parametrize("seed", range(300))
+def test_html_equals_a_plain_walk_over_random_trees(seed):
+    rng = random.Random(seed)
+    tree = _tree(rng)
+    lines, gap = [], False
+    for x in _plain(tree):
+        if x is None:
+            gap = True
+            continue
+        lines += [""] if gap and lines else []
+        lines.append(x)
+        gap = False
+    assert html_text.render(_html(rng, tree)) == "\n".join(lines)
+
+
+def test_extract_text_of_odd_rows(spark):
+    rows = [(1, "u", "<p>a"), (1, "u", "<p>a"), (None, None, None), (2, "u", ""), (3, None, "<p>" + "long " * 200_000)]
+    pages = spark.createDataFrame([(*r, 5, "x") for r in rows], "page_id long, url string, html string, n_chars int, text string")
+    got = Counter((r["page_id"], r["text"], r["n_chars"], r["n_lines"]) for r in html_text.extract_text(pages).collect())
+    assert got == Counter([(1, "a", 1, 1), (1, "a", 1, 1), (None, "", 0, 0), (2, "", 0, 0), (3, ("long " * 200_000).strip(), 999_999, 1)])
+    assert html_text.extract_text(pages.limit(0)).count() == 0
+
+
 def test_quality_counts(docs, texts):
     got = Counter((r["doc_id"], r["n_words"], r["n_repeat_words"]) for r in quality.judge(docs).collect())
     want = Counter()
