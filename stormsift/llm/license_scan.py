@@ -29,7 +29,36 @@ class Template:
     base: bool = False
 
 
-#: Base phrases (fixed values of the query's contract) and the notices that projects put in their files.
+# Public licence texts, without the lines that name a holder.
+_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software
+without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to
+whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions
+of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR
+PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_REDISTRIBUTION = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of
+source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list
+of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_ENDORSE = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written
+permission."""
+_AS_IS = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR
+CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF
+LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission
+notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."""
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"""
+_APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR
+CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+_GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version
+{} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""
+_PUBLIC = """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source
+code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""
+
+#: Base phrases (fixed values of the query's contract), the notices that projects put in their files, and licence texts.
 TEMPLATES = (
     Template("mit", "mit license", ("mit license",), True),
     Template("apache", "apache license", ("apache license",), True),
@@ -46,7 +75,19 @@ TEMPLATES = (
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ("redistribution and use in source and binary forms",)),
     Template("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
     Template("isc", "isc license permission to use copy modify", ("isc license",)),
+    Template("mit-text", _GRANT, ("permission is hereby granted free of charge", "furnished to do so")),
+    Template("bsd-2-text", f"{_REDISTRIBUTION} {_AS_IS}", ("redistribution and use in source and binary forms", "redistributions in binary form must reproduce")),
+    Template("bsd-3-text", f"{_REDISTRIBUTION} {_ENDORSE} {_AS_IS}", ("redistribution and use in source and binary forms", "endorse or promote products derived")),
+    Template("isc-text", _ISC, ("with or without fee is hereby granted",)),
+    Template("zlib-text", _ZLIB, ("alter it and redistribute it freely",)),
+    Template("apache-2.0-text", _APACHE, ("licensed under the apache license version 2 0", "distributed on an as is basis")),
+    Template("gpl-2-text", _GPL.format(2), ("gnu general public license", "either version 2")),
+    Template("gpl-3-text", _GPL.format(3), ("gnu general public license", "either version 3")),
+    Template("unlicense-text", _PUBLIC, ("unencumbered software released into the public domain",)),
 )
+#: Distinct words of a file, those of highest IDF, that are looked up besides the rarest word of each key phrase; a word
+#: that more than half of all documents hold is looked up only as the latter.
+RARE = 8
 
 
 def words_of(text: str) -> list[str]:
@@ -95,11 +136,11 @@ def _keyed(vocab: list[str]) -> tuple[np.ndarray, list[str]]:
 def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, min_score: float = 0.6) -> DataFrame:
     """One row per document: n_words, base places, labels, and the best score.
 
-    Method: a positional rare-token index. Document frequencies of all licence words are counted over all documents;
-    each template is posted under the highest-IDF word of its mandatory key phrases. Where a file holds such a word, the
-    template's words are intersected with the file's by relative position; all key phrases must stand in place, and the
-    IDF-weighted share of template words in place must reach min_score. A key phrase is mandatory, so posting it under
-    one of its words loses no match.
+    Method: a positional rare-token index. Document frequencies of all licence words are counted over all documents. Each
+    word posts the templates and positions at which it stands. A file looks up the postings of its RARE licence words of
+    highest IDF and of the rarest word of each key phrase; what they agree on by relative position are places where a
+    template may start. There all key phrases must stand in place, and the IDF-weighted share of template words in place
+    must reach min_score. A match holds its key phrases, so looking up their rarest words loses none.
 
     Null text counts as empty (n_words 0, no labels, score 0, null first_word and last_word); an empty table gives no
     rows; repeated rows each give a row; other columns are not read.
@@ -113,35 +154,63 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES,
     most = max(len(words_of(t.text)) for t in templates)
     want = np.full((len(templates), most), -2)
     must = np.zeros((len(templates), most), bool)
-    posted: dict[int, list[tuple[int, int]]] = {}
+    anchor_at = np.zeros(len(templates), np.int64)
+    is_anchor = np.zeros(len(names), bool)
     for k, t in enumerate(templates):
         words = words_of(t.text)
         want[k, : len(words)] = [number[w] for w in words]
         for key in map(words_of, t.keys):
             at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
             must[k, at : at + len(key)] = True
-        anchor = max(np.flatnonzero(must[k]), key=lambda j: (idf[want[k, j]], -j))
-        posted.setdefault(int(want[k, anchor]), []).append((k, int(anchor)))
+        anchor_at[k] = max(np.flatnonzero(must[k]), key=lambda j: (idf[want[k, j]], -j))
+        is_anchor[want[k, anchor_at[k]]] = True
+    anchor_word = want[np.arange(len(templates)), anchor_at]
+    # postings of word v: (template, position) at first_post[v]..first_post[v + 1]
+    post_t, post_j = np.nonzero(want >= 0)
+    by_word = np.argsort(want[post_t, post_j], kind="stable")
+    post_t, post_j = post_t[by_word], post_j[by_word]
+    first_post = np.searchsorted(want[post_t, post_j], np.arange(len(names) + 1))
+    rarity = np.argsort(np.argsort(-idf, kind="stable"), kind="stable")
+    usual = idf < np.log(2)
     weight = np.where(want >= 0, idf[np.maximum(want, 0)], 0.0)
     weight /= weight.sum(axis=1, keepdims=True)
     base = np.array([t.base for t in templates])
     labels = [t.label for t in templates]
 
+    def looked_up(doc: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Which occurrences of licence words are looked up: anchors, and those of each document's RARE rarest words."""
+        pair = np.unique(doc * len(names) + rarity[word])
+        of = pair // len(names)
+        place = np.arange(len(pair)) - np.searchsorted(of, of)
+        few = pair[place < RARE]
+        return is_anchor[word] | (np.isin(doc * len(names) + rarity[word], few) & ~usual[word])
+
     def match(n: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ...]:
         """Accepted (document, template, first word) with scores, of one chunk."""
         first = np.concatenate(([0], np.cumsum(n)))
-        cand = [(np.flatnonzero(w == word) - j, np.full(np.count_nonzero(w == word), k), j) for word, of in posted.items() for k, j in of]
-        start = np.concatenate([c[0] for c in cand])
-        tmpl = np.concatenate([c[1] for c in cand])
-        anchor = np.concatenate([np.full(len(c[0]), c[2]) for c in cand])
-        doc = np.searchsorted(first, start + anchor, "right") - 1
+        at = np.flatnonzero(w >= 0)
+        doc = np.searchsorted(first, at, "right") - 1
+        at, doc = (x[looked_up(doc, w[at])] for x in (at, doc)) if len(at) else (at, doc)
+        posts = first_post[w[at] + 1] - first_post[w[at]]
+        item = np.repeat(first_post[w[at]] - np.concatenate(([0], np.cumsum(posts)[:-1])), posts) + np.arange(int(posts.sum()))
+        tmpl, start, doc = post_t[item], np.repeat(at, posts) - post_j[item], np.repeat(doc, posts)
+        # the rarest word of the key phrases must agree on the place
+        pivot = start + anchor_at[tmpl]
+        ok = (pivot >= first[doc]) & (pivot < first[doc + 1])
+        ok &= w[np.where(ok, pivot, 0)] == anchor_word[tmpl]
+        tmpl, start, doc = tmpl[ok], start[ok], doc[ok]
+        one = np.unique((start - start.min(initial=0)) * len(templates) + tmpl, return_index=True)[1]
+        tmpl, start, doc = tmpl[one], start[one], doc[one]
         score, keys = np.zeros(len(start)), np.ones(len(start), bool)
         for j in range(most):
-            at = start + j
-            inside = (at >= first[doc]) & (at < first[doc + 1])
-            same = inside & (w[np.where(inside, at, 0)] == want[tmpl, j])
-            score += np.where(same, weight[tmpl, j], 0)
-            keys &= same | ~must[tmpl, j]
+            live = np.flatnonzero(want[tmpl, j] >= 0)
+            if not len(live):
+                break
+            at = start[live] + j
+            inside = (at >= first[doc[live]]) & (at < first[doc[live] + 1])
+            same = inside & (w[np.where(inside, at, 0)] == want[tmpl[live], j])
+            score[live] += np.where(same, weight[tmpl[live], j], 0)
+            keys[live] &= same | ~must[tmpl[live], j]
         good = keys & (score >= np.where(base[tmpl], 1 - 1e-9, min_score))
         return doc[good], tmpl[good], (start - first[doc])[good], np.minimum(score[good], 1.0)
 
