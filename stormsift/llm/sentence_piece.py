@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +19,11 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _MARK = "▁"
 _UNKNOWN_PENALTY = 10.0
 _TEXT_BYTES = 1 << 21
+#: Bytes of a segment that is walked by itself.
+LONG = 2048
 
 
-@dataclass(frozen=True, eq=False)
+@dataclass(eq=False)
 class Pieces:
     """Pieces as bytes (the marker as a blank), log scores, ids of the 256 byte pieces, and the double-array trie."""
 
@@ -34,7 +36,11 @@ class Pieces:
     solo: np.ndarray
     split: bool
 
-    @property
+    @cached_property
+    def lists(self) -> tuple[list[int], list[int], list[int]]:
+        return self.base.tolist(), self.check.tolist(), self.leaf.tolist()
+
+    @cached_property
     def fallback(self) -> float:
         return float(self.scores[self.leaf[self.leaf >= 0]].min()) - _UNKNOWN_PENALTY if (self.leaf >= 0).any() else -_UNKNOWN_PENALTY
 
@@ -120,6 +126,33 @@ def load_pieces(path: str = MODEL) -> Pieces:
     return make_pieces([(p.id_to_piece(k).replace(_MARK, " ").encode(), float(s), k) for k, s in zip(plain, scores, strict=True)], n, byte_ids)
 
 
+def viterbi_long(pieces: Pieces, body: bytes) -> list[int]:
+    """The same path through one long segment, byte by byte: a segment without blanks can be as long as its text."""
+    base, check, leaf = pieces.lists
+    scores, fallback, byte_ids = pieces.scores.tolist(), pieces.fallback, pieces.byte_ids.tolist()
+    n, m = len(body), len(check)
+    best, back, came = [float("-inf")] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+    best[0] = 0.0
+    for r in range(n):
+        value = best[r]
+        if value + fallback > best[r + 1]:
+            best[r + 1], back[r + 1], came[r + 1] = value + fallback, 1, byte_ids[body[r]]
+        state, end = 0, r
+        while end < n:
+            nxt = base[state] + body[end] + 1
+            if nxt >= m or check[nxt] != state:
+                break
+            state, end = nxt, end + 1
+            k = leaf[state]
+            if k >= 0 and value + scores[k] > best[end]:
+                best[end], back[end], came[end] = value + scores[k], end - r, k
+    out, at = [], n
+    while at:
+        out.append(came[at])
+        at -= back[at]
+    return out[::-1]
+
+
 def viterbi(pieces: Pieces, body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(pieces per segment, ids): the path of highest summed score through each segment; of equal ones, that of earlier starts.
 
@@ -208,8 +241,17 @@ def encode_rows(pieces: Pieces, offsets: np.ndarray, body: np.ndarray) -> tuple[
     starts = np.flatnonzero(cut)
     ends = np.append(starts[1:], len(text))
     _, one, inverse = np.unique(word_hashes(text, starts, ends, lower=False), return_index=True, return_inverse=True)
-    count, ids = viterbi(pieces, text, starts[one], ends[one])
-    place = np.cumsum(count) - count
+    long = ends[one] - starts[one] > LONG
+    some, ids = viterbi(pieces, text, starts[one[~long]], ends[one[~long]])
+    count = np.zeros(len(one), np.int64)
+    count[~long] = some
+    if long.any():  # their ids stand after the others'
+        more = [viterbi_long(pieces, text[starts[k] : ends[k]].tobytes()) for k in one[long]]
+        count[long] = [len(x) for x in more]
+        ids = np.concatenate([ids, *(np.array(x, np.int32) for x in more)])
+    order = np.concatenate((np.flatnonzero(~long), np.flatnonzero(long)))
+    place = np.empty(len(one), np.int64)
+    place[order] = np.cumsum(count[order]) - count[order]
     all_ids = ids[ragged(place, count, inverse)]
     per_row = np.zeros(n, np.int64)
     row = np.flatnonzero(full)[np.searchsorted(begin, starts, "right") - 1]
@@ -249,7 +291,7 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
 
 
 def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
-    """(doc_id, text) from (doc_id, ids); null ids give an empty text."""
+    """(doc_id, text) from (doc_id, ids); null ids give an empty text, and bytes that are no UTF-8 the replacement character."""
     pieces = load_pieces(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +299,7 @@ def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
             lists = batch.column("ids")
             counts = np.array([len(x) if x is not None else 0 for x in lists.to_pylist()], np.int64)
             offsets, body = decode_rows(pieces, counts, lists.flatten().to_numpy())
-            text = pa.array([body[a:b].tobytes().decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.string())
+            text = pa.array([body[a:b].tobytes().decode(errors="replace") for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), text], ["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")

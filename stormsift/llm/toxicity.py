@@ -8,12 +8,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from stormsift.llm.common import _BYTE, _LOWER, SPACE, chunks, mix, table, word_spans
 
-#: Bound of the fit: at most so many labelled documents of each class, of at most so many characters; the driver holds
-#: their n-gram buckets, not their texts.
-SAMPLE, SAMPLE_CHARS = 1500, 20_000
+#: Bound of the fit: at most so many labelled documents of each class, of at most so many characters each and so many
+#: together; the driver holds their n-gram buckets (two bytes each, about three a character), not their texts.
+SAMPLE, SAMPLE_CHARS, CLASS_CHARS = 1500, 20_000, 12_000_000
 BUCKETS = 1 << 16
 DIM = 8
 #: Lengths of n-grams.
@@ -135,7 +136,7 @@ class Model:
 
 
 def word_values(scores: np.ndarray, words: np.ndarray, grams: np.ndarray, buckets: np.ndarray, bias: float) -> np.ndarray:
-    """Logit of each document: the mean of its WORST highest words' logits; 0 words give the bias."""
+    """Logit of each document: the mean of its POOL highest words' logits; 0 words give the bias."""
     out = np.full(len(words), bias, np.float64)
     if len(grams):
         value = spans(scores[buckets], grams) / grams
@@ -159,13 +160,19 @@ def held_out(doc_id: F.Column) -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float] | None:
     """(bucket scores, bias) learned from rows that are not held out; None if they do not show both classes.
 
-    The sample is the rows of least hash of each class, so reruns agree; it is bounded by SAMPLE and SAMPLE_CHARS.
+    The sample is the documents of least hash of each class, so reruns agree; it is bounded by SAMPLE, SAMPLE_CHARS and
+    CLASS_CHARS. An id that is labelled twice counts as toxic if one of its labels does; of texts that share an id the
+    one of least hash is learned from.
     """
-    own = labels.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("toxic"))
-    short = docs.where(F.length("text").between(1, SAMPLE_CHARS)).select(F.col("doc_id").alias("label_id"))
-    parts = [own.where(f"toxic = {y}").join(short, "label_id", "left_semi").orderBy(F.xxhash64("label_id"), "label_id").limit(SAMPLE) for y in (0, 1)]
-    sample = F.broadcast(parts[0].union(parts[1]))  # SAMPLE rows a class at most
-    rows = docs.select(F.col("doc_id").alias("label_id"), "text").where(F.length("text").between(1, SAMPLE_CHARS)).join(sample, "label_id")
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
+    own = known.groupBy(F.col("doc_id").alias("label_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    fits = F.length("text").between(1, SAMPLE_CHARS)
+    sized = docs.where(fits & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("label_id")).agg(F.max(F.length("text")).alias("chars"))
+    parts = [own.where(f"toxic = {y}").join(sized, "label_id").orderBy(F.xxhash64("label_id"), "label_id").limit(SAMPLE) for y in (0, 1)]
+    so_far = F.sum("chars").over(W.partitionBy("toxic").orderBy(F.xxhash64("label_id"), "label_id"))
+    sample = parts[0].union(parts[1]).withColumn("so_far", so_far).where(F.col("so_far") <= CLASS_CHARS).select("label_id", "toxic")
+    rows = docs.select(F.col("doc_id").alias("label_id"), "text").where(fits).join(F.broadcast(sample), "label_id")  # SAMPLE rows a class at most
+    rows = rows.groupBy("label_id", "toxic").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("t")).select("label_id", "toxic", F.col("t.text").alias("text"))
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stormsift.llm.common import table
+from stormsift.llm.common import skew_join, table
 
 #: (verdict, host, path, base): the base rules are fixed values of the query's contract; the others are the operator's own.
 RULES = (
@@ -39,8 +39,8 @@ def split_url(url: Column) -> tuple[Column, Column]:
 def filter_urls(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """Adds host, path, rule and verdict to each row of pages (page_id, url).
 
-    Each distinct URL is expanded into its host suffixes (at dots) times its path prefixes (of the lengths that rule
-    paths have, so any rule path fits by plain prefix). Expressions meet rules on the first digits of their SHA-256, then
+    Each distinct URL is expanded into its host suffixes (at dots, of no more labels than a rule's host has) times its path
+    prefixes (of the lengths that rule paths have, so any rule path fits by plain prefix). Expressions meet rules on the first digits of their SHA-256, then
     the full digests must agree. The longest base rule wins and is named; where none fits, the operator's own rules give
     the verdict, else allow. Rules are (verdict, host, path, base); equally long ones: block wins.
 
@@ -54,17 +54,19 @@ def filter_urls(pages: DataFrame, rules: DataFrame) -> DataFrame:
     sizes = [x[0] for x in r.select("size").distinct().orderBy("size").collect()]  # distinct lengths of rule paths only
     keyed = r.select(F.substring("digest", 1, PREFIX).alias("prefix"), "digest", "verdict", "base", F.length("expr").alias("length"), F.col("expr"))
 
-    parts = F.split("host", r"\.")
+    labels = rules.agg(F.max(F.size(F.split("host", r"\.")))).first()[0] or 1
+    parts = F.split(F.substring_index("host", ".", labels * -1), r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
-    urls = rows.where("host <> ''").groupBy("host", "path").agg(F.count("*").alias("n")).drop("n")
+    urls = rows.where("host <> ''").groupBy("host", "path").agg(F.count("*").alias("copies"))
     at = F.array(*(F.lit(x) for x in sizes)) if sizes else F.array().cast("array<int>")
     expanded = urls.withColumn("suffix", F.explode(suffixes)).withColumn("size", F.explode(at)).where(F.length("path") >= F.col("size"))
-    expanded = expanded.select("host", "path", digest(F.concat(F.lit("h:"), F.col("suffix"), F.substring(F.col("path"), F.lit(1), F.col("size")))).alias("found"))
+    expanded = expanded.select("host", "path", "copies", digest(F.concat(F.lit("h:"), F.col("suffix"), F.substring(F.col("path"), F.lit(1), F.col("size")))).alias("found"))
     expanded = expanded.withColumn("prefix", F.substring("found", 1, PREFIX))
     met = expanded.join(keyed, "prefix").where(F.col("found") == F.col("digest"))
     order = F.struct(F.col("base"), F.col("length"), (F.col("verdict") == "block"))
-    best = met.groupBy("host", "path").agg(F.max_by(F.struct("base", "expr", "verdict"), order).alias("best"))
-    out = rows.join(best, ["host", "path"], "left")
+    best = met.groupBy("host", "path").agg(F.max_by(F.struct("base", "expr", "verdict"), order).alias("best"), F.max("copies").alias("copies"))
+    # rows without a host share one key and meet no rule: they take no part in the join
+    out = skew_join(rows.where("host <> ''"), best, ["host", "path"], rows.count()).unionByName(rows.where("host = ''"), allowMissingColumns=True)
     return out.select("page_id", "host", "path", F.when(F.col("best.base"), F.col("best.expr")).alias("rule"), F.coalesce("best.verdict", F.lit("allow")).alias("verdict"))
 
 
