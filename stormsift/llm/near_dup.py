@@ -16,7 +16,7 @@ SHINGLE, SIMILARITY = 5, 0.75
 REGISTERS, MANTISSA, BAND = 128, 10, 4
 BANDS = REGISTERS // BAND
 #: How far below the threshold an estimate may fall and still be verified, in standard deviations.
-SLACK = 4.5
+SLACK = 5.0
 _DIFFER = (1 - SIMILARITY) * 15 / 16
 _SPREAD = np.sqrt(REGISTERS * _DIFFER * (1 - _DIFFER))
 #: Registers that may differ in their four bits: in a pair that is verified at all, and in one that is most likely linked.
@@ -116,60 +116,50 @@ def _unequal(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(z & np.uint64(0x1111111111111111)).sum(1, dtype=np.int64)
 
 
-def _bucket_pairs(keys: np.ndarray, docs: np.ndarray, sizes: np.ndarray, bits: np.ndarray, trees: np.ndarray, strong_most: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (row, row, strong) of each bucket that may be similar by size and by bits; rows are sorted by key.
+def _bucket_links(keys: np.ndarray, docs: np.ndarray, sizes: np.ndarray, bits: np.ndarray, trees: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (row, row, strong) of each bucket that may be similar by size and by bits, as a forest; rows are sorted by key.
 
-    Strong pairs come as a forest that starts from the given trees; of the other pairs, all between different trees of the
-    finished forest. So a pair is left out only if its rows hang together by pairs that are strong or known to be linked.
+    The forest starts from the given trees and takes strong pairs first. No pair of it is dropped later, so rows of one tree
+    stay in one family, where full sets decide.
     """
     fits = lambda i, j: np.minimum(sizes[i], sizes[j]) * 100 >= np.maximum(sizes[i], sizes[j]) * 75
     cuts = np.flatnonzero(np.diff(keys)) + 1
     starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(keys)]))
     two = starts[ends - starts == 2]
     differ = np.where(fits(two, two + 1) & (trees[two] != trees[two + 1]), _unequal(bits[two], bits[two + 1]), REGISTERS)
-    left, right, strong = [two[differ <= MOST]], [two[differ <= MOST] + 1], [differ[differ <= MOST] <= strong_most]
+    left, right, strong = [two[differ <= MOST]], [two[differ <= MOST] + 1], [differ[differ <= MOST] <= STRONG]
     for a, b in zip(starts[ends - starts > 2], ends[ends - starts > 2], strict=True):
+        # a pivot meets all rows; rows of other trees are pivots in turn until every pair across trees was met
         tree = np.unique(trees[a:b], return_inverse=True)[1]
         place = np.arange(b - a)
-        weak: list[np.ndarray] = []
-        for p in range(b - a - 1):
-            others = np.flatnonzero((tree != tree[p]) & (place > p))
-            if not len(others):
-                if (tree == tree[0]).all():
-                    break
-                continue
-            others = others[fits(a + p, a + others)]
-            differ = _unequal(bits[[a + p]], bits[a + others])
-            near = others[differ <= strong_most]
-            if len(near):
-                left.append(np.full(len(near), a + p))
-                right.append(a + near)
-                strong.append(np.ones(len(near), bool))
-                tree[np.isin(tree, tree[near])] = tree[p]
-            rest = others[(differ <= MOST) & (differ > strong_most)]
-            weak.append(np.stack([np.full(len(rest), p), rest]))
-        if weak:
-            i, j = np.concatenate(weak, 1)
-            apart = tree[i] != tree[j]
-            left.append(a + i[apart])
-            right.append(a + j[apart])
-            strong.append(np.zeros(int(apart.sum()), bool))
+        for most in (STRONG, MOST):
+            for p in range(b - a - 1):
+                others = np.flatnonzero((tree != tree[p]) & (place > p))
+                if not len(others):
+                    if (tree == tree[0]).all():
+                        break
+                    continue
+                others = others[fits(a + p, a + others)]
+                near = others[_unequal(bits[[a + p]], bits[a + others]) <= most]
+                if len(near):
+                    left.append(np.full(len(near), a + p))
+                    right.append(a + near)
+                    strong.append(np.full(len(near), most == STRONG))
+                    tree[np.isin(tree, tree[near])] = tree[p]
     i, j = np.concatenate(left), np.concatenate(right)
     return docs[i], docs[j], np.concatenate(strong)
 
 
-def _paired(rows: DataFrame, strong_most: float | None = None) -> DataFrame:
-    """Distinct (a, b, strong) from rows (key, doc_id, n, bits, tree): what _bucket_pairs finds in each bucket."""
-    strong_most = STRONG if strong_most is None else strong_most
+def _joined(rows: DataFrame) -> DataFrame:
+    """Distinct (a, b, strong), a < b, from rows (key, doc_id, n, bits, tree): the forests of all buckets."""
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, "key"):
             t = t.combine_chunks()
             keys, docs, sizes, trees = (t.column(c).to_numpy() for c in ("key", "doc_id", "n", "tree"))
             bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(len(keys), -1)
-            a, b, strong = _bucket_pairs(keys, docs, sizes, bits, trees, strong_most)
-            a, b = np.minimum(a, b), np.maximum(a, b)
-            pair = np.unique(np.stack([a, b, strong], 1), axis=0)
+            a, b, strong = _bucket_links(keys, docs, sizes, bits, trees)
+            pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), strong], 1), axis=0)
             if len(pair):
                 yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(pair[:, 2] > 0)], ["a", "b", "strong"])
 
@@ -185,47 +175,56 @@ def banded(reps: DataFrame) -> DataFrame:
 
 
 def candidates(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs (a, b, strong) of rows (doc_id, n, registers, bits) that share a band and may be similar by their bits.
+    """Pairs (a, b, strong) of rows (doc_id, n, registers, bits) that share a band and may be similar by their bits, as a forest of each band's bucket.
 
     A bucket of more than BUCKET_ROWS rows is split. Its rows are first held against its smallest document, and what is
     confirmed on full sets joins up; the largest group then falls into parts that need not meet each other, the rest into
-    parts that meet all. A task holds two parts, no pair is left out, and a bucket of one kind of text costs its own length.
+    parts that meet all. A task holds two parts, and a bucket of one kind of text costs its own length.
     """
     rows = banded(reps)
     sizes = rows.groupBy("key").agg(F.count("*").alias("rows"))
     hot = written(sizes.where(F.col("rows") > BUCKET_ROWS).select("key"))
     if hot.isEmpty():
-        return _paired(rows.withColumn("tree", F.col("doc_id")))
+        return _joined(rows.withColumn("tree", F.col("doc_id")))
     full = written(rows.join(hot, "key", "left_semi"))
     pivot = full.groupBy("key").agg(F.min_by(F.struct(F.col("doc_id").alias("p"), F.col("n").alias("pn"), F.col("bits").alias("pbits")), "doc_id").alias("s")).select("key", "s.*")
 
-    strong = STRONG
+    strong = STRONG  # as it stands in the driver
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             x, y = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint64).reshape(t.num_rows, -1) for c in ("bits", "pbits"))
             yield t.select(["p", "doc_id"]).filter(pa.array(_unequal(x, y) <= strong))
 
-    stars = full.join(pivot, "key").where("doc_id <> p").select("p", "doc_id", "bits", "pbits").mapInArrow(near, "p long, doc_id long").select(F.col("p").alias("a"), F.col("doc_id").alias("b")).distinct()
+    stars = full.join(pivot, "key").where("doc_id <> p").select("p", "doc_id", "bits", "pbits").mapInArrow(near, "p long, doc_id long")
+    stars = stars.groupBy(F.col("doc_id").alias("b")).agg(F.min("p").alias("a")).select("a", "b")
     found = written(confirmed(docs, written(stars)))
     joined = written(components(found))
     copies = written(full.groupBy("doc_id").agg(F.count("*").alias("copies")).join(joined, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("tree")))
     full = written(full.join(copies, "doc_id"))
-    trees = full.groupBy("key", "tree").agg(F.count("*").alias("rows"))
+    cells = split_cells(full, BUCKET_ROWS).select(F.col("cell").alias("key"), "doc_id", "n", "bits", "tree")
+    cold = rows.join(hot, "key", "left_anti").withColumn("tree", F.col("doc_id")).select("key", "doc_id", "n", "bits", "tree")
+    again = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(True).alias("strong"))
+    return _joined(cold.union(cells)).union(again).groupBy("a", "b").agg(F.max("strong").alias("strong"))
+
+
+def split_cells(rows: DataFrame, size: int) -> DataFrame:
+    """Rows (key, doc_id, tree, ...) dealt to tasks of two parts of about size: cell in place of key.
+
+    The largest tree of a key falls into parts that need not meet each other; the other rows, the rest, into parts that
+    meet all. A group that hangs together so costs its length, and only what does not is held against everything.
+    """
+    trees = rows.groupBy("key", "tree").agg(F.count("*").alias("rows"))
     top = trees.groupBy("key").agg(F.max_by("tree", F.struct("rows", "tree")).alias("top"), F.max("rows").alias("most"), F.sum("rows").alias("all"))
-    parts = lambda n: F.greatest(F.lit(1), F.ceil(n / BUCKET_ROWS)).cast("int")
-    split = full.join(top.select("key", "top", parts(F.col("most")).alias("tops"), parts(F.col("all") - F.col("most")).alias("rests")), "key")
+    parts = lambda n: F.greatest(F.lit(1), F.ceil(n / size)).cast("int")
+    split = rows.join(top.select("key", "top", parts(F.col("most")).alias("tops"), parts(F.col("all") - F.col("most")).alias("rests")), "key")
     is_top = F.col("tree") == F.col("top")
-    part = F.pmod(F.xxhash64("doc_id"), F.when(is_top, F.col("tops")).otherwise(F.col("rests"))).cast("int")
-    split = split.withColumn("part", part)
+    split = split.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.when(is_top, F.col("tops")).otherwise(F.col("rests"))).cast("int"))
     up_to = lambda n: F.sequence(F.lit(0), n - 1)
     with_rest = F.transform(up_to(F.col("rests")), lambda r: F.when(is_top, F.struct(F.lit(0).alias("kind"), F.col("part").alias("i"), r.alias("j"))).otherwise(F.struct(F.lit(1).alias("kind"), F.least("part", r).alias("i"), F.greatest("part", r).alias("j"))))
     with_top = F.when(is_top, F.array().cast("array<struct<kind:int,i:int,j:int>>")).otherwise(F.transform(up_to(F.col("tops")), lambda t: F.struct(F.lit(0).alias("kind"), t.alias("i"), F.col("part").alias("j"))))
-    cells = split.withColumn("cell", F.explode(F.concat(with_rest, with_top)))
-    cells = cells.select(F.xxhash64("key", "cell.kind", "cell.i", "cell.j").alias("key"), "doc_id", "n", "bits", "tree")
-    cold = rows.join(hot, "key", "left_anti").withColumn("tree", F.col("doc_id")).select("key", "doc_id", "n", "bits", "tree")
-    again = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(True).alias("strong"))
-    return _paired(cold.union(cells)).union(again).groupBy("a", "b").agg(F.max("strong").alias("strong"))
+    cells = split.withColumn("at", F.explode(F.concat(with_rest, with_top)))
+    return cells.withColumn("cell", F.xxhash64("key", "at.kind", "at.i", "at.j")).drop("key", "at", "top", "tops", "rests", "part")
 
 
 def exact_links(ids: np.ndarray, own: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -272,8 +271,8 @@ def exact_links(ids: np.ndarray, own: list[np.ndarray]) -> tuple[np.ndarray, np.
     return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, np.int64),) * 2
 
 
-def in_families(docs: DataFrame, families: DataFrame) -> DataFrame:
-    """Links (a, b) on full sets within families (node, component) of FAMILY_ROWS documents at most, as forests; docs: rows (doc_id, text)."""
+def searched(docs: DataFrame, cells: DataFrame) -> DataFrame:
+    """Links (a, b) on full sets among the documents of each cell (doc_id, cell), as forests; docs: rows (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, "cell"):
@@ -284,9 +283,8 @@ def in_families(docs: DataFrame, families: DataFrame) -> DataFrame:
             out = [exact_links(ids[a:b], own[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in out])) for k in (0, 1)], ["a", "b"])
 
-    cells = families.select(F.col("node").alias("doc_id"), F.col("component").alias("cell"))
     # no side has a proven bound, and the plan is the same at every size
-    dealt = docs.join(cells.hint("merge"), "doc_id").select("cell", "doc_id", "text").repartition("cell").sortWithinPartitions("cell", "doc_id")
+    dealt = docs.join(cells.select("doc_id", "cell").hint("merge"), "doc_id").select("cell", "doc_id", "text").repartition("cell").sortWithinPartitions("cell", "doc_id")
     return dealt.mapInArrow(run, "a long, b long")
 
 
@@ -327,30 +325,25 @@ def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 def linked(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """Links (a, b) on full sets whose components are those of all links among the representatives (doc_id, n, registers, bits).
 
-    Candidate pairs fall into families. A small family is searched as a whole. In a larger one its pairs are confirmed one
-    by one; where a strong pair fails, the pairs that its bucket left out for its sake are made up for.
+    Candidate pairs fall into families, and every pair of a family is decided on full sets. A family of at most FAMILY_ROWS
+    is one task's. In a larger one, each document is first held against the smallest that its bits make likely; the largest
+    group confirmed so need not be searched within, and the rest meets all, part by part.
     """
     pairs = written(candidates(docs, reps))
     families = written(components(pairs))
     sizes = families.groupBy("component").agg(F.count("*").alias("members"))
     large = written(sizes.where(F.col("members") > FAMILY_ROWS).select("component"))
+    cells = families.select(F.col("node").alias("doc_id"), F.col("component").alias("cell"))
     if large.isEmpty():
-        return in_families(docs, families)
-    # families above FAMILY_ROWS are at most one in FAMILY_ROWS documents, which is no fixed bound: no broadcast
-    small = in_families(docs, families.join(large, "component", "left_anti"))
-    members = written(families.join(large, "component", "left_semi").select(F.col("node").alias("a")))
-    own = written(pairs.join(members, "a", "left_semi"))
-    found = written(confirmed(docs, own))
-    failed = own.where("strong").join(found, ["a", "b"], "left_anti")
-    suspects = written(failed.select(F.col("a").alias("doc_id")).union(failed.select("b")).distinct())
-    if suspects.isEmpty():
-        return small.union(found)
-    rows = banded(reps.join(members.withColumnRenamed("a", "doc_id"), "doc_id", "left_semi"))
-    open_keys = rows.join(suspects, "doc_id", "left_semi").select("key").distinct()
-    joined = components(found)
-    again = rows.join(open_keys, "key", "left_semi").join(joined, F.col("doc_id") == F.col("node"), "left").withColumn("tree", F.coalesce("component", "doc_id"))
-    more = written(_paired(again, -1).join(own, ["a", "b"], "left_anti"))
-    return small.union(found).union(confirmed(docs, more))
+        return searched(docs, cells)
+    # families above FAMILY_ROWS number up to one in FAMILY_ROWS documents, which is no fixed bound: no broadcast
+    small = cells.join(large.withColumnRenamed("component", "cell"), "cell", "left_anti")
+    members = written(families.join(large, "component", "left_semi"))
+    anchors = pairs.join(members.select(F.col("node").alias("b")), "b", "left_semi").groupBy("b").agg(F.coalesce(F.min(F.when(F.col("strong"), F.col("a"))), F.min("a")).alias("a"))
+    found = written(confirmed(docs, written(anchors.select("a", "b"))))
+    joined = components(found).select("node", F.col("component").alias("tree"))
+    rows = members.join(joined, "node", "left").select(F.col("component").alias("key"), F.col("node").alias("doc_id"), F.coalesce("tree", "node").alias("tree"))
+    return searched(docs, small.select("doc_id", "cell").union(split_cells(written(rows), FAMILY_ROWS // 2).select("doc_id", "cell"))).union(found)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
