@@ -21,21 +21,28 @@ def _with_island(windows: DataFrame) -> DataFrame:
 
 
 def claim(alarms: DataFrame, windows: DataFrame, min_alarms: int, min_severity: int = 0) -> DataFrame:
-    """(alarm_id, service, window_no): windows in order of time take the alarms not yet taken; too few or too mild, and the window takes none."""
+    """(alarm_id, service, window_no): windows in order of time take the alarms not yet taken; too few or too mild, and the window takes none.
+
+    Alarms that lie in the same windows fare alike, so the claim runs on their counts: a task holds the distinct sets of
+    windows in one run of overlapping ones, however many alarms a service raises.
+    """
     def take(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["start_us", "window_no", "us", "alarm_id"])
-        taken: set[str] = set()
-        out = []
-        for _, part in rows.groupby(["start_us", "window_no"], sort=True):
-            free = part[~part["alarm_id"].isin(taken)]
-            if len(free) >= min_alarms and free["severity"].max() >= min_severity:
-                taken.update(free["alarm_id"])
-                out.append(free)
-        return pd.concat(out)[["alarm_id", "service", "window_no"]] if out else rows.iloc[:0][["alarm_id", "service", "window_no"]]
+        sets = [[(w["start_us"], w["window_no"]) for w in ws] for ws in rows["windows"]]
+        owner: list[int | None] = [None] * len(rows)
+        for w in sorted({w for ws in sets for w in ws}):
+            free = [k for k, ws in enumerate(sets) if owner[k] is None and w in ws]
+            if sum(rows["n"].iloc[free]) >= min_alarms and max(rows["severity"].iloc[free], default=-1) >= min_severity:
+                for k in free:
+                    owner[k] = w[1]
+        return rows.assign(window_no=pd.array(owner, "Int64"))[["service", "island", "place", "window_no"]].dropna()
 
     islands = _with_island(windows)
-    pairs = covering(alarms.select("alarm_id", "service", "us", "severity"), islands.drop("island")).join(islands.select("service", "window_no", "island"), ["service", "window_no"])
-    return pairs.groupBy("service", "island").applyInPandas(take, "alarm_id string, service string, window_no long")
+    pairs = covering(alarms.select("alarm_id", "service", "us", "severity"), islands.drop("island")).join(islands.select("service", "window_no", "island", F.col("start_us").alias("from_us")), ["service", "window_no"])
+    per_alarm = pairs.groupBy("alarm_id", "service", "island").agg(F.sort_array(F.collect_list(F.struct(F.col("from_us").alias("start_us"), "window_no"))).alias("windows"), F.max("severity").alias("severity"))
+    per_alarm = per_alarm.withColumn("place", F.to_json("windows"))
+    alike = per_alarm.groupBy("service", "island", "place").agg(F.first("windows").alias("windows"), F.count("*").alias("n"), F.max("severity").alias("severity"))
+    claimed = alike.groupBy("service", "island").applyInPandas(take, "service string, island long, place string, window_no long")
+    return per_alarm.join(claimed, ["service", "island", "place"]).select("alarm_id", "service", "window_no")
 
 
 def find_clusters(signal: DataFrame, p: Params = DEFAULT) -> DataFrame:

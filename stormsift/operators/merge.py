@@ -38,6 +38,7 @@ def span_guarded_unions(rows: list[tuple[str, int, int]], links: list[tuple[int,
 
     def find(k: int) -> int:
         while root[k] != k:
+            root[k] = root[root[k]]
             k = root[k]
         return k
 

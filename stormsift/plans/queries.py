@@ -370,12 +370,13 @@ def root_and_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _OWNER = _case("root_type", {t: who for who, types in OWNERS.items() for t in types}, "'platform-oncall'")
+_STEP = _case("root_type", {t: rootcause.FIRST_STEP[key].replace("'", "''") for key, types, _ in PATTERNS for t in types}, "'" + rootcause.ELSEWHERE.replace("'", "''") + "'").replace('"', "'")
 
 
-@_query(_WEEKLY + "," + _GRAPH + "," + _SCORES + f" SELECT incident_id, {_OWNER} AS owner FROM (SELECT incident_id, alarm_type AS root_type FROM rt)")
+@_query(_WEEKLY + "," + _GRAPH + "," + _SCORES + f" SELECT rt.incident_id, rt.service || ': ' || {_STEP.replace('root_type', 'rt.alarm_type')} || ' (' || cast(n_services AS varchar) || ' services, ' || cast(alarm_count AS varchar) || ' alarms)' AS action, {_OWNER.replace('root_type', 'rt.alarm_type')} AS owner FROM rt JOIN inc ON inc.incident_id = rt.incident_id")
 def suggested_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, m, a = _scored(spark, sf_dir, True)
-    return rootcause.actions_for(rootcause.root_and_counter(s), merge.incident_summary(m, a)).select("incident_id", "owner")
+    return rootcause.actions_for(rootcause.root_and_counter(s), merge.incident_summary(m, a)).select("incident_id", "action", "owner")
 
 
 @_query(_WEEKLY + "," + _GRAPH + "," + _SCORES + """ SELECT rt.incident_id, (SELECT count(*) FROM ma WHERE ma.incident_id = rt.incident_id AND ma.us < rt.us) AS earlier, floor((rt.us - inc.start_us) / 60000000.0 * 10.0 + 0.5) / 10.0 AS offset_min,

@@ -10,17 +10,31 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 
+def _folder(spark: SparkSession) -> str:
+    """This application's folder below the one that the cluster shares; only a local session may do without a shared one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared"
+    return f"{shared.rstrip('/')}/stormsift-{spark.sparkContext.applicationId}"
+
+
 def kept(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the folder that the cluster shares (below the warehouse where none is set, as in tests).
+    """df as a Parquet table in the folder that the cluster shares (below the warehouse in a local session without one, as in tests).
 
     Steps that read a table several times then plan on a scan, not on copies of its whole lineage, and lost executors
     cost no more than the step at hand.
     """
-    spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared"
-    path = f"{shared}/storm-{uuid.uuid4().hex}"
+    path = f"{_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_kept(spark: SparkSession) -> None:
+    """Deletes all tables that this application kept; call it when no result is read any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 ALARM_COLUMNS = ("alarm_id", "timestamp", "source_system", "host", "service", "severity", "alarm_type", "message", "veri_merkezi", "kabin", "ortam")
