@@ -40,9 +40,9 @@ def skew_join(big: DataFrame, small: DataFrame, on: list[str], rows: int, how: s
     """big (of about so many rows) joined with small, which has one row a key and in `copies` the rows of big that hold it.
 
     Keys of more than one in HOT_KEYS of all rows number fewer than HOT_KEYS, so they are broadcast; the others meet by
-    shuffle, where no key is large.
+    shuffle, where no key is large. small is written first, as three branches of the plan read it.
     """
-    most = max(1, rows // HOT_KEYS)
+    most, small = max(1, rows // HOT_KEYS), written(small)
     hot = F.broadcast(small.where(F.col("copies") > most).drop("copies"))
     cold = small.where(F.col("copies") <= most).drop("copies")
     return big.join(hot, on).unionByName(big.join(hot.select(on), on, "left_anti").join(cold, on, how))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -100,12 +100,13 @@ def highest_quotients(votes: np.ndarray, seats: int) -> np.ndarray:
 
 def seats_within(parties: DataFrame, by: list[str], key: str, seats: str) -> DataFrame:
     """Adds won (long) to (by..., key, votes, seats): the seats of each group dealt among its parties. A group is one task's: racks of a source, or shards of a rack."""
-    def deal(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(key)
-        return part.assign(won=highest_quotients(part["votes"].to_numpy(np.float64), int(part[seats].iloc[0])))
+    def deal(part: pa.Table) -> pa.Table:
+        part = part.sort_by(key)
+        won = highest_quotients(part.column("votes").to_numpy().astype(np.float64), part.column(seats)[0].as_py())
+        return part.append_column("won", pa.array(won))
 
     kinds = ", ".join(f"{c} {t}" for c, t in parties.dtypes)
-    return parties.groupBy(*by).applyInPandas(deal, f"{kinds}, won long")
+    return parties.groupBy(*by).applyInArrow(deal, f"{kinds}, won long")
 
 
 def mix_sources(docs: DataFrame, seed: int = 42, block: int = BLOCK, carry: bool = False) -> DataFrame:

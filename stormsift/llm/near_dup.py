@@ -370,7 +370,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     joined = components(links.union(same))
     labels = classes.join(joined, classes["doc_id"] == joined["node"], "left").select(*prints, F.coalesce("component", "doc_id").alias("component_id"), "copies")
     total = known.count()
-    out = skew_join(known.select("doc_id", *prints), written(labels), prints, total, "inner").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    out = skew_join(known.select("doc_id", *prints), labels, prints, total, "inner").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = base.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return out.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

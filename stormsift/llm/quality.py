@@ -104,8 +104,7 @@ def thresholds(sketches: DataFrame) -> DataFrame:
 def judged(docs: DataFrame) -> DataFrame:
     """Counts, shares, limits, base_failed and kept of every row, with its doc_id, lang, source and text_hash (see judge)."""
     f = written(with_shares(text_features(docs)))
-    limits = written(thresholds(sketch(f)))
-    out = skew_join(f, limits, ["lang_key", "source_key"], f.count(), "inner")
+    out = skew_join(f, thresholds(sketch(f)), ["lang_key", "source_key"], f.count(), "inner")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     odd = F.lit(False)
     for k in SHARES:

@@ -197,6 +197,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float] | None:
     del got
     model = Model()
     model.fit(np.array([len(x) for x in grams]), np.concatenate(grams), buckets, y)
+    del grams, buckets
+    pa.default_memory_pool().release_unused()
     return model.bucket_scores(), float(model.bias[1] - model.bias[0])
 
 
