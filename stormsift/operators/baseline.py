@@ -30,20 +30,24 @@ def service_baseline(series: DataFrame) -> DataFrame:
     return every.groupBy("service").agg(F.expr("percentile(cnt, 0.5, freq)").alias("baseline"))
 
 
-def hot_bins(series: DataFrame, baseline: DataFrame, detector: Detector) -> DataFrame:
-    """Bins whose centred rolling sum is above the threshold. A hot bin may be empty: counts are dealt to their neighbours."""
-    near = F.explode(F.sequence(F.col("bin") - detector.half, F.col("bin") + detector.half))
-    dealt = series.select("service", "t0", "n_bins", near.alias("at"), "cnt", (F.col("bin")).alias("own")).where("at >= 0 AND at < n_bins")
-    rolled = dealt.groupBy("service", F.col("at").alias("bin"), "t0").agg(F.sum("cnt").alias("rolling"), F.coalesce(F.sum(F.when(F.col("own") == F.col("at"), F.col("cnt"))), F.lit(0)).alias("cnt"))
-    limit = F.greatest(F.lit(float(detector.min_count)), F.col("baseline") * detector.multiplier + detector.margin)
-    return rolled.join(baseline, "service").withColumn("threshold", limit).where("rolling > threshold").withColumn("kind", F.lit(detector.kind))
+def hot_bins(series: DataFrame, baseline: DataFrame, *detectors: Detector) -> DataFrame:
+    """Bins whose centred rolling sum is above a detector's threshold, all detectors in one pass.
+
+    A hot bin may be empty: counts are dealt to their neighbours.
+    """
+    limits = [F.struct(F.lit(d.kind).alias("kind"), F.lit(d.half).alias("half"), F.lit(float(d.min_count)).alias("least"), F.lit(float(d.multiplier)).alias("multiplier"), F.lit(float(d.margin)).alias("margin")) for d in detectors]
+    each = series.select("service", "t0", "n_bins", "cnt", F.col("bin").alias("own"), F.explode(F.array(*limits)).alias("d"))
+    dealt = each.withColumn("at", F.explode(F.sequence(F.col("own") - F.col("d.half"), F.col("own") + F.col("d.half")))).where("at >= 0 AND at < n_bins")
+    rolled = dealt.groupBy("service", "d", F.col("at").alias("bin"), "t0").agg(F.sum("cnt").alias("rolling"), F.coalesce(F.sum(F.when(F.col("own") == F.col("at"), F.col("cnt"))), F.lit(0)).alias("cnt"))
+    limit = F.greatest(F.col("d.least"), F.col("baseline") * F.col("d.multiplier") + F.col("d.margin"))
+    return rolled.join(baseline, "service").withColumn("threshold", limit).where("rolling > threshold").select("*", "d.kind", "d.half").drop("d")
 
 
-def _islands(hot: DataFrame, detector: Detector, gap: int) -> DataFrame:
-    w = W.partitionBy("service").orderBy("bin")
+def _islands(hot: DataFrame, gap: int) -> DataFrame:
+    w = W.partitionBy("service", "kind").orderBy("bin")
     new = (F.col("bin") - F.lag("bin").over(w) > gap) | F.lag("bin").over(w).isNull()
     numbered = hot.withColumn("window_no", F.sum(new.cast("int")).over(w))
-    pad = detector.half * MINUTE
+    pad = F.max("half") * MINUTE
     return numbered.groupBy("service", "kind", "window_no").agg(
         (F.min(F.col("t0") + F.col("bin") * MINUTE) - pad).alias("start_us"), (F.max(F.col("t0") + (F.col("bin") + 1) * MINUTE) + pad).alias("end_us"),
         F.max("cnt").alias("peak_count"), F.first("baseline").alias("baseline_per_min"),
@@ -52,17 +56,28 @@ def _islands(hot: DataFrame, detector: Detector, gap: int) -> DataFrame:
 
 def spike_windows(alarms: DataFrame, p: Params = DEFAULT) -> DataFrame:
     series = minute_series(alarms)
-    base = service_baseline(series)
-    return _islands(hot_bins(series, base, p.burst), p.burst, p.island_gap).union(_islands(hot_bins(series, base, p.slow), p.slow, p.island_gap))
+    return _islands(hot_bins(series, service_baseline(series), p.burst, p.slow), p.island_gap)
+
+
+def _minutes(windows: DataFrame) -> DataFrame:
+    """The windows once per clock minute that they touch."""
+    return windows.withColumn("minute", F.explode(F.sequence(F.floor(F.col("start_us") / MINUTE), F.floor(F.col("end_us") / MINUTE))))
+
+
+def with_in_spike(alarms: DataFrame, windows: DataFrame) -> DataFrame:
+    """Adds in_spike: a window of its service holds the alarm. Each (service, minute) has one row of time spans, so alarms are neither multiplied nor regrouped."""
+    spans = _minutes(windows).groupBy("service", "minute").agg(F.collect_set(F.struct("start_us", "end_us")).alias("spans"))
+    met = alarms.withColumn("minute", F.floor(F.col("us") / MINUTE)).join(spans, ["service", "minute"], "left")
+    held = F.exists("spans", lambda x: F.col("us").between(x["start_us"], x["end_us"]))
+    return met.select(*alarms.columns, F.coalesce(held, F.lit(False)).alias("in_spike"))
 
 
-def covering(alarms: DataFrame, windows: DataFrame) -> DataFrame:
-    """(alarm columns, kind, window_no, start_us, end_us) for every window of its service that holds the alarm, both ends included.
+def covering(alarms: DataFrame, windows: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """(alarm columns, kind, window_no, start_us, end_us, further columns of windows) for every window of its service that holds the alarm, both ends included.
 
     Windows are dealt to the clock minutes they touch, so this is an equi-join on (service, minute).
     """
-    touched = F.explode(F.sequence(F.floor(F.col("start_us") / MINUTE), F.floor(F.col("end_us") / MINUTE)))
-    w = windows.select("service", "kind", "window_no", "start_us", "end_us", touched.alias("minute"))
+    w = _minutes(windows.select("service", "kind", "window_no", "start_us", "end_us", *also))
     return alarms.withColumn("minute", F.floor(F.col("us") / MINUTE)).join(w, ["service", "minute"]).where("us BETWEEN start_us AND end_us").drop("minute")
 
 
@@ -79,8 +94,8 @@ def host_neighbours(alarms: DataFrame, minutes: int = 30) -> DataFrame:
     return alarms.select("alarm_id", (F.count("*").over(w) - 1).alias("neighbours"))
 
 
-def lonely(alarms: DataFrame, max_severity: int, minutes: int = 30) -> DataFrame:
-    """alarm_id of rows of low severity without neighbours. Two alarms of one host in one slot are neighbours, so only slots
+def _lonely_slots(alarms: DataFrame, max_severity: int, minutes: int) -> DataFrame:
+    """(host, slot, alarm_id) of lonely alarms. Two alarms of one host in one slot are neighbours, so only slots
     of one alarm are compared, with the alarms nearest in the slots beside: a hot host costs counts, not a sort."""
     size = minutes * MINUTE
     a = alarms.withColumn("slot", F.floor(F.col("us") / size))
@@ -90,7 +105,19 @@ def lonely(alarms: DataFrame, max_severity: int, minutes: int = 30) -> DataFrame
     single = slots.where(F.col("n") == 1).where(F.col("one.severity") <= max_severity)
     met = single.join(before, ["host", "slot"], "left").join(after, ["host", "slot"], "left")
     alone = (F.col("last").isNull() | (F.col("one.us") - F.col("last") > size)) & (F.col("next").isNull() | (F.col("next") - F.col("one.us") > size))
-    return met.where(alone).select("one.alarm_id")
+    return met.where(alone).select("host", "slot", "one.alarm_id")
+
+
+def lonely(alarms: DataFrame, max_severity: int, minutes: int = 30) -> DataFrame:
+    """alarm_id of rows of low severity without neighbours."""
+    return _lonely_slots(alarms, max_severity, minutes).select("alarm_id")
+
+
+def with_is_lonely(alarms: DataFrame, max_severity: int, minutes: int = 30) -> DataFrame:
+    """Adds is_lonely. A lonely alarm is the only one in its slot, so host and slot find it."""
+    slots = _lonely_slots(alarms, max_severity, minutes).select(F.col("host").alias("at_host"), F.col("slot").alias("at_slot"), F.lit(True).alias("is_lonely"))
+    found = alarms.join(slots, F.col("host").eqNullSafe(F.col("at_host")) & (F.floor(F.col("us") / (minutes * MINUTE)) == F.col("at_slot")), "left")
+    return found.select(*alarms.columns, F.coalesce("is_lonely", F.lit(False)).alias("is_lonely"))
 
 
 def window_report(windows: DataFrame) -> DataFrame:

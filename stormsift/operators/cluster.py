@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,8 +36,8 @@ def claim(alarms: DataFrame, windows: DataFrame, min_alarms: int, min_severity:
         return rows.assign(window_no=pd.array(owner, "Int64"))[["service", "island", "place", "window_no"]].dropna()
 
     islands = _with_island(windows)
-    pairs = covering(alarms.select("alarm_id", "service", "us", "severity"), islands.drop("island")).join(islands.select("service", "window_no", "island", F.col("start_us").alias("from_us")), ["service", "window_no"])
-    per_alarm = pairs.groupBy("alarm_id", "service", "island").agg(F.sort_array(F.collect_list(F.struct(F.col("from_us").alias("start_us"), "window_no"))).alias("windows"), F.max("severity").alias("severity"))
+    pairs = covering(alarms.select("alarm_id", "service", "us", "severity"), islands, ("island",))
+    per_alarm = pairs.groupBy("alarm_id", "service", "island").agg(F.sort_array(F.collect_list(F.struct("start_us", "window_no"))).alias("windows"), F.max("severity").alias("severity"))
     per_alarm = per_alarm.withColumn("place", F.to_json("windows"))
     alike = per_alarm.groupBy("service", "island", "place").agg(F.first("windows").alias("windows"), F.count("*").alias("n"), F.max("severity").alias("severity"))
     claimed = alike.groupBy("service", "island").applyInPandas(take, "service string, island long, place string, window_no long")
@@ -48,8 +47,7 @@ def claim(alarms: DataFrame, windows: DataFrame, min_alarms: int, min_severity:
 def find_clusters(signal: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """(alarm_id, cluster_id, window_kind) from a baseline model of the severe signal itself: bursts first, then slow windows over the rest."""
     windows = kept(spike_windows(signal, p))
-    burst = claim(signal, windows.where("kind = 'burst'"), p.burst_min_alarms).withColumn("window_kind", F.lit("burst"))
-    burst = kept(burst)
+    burst = kept(claim(signal, windows.where("kind = 'burst'"), p.burst_min_alarms).withColumn("window_kind", F.lit("burst")))
     rest = signal.join(burst.select("alarm_id"), "alarm_id", "left_anti")
     slow = claim(rest, windows.where("kind = 'slow'"), p.slow_min_alarms, p.slow_min_severity).withColumn("window_kind", F.lit("slow_burn"))
     members = kept(burst.union(slow))
@@ -62,5 +60,3 @@ def find_clusters(signal: DataFrame, p: Params = DEFAULT) -> DataFrame:
 def cluster_summary(members: DataFrame, alarms: DataFrame) -> DataFrame:
     a = members.join(alarms, "alarm_id").withColumn("location", F.concat_ws("/", "datacenter", "rack"))
     return a.groupBy("cluster_id", "service", "window_kind").agg(F.min("us").alias("start_us"), F.max("us").alias("end_us"), F.count("*").alias("n"), F.sort_array(F.collect_set("host")).alias("hosts"), F.sort_array(F.collect_set("location")).alias("locations"), F.max("severity").alias("max_severity"))
-
-

@@ -53,7 +53,7 @@ def span_guarded_unions(rows: list[tuple[str, int, int]], links: list[tuple[int,
 
 
 def merge_incidents(clusters: DataFrame, links: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """(cluster_id, root_cluster, reasons): the incident's first cluster and, on its row, the reasons of its unions.
+    """(cluster_id, root_cluster, root_start_us, reasons): the incident's first cluster, its start and, on its row, the reasons of its unions.
 
     No link crosses an onset gap above onset_gap minutes, so runs between such gaps are merged apart from each other.
     """
@@ -72,17 +72,15 @@ def merge_incidents(clusters: DataFrame, links: DataFrame, p: Params = DEFAULT)
         texts: dict[int, list[str]] = {}
         for at_root in dict.fromkeys(a for a, _, _ in accepted):
             texts.setdefault(roots[at_root], []).extend(r for a, _, r in accepted if a == at_root)
-        return pd.DataFrame({"cluster_id": part["cluster_id"], "root_cluster": [part["cluster_id"][r] for r in roots], "reasons": [list(dict.fromkeys(texts.get(k, []))) if roots[k] == k else [] for k in range(len(part))]})
+        return pd.DataFrame({"cluster_id": part["cluster_id"], "root_cluster": [part["cluster_id"][r] for r in roots], "root_start_us": [part["start_us"][r] for r in roots], "reasons": [list(dict.fromkeys(texts.get(k, []))) if roots[k] == k else [] for k in range(len(part))]})
 
-    return rows.groupBy("run").applyInPandas(merge, "cluster_id string, root_cluster string, reasons array<string>")
+    return rows.groupBy("run").applyInPandas(merge, "cluster_id string, root_cluster string, root_start_us long, reasons array<string>")
 
 
-def number_incidents(merged: DataFrame, clusters: DataFrame) -> DataFrame:
-    """(cluster_id, incident_id): INC-nnn by the start of the incident."""
-    starts = merged.join(clusters.select("cluster_id", "start_us"), "cluster_id").groupBy("root_cluster").agg(F.min("start_us").alias("start_us"))
-    number = F.row_number().over(W.orderBy("start_us", "root_cluster"))  # incidents only
-    ids = starts.select("root_cluster", F.concat(F.lit("INC-"), F.lpad(number.cast("string"), 3, "0")).alias("incident_id"))
-    return merged.join(ids, "root_cluster").select("cluster_id", "incident_id")
+def number_incidents(merged: DataFrame) -> DataFrame:
+    """(cluster_id, incident_id, reasons): INC-nnn by the start of the incident, which is its root's."""
+    number = F.dense_rank().over(W.orderBy("root_start_us", "root_cluster"))  # clusters only, no alarms
+    return merged.select("cluster_id", F.concat(F.lit("INC-"), F.lpad(number.cast("string"), 3, "0")).alias("incident_id"), "reasons")
 
 
 def incident_summary(members: DataFrame, alarms: DataFrame) -> DataFrame:

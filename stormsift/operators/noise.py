@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stormsift.operators.baseline import covering, lonely
+from stormsift.operators.baseline import with_in_spike, with_is_lonely
 from stormsift.params import DEFAULT, MAINTENANCE_TYPES, Params
 
 Rule = tuple[str, Column, Column]
@@ -25,9 +25,7 @@ def default_rules(p: Params = DEFAULT) -> list[Rule]:
 def classify_noise(alarms: DataFrame, windows: DataFrame, rules: Sequence[Rule] | None = None, p: Params = DEFAULT) -> DataFrame:
     """All alarms with rule and reason; both null for signal."""
     rules = default_rules(p) if rules is None else rules
-    spiked = covering(alarms.select("alarm_id", "service", "us"), windows).select("alarm_id").distinct().withColumn("in_spike", F.lit(True))
-    alone = lonely(alarms, p.lonely_severity, p.lonely_minutes).withColumn("is_lonely", F.lit(True))
-    a = alarms.join(spiked, "alarm_id", "left").join(alone, "alarm_id", "left").fillna(False, ["in_spike", "is_lonely"])
+    a = with_is_lonely(with_in_spike(alarms, windows), p.lonely_severity, p.lonely_minutes)
     rule, reason = F.lit(None).cast("string"), F.lit(None).cast("string")
     for name, condition, text in reversed(rules):
         rule, reason = F.when(condition, name).otherwise(rule), F.when(condition, text).otherwise(reason)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -26,27 +27,28 @@ class Storm:
 
 
 def reduce_storm(raw: DataFrame, hosts: DataFrame, edges: DataFrame, p: Params = DEFAULT) -> Storm:
-    """Tables that several later steps read are written once and read again.
+    """Tables that several later steps read are written once and read again; those that need not wait for each other are written side by side.
 
     Residual alarms go to the ledger, so they take no slot of a card.
     """
-    alarms = kept(enrich.enrich_alarms(raw, hosts))
     nodes = graph.graph_nodes(edges, hosts)
-    classified = kept(noise.classify_noise(alarms, kept(baseline.spike_windows(alarms, p)), p=p))
-    signal = kept(enrich.cluster_gate(classified.where("rule IS NULL"), p.cluster_severity).select(alarms.columns))
-    in_cluster = kept(cluster.find_clusters(signal, p))
-    clusters = kept(cluster.cluster_summary(in_cluster, alarms))
-    links = kept(merge.candidate_links(clusters, kept(graph.related_pairs(edges, nodes, p.max_hops)), p))
-    merged = kept(merge.merge_incidents(clusters, links, p))
-    numbered = kept(merge.number_incidents(merged, clusters))
-    members = kept(in_cluster.join(numbered, "cluster_id").select("alarm_id", "incident_id"))
-    incidents = kept(merge.incident_summary(members, alarms))
-    roots = kept(rootcause.root_and_counter(rootcause.score_alarms(members, alarms, kept(graph.centrality(edges, nodes)), p)))
-    gated = kept(cards.with_gate(incidents, roots, p))
+    with ThreadPoolExecutor(3) as side:
+        related = side.submit(kept, graph.related_pairs(edges, nodes, p.max_hops))
+        central = side.submit(kept, graph.centrality(edges, nodes))
+        alarms = kept(enrich.enrich_alarms(raw, hosts))
+        classified = kept(noise.classify_noise(alarms, baseline.spike_windows(alarms, p), p=p))
+        signal = enrich.cluster_gate(classified.where("rule IS NULL"), p.cluster_severity).select(alarms.columns)
+        in_cluster = kept(cluster.find_clusters(signal, p))
+        clusters = kept(cluster.cluster_summary(in_cluster, alarms))
+        numbered = kept(merge.number_incidents(merge.merge_incidents(clusters, merge.candidate_links(clusters, related.result(), p), p)))
+        members = kept(in_cluster.join(numbered, "cluster_id").select("alarm_id", "incident_id"))
+        summary = side.submit(kept, merge.incident_summary(members, alarms))
+        roots = kept(rootcause.root_and_counter(rootcause.score_alarms(members, alarms, central.result(), p)))
+        gated = cards.with_gate(summary.result(), roots, p)
     ranked = cards.cap_cards(cards.prioritise(gated, members, alarms), p=p)
     carded = members.join(gated.where("passes").select("incident_id"), "incident_id", "left_semi")
     entries = noise.ledger(classified, in_cluster.select("alarm_id"), carded.select("alarm_id"), p)
-    reasons = merged.where(F.size("reasons") > 0).join(numbered, "cluster_id").select("incident_id", "reasons")
+    reasons = numbered.where(F.size("reasons") > 0).select("incident_id", "reasons")
     return Storm(alarms, classified, clusters, gated, members, roots, ranked, entries, reasons)
 
 
