@@ -125,7 +125,7 @@ def service_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hot_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = baseline.minute_series(fixtures.alarms(spark, sf_dir))
     b = baseline.service_baseline(s)
-    both = baseline.hot_bins(s, b, DEFAULT.burst).union(baseline.hot_bins(s, b, DEFAULT.slow))
+    both = baseline.hot_bins(s, b, DEFAULT.burst, DEFAULT.slow)
     return both.select("service", "kind", "bin", "rolling", "cnt", "threshold")
 
 
@@ -387,12 +387,39 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("incident_id", "earlier", "offset_min", F.coalesce("expected", F.lit(0)).alias("expected"), F.coalesce("hit", F.lit(0)).alias("hit"))
 
 
-@_query()
+_UP = "EXISTS (SELECT 1 FROM up WHERE src = rt.service AND dst = c.service AND hop <= 2)"
+
+
+@_query(_WEEKLY + "," + _GRAPH + "," + _SCORES + f""" SELECT rt.incident_id, 'At ' || strftime(make_timestamp(rt.us), '%H:%M:%S') || ' ' || rt.service || ' on ' || rt.host || ' raised ''' || rt.alarm_type || '''. '
+  || CASE WHEN n_services > 1 THEN cast(n_services - 1 AS varchar) || ' other services raised ' || cast(alarm_count - 1 AS varchar) || ' alarms after it; the incident took ' ELSE 'It stayed within the service: ' || cast(alarm_count AS varchar) || ' alarms in ' END
+  || cast(cast(floor(floor((inc.end_us - inc.start_us) / 60000000.0 * 10.0 + 0.5) / 10.0 + 0.5) AS bigint) AS varchar) || ' minutes.' AS explanation,
+  c.service || ' ''' || c.alarm_type || ''' is ' || printf('%.1f', floor((rt.total - c.total) * 10.0 + 0.5) / 10.0) || ' points behind. '
+  || CASE WHEN {_UP} THEN rt.service || ' depends on ' || c.service || ', so the root may be a symptom.' WHEN c.us < rt.us THEN c.service || ' came first.' ELSE c.service || ' stands on a branch of its own: two failures may overlap.' END
+  || ' Check ' || c.host || ' around ' || strftime(make_timestamp(c.us), '%H:%M') || '.' AS counter_reason
+  FROM rt JOIN inc ON inc.incident_id = rt.incident_id LEFT JOIN (SELECT * FROM ct WHERE place = 1) c ON c.incident_id = rt.incident_id""")
 def explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, m, a = _scored(spark, sf_dir, True)
     return rootcause.explanations(rootcause.root_and_counter(s), merge.incident_summary(m, a), graph.upstream_set(_graph(spark, sf_dir)[0]), a)
 
 
+_LINKS = f"""rel AS (SELECT src AS a, dst AS b, CASE WHEN src = dst THEN 'same service' WHEN EXISTS (SELECT 1 FROM g WHERE source = src AND target = dst) THEN src || ' depends on ' || dst
+  WHEN EXISTS (SELECT 1 FROM g WHERE source = dst AND target = src) THEN dst || ' depends on ' || src ELSE cast(hop AS varchar) || ' hops apart' END AS how FROM nearest WHERE hop <= 2),
+cl AS (SELECT incident_id AS cid, service, min(us) AS s, list_sort(list(DISTINCT datacenter || '/' || rack)) AS places FROM ma GROUP BY incident_id, service),
+lk AS (SELECT x.cid AS a, y.cid AS b, x.service AS xs, y.service AS ys, y.s - x.s AS gap_us, how, list_sort(list_intersect(x.places, y.places)) AS shared
+  FROM cl x JOIN cl y ON (x.s < y.s OR x.s = y.s AND (x.service < y.service OR x.service = y.service AND x.cid < y.cid)) AND y.s - x.s <= {DEFAULT.onset_gap * MINUTE} LEFT JOIN rel ON rel.a = x.service AND rel.b = y.service)"""
+
+
+@_query(_MEMBERS + "," + _GRAPH + "," + _LINKS + f""" SELECT a, b, gap_us, CASE WHEN how IS NOT NULL THEN 'dependency' ELSE 'locality' END AS link_kind,
+  xs || ' and ' || ys || ' began to fail ' || CASE WHEN gap_us < {MINUTE} THEN 'at the same time' ELSE cast(cast(round(gap_us / {float(MINUTE)}) AS int) AS varchar) || ' min apart' END
+  || CASE WHEN how IS NOT NULL THEN '; ' || how || ' (dependency)' ELSE ' and share ' || array_to_string(shared, ', ') || ' (locality)' END AS reason
+  FROM lk WHERE how IS NOT NULL OR gap_us <= {DEFAULT.locality_gap * MINUTE} AND len(shared) > 0""")
+def formula_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate links where each week's failing services are the clusters."""
+    m, a = _members(spark, sf_dir)
+    formed = m.select("alarm_id", F.col("incident_id").alias("cluster_id"), F.lit("burst").alias("window_kind"))
+    return merge.candidate_links(cluster.cluster_summary(formed, a), graph.related_pairs(*_graph(spark, sf_dir)))
+
+
 _CRIT = _case("criticality", CRITICALITY_WEIGHT, "0.5")
 _RANKED = f"""cr AS (SELECT incident_id, avg(cast({_CRIT} AS double)) AS crit FROM ma GROUP BY incident_id),
 gt AS (SELECT inc.*, crit, rt.alarm_type AS root_type, alarm_count >= 10 AND (n_services >= 2 OR max_severity >= 5 OR cast({_PRIOR("rt.alarm_type")} AS double) >= 0.5) AS passes FROM inc JOIN cr USING (incident_id) JOIN rt ON rt.incident_id = inc.incident_id),
@@ -431,6 +458,21 @@ def card_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cards.card_stats(gated, capped)
 
 
+_TEXTS = """CASE rule WHEN 'maintenance_chatter' THEN 'maintenance type ' || alarm_type WHEN 'isolated_low_severity' THEN 'severity ' || cast(severity AS varchar) || ' and no other alarm on ' || host || ' within 30 min'
+  WHEN 'background_baseline' THEN 'severity ' || cast(severity AS varchar) || ' outside every spike window of ' || service WHEN 'background_in_window' THEN 'below the severity that joins clusters'
+  WHEN 'unclustered_residual' THEN 'in no dense enough cluster' ELSE 'its incident failed the quality gate' END"""
+
+
+@_query(_RULES + "," + _CHAIN.replace("a AS (SELECT x.*", "a2 AS (SELECT x.*").replace("SELECT a.*, incident_id FROM a JOIN", "SELECT a2.*, incident_id FROM a2 JOIN") + f""", lg AS (SELECT r.alarm_id, r.alarm_type, r.severity, r.host, r.service,
+  coalesce(r.rule, CASE WHEN r.severity < 4 THEN 'background_in_window' WHEN mem.incident_id IS NULL THEN 'unclustered_residual' WHEN NOT gt.passes THEN 'low_confidence_cluster' END) AS rule
+  FROM ruled r LEFT JOIN mem ON mem.alarm_id = r.alarm_id LEFT JOIN gt ON gt.incident_id = mem.incident_id) SELECT alarm_id, rule, {_TEXTS} AS reason FROM lg WHERE rule IS NOT NULL""")
+def formula_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger where each week's failing services are the incidents."""
+    _, gated, m, _ = _ranked(spark, sf_dir)
+    carded = m.join(gated.where("passes").select("incident_id"), "incident_id", "left_semi")
+    return noise.ledger(_classified(spark, sf_dir), m, carded).select("alarm_id", "rule", "reason")
+
+
 _EVENT = "array_to_string(list_transform(string_split(replace(root_type, '_', ' '), ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ')"
 _SLOTS = "sl AS (SELECT *, CASE WHEN rank <= CASE WHEN (SELECT count(*) FROM rd) > 15 THEN 14 ELSE 15 END THEN 'card' ELSE 'bucket' END AS slot FROM rd)"
 

@@ -77,6 +77,33 @@ def read_dependencies(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*(F.trim(F.col(a)).alias(b) for a, b in zip(raw.columns, ("source", "target", "kind", "criticality"), strict=True)))
 
 
+#: Columns of the incident archive, those of `patterns.signatures`, and of the action records.
+HISTORY = "incident_id string, run_id string, occurred_us long, root_type string, root_service string, services array<string>, locations array<string>, type_histogram map<string,double>, max_severity int, alarm_count long, duration_min double, seq long"
+ACTIONS = "incident_id string, status string, owner string, action string, created_us long, updated_us long, seq long"
+
+
+def _store(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The Parquet table at path, or one without rows where nothing was written yet."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
+def read_history(spark: SparkSession, path: str) -> DataFrame:
+    return _store(spark, path, HISTORY)
+
+
+def read_actions(spark: SparkSession, path: str) -> DataFrame:
+    """One record per incident_id, the last by seq; records without an incident_id are skipped."""
+    return latest_actions(_store(spark, path, ACTIONS))
+
+
+def write_actions(records: DataFrame, path: str) -> None:
+    """Replaces the records at path; they are kept first, since they may have been read from there."""
+    kept(records).write.mode("overwrite").parquet(path)
+
+
 def retained_runs(history: DataFrame, run_id: str, max_runs: int = 20) -> DataFrame:
     """Rows of the archive that stay when run_id is appended: other runs, the last max_runs - 1 in order of first sight (column seq)."""
     others = history.where(F.col("run_id") != run_id)

@@ -15,7 +15,7 @@ from stormsift.plans.storm import documents, reduce_storm
 from stormsift.sources import fixtures
 
 SF = "/root/testdata/sf0.001"
-ORACLE = ["input_checks", "enrich_alarms", "spike_windows", "rule_counts", "centrality", "root_and_counter", "suggested_owner", "timeline", "apply_transitions", "retained_runs", "signatures", "similar_incidents"]
+ORACLE = ["input_checks", "enrich_alarms", "spike_windows", "rule_counts", "centrality", "root_and_counter", "suggested_owner", "explanations", "formula_links", "formula_ledger", "timeline", "apply_transitions", "retained_runs", "signatures", "similar_incidents"]
 
 
 @pytest.mark.parametrize("name", ORACLE)
