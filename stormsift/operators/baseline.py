@@ -33,14 +33,21 @@ def service_baseline(series: DataFrame) -> DataFrame:
 def hot_bins(series: DataFrame, baseline: DataFrame, *detectors: Detector) -> DataFrame:
     """Bins whose centred rolling sum is above a detector's threshold, all detectors in one pass.
 
-    A hot bin may be empty: counts are dealt to their neighbours.
+    The sum changes only where a bin's count enters or leaves it, so a bin gives four marks, however wide the window;
+    a running sum over the marks holds up to the next mark. A hot bin may be empty: counts reach their neighbours.
     """
+    own, none = F.col("bin"), F.lit(0).cast("long")
     limits = [F.struct(F.lit(d.kind).alias("kind"), F.lit(d.half).alias("half"), F.lit(float(d.min_count)).alias("least"), F.lit(float(d.multiplier)).alias("multiplier"), F.lit(float(d.margin)).alias("margin")) for d in detectors]
-    each = series.select("service", "t0", "n_bins", "cnt", F.col("bin").alias("own"), F.explode(F.array(*limits)).alias("d"))
-    dealt = each.withColumn("at", F.explode(F.sequence(F.col("own") - F.col("d.half"), F.col("own") + F.col("d.half")))).where("at >= 0 AND at < n_bins")
-    rolled = dealt.groupBy("service", "d", F.col("at").alias("bin"), "t0").agg(F.sum("cnt").alias("rolling"), F.coalesce(F.sum(F.when(F.col("own") == F.col("at"), F.col("cnt"))), F.lit(0)).alias("cnt"))
-    limit = F.greatest(F.col("d.least"), F.col("baseline") * F.col("d.multiplier") + F.col("d.margin"))
-    return rolled.join(baseline, "service").withColumn("threshold", limit).where("rolling > threshold").select("*", "d.kind", "d.half").drop("d")
+    each = series.withColumn("d", F.explode(F.array(*limits)))
+    marks = [(F.greatest(own - F.col("d.half"), none), F.col("cnt"), none), (own, none, F.col("cnt")), (own + 1, none, none), (own + F.col("d.half") + 1, -F.col("cnt"), none)]
+    marked = each.withColumn("m", F.explode(F.array(*(F.struct(at.alias("at"), step.alias("step"), cnt.alias("cnt")) for at, step, cnt in marks))))
+    marked = marked.select("service", "t0", "n_bins", "d.*", "m.*").repartition("service", "kind")
+    steps = marked.groupBy("service", "kind", "half", "least", "multiplier", "margin", "t0", "n_bins", "at").agg(F.sum("step").alias("step"), F.sum("cnt").alias("cnt"))
+    w = W.partitionBy("service", "kind").orderBy("at")
+    rolled = steps.withColumn("rolling", F.sum("step").over(w)).withColumn("until", F.least(F.lead("at").over(w), F.col("n_bins")))
+    limit = F.greatest(F.col("least"), F.col("baseline") * F.col("multiplier") + F.col("margin"))
+    hot = rolled.join(baseline, "service").withColumn("threshold", limit).where("rolling > threshold AND at < until")
+    return hot.withColumn("bin", F.explode(F.sequence("at", F.col("until") - 1))).select("service", "kind", "half", "t0", "bin", "cnt", "rolling", "baseline", "threshold")
 
 
 def _islands(hot: DataFrame, gap: int) -> DataFrame:
