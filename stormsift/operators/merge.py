@@ -55,13 +55,14 @@ def span_guarded_unions(rows: list[tuple[str, int, int]], links: list[tuple[int,
 def merge_incidents(clusters: DataFrame, links: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """(cluster_id, root_cluster, root_start_us, reasons): the incident's first cluster, its start and, on its row, the reasons of its unions.
 
-    No link crosses an onset gap above onset_gap minutes, so runs between such gaps are merged apart from each other.
+    Clusters are cut into runs wherever no link reaches across, and runs are merged apart from each other: clusters that
+    follow each other without pause but are unrelated do not share a task.
     """
+    out = links.select(F.col("a").alias("cluster_id"), F.struct("b", "gap_us", "reason").alias("l")).groupBy("cluster_id").agg(F.collect_list("l").alias("links"), F.max("l.gap_us").alias("far"))
     w = W.orderBy("start_us", "service", "cluster_id")  # clusters only, no alarms
-    cut = F.coalesce(F.col("start_us") - F.lag("start_us").over(w) > p.onset_gap * MINUTE, F.lit(False))
-    runs = clusters.select("cluster_id", "service", "start_us", "end_us", cut.alias("cut")).withColumn("run", F.sum(F.col("cut").cast("int")).over(w))
-    out = links.select(F.col("a").alias("cluster_id"), F.struct("b", "gap_us", "reason").alias("l")).groupBy("cluster_id").agg(F.collect_list("l").alias("links"))
-    rows = runs.join(out, "cluster_id", "left")
+    reach = F.max(F.col("start_us") + F.col("far")).over(w.rowsBetween(W.unboundedPreceding, -1))
+    cut = F.coalesce(F.col("start_us") > reach, F.lit(True)).cast("int")
+    rows = clusters.select("cluster_id", "service", "start_us", "end_us").join(out, "cluster_id", "left").withColumn("cut", cut).withColumn("run", F.sum("cut").over(w)).drop("cut", "far")
     span = p.max_span * MINUTE
 
     def merge(part: pd.DataFrame) -> pd.DataFrame:

@@ -60,6 +60,21 @@ def test_span_of_exactly_the_limit_is_joined():
     assert merge.span_guarded_unions(rows[:2], [(5, 0, 1, "x")], 30)[0] == [0, 0]
 
 
+def test_runs_between_links_equal_one_merge_of_all(spark):
+    rng = random.Random(11)
+    rows = sorted((rng.randrange(0, 900), f"s{rng.randrange(5)}", f"C{k:02d}") for k in range(60))  # seconds, many ties and no pause
+    clusters = [(c, s, t * 1_000_000, (t + rng.randrange(0, 400)) * 1_000_000) for t, s, c in rows]
+    links = [(a, b, clusters[b][2] - clusters[a][2]) for a in range(60) for b in range(a + 1, min(60, a + 4)) if rng.random() < 0.3]
+    got = merge.merge_incidents(
+        spark.createDataFrame(clusters, "cluster_id string, service string, start_us long, end_us long"),
+        spark.createDataFrame([(clusters[a][0], clusters[b][0], g, f"{a}-{b}") for a, b, g in links], "a string, b string, gap_us long, reason string"),
+    ).collect()
+    roots, accepted = merge.span_guarded_unions([(c, s, e) for c, _, s, e in clusters], [(g, a, b, f"{a}-{b}") for a, b, g in links], DEFAULT.max_span * MINUTE)
+    assert {r["cluster_id"]: r["root_cluster"] for r in got} == {clusters[k][0]: clusters[r][0] for k, r in enumerate(roots)}
+    assert sorted(x for r in got for x in r["reasons"]) == sorted(x for _, _, x in accepted)
+    assert all(r["root_start_us"] is not None for r in got) and 1 < len(set(roots)) < 60
+
+
 def test_impact_leaves_itself_out_on_cycles(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "a")], "source string, target string")
     assert {(r["src"], r["dst"], r["hop"]) for r in impact_set(e).collect()} == {("b", "a", 1), ("a", "b", 1), ("a", "c", 1), ("b", "c", 2)}
