@@ -36,15 +36,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # ------------------------------------------------------------------ lineage and joins
 
 
-def skew_join(big: DataFrame, small: DataFrame, on: list[str], rows: int, how: str = "left") -> DataFrame:
+def skew_join(big: DataFrame, small: DataFrame, on: list[str], rows: int, how: str = "left", grows: bool = False) -> DataFrame:
     """big (of about so many rows) joined with small, which has one row a key and in `copies` the rows of big that hold it.
 
     Keys of more than one in HOT_KEYS of all rows number fewer than HOT_KEYS, so they are broadcast; the others meet by
-    shuffle, where no key is large. small is written first, as three branches of the plan read it.
+    shuffle, where no key is large. small is written first, as three branches of the plan read it. grows says that small
+    grows with big: then the shuffle is fixed in the plan, and Spark does not broadcast small while it happens to be short.
     """
     most, small = max(1, rows // HOT_KEYS), written(small)
     hot = F.broadcast(small.where(F.col("copies") > most).drop("copies"))
     cold = small.where(F.col("copies") <= most).drop("copies")
+    cold = cold.hint("merge") if grows else cold
     return big.join(hot, on).unionByName(big.join(hot.select(on), on, "left_anti").join(cold, on, how))
 
 

@@ -66,7 +66,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame) -> DataFrame:
     order = F.struct(F.col("base"), F.col("length"), (F.col("verdict") == "block"))
     best = met.groupBy("host", "path").agg(F.max_by(F.struct("base", "expr", "verdict"), order).alias("best"), F.max("copies").alias("copies"))
     # rows without a host share one key and meet no rule: they take no part in the join
-    out = skew_join(rows.where("host <> ''"), best, ["host", "path"], rows.count()).unionByName(rows.where("host = ''"), allowMissingColumns=True)
+    out = skew_join(rows.where("host <> ''"), best, ["host", "path"], rows.count(), grows=True).unionByName(rows.where("host = ''"), allowMissingColumns=True)
     return out.select("page_id", "host", "path", F.when(F.col("best.base"), F.col("best.expr")).alias("rule"), F.coalesce("best.verdict", F.lit("allow")).alias("verdict"))
 
 
