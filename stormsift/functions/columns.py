@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stormsift.params import CRITICALITY_WEIGHT, OWNERS, SEVERITY_LABEL, TYPE_PRIOR
+from stormsift.params import CRITICALITY_WEIGHT, OWNERS, PATTERNS, SEVERITY_LABEL, TYPE_PRIOR
 
 
 def lookup(key: Column, values: Mapping, default: Column) -> Column:
@@ -27,6 +27,11 @@ def owner(alarm_type: Column) -> Column:
     return lookup(alarm_type, {t: who for who, types in OWNERS.items() for t in types}, F.lit("platform-oncall"))
 
 
+def family(root_type: Column) -> Column:
+    """The pattern that holds the type as a root, else the type itself."""
+    return lookup(root_type, {t: key for key, roots, _ in reversed(PATTERNS) for t in roots}, root_type)
+
+
 def criticality_weight(criticality: Column) -> Column:
     return lookup(criticality, CRITICALITY_WEIGHT, F.lit(0.5))
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from stormsift.functions.ordering import in_order
 from stormsift.operators.baseline import covering, spike_windows
 from stormsift.params import DEFAULT, Params
 from stormsift.sources.io import kept
@@ -51,9 +52,8 @@ def find_clusters(signal: DataFrame, p: Params = DEFAULT) -> DataFrame:
     rest = signal.join(burst.select("alarm_id"), "alarm_id", "left_anti")
     slow = claim(rest, windows.where("kind = 'slow'"), p.slow_min_alarms, p.slow_min_severity).withColumn("window_kind", F.lit("slow_burn"))
     members = kept(burst.union(slow))
-    found = members.select("window_kind", "service", "window_no").distinct()
-    number = F.row_number().over(W.orderBy("window_kind", "service", "window_no"))  # clusters only, no alarms
-    ids = found.withColumn("cluster_id", F.concat(F.lit("CL-"), F.lpad(number.cast("string"), 3, "0")))
+    found = in_order(members.select("window_kind", "service", "window_no").distinct(), ["window_kind", "service", "window_no"], "number")
+    ids = found.select("window_kind", "service", "window_no", F.format_string("CL-%03d", F.col("number") + 1).alias("cluster_id"))
     return members.join(ids, ["window_kind", "service", "window_no"]).select("alarm_id", "cluster_id", "window_kind")
 
 

@@ -18,6 +18,16 @@ def direct_neighbours(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.join(out, "service", "left").join(back, "service", "left").select("service", F.coalesce("depends_on", none).alias("depends_on"), F.coalesce("dependents", none).alias("dependents"))
 
 
+def edge_metadata(edges: DataFrame) -> DataFrame:
+    """(source, target, kind, criticality), one row a dependency; where the table says several things, the last row counts.
+
+    The last is the highest value of a column seq if there is one (readers that see files in pieces cannot know their
+    order), else of (kind, criticality), so that reruns agree.
+    """
+    by = F.struct("seq") if "seq" in edges.columns else F.struct("kind", "criticality")
+    return edges.groupBy("source", "target").agg(F.max_by(F.struct("kind", "criticality"), by).alias("e"), F.count("*").alias("listed")).select("source", "target", "e.kind", "e.criticality", "listed")
+
+
 def _reach(steps: DataFrame, max_hops: int) -> DataFrame:
     """(src, dst, hop): shortest hop along steps (src, dst), self left out. Each round extends only pairs that are new."""
     steps = steps.distinct()

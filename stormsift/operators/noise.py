@@ -49,13 +49,27 @@ def rule_counts(entries: DataFrame) -> DataFrame:
     return entries.groupBy("rule").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "rule")
 
 
-def audit_search(entries: DataFrame, rules: Sequence[str] = (), severities: Sequence[int] = (), text: str = "") -> DataFrame:
-    """Ledger rows by rule, severity, and a case-insensitive regular expression in id, message or type."""
+def ledger_cube(entries: DataFrame) -> DataFrame:
+    """(level, rule, service, severity, n, first_us, last_us): the ledger's counts by rule, service and severity at once.
+
+    One pass: grouping sets expand a row into the five combinations, which are added up before they are shuffled. level is
+    Spark's grouping id (a bit for each column that is summed over), so a null name is told from a total.
+    """
+    sets = [("rule", "service", "severity"), ("rule", "service"), ("rule", "severity"), ("rule",), ()]
+    columns = ["rule", "service", "severity"]
+    g = entries.groupingSets([[F.col(c) for c in s] for s in sets], *columns)
+    return g.agg(F.grouping_id().cast("int").alias("level"), F.count("*").alias("n"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
+
+
+def audit_search(entries: DataFrame, rules: Sequence[str] = (), severities: Sequence[int] = (), text: str = "", services: Sequence[str] = ()) -> DataFrame:
+    """Ledger rows by rule, severity, service, and a case-insensitive regular expression in id, message or type."""
     out = entries
     if rules:
         out = out.where(F.col("rule").isin(*rules))
     if severities:
         out = out.where(F.col("severity").isin(*severities))
+    if services:
+        out = out.where(F.col("service").isin(*services))
     if text:
         pattern = f"(?i){text}"
         out = out.where(F.col("alarm_id").rlike(pattern) | F.col("message").rlike(pattern) | F.col("alarm_type").rlike(pattern))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stormsift.functions import columns as C
 from stormsift.operators import actions, baseline, cards, cluster, enrich, graph, merge, noise, patterns, quality_checks, reports, rootcause
 from stormsift.params import CRITICALITY_WEIGHT, DEFAULT, MAINTENANCE_TYPES, MINUTE, OWNERS, PATTERNS, SEVERITY_LABEL, TYPE_PRIOR
-from stormsift.plans.storm import documents, reduce_storm
+from stormsift.plans.storm import documents, held_by_cards, reduce_storm
 from stormsift.sources import fixtures, io
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -189,10 +189,15 @@ def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return noise.rule_counts(_classified(spark, sf_dir).where("rule IS NOT NULL"))
 
 
-@_query(_RULES + " SELECT alarm_id, rule, severity FROM ruled WHERE rule IN ('maintenance_chatter', 'background_baseline') AND severity IN (1, 2, 3) AND regexp_matches(message, '(?i)FLAP|disk_w')")
+@_query(_RULES + " SELECT alarm_id, rule, severity FROM ruled WHERE rule IN ('maintenance_chatter', 'background_baseline') AND severity IN (1, 2, 3) AND service IN ('svc-01', 'svc-02', 'svc-05', 'svc-20') AND regexp_matches(message, '(?i)FLAP|disk_w')")
 def audit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = _classified(spark, sf_dir).where("rule IS NOT NULL")
-    return noise.audit_search(entries, ("maintenance_chatter", "background_baseline"), (1, 2, 3), "FLAP|disk_w").select("alarm_id", "rule", "severity")
+    return noise.audit_search(entries, ("maintenance_chatter", "background_baseline"), (1, 2, 3), "FLAP|disk_w", ("svc-01", "svc-02", "svc-05", "svc-20")).select("alarm_id", "rule", "severity")
+
+
+@_query(_RULES + " SELECT GROUPING(rule, service, severity)::INTEGER AS level, rule, service, severity, count(*) AS n, min(us) AS first_us, max(us) AS last_us FROM ruled WHERE rule IS NOT NULL GROUP BY GROUPING SETS ((rule, service, severity), (rule, service), (rule, severity), (rule), ())")
+def ledger_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return noise.ledger_cube(_classified(spark, sf_dir).where("rule IS NOT NULL"))
 
 
 # ------------------------------------------------------------------ graph: dependencies between services that raise alarms
@@ -224,6 +229,12 @@ def direct_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.direct_neighbours(e, live).join(live, "service").select("service", "n_alarms", F.concat_ws(",", "depends_on").alias("depends_on"), F.concat_ws(",", "dependents").alias("dependents"))
 
 
+@_query(_GRAPH + " SELECT e.source, e.target, max(e.kind) AS kind, max(e.criticality) AS criticality, count(*) AS listed, any_value(n_alarms) AS n_alarms FROM edges e JOIN g ON g.source = e.source AND g.target = e.target JOIN live ON service = e.target GROUP BY 1, 2")
+def edge_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, live = _graph(spark, sf_dir)
+    return graph.edge_metadata(e).join(live.withColumnRenamed("service", "target"), "target")
+
+
 @_query(_GRAPH + " SELECT src, dst, hop, n_alarms FROM imp JOIN live ON dst = service")
 def impact_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, live = _graph(spark, sf_dir)
@@ -307,8 +318,7 @@ def storm_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(" SELECT count(*) AS expected, true AS no_loss, true AS ids_unique FROM alarms")
 def integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _storm(spark, sf_dir)
-    carded = cards.held(documents(s, fixtures.dependencies(spark)))
-    return reports.integrity(s.alarms, carded, s.ledger).select("expected", "no_loss", "ids_unique")
+    return reports.integrity(s.alarms, held_by_cards(s), s.ledger).select("expected", "no_loss", "ids_unique")
 
 
 @_query()
@@ -370,7 +380,8 @@ def root_and_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _OWNER = _case("root_type", {t: who for who, types in OWNERS.items() for t in types}, "'platform-oncall'")
-_STEP = _case("root_type", {t: rootcause.FIRST_STEP[key].replace("'", "''") for key, types, _ in PATTERNS for t in types}, "'" + rootcause.ELSEWHERE.replace("'", "''") + "'").replace('"', "'")
+_FAMILY = _case("root_type", {t: key for key, types, _ in reversed(PATTERNS) for t in types}, "root_type")
+_STEP = f"'open the runbook of ' || {_FAMILY}"
 
 
 @_query(_WEEKLY + "," + _GRAPH + "," + _SCORES + f" SELECT rt.incident_id, rt.service || ': ' || {_STEP.replace('root_type', 'rt.alarm_type')} || ' (' || cast(n_services AS varchar) || ' services, ' || cast(alarm_count AS varchar) || ' alarms)' AS action, {_OWNER.replace('root_type', 'rt.alarm_type')} AS owner FROM rt JOIN inc ON inc.incident_id = rt.incident_id")
@@ -420,6 +431,11 @@ def formula_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.candidate_links(cluster.cluster_summary(formed, a), graph.related_pairs(*_graph(spark, sf_dir)))
 
 
+_PAT = "pat(key, roots, symptoms) AS (VALUES " + ", ".join(f"('{k}', [{', '.join(repr(x) for x in r)}], [{', '.join(repr(x) for x in s)}])" for k, r, s in PATTERNS) + ")"
+_MATCHED = """pm AS (SELECT rt.incident_id, key, len(symptoms) AS of, (SELECT count(*) FROM ma WHERE ma.incident_id = rt.incident_id AND list_contains(symptoms, ma.alarm_type)) AS hit,
+  (SELECT count(DISTINCT ma.alarm_type) FROM ma WHERE ma.incident_id = rt.incident_id AND list_contains(symptoms, ma.alarm_type)) AS kinds, inc.alarm_count FROM rt JOIN inc ON inc.incident_id = rt.incident_id JOIN pat ON list_contains(roots, rt.alarm_type)),
+ps AS (SELECT *, cast(0.55 AS double) + cast(0.30 AS double) * (cast(hit AS double) / alarm_count) + cast(0.15 AS double) * (cast(kinds AS double) / of) AS s FROM pm)"""
+_SLOTS = "sl AS (SELECT *, CASE WHEN rank <= CASE WHEN (SELECT count(*) FROM rd) > 15 THEN 14 ELSE 15 END THEN 'card' ELSE 'bucket' END AS slot FROM rd)"
 _CRIT = _case("criticality", CRITICALITY_WEIGHT, "0.5")
 _RANKED = f"""cr AS (SELECT incident_id, avg(cast({_CRIT} AS double)) AS crit FROM ma GROUP BY incident_id),
 gt AS (SELECT inc.*, crit, rt.alarm_type AS root_type, alarm_count >= 10 AND (n_services >= 2 OR max_severity >= 5 OR cast({_PRIOR("rt.alarm_type")} AS double) >= 0.5) AS passes FROM inc JOIN cr USING (incident_id) JOIN rt ON rt.incident_id = inc.incident_id),
@@ -452,10 +468,12 @@ def cap_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(spark, sf_dir)[0].select("incident_id", "slot")
 
 
-@_query(_CHAIN + ", s AS (SELECT CASE WHEN rank <= CASE WHEN (SELECT count(*) FROM rd) > 15 THEN 14 ELSE 15 END THEN 1 ELSE 0 END AS c FROM rd) SELECT (SELECT count(*) FROM gt) AS detected, (SELECT count(*) FROM gt WHERE passes) AS passing, (SELECT count(*) FROM gt WHERE NOT passes) AS below, (SELECT count(*) FROM s WHERE c = 1) AS own_slot, (SELECT count(*) FROM s WHERE c = 0) AS rolled_up, (SELECT count(*) FROM s WHERE c = 1) + CASE WHEN (SELECT count(*) FROM s WHERE c = 0) > 0 THEN 1 ELSE 0 END AS total_cards")
+@_query(_CHAIN + "," + _SLOTS + "," + _PAT + "," + _MATCHED + ", s AS (SELECT CASE slot WHEN 'card' THEN 1 ELSE 0 END AS c FROM sl) SELECT (SELECT count(*) FROM sl JOIN ps ON ps.incident_id = sl.incident_id WHERE slot = 'card' AND s >= 0.45) AS pattern_matches, (SELECT count(DISTINCT sl.incident_id) FROM sl JOIN ps ON ps.incident_id = sl.incident_id WHERE slot = 'card' AND s >= 0.45) AS known_cards, (SELECT count(*) FROM alarms WHERE severity >= 4 AND NOT storm) AS residual, (SELECT count(*) FROM gt) AS detected, (SELECT count(*) FROM gt WHERE passes) AS passing, (SELECT count(*) FROM gt WHERE NOT passes) AS below, (SELECT count(*) FROM s WHERE c = 1) AS own_slot, (SELECT count(*) FROM s WHERE c = 0) AS rolled_up, (SELECT count(*) FROM s WHERE c = 1) + CASE WHEN (SELECT count(*) FROM s WHERE c = 0) > 0 THEN 1 ELSE 0 END AS total_cards")
 def card_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    capped, gated, _, _ = _ranked(spark, sf_dir)
-    return cards.card_stats(gated, capped)
+    """The residual are severe alarms outside the storms."""
+    capped, gated, m, a = _ranked(spark, sf_dir)
+    known = patterns.match_patterns(m, a, rootcause.root_and_counter(_scored(spark, sf_dir)[0]), patterns.known_patterns(spark))
+    return cards.card_stats(gated, capped, known, a.where("severity >= 4 AND NOT storm"))
 
 
 _TEXTS = """CASE rule WHEN 'maintenance_chatter' THEN 'maintenance type ' || alarm_type WHEN 'isolated_low_severity' THEN 'severity ' || cast(severity AS varchar) || ' and no other alarm on ' || host || ' within 30 min'
@@ -463,9 +481,12 @@ _TEXTS = """CASE rule WHEN 'maintenance_chatter' THEN 'maintenance type ' || ala
   WHEN 'unclustered_residual' THEN 'in no dense enough cluster' ELSE 'its incident failed the quality gate' END"""
 
 
-@_query(_RULES + "," + _CHAIN.replace("a AS (SELECT x.*", "a2 AS (SELECT x.*").replace("SELECT a.*, incident_id FROM a JOIN", "SELECT a2.*, incident_id FROM a2 JOIN") + f""", lg AS (SELECT r.alarm_id, r.alarm_type, r.severity, r.host, r.service,
+_LEDGER = _RULES + "," + _CHAIN.replace("a AS (SELECT x.*", "a2 AS (SELECT x.*").replace("SELECT a.*, incident_id FROM a JOIN", "SELECT a2.*, incident_id FROM a2 JOIN") + f""", lg AS (SELECT r.alarm_id, r.alarm_type, r.severity, r.host, r.service,
   coalesce(r.rule, CASE WHEN r.severity < 4 THEN 'background_in_window' WHEN mem.incident_id IS NULL THEN 'unclustered_residual' WHEN NOT gt.passes THEN 'low_confidence_cluster' END) AS rule
-  FROM ruled r LEFT JOIN mem ON mem.alarm_id = r.alarm_id LEFT JOIN gt ON gt.incident_id = mem.incident_id) SELECT alarm_id, rule, {_TEXTS} AS reason FROM lg WHERE rule IS NOT NULL""")
+  FROM ruled r LEFT JOIN mem ON mem.alarm_id = r.alarm_id LEFT JOIN gt ON gt.incident_id = mem.incident_id)"""
+
+
+@_query(_LEDGER + f""" SELECT alarm_id, rule, {_TEXTS} AS reason FROM lg WHERE rule IS NOT NULL""")
 def formula_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger where each week's failing services are the incidents."""
     _, gated, m, _ = _ranked(spark, sf_dir)
@@ -473,8 +494,45 @@ def formula_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return noise.ledger(_classified(spark, sf_dir), m, carded).select("alarm_id", "rule", "reason")
 
 
+@_query(_LEDGER + "," + _SLOTS + """, t AS (SELECT (SELECT count(*) FROM mem JOIN sl ON sl.incident_id = mem.incident_id) AS in_cards, (SELECT count(*) FROM lg WHERE rule IS NOT NULL) AS in_ledger, (SELECT count(*) FROM (SELECT alarm_id FROM mem JOIN sl ON sl.incident_id = mem.incident_id UNION SELECT alarm_id FROM lg WHERE rule IS NOT NULL)) AS distinct_ids, (SELECT count(*) FROM alarms) AS expected)
+SELECT *, in_cards + in_ledger = expected AS no_loss, distinct_ids = expected AS ids_unique FROM t""")
+def formula_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards and ledger where each week's failing services are the incidents."""
+    capped, gated, m, a = _ranked(spark, sf_dir)
+    held = cards.membership(io.kept(capped), m)
+    entries = noise.ledger(_classified(spark, sf_dir), m, m.join(gated.where("passes").select("incident_id"), "incident_id", "left_semi"))
+    return reports.integrity(a, held, entries)
+
+
+_CARD = "CASE WHEN slot = 'card' THEN 'INC-' || lpad(cast(sl.rank AS varchar), 3, '0') ELSE 'INC-UNCLUSTERED' END"
+
+
+def _card_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Membership and facts of the cards, as written and read again."""
+    capped, _, m, a = _ranked(spark, sf_dir)
+    held = io.kept(cards.membership(io.kept(capped), m))
+    path = io.new_folder(spark)
+    io.write_outputs({"membership": held, "facts": cards.card_facts(held, a)}, path)
+    return io.read_outputs(spark, path, "membership", "facts")
+
+
+@_query(_CHAIN + "," + _SLOTS + f" SELECT {_CARD} AS card_id, sl.incident_id, alarm_id FROM sl JOIN mem ON mem.incident_id = sl.incident_id")
+def card_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _card_tables(spark, sf_dir)["membership"].select("card_id", "incident_id", "alarm_id")
+
+
+@_query(_CHAIN + "," + _SLOTS + f""", hm AS (SELECT {_CARD} AS card_id, ma.* FROM sl JOIN ma ON ma.incident_id = sl.incident_id), hr AS (SELECT *, row_number() OVER (PARTITION BY card_id ORDER BY us, alarm_id) AS k FROM hm),
+hy AS (SELECT card_id, string_agg(alarm_type || ':' || cast(n AS varchar), ',' ORDER BY alarm_type) AS types FROM (SELECT card_id, alarm_type, count(*) AS n FROM hm GROUP BY 1, 2) GROUP BY card_id)
+SELECT card_id, count(*) AS alarm_count, string_agg(DISTINCT service, ',' ORDER BY service) AS services, string_agg(DISTINCT source_system, ',' ORDER BY source_system) AS source_systems, max(severity) AS max_severity, min(us) AS start_us, max(us) AS end_us, any_value(types) AS types,
+  sha256(string_agg(alarm_id, ',' ORDER BY k) FILTER (WHERE k <= {cards.HEAD})) AS head FROM hr JOIN hy USING (card_id) GROUP BY card_id""")
+def card_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of each card as written and read again; head is a digest of the first alarms' ids."""
+    f = _card_tables(spark, sf_dir)["facts"]
+    types = F.array_join(F.transform(F.array_sort(F.map_entries("alarm_type_histogram")), lambda x: F.concat_ws(":", x["key"], x["value"])), ",")
+    return f.select("card_id", "alarm_count", F.array_join("services", ",").alias("services"), F.array_join("source_systems", ",").alias("source_systems"), "max_severity", "start_us", "end_us", types.alias("types"), F.sha2(F.array_join("alarm_ids", ","), 256).alias("head"))
+
+
 _EVENT = "array_to_string(list_transform(string_split(replace(root_type, '_', ' '), ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ')"
-_SLOTS = "sl AS (SELECT *, CASE WHEN rank <= CASE WHEN (SELECT count(*) FROM rd) > 15 THEN 14 ELSE 15 END THEN 'card' ELSE 'bucket' END AS slot FROM rd)"
 
 
 @_query(_CHAIN + "," + _SLOTS + f""", pl AS (SELECT incident_id, min(datacenter) AS dc, min(rack) AS rack FROM ma GROUP BY incident_id HAVING count(DISTINCT datacenter || '/' || rack) = 1),
@@ -497,13 +555,9 @@ def bucket_card(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("card_id", "label", "alarm_count", *joined, "max_severity", "start_us", "end_us", F.array_join(rolled, "|").alias("rolled_up"))
 
 
-_PAT = "pat(key, roots, symptoms) AS (VALUES " + ", ".join(f"('{k}', [{', '.join(repr(x) for x in r)}], [{', '.join(repr(x) for x in s)}])" for k, r, s in PATTERNS) + ")"
 
 
-@_query(_WEEKLY + "," + _GRAPH + "," + _SCORES + "," + _PAT + """, pm AS (SELECT rt.incident_id, key, len(symptoms) AS of, (SELECT count(*) FROM ma WHERE ma.incident_id = rt.incident_id AND list_contains(symptoms, ma.alarm_type)) AS hit,
-  (SELECT count(DISTINCT ma.alarm_type) FROM ma WHERE ma.incident_id = rt.incident_id AND list_contains(symptoms, ma.alarm_type)) AS kinds, inc.alarm_count FROM rt JOIN inc ON inc.incident_id = rt.incident_id JOIN pat ON list_contains(roots, rt.alarm_type)),
-ps AS (SELECT *, cast(0.55 AS double) + cast(0.30 AS double) * (cast(hit AS double) / alarm_count) + cast(0.15 AS double) * (cast(kinds AS double) / of) AS s FROM pm)
-SELECT incident_id, key AS pattern_key, floor(s * 1000.0 + 0.5) / 1000.0 AS confidence, floor(cast(hit AS double) / alarm_count * 1000.0 + 0.5) / 1000.0 AS symptom_share FROM ps WHERE s >= 0.45""")
+@_query(_WEEKLY + "," + _GRAPH + "," + _SCORES + "," + _PAT + "," + _MATCHED + """ SELECT incident_id, key AS pattern_key, floor(s * 1000.0 + 0.5) / 1000.0 AS confidence, floor(cast(hit AS double) / alarm_count * 1000.0 + 0.5) / 1000.0 AS symptom_share FROM ps WHERE s >= 0.45""")
 def match_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, m, a = _scored(spark, sf_dir, True)
     return patterns.match_patterns(m, a, rootcause.root_and_counter(s), patterns.known_patterns(spark)).select("incident_id", "pattern_key", "confidence", "symptom_share")
@@ -514,17 +568,19 @@ def _signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patterns.signatures(merge.incident_summary(m, a), m, a, rootcause.root_and_counter(s), "run-2")
 
 
-_FAMILY = _case("root_type", {t: key for key, types, _ in reversed(PATTERNS) for t in types}, "root_type")
+_WHY = """array_to_string(list_filter([CASE WHEN root = 1.0 THEN 'same root type (' || xt || ')' WHEN root > 0 THEN 'same failure family (' || xt || ' ~ ' || yt || ')' END,
+  CASE WHEN len(shared) > 0 THEN cast(len(shared) AS varchar) || ' shared services (' || array_to_string(shared[1:4], ', ') || CASE WHEN len(shared) > 4 THEN '...)' ELSE ')' END END,
+  CASE WHEN cosine >= 0.7::DOUBLE THEN 'alike alarm types (cosine ' || printf('%.2f', floor(cosine * 100.0 + 0.5) / 100.0) || ')' END, CASE WHEN same THEN 'same root service (' || xs || ')' END], lambda x: x IS NOT NULL), '; ')"""
 _SIGS = f"""sv AS (SELECT incident_id, list_sort(list(DISTINCT service)) AS services, list_sort(list(DISTINCT datacenter || '/' || rack)) AS locations FROM ma GROUP BY incident_id),
 hk AS (SELECT incident_id, alarm_type, floor(cast(count(*) AS double) / cast(sum(count(*)) OVER (PARTITION BY incident_id) AS double) * 10000.0 + 0.5) / 10000.0 AS share FROM ma GROUP BY 1, 2),
 sg AS (SELECT *, {_FAMILY} AS family FROM (SELECT inc.*, services, locations, rt.alarm_type AS root_type, rt.service AS root_service FROM inc JOIN sv ON sv.incident_id = inc.incident_id JOIN rt ON rt.incident_id = inc.incident_id)),
 nm AS (SELECT incident_id, sqrt(sum(share * share)) AS norm FROM hk GROUP BY incident_id),
 dt AS (SELECT x.incident_id AS a, y.incident_id AS b, sum(x.share * y.share) AS dot FROM hk x JOIN hk y USING (alarm_type) GROUP BY 1, 2),
-pa AS (SELECT x.incident_id AS a, y.incident_id AS b, CASE WHEN x.root_type = y.root_type THEN 1.0 WHEN x.family = y.family THEN 0.6 ELSE 0.0 END::DOUBLE AS root, x.root_service = y.root_service AS same,
+pa AS (SELECT x.incident_id AS a, y.incident_id AS b, x.root_type AS xt, y.root_type AS yt, x.root_service AS xs, list_sort(list_intersect(x.services, y.services)) AS shared, CASE WHEN x.root_type = y.root_type THEN 1.0 WHEN x.family = y.family THEN 0.6 ELSE 0.0 END::DOUBLE AS root, x.root_service = y.root_service AS same,
   len(list_intersect(x.services, y.services))::DOUBLE / len(list_distinct(list_concat(x.services, y.services))) AS js, len(list_intersect(x.locations, y.locations))::DOUBLE / len(list_distinct(list_concat(x.locations, y.locations))) AS jl,
   coalesce(dot, 0.0)::DOUBLE / (n.norm * o.norm) AS cosine, abs(x.max_severity - y.max_severity)::DOUBLE AS gap
   FROM sg x JOIN sg y ON x.family = y.family OR x.root_service = y.root_service JOIN nm n ON n.incident_id = x.incident_id JOIN nm o ON o.incident_id = y.incident_id LEFT JOIN dt ON dt.a = x.incident_id AND dt.b = y.incident_id),
-sm AS (SELECT a, b, floor((0.30::DOUBLE * root + 0.28::DOUBLE * CASE WHEN same THEN least(1.0::DOUBLE, js + 0.25::DOUBLE) ELSE js END + 0.24::DOUBLE * cosine + 0.10::DOUBLE * jl + 0.08::DOUBLE * (1.0::DOUBLE - gap / 4.0::DOUBLE)) * 1000.0 + 0.5) / 1000.0 AS similarity FROM pa)"""
+sm AS (SELECT a, b, {_WHY} AS reasons, floor((0.30::DOUBLE * root + 0.28::DOUBLE * CASE WHEN same THEN least(1.0::DOUBLE, js + 0.25::DOUBLE) ELSE js END + 0.24::DOUBLE * cosine + 0.10::DOUBLE * jl + 0.08::DOUBLE * (1.0::DOUBLE - gap / 4.0::DOUBLE)) * 1000.0 + 0.5) / 1000.0 AS similarity FROM pa)"""
 _ALIKE = _MEMBERS + "," + _GRAPH + "," + _SCORES + "," + _SIGS
 
 
@@ -537,18 +593,18 @@ def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _signatures(spark, sf_dir).withColumns(joined)
 
 
-@_query(_ALIKE + " SELECT a, b, 'run-2' AS b_run, similarity FROM sm WHERE a < b")
+@_query(_ALIKE + " SELECT a, b, 'run-2' AS b_run, similarity, reasons FROM sm WHERE a < b")
 def compare_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = io.kept(_signatures(spark, sf_dir))
-    return patterns.compare_signatures(s, s).where("a < b")
+    return patterns.compare_signatures(s, s).where("a < b").withColumn("reasons", F.array_join("reasons", "; "))
 
 
-@_query(_ALIKE + """, ev AS (SELECT a, b, 'run-2' AS run, 0 AS src, similarity FROM sm WHERE a <> b AND similarity >= 0.4::DOUBLE UNION ALL SELECT a, b, 'run-1', 1, similarity FROM sm WHERE similarity >= 0.4::DOUBLE),
+@_query(_ALIKE + """, ev AS (SELECT a, b, 'run-2' AS run, 0 AS src, similarity, reasons FROM sm WHERE a <> b AND similarity >= 0.4::DOUBLE UNION ALL SELECT a, b, 'run-1', 1, similarity, reasons FROM sm WHERE similarity >= 0.4::DOUBLE),
 er AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b, src, run) AS rank FROM ev)
-SELECT a AS incident_id, b AS match, run AS match_run, similarity, rank::INTEGER AS rank FROM er WHERE rank <= 5""")
+SELECT a AS incident_id, b AS match, run AS match_run, similarity, rank::INTEGER AS rank, reasons, cast(1 AS bigint) AS runs_compared FROM er WHERE rank <= 5""")
 def similar_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = io.kept(_signatures(spark, sf_dir))
-    return patterns.similar_incidents(s, s.withColumn("run_id", F.lit("run-1")))
+    return patterns.similar_incidents(s, s.withColumn("run_id", F.lit("run-1"))).withColumn("reasons", F.array_join("reasons", "; "))
 
 
 # ------------------------------------------------------------------ reports, archive, actions
@@ -565,10 +621,25 @@ def timeline_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.timeline_filled(timeline(spark, sf_dir))
 
 
-@_query(_RULES + "," + _WEEKLY.replace("a AS (", "a2 AS (").replace("FROM a JOIN", "FROM a2 JOIN").replace("SELECT a.*", "SELECT a2.*") + " SELECT (SELECT count(*) FROM alarms) AS raw, (SELECT count(*) FROM ruled WHERE rule IS NULL) AS signal, (SELECT count(*) FROM mem) AS carded, (SELECT count(DISTINCT incident_id) FROM mem) AS cards, floor((SELECT count(*) FROM alarms) / cast(greatest(1, (SELECT count(DISTINCT incident_id) FROM mem)) AS double) * 10.0 + 0.5) / 10.0 AS reduction")
+_SUMMARY = _LEDGER + "," + _SLOTS + """, sc0 AS (SELECT (SELECT count(*) FROM alarms) AS raw, (SELECT count(*) FROM ruled WHERE rule IS NULL) AS signal, (SELECT count(*) FROM inc) AS clusters, (SELECT count(*) FROM mem) AS clustered, (SELECT count(*) FROM gt) AS incidents, (SELECT count(*) FROM gt WHERE passes) AS passing,
+  (SELECT count(*) FROM sl WHERE slot = 'card') AS own_cards, (SELECT count(*) FROM sl WHERE slot = 'bucket') AS rolled_up, (SELECT count(*) FROM sl WHERE slot = 'card') + (SELECT count(DISTINCT slot) FROM sl WHERE slot = 'bucket') AS cards,
+  (SELECT count(*) FROM mem JOIN sl ON sl.incident_id = mem.incident_id WHERE slot = 'card') AS linked, (SELECT count(*) FROM mem JOIN sl ON sl.incident_id = mem.incident_id WHERE slot = 'bucket') AS unclassified, (SELECT count(*) FROM lg WHERE rule IS NOT NULL) AS noise),
+su AS (SELECT *, floor(raw / cast(greatest(1, cards) AS double) * 10.0 + 0.5) / 10.0 AS reduction, floor(cast(noise AS double) / greatest(1, raw) * 100.0 * 10.0 + 0.5) / 10.0 AS noise_percent, floor(cast(unclassified AS double) / greatest(1, raw) * 100.0 * 10.0 + 0.5) / 10.0 AS unclassified_percent FROM sc0)"""
+
+
+@_query(_SUMMARY + " SELECT * FROM su")
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m, a = _members(spark, sf_dir, True)
-    return reports.summary(a, _classified(spark, sf_dir), m, m.withColumnRenamed("incident_id", "card_id"))
+    """Key figures where each week's failing services are clusters and incidents alike."""
+    capped, gated, m, a = _ranked(spark, sf_dir)
+    capped, gated, ruled = io.kept(capped), io.kept(gated), _classified(spark, sf_dir)
+    formed = cluster.cluster_summary(m.select("alarm_id", F.col("incident_id").alias("cluster_id"), F.lit("burst").alias("window_kind")), a)
+    entries = noise.ledger(ruled, m, m.join(gated.where("passes").select("incident_id"), "incident_id", "left_semi"))
+    return reports.summary(a, ruled, formed, gated, capped, cards.membership(capped, m), entries)
+
+
+@_query(_SUMMARY + " SELECT unnest([1, 2, 3, 4, 5])::INTEGER AS step, unnest(['raw', 'signal', 'clusters', 'incidents', 'own_cards']) AS stage, unnest([raw, signal, clusters, incidents, own_cards])::BIGINT AS n FROM su")
+def funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.funnel(summary(spark, sf_dir))
 
 
 @_query(_WEEKLY + " SELECT alarm_id, us, service, severity FROM ma WHERE incident_id = 'INC-1' ORDER BY us, alarm_id LIMIT 600")

@@ -84,5 +84,5 @@ e2 AS (SELECT *, {", ".join(_as(c["second"]))} FROM e1),
 alarms AS (SELECT {", ".join(_as(c["third"]))}, alarm_type || ' ' || cast(cast(floor(value) AS bigint) AS varchar) AS message FROM e2),
 hosts AS (SELECT 'host-' || lpad(cast(h AS varchar), 2, '0') AS host, 'svc-' || lpad(cast(h % 27 AS varchar), 2, '0') AS service, 'dc' || cast(1 + h % 2 AS varchar) AS datacenter,
           {pick(("rack-A", "rack-B", "rack-C"), "h % 3")} AS rack, 'prod' AS environment, {pick(_CRITICALITY, "(h % 27) % 4")} AS criticality FROM range(56) t(h)),
-edges AS (SELECT 'svc-' || lpad(cast(i AS varchar), 2, '0') AS source, 'svc-' || lpad(cast(t AS varchar), 2, '0') AS target FROM
+edges AS (SELECT 'svc-' || lpad(cast(i AS varchar), 2, '0') AS source, 'svc-' || lpad(cast(t AS varchar), 2, '0') AS target, CASE WHEN i % 2 = 0 THEN 'senkron' ELSE 'asenkron' END AS kind, {pick(_CRITICALITY, "t % 4")} AS criticality FROM
           (SELECT i, (i - 1) // 2 AS t FROM range(1, 27) r(i) UNION ALL SELECT i, (5 * i + 1) % 27 FROM range(27) r(i) WHERE i IN (0, 4, 8, 12, 16, 24)))"""

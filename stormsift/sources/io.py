@@ -20,13 +20,18 @@ def _folder(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/stormsift-{spark.sparkContext.applicationId}"
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A path of its own in the folder that the cluster shares."""
+    return f"{_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def kept(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the folder that the cluster shares (below the warehouse in a local session without one, as in tests).
 
     Steps that read a table several times then plan on a scan, not on copies of its whole lineage, and lost executors
     cost no more than the step at hand.
     """
-    path = f"{_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -123,8 +128,16 @@ def latest_actions(actions: DataFrame) -> DataFrame:
     return known.withColumn("_k", rank).where("_k = 1").drop("_k")
 
 
+#: Columns that tables of a result are partitioned by as files: the ledger by rule, alarms by the card that holds them.
+_PARTED = {"ledger": "rule", "membership": "card_id"}
+
+
 def write_outputs(result: dict[str, DataFrame], path: str) -> None:
-    """Each table of the result as Parquet below path; the ledger by rule."""
+    """Each table of the result as Parquet below path."""
     for name, df in result.items():
         writer = df.write.mode("overwrite")
-        (writer.partitionBy("rule") if "rule" in df.columns else writer).parquet(f"{path}/{name}")
+        (writer.partitionBy(_PARTED[name]) if name in _PARTED else writer).parquet(f"{path}/{name}")
+
+
+def read_outputs(spark: SparkSession, path: str, *names: str) -> dict[str, DataFrame]:
+    return {n: spark.read.parquet(f"{path}/{n}") for n in names}
