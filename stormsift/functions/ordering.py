@@ -13,14 +13,14 @@ TASK_ROWS, MOST_TASKS = 100_000, 20_000
 _LOW = (1 << 33) - 1  # monotonically_increasing_id: the task above, the row within it below these bits
 
 
-def in_order(df: DataFrame, order: list[str | Column], name: str) -> DataFrame:
-    """df, written, with its rows numbered from 0 by order in a column name.
+def in_order(df: DataFrame, order: list[str | Column], name: str, cheap: bool = False) -> DataFrame:
+    """df, written (unless few rows are cheap to make again), with its rows numbered from 0 by order in a column name.
 
     A few rows are numbered by one window. More are sorted by ranges, numbered within each task as they are written, and
     shifted by what stands before their task: one count for each task, so the table of shifts has at most MOST_TASKS rows.
     Equal rows of the order are numbered in any order.
     """
-    df = kept(df)
+    df = df if cheap else kept(df)
     n = df.count()
     if n <= TASK_ROWS:
         return df.withColumn(name, (F.row_number().over(W.orderBy(*order)) - 1).cast("long"))  # bounded: TASK_ROWS

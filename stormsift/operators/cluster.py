@@ -52,7 +52,7 @@ def find_clusters(signal: DataFrame, p: Params = DEFAULT) -> DataFrame:
     rest = signal.join(burst.select("alarm_id"), "alarm_id", "left_anti")
     slow = claim(rest, windows.where("kind = 'slow'"), p.slow_min_alarms, p.slow_min_severity).withColumn("window_kind", F.lit("slow_burn"))
     members = kept(burst.union(slow))
-    found = in_order(members.select("window_kind", "service", "window_no").distinct(), ["window_kind", "service", "window_no"], "number")
+    found = in_order(members.select("window_kind", "service", "window_no").distinct(), ["window_kind", "service", "window_no"], "number", cheap=True)
     ids = found.select("window_kind", "service", "window_no", F.format_string("CL-%03d", F.col("number") + 1).alias("cluster_id"))
     return members.join(ids, ["window_kind", "service", "window_no"]).select("alarm_id", "cluster_id", "window_kind")
 

@@ -169,18 +169,42 @@ def _round(links: DataFrame, limit: int) -> DataFrame:
     return star.groupBy("c").applyInPandas(_star(limit), _DECIDED)
 
 
+def _in_one_task(clusters: DataFrame, links: DataFrame, limit: int) -> DataFrame:
+    """merge_incidents of a few clusters and links: rows of both go to one task."""
+    one = F.lit(0).alias("all")
+    c = clusters.select(one, "cluster_id", "service", "start_us", "end_us")
+    rows = c.unionByName(links.select(one, F.col("a").alias("cluster_id"), "b", "gap_us", "reason"), allowMissingColumns=True)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        part = rows[rows["b"].isna()].sort_values(["start_us", "service", "cluster_id"])
+        at = {c: k for k, c in enumerate(part["cluster_id"])}
+        met = rows[rows["b"].notna()]
+        spans = [(c, int(a), int(b)) for c, a, b in zip(part["cluster_id"], part["start_us"], part["end_us"], strict=True)]
+        roots, accepted = span_guarded_unions(spans, [(int(g), at[a], at[b], r) for a, b, g, r in zip(met["cluster_id"], met["b"], met["gap_us"], met["reason"], strict=True)], limit)
+        texts: dict[int, dict[int, list[str]]] = {}
+        for root, _, reason in accepted:
+            texts.setdefault(roots[root], {}).setdefault(root, []).append(reason)
+        own = [list(dict.fromkeys(x for xs in texts.get(k, {}).values() for x in xs)) if r == k else [] for k, r in enumerate(roots)]
+        return pd.DataFrame({"cluster_id": [c for c, _, _ in spans], "root_cluster": [spans[r][0] for r in roots], "root_start_us": [spans[r][1] for r in roots], "reasons": own})
+
+    return rows.groupBy("all").applyInPandas(run, "cluster_id string, root_cluster string, root_start_us long, reasons array<string>")
+
+
 def merge_incidents(clusters: DataFrame, links: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """(cluster_id, root_cluster, root_start_us, reasons): the incident's first cluster, its start and, on its row, the reasons of its unions.
 
     Links are taken from near to far and join two groups unless their span gets too long, so the result depends on the
-    order. Up to TASK_LINKS undecided links are decided by one task; more by rounds over all tasks (_round), each of which
+    order. Up to TASK_LINKS links are decided by one task; more by rounds over all tasks (_round), each of which
     decides what no earlier link can influence, so the result is the same. No task holds more than TASK_LINKS links or the
     links of one group.
     """
     limit = p.max_span * MINUTE
+    links = kept(links.select("a", "b", "gap_us", "reason"))
+    if links.count() <= TASK_LINKS and clusters.count() <= TASK_LINKS:
+        return _in_one_task(clusters, links, limit)
     nodes = kept(in_order(clusters.select("cluster_id", "service", "start_us", "end_us"), ["start_us", "service", "cluster_id"], "g"))
     at = lambda s, n: nodes.select(F.col("cluster_id").alias(s), F.col("g").alias(n))
-    every = kept(links.select("a", "b", "gap_us", "reason").join(at("a", "i"), "a").join(at("b", "j"), "b").drop("a", "b"))
+    every = kept(links.join(at("a", "i"), "a").join(at("b", "j"), "b").drop("a", "b"))
     groups = nodes.select("g", F.col("start_us").alias("lo"), F.col("end_us").alias("hi"))
     members = nodes.select(F.col("g").alias("member"), "g")
     undecided = kept(_open(every.select("gap_us", "i", "j", F.col("i").alias("a"), F.col("j").alias("b")), groups, limit))
@@ -218,7 +242,7 @@ def _reasons(accepted: DataFrame, members: DataFrame) -> DataFrame:
 def number_incidents(merged: DataFrame) -> DataFrame:
     """(cluster_id, incident_id, reasons): INC-nnn by the start of the incident, which is its root's."""
     merged = kept(merged)
-    roots = in_order(merged.where("cluster_id = root_cluster").select("root_start_us", "root_cluster"), ["root_start_us", "root_cluster"], "number")
+    roots = in_order(merged.where("cluster_id = root_cluster").select("root_start_us", "root_cluster"), ["root_start_us", "root_cluster"], "number", cheap=True)
     return merged.join(roots, "root_cluster").select("cluster_id", F.format_string("INC-%03d", F.col("number") + 1).alias("incident_id"), "reasons")
 
 

@@ -40,12 +40,12 @@ def reduce_storm(raw: DataFrame, hosts: DataFrame, edges: DataFrame, p: Params =
         signal = enrich.cluster_gate(classified.where("rule IS NULL"), p.cluster_severity).select(alarms.columns)
         in_cluster = kept(cluster.find_clusters(signal, p))
         clusters = kept(cluster.cluster_summary(in_cluster, alarms))
-        numbered = kept(merge.number_incidents(merge.merge_incidents(clusters, merge.candidate_links(clusters, related.result(), p), p)))
+        numbered = merge.number_incidents(merge.merge_incidents(clusters, merge.candidate_links(clusters, related.result(), p), p))
         members = kept(in_cluster.join(numbered, "cluster_id").select("alarm_id", "incident_id"))
         summary = side.submit(kept, merge.incident_summary(members, alarms))
         roots = kept(rootcause.root_and_counter(rootcause.score_alarms(members, alarms, central.result(), p)))
         gated = cards.with_gate(summary.result(), roots, p)
-    ranked = kept(cards.cap_cards(cards.prioritise(gated, members, alarms), p=p))
+    ranked = cards.cap_cards(cards.prioritise(gated, members, alarms), p=p)
     carded = members.join(gated.where("passes").select("incident_id"), "incident_id", "left_semi")
     entries = noise.ledger(classified, in_cluster.select("alarm_id"), carded.select("alarm_id"), p)
     reasons = numbered.where(F.size("reasons") > 0).select("incident_id", "reasons")
