@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from stormsift.functions.asof import asof_join
 from stormsift.functions.columns import half_up
 from stormsift.params import DEFAULT, MINUTE, Detector, Params
 
@@ -88,11 +89,22 @@ def covering(alarms: DataFrame, windows: DataFrame, also: tuple[str, ...] = ())
     return alarms.withColumn("minute", F.floor(F.col("us") / MINUTE)).join(w, ["service", "minute"]).where("us BETWEEN start_us AND end_us").drop("minute")
 
 
+#: Length of a range of the time line in active_window.
+RANGE = 24 * 60 * MINUTE
+
+
 def active_window(alarms: DataFrame, windows: DataFrame) -> DataFrame:
-    """(alarm_id, kind, window_no, in_spike): burst before slow, then the earliest."""
-    best = F.min(F.struct("kind", "start_us", "window_no"))  # burst sorts before slow
-    own = covering(alarms.select("alarm_id", "service", "us"), windows).groupBy("alarm_id").agg(best.alias("b"))
-    return alarms.select("alarm_id").join(own, "alarm_id", "left").select("alarm_id", F.col("b.kind").alias("kind"), F.col("b.window_no").alias("window_no"), F.col("b").isNotNull().alias("in_spike"))
+    """(alarm_id, kind, window_no, in_spike): burst before slow, then the earliest.
+
+    Windows of one service and kind follow each other in their starts and in their ends, so the earliest that can hold an
+    alarm is the first that ends at or after it: an as-of join, whose rows do not grow with the length of windows.
+    """
+    of = lambda kind: F.when(F.col("kind") == kind, F.struct("kind", "window_no", "start_us"))
+    ends = windows.select("service", F.col("end_us").alias("us"), "kind", "window_no", "start_us")
+    near = asof_join(alarms.select("alarm_id", "service", "us"), ends, ["service"], "us", {"burst": of("burst"), "slow": of("slow")}, RANGE, forward=True)
+    held = lambda c: F.when(F.col(f"{c}.start_us") <= F.col("us"), F.col(c))
+    best = near.withColumn("b", F.coalesce(held("burst"), held("slow")))
+    return best.select("alarm_id", F.col("b.kind").alias("kind"), F.col("b.window_no").alias("window_no"), F.col("b").isNotNull().alias("in_spike"))
 
 
 def host_neighbours(alarms: DataFrame, minutes: int = 30) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stormsift.functions import columns as C
-from stormsift.operators import actions, baseline, cards, cluster, enrich, graph, merge, noise, patterns, quality_checks, reports, rootcause
+from stormsift.operators import actions, baseline, cards, cluster, enrich, graph, merge, noise, patterns, quality_checks, reports, rootcause, sketches
 from stormsift.params import CRITICALITY_WEIGHT, DEFAULT, MAINTENANCE_TYPES, MINUTE, OWNERS, PATTERNS, SEVERITY_LABEL, TYPE_PRIOR
 from stormsift.plans.storm import documents, held_by_cards, reduce_storm
 from stormsift.sources import fixtures, io
@@ -167,6 +167,29 @@ def type_time_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return baseline.type_time_spread(fixtures.alarms(spark, sf_dir))
 
 
+_DAY = 24 * 60 * MINUTE
+
+
+@_query(f"""m AS (SELECT service, us // {MINUTE} AS minute, count(*) AS cnt FROM alarms GROUP BY 1, 2) SELECT service, count(DISTINCT us // {_DAY}) AS days, count(*) AS n, count(DISTINCT host) AS hosts, (SELECT count(*) FROM m WHERE m.service = a.service) AS busy_minutes, true AS median_in_bound FROM alarms a GROUP BY service""")
+def sketch_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures from daily sketches, merged; services have few hosts, of which both kinds of sketch are exact. For the median,
+    whether its rank among the exact counts is within the sketch's error."""
+    a = fixtures.alarms(spark, sf_dir)
+    daily = io.kept(sketches.daily_sketches(a))
+    told = sketches.sketch_report(sketches.merged_sketches(daily))
+    counts = a.groupBy("service", F.floor(F.col("us") / MINUTE).alias("minute")).agg(F.count("*").alias("cnt")).join(told.select("service", "median_busy"), "service")
+    share = lambda c: F.count(F.when(c, 1)) / F.count("*")
+    ranks = counts.groupBy("service").agg(((share(F.col("cnt") < F.col("median_busy")) <= 0.5 + sketches.RANK_ERROR) & (share(F.col("cnt") <= F.col("median_busy")) >= 0.5 - sketches.RANK_ERROR)).alias("median_in_bound"))
+    return told.drop("median_busy").join(ranks, "service")
+
+
+@_query(f"""d AS (SELECT DISTINCT service, host, us // {_DAY} AS day FROM alarms), x AS (SELECT service, day, lead(day) OVER (PARTITION BY service ORDER BY day) AS next_day FROM (SELECT DISTINCT service, day FROM d))
+SELECT service, day, next_day, (SELECT count(*) FROM d p JOIN d q ON p.host = q.host AND p.service = q.service WHERE p.service = x.service AND p.day = x.day AND q.day = x.next_day) AS shared FROM x WHERE next_day IS NOT NULL""")
+def shared_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts that alarm on two days in a row, from theta sketches (exact below their size)."""
+    return sketches.shared_hosts(io.kept(sketches.daily_sketches(fixtures.alarms(spark, sf_dir))))
+
+
 # ------------------------------------------------------------------ noise
 
 _RULES = _MODEL + "," + _ACTIVE + "," + _NEAR + f""",
@@ -697,6 +720,25 @@ def rejected_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return actions.apply_transitions(*_changes(spark, sf_dir))[2]
 
 
+_KEPT = "ef AS (SELECT *, coalesce(lag(status) OVER (PARTITION BY incident_id ORDER BY us, seq), 'open') AS before FROM ch WHERE user_id % 2 = 0 AND status <> 'closed')"
+
+
+@_query(_TRANS + "," + _KEPT + " SELECT incident_id, before AS previous_status, status, us, seq FROM ef WHERE status <> before")
+def enforced_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only moves to another status count; a move to the same one changes nothing, so the status before is that of the change before."""
+    return actions.apply_transitions(*_changes(spark, sf_dir), actions.MOVES)[1].select("incident_id", "previous_status", "status", "us", "seq")
+
+
+@_query(_TRANS + "," + _KEPT + " SELECT incident_id, count(*) FILTER (WHERE status <> before) + 1 AS n_history, (SELECT min(us) FROM ev WHERE 'u' || cast(user_id AS varchar) = ef.incident_id) AS opened_us, max(us) FILTER (WHERE status <> before) AS last_us FROM ef GROUP BY incident_id HAVING count(*) FILTER (WHERE status <> before) > 0")
+def action_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with their nested histories, read back through the histories."""
+    records, changes = _changes(spark, sf_dir)
+    current, moved, _ = actions.apply_transitions(records, changes, actions.MOVES)
+    nested = actions.with_history(current, moved)
+    ends = actions.history_timeline(nested).groupBy("incident_id").agg(F.min("us").alias("opened_us"), F.max(F.when(F.col("seq") >= 0, F.col("us"))).alias("last_us"))
+    return nested.select("incident_id", "n_history").join(ends, "incident_id").where("last_us IS NOT NULL")
+
+
 @_query(_TRANS + ", cards AS (SELECT 'u' || cast(user_id AS varchar) AS incident_id, min(us) AS created_us FROM ev WHERE user_id % 3 = 0 GROUP BY user_id) SELECT incident_id, coalesce(cur.status, 'open') AS status, 'database-oncall' AS owner FROM cards LEFT JOIN cur USING (incident_id)")
 def sync_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     current = actions.apply_transitions(*_changes(spark, sf_dir))[0]

@@ -1,12 +1,17 @@
 """Readers, stores and sinks on small files; the anchors of the whole chain; results that do not hang on the partitioning."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from stormsift.operators import graph, merge
+from stormsift.functions.asof import asof_join
+from stormsift.operators import actions, baseline, graph, merge
+from stormsift.params import MINUTE
 from stormsift.plans.storm import reduce_storm
-from stormsift.sources import fixtures, io
+from stormsift.sources import archive, fixtures, io
 from stormsift.streaming.minute_counts import stream_minute_counts
+from stormsift.streaming.spikes import stream_spikes
 
 HEAD = "alarm_id,timestamp,source_system,host,service,severity,alarm_type,message,veri_merkezi,kabin,ortam"
 
@@ -40,14 +45,47 @@ def test_dependencies(spark, tmp_path):
     assert [tuple(r) for r in io.read_dependencies(spark, str(tmp_path / "d.csv")).collect()] == [("a", "b", "senkron", "orta")]
 
 
-def test_archive_starts_empty_and_a_run_is_replaced(spark, tmp_path):
+def _signature(spark, run, n):
+    return spark.createDataFrame([("INC-001", run, 1, "timeout", "s", ["s"], ["dc1/rack-A"], {"timeout": 1.0}, 5, n, 1.0, 0)], io.HISTORY)
+
+
+def test_archive_keeps_twenty_runs_and_replaces_one(spark, tmp_path):
     path = str(tmp_path / "history")
-    assert io.read_history(spark, path).count() == 0
-    sig = lambda run, seq, n: spark.createDataFrame([("INC-001", run, seq, "timeout", "s", ["s"], ["dc1/rack-A"], {"timeout": 1.0}, 5, n, 1.0, seq)], io.HISTORY)
-    for seq, (run, n) in enumerate([*((f"r{k}", 1) for k in range(21)), ("r5", 7)]):
-        io.kept(io.append_history(io.read_history(spark, path), sig(run, seq, n), run)).write.mode("overwrite").parquet(path)
-    rows = {r["run_id"]: r["alarm_count"] for r in io.read_history(spark, path).collect()}
-    assert len(rows) == 20 and "r0" not in rows and rows["r5"] == 7
+    assert archive.read_archive(spark, path).count() == 0 and archive.archived_runs(spark, path) == []
+    for run, n in [*((f"r/{k}", 1) for k in range(21)), ("r/5", 7)]:  # a slash must not become a folder
+        archive.append_run(_signature(spark, run, n), path, run)
+    rows = {r["run_id"]: r["alarm_count"] for r in archive.read_archive(spark, path).collect()}
+    assert len(rows) == 20 and "r/0" not in rows and rows["r/5"] == 7
+    assert archive.archived_runs(spark, path) == [*(f"r/{k}" for k in range(1, 21) if k != 5), "r/5"]
+    assert len(list((tmp_path / "history" / "runs").iterdir())) == 20 and len([f for f in (tmp_path / "history" / "manifest").iterdir() if f.suffix == ".json"]) == 1
+
+
+def test_broken_append_reads_as_before(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "history")
+    archive.append_run(_signature(spark, "one", 1), path, "one")
+    with monkeypatch.context() as m:  # the job dies after the run's files, before its manifest
+        m.setattr(archive, "_publish", lambda *a: (_ for _ in ()).throw(RuntimeError("killed")))
+        with pytest.raises(RuntimeError, match="killed"):
+            archive.append_run(_signature(spark, "two", 2), path, "two")
+    assert archive.archived_runs(spark, path) == ["one"] and archive.read_archive(spark, path).count() == 1
+    with monkeypatch.context() as m:  # dies before it cleans: the new manifest counts already
+        m.setattr(archive, "_clean", lambda *a: (_ for _ in ()).throw(RuntimeError("killed")))
+        with pytest.raises(RuntimeError, match="killed"):
+            archive.append_run(_signature(spark, "two", 3), path, "two")
+    assert {r["run_id"]: r["alarm_count"] for r in archive.read_archive(spark, path).collect()} == {"one": 1, "two": 3}
+    (tmp_path / "history" / "manifest" / "000000000009.json").write_text('{"runs": [')  # cut off
+    assert archive.archived_runs(spark, path) == ["one", "two"]
+    archive.append_run(_signature(spark, "three", 4), path, "three")
+    assert archive.archived_runs(spark, path) == ["one", "two", "three"] and len(list((tmp_path / "history" / "runs").iterdir())) == 3
+
+
+def test_two_writers_do_not_overwrite_each_other(spark, tmp_path):
+    path = str(tmp_path / "history")
+    archive.append_run(_signature(spark, "one", 1), path, "one")
+    with pytest.raises(RuntimeError, match="taken"):
+        archive._publish(spark, path, 1, [])
+    with pytest.raises(ValueError, match="root_type"):
+        archive.append_run(_signature(spark, "two", 1).drop("root_type"), path, "two")
 
 
 def test_actions_keep_the_last_record_of_an_incident(spark, tmp_path):
@@ -73,6 +111,80 @@ def test_stream_counts_an_alarm_once(spark, tmp_path):
     assert sorted((str(r["minute"]), r["cnt"]) for r in spark.table("minutes").collect()) == [("2026-01-01 00:00:00", 2), ("2026-01-01 00:01:00", 1)]
 
 
+def _replay(spark, tmp_path, parts, base):
+    """Each part is a query of its own that goes on from the checkpoint; gives all rows put out."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    src, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    for k, part in enumerate(parts):
+        part.select("alarm_id", F.timestamp_micros("us").alias("ts"), "service").coalesce(1).write.parquet(f"{src}/f{k}")
+        stream = spark.readStream.schema("alarm_id string, ts timestamp, service string").parquet(f"{src}/*")
+        q = stream_spikes(stream, base).writeStream.format("parquet").option("path", out).outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+        assert q.awaitTermination(200)
+    return spark.read.parquet(out).collect()
+
+
+def test_stream_of_spikes_equals_batch_over_restarts(spark, tmp_path):
+    """Windows of a replay in three queries, one stopping amid a spike; late alarms come out by themselves."""
+    rng = random.Random(3)
+    t0, rows = 28_000_000, []
+    for s in ("a", "b"):
+        for m in range(200):
+            n = int(rng.random() < 0.3) + (rng.randrange(2, 9) if 40 <= m < 45 else 0) + (rng.randrange(0, 4) if 120 <= m < 150 else 0)
+            rows += [(f"{s}{m}-{k}", s, (t0 + m) * MINUTE + k * 1000) for k in range(n)]
+    df = spark.createDataFrame(rows, "alarm_id string, service string, us long")
+    base = baseline.service_baseline(baseline.minute_series(df))
+    want = {tuple(r) for r in baseline.spike_windows(df).select("service", "kind", "start_us", "end_us", "peak_count", "baseline_per_min").collect()}
+    cut = [0, 60, 130, 200]
+    parts = [df.where(F.col("us").between((t0 + a) * MINUTE, (t0 + b) * MINUTE - 1)) for a, b in zip(cut, cut[1:], strict=False)]
+    late = spark.createDataFrame([("late", "a", (t0 + 95) * MINUTE)], df.schema)  # 34 minutes behind: decided, but not yet dropped
+    end = spark.createDataFrame([("end", "z", (t0 + 900) * MINUTE)], df.schema)
+    got = _replay(spark, tmp_path, [parts[0], parts[1], late, parts[2].union(end)], base)
+    assert {(r["service"], r["kind"], r["start_us"], r["end_us"], r["peak_count"], r["baseline_per_min"]) for r in got if r["kind"] != "late"} == want
+    assert [(r["service"], r["alarm_id"], r["start_us"]) for r in got if r["kind"] == "late"] == [("a", "late", (t0 + 95) * MINUTE)] and len(want) > 5
+
+
+@pytest.mark.parametrize("forward", [False, True])
+@pytest.mark.parametrize("width", [7, 10_000])
+def test_asof_join_equals_a_plain_loop(spark, forward, width):
+    rng = random.Random(width)
+    key = lambda: rng.choice(["hot", "hot", "hot", "a", "b", None])
+    left = [(k, key(), rng.choice([None, *range(200)])) for k in range(150)] + [(999, "only left", 5)]
+    right = [(key(), rng.randrange(200), rng.choice(["x", "y", None]), k) for k in range(40)] + [("only right", 5, "x", 0)]
+    r = spark.createDataFrame(right, "k string, t long, v string, n int")
+    got = asof_join(spark.createDataFrame(left, "id int, k string, t long"), r, ["k"], "t", {"v": F.col("v"), "at": F.when(F.col("n") % 2 == 0, F.col("t"))}, width, forward)
+    assert got.columns == ["id", "k", "t", "v", "at"] and got.count() == len(left)
+    for x in got.collect():
+        near = sorted((y for y in right if y[0] is not None and y[0] == x["k"] and x["t"] is not None and (y[1] >= x["t"] if forward else y[1] <= x["t"])), key=lambda y: y[1], reverse=not forward)
+        named = [y for y in near if y[2] is not None]
+        assert (x["v"] in {y[2] for y in named if y[1] == named[0][1]}) if named else x["v"] is None
+        assert x["at"] == next((y[1] for y in near if y[3] % 2 == 0), None)
+
+
+@pytest.mark.parametrize("piece", [3, 256])
+@pytest.mark.parametrize("moves", [None, actions.MOVES, {"open": ("in_progress",), "in_progress": ("resolved",), "resolved": ()}])
+def test_transitions_equal_a_plain_loop(spark, monkeypatch, piece, moves):
+    """With narrow moves, a change counts or not by what was rejected before it, which no look at the row before can tell."""
+    monkeypatch.setattr(actions, "PIECE", piece)
+    rng = random.Random(piece)
+    records = [(f"i{k}", "closed" if k == 4 else "open", "me", "look", 0, 0) for k in range(5)]
+    changes = [(f"i{rng.randrange(6)}", rng.choice([*actions.STATUSES, *actions.STATUSES, "odd", None]), rng.choice(["", "you", None]), "", rng.randrange(60), k) for k in range(200)]
+    changes += [("i3", s, "", "", 100, 1000 + k) for k, s in enumerate(["in_progress", "resolved", "open"] * 8)]
+    current, moved, rejects = actions.apply_transitions(spark.createDataFrame(records, "incident_id string, status string, owner string, action string, created_us long, updated_us long"), spark.createDataFrame(changes, "incident_id string, status string, owner string, note string, us long, seq long"), moves)
+    state, want, bad = {r[0]: r[1] for r in records}, [], 0
+    for i, s, _, _, us, seq in sorted(changes, key=lambda c: (c[4], c[5])):
+        if i not in state or s not in actions.STATUSES or (moves and state[i] in actions.STATUSES and s not in moves[state[i]]):
+            bad += 1
+            continue
+        want.append((i, state[i], s, us, seq))
+        state[i] = s
+    assert sorted((r["incident_id"], r["previous_status"], r["status"], r["us"], r["seq"]) for r in moved.collect()) == sorted(want)
+    assert {r["incident_id"]: r["status"] for r in current.collect()} == state and rejects.count() == bad
+    nested = actions.with_history(current, moved, most=5).collect()
+    for r in nested:
+        own = [w for w in sorted(want, key=lambda w: (w[3], w[4])) if w[0] == r["incident_id"]]
+        assert r["n_history"] == len(own) + 1 and [e["seq"] for e in r["history"]] == [-1, *(w[4] for w in own)][-5:]
+
+
 def test_graph_anchors(spark):
     e, h = fixtures.dependencies(spark), fixtures.hosts(spark)
     nodes = graph.graph_nodes(e, h)
