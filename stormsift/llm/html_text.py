@@ -18,7 +18,7 @@ _ATTRIBUTE = r"([^\s/>][^\s/>=]*+)(?>\s*+=\s*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(
 _ATTRIBUTES = re.compile(_ATTRIBUTE)
 _COMMENT = r"<!---?>|<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)"
 _TOKEN = re.compile(_COMMENT + r"|<(/?)([a-zA-Z][^\s/>]*+)((?>[\s/]++|" + re.sub(r"\((?=\[)", "(?:", _ATTRIBUTE) + r")*+)(?:>|\Z)|[^<]+|<", re.S)
-_USED = re.compile(r"hidden|style|span", re.I)
+_USED = re.compile(r"hidden|style|span|start|value", re.I)
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
 _RAW = frozenset(("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"))
 _UNSEEN = frozenset(("head", "script", "style", "title", "template", "noscript", "iframe", "object", "select", "datalist", "noembed", "noframes"))
@@ -34,8 +34,17 @@ _IN_HEAD = frozenset(("html", "head", "body", "base", "link", "meta", "title", "
 _FAR = frozenset(("table", "tr", *_CELLS, *_GROUPS, "body", "html"))
 #: Columns that lists and quotes indent at most; what lies deeper stands no further in, so nesting costs no more than its text.
 _INDENT = 36
-#: Columns or rows that a cell spans at most.
-_SPAN = 1000
+#: Columns and rows that a cell spans at most, as in the standard.
+_ACROSS, _DOWN = 1000, 65_534
+#: A column is padded to _WIDE characters at most and no cell is moved further in than _LINE; wider text stands whole, and the
+#: next cell follows it. Tables within _NESTED others are not laid out: their cells are blocks one below the other, and nothing
+#: in them is indented further. So a line costs its own text and at most _NESTED times _LINE blanks, and both output and work
+#: grow with the page.
+_WIDE, _LINE, _NESTED = 40, 120, 3
+
+
+#: Stands for a line break in inline text; a page's own NUL becomes U+FFFD, as in the standard.
+_BREAK = "\0"
 
 
 class _Out:
@@ -58,7 +67,7 @@ class _Out:
         if pre:
             found = text.strip("\n").split("\n")
         else:
-            found = [x.strip() for x in text.split("\v")]
+            found = [x.strip(" ") for x in text.split(_BREAK)]
             while found and not found[-1]:
                 found.pop()
         self.add(found, indent)
@@ -69,13 +78,14 @@ class _Out:
         if self.lines and self.gap:
             self.lines.append("")
         self.gap = False
-        for k, x in enumerate(lines):
-            start = indent
-            if k == 0 and self.marks:
-                mark = self.marks[-1]
-                self.marks.clear()
-                start = indent[: max(0, len(indent) - len(mark))] + mark
-            self.lines.append(start + x if x else start.rstrip() if k == 0 and start != indent else x)
+        start, first = indent, lines[0]
+        if self.marks:
+            mark = self.marks[-1]
+            self.marks.clear()
+            start = indent[: max(0, len(indent) - len(mark))] + mark
+        self.lines.append(start + first if first else start.rstrip() if start != indent else first)
+        rest = lines[1:]
+        self.lines += [indent + x if x else x for x in rest] if indent else rest
 
 
 class _Box:
@@ -86,45 +96,49 @@ class _Box:
     def __init__(self, tag: str, shown: bool, seen: bool, block: bool, pre: bool, indent: int):
         self.tag, self.shown, self.seen, self.block, self.pre, self.indent = tag, shown, seen, block, pre, indent
         self.count = 0
-        self.rows: list[list[tuple[str, int, int]]] = []
-        self.row: list[tuple[str, int, int]] = []
+        self.rows: list[list[tuple[list[str], int, int]]] = []
+        self.row: list[tuple[list[str], int, int]] = []
         self.out: _Out | None = None
         self.span = (1, 1)
 
 
-def aligned(rows: list[list[tuple[str, int, int]]]) -> list[str]:
-    """Lines of a table of rows of (text, columns, rows spanned): a column is as wide as its widest cell of one column."""
-    grid: list[dict[int, str]] = [{} for _ in rows]
+def aligned(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Lines of a table of rows of (lines, columns, rows spanned): cells stand side by side, their lines below each other.
+
+    A column is as wide as the widest line of its cells of one column, up to _WIDE.
+    """
+    grid: list[dict[int, list[str]]] = [{} for _ in rows]
     wide: dict[int, int] = defaultdict(int)
-    open_rows: dict[int, int] = {}  # column: rows that a cell above still takes
+    until = [0] * _ACROSS  # of a column: the first row that no cell above takes; columns further in stand beyond _LINE anyway
     for at, row in enumerate(rows):
         column = 0
-        taken = {c for c, n in open_rows.items() if n > 0}
-        open_rows = {c: n - 1 for c, n in open_rows.items() if n > 1}
-        for text, across, down in row:
-            while column in taken:
+        for lines, across, down in row:
+            while column < _ACROSS and until[column] > at:
                 column += 1
-            grid[at][column] = text
-            if across == 1:
-                wide[column] = max(wide[column], len(text))
-            for c in range(column, column + across):
-                if down > 1:
-                    open_rows[c] = down - 1
+            grid[at][column] = lines
+            if across == 1 and lines:
+                wide[column] = max(wide[column], min(_WIDE, max(map(len, lines))))
+            if down > 1:
+                for c in range(column, min(column + across, _ACROSS)):
+                    until[c] = at + down
             column += across
-    columns = sorted({c for row in grid for c in row})
+    out: list[str] = []
     start, place = {}, 0
-    for c in columns:
-        start[c] = place
+    for c in sorted({c for row in grid for c in row}):
+        start[c] = min(place, _LINE)
         place += wide[c] + 2
-    lines = []
     for row in grid:
-        line = ""
-        for c in sorted(row):
-            if row[c]:
-                line = line.ljust(start[c]) if len(line) < start[c] or not line else line + "  "
-                line += row[c]
-        lines.append(line)
-    return lines
+        cells = [(start[c], row[c]) for c in sorted(row) if row[c]]
+        height = max((len(lines) for _, lines in cells), default=0)
+        for k in range(max(1, height)):
+            line = ""
+            cells = [x for x in cells if len(x[1]) > k]
+            for at, lines in cells:
+                if lines[k]:
+                    line = line.ljust(at) if len(line) < at or not line else line + "  "
+                    line += lines[k]
+            out.append(line)
+    return out
 
 
 class _Page:
@@ -144,13 +158,13 @@ class _Page:
         box = self.stack[self.blocks[-1]]
         self.outs[-1].flush(" " * box.indent, box.pre)
 
-    def open(self, tag: str, hidden: str, span: tuple[int, int]) -> None:
+    def open(self, tag: str, hidden: str, span: tuple[int, int], number: int | None = None) -> None:
         up = self.stack[-1]
         block = tag in _BLOCK
         shown = up.shown and tag not in _UNSEEN and hidden != "none"
         seen = shown and (hidden == "visible" or up.seen and hidden != "hidden")
         holder = self.stack[self.last(("ul", "ol"))] if tag == "li" else up
-        deeper = (3 if holder.tag == "ol" else 2) if tag in ("li", "dd", "blockquote") else 0
+        deeper = (3 if holder.tag == "ol" else 2) if tag in ("li", "dd", "blockquote") and len(self.places["table"]) <= _NESTED else 0
         box = _Box(tag, shown, seen, block, up.pre or tag == "pre", min(up.indent + deeper, _INDENT) if up.indent < _INDENT else up.indent)
         box.span = span
         if block:
@@ -158,10 +172,13 @@ class _Page:
             if seen and tag in _SPACED and not (tag in ("ul", "ol") and self.places["li"]):
                 self.outs[-1].gap = True
             self.blocks.append(len(self.stack))
+        if tag == "ol" and number is not None:
+            box.count = number - 1
         if tag == "li" and seen:
-            holder.count += 1
+            holder.count = holder.count + 1 if number is None else number
             self.outs[-1].marks.append(f"{holder.count}. " if holder.tag == "ol" else "- ")
-        if tag in _CELLS and self.last(("tr", "table")):
+        if tag in _CELLS and self.last(("tr", "table")) and len(self.places["table"]) <= _NESTED:
+            box.indent = 0  # within the cell
             box.out = _Out()
             self.outs.append(box.out)
         self.places[tag].append(len(self.stack))
@@ -178,7 +195,7 @@ class _Page:
         if box.out is not None:
             self.outs.pop()
             if box.shown:
-                self.stack[self.last(("tr", "table"))].row.append((" ".join(x.strip() for x in box.out.lines if x), *box.span))
+                self.stack[self.last(("tr", "table"))].row.append((box.out.lines, *box.span))
             return
         if box.tag in ("tr", "table") and box.row:
             box.rows.append(box.row)
@@ -205,11 +222,11 @@ class _Page:
             self.end_head()
         if not self.stack[-1].seen:
             return
-        text = html.unescape(text)
+        text = html.unescape(text).replace(_BREAK, "\ufffd")
         inline = self.outs[-1].inline
         if not self.stack[self.blocks[-1]].pre:
             text = _BLANKS.sub(" ", text)
-            if not inline or inline[-1][-1:] in (" ", "\v"):
+            if not inline or inline[-1][-1:] in (" ", _BREAK):
                 text = text.lstrip(" ")
         if text:
             inline.append(text)
@@ -238,7 +255,7 @@ class _Page:
             self.close_to(self.blocks[-1])
         if tag == "br":
             if self.stack[-1].seen:
-                self.outs[-1].inline.append("\n" if self.stack[self.blocks[-1]].pre else "\v")
+                self.outs[-1].inline.append("\n" if self.stack[self.blocks[-1]].pre else _BREAK)
         elif tag == "hr":
             self.flush()
             self.outs[-1].gap = True
@@ -246,23 +263,28 @@ class _Page:
             self.open(tag, *_looks(attributes))
 
 
-def _looks(attributes: str) -> tuple[str, tuple[int, int]]:
-    """(none, hidden, visible or nothing; (columns, rows) spanned) by an element's attributes; of equal names the first counts, of equal properties the last."""
+def _looks(attributes: str) -> tuple[str, tuple[int, int], int | None]:
+    """(none, hidden, visible or nothing; (columns, rows) spanned; number of a list or its item) by an element's attributes; of
+    equal names the first counts, of equal properties the last."""
     if not attributes or not _USED.search(attributes):
-        return "", (1, 1)
+        return "", (1, 1), None
     values: dict[str, str] = {}
     for m in _ATTRIBUTES.finditer(attributes):
         values.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
     style = dict(map(str.strip, x.split(":", 1)) for x in html.unescape(values.get("style", "")).lower().split(";") if ":" in x)
     display, visible = style.get("display", ""), style.get("visibility", "")
     how = "none" if "hidden" in values or display.startswith("none") else "hidden" if visible.startswith(("hidden", "collapse")) else "visible" if visible.startswith("visible") else ""
-    number = lambda x: min(max(int(m[0]), 1), _SPAN) if (m := re.match(r"\s*[0-9]{1,9}", x)) else 1
-    return how, (number(values.get("colspan", "")), number(values.get("rowspan", "")))
+    number = lambda name: int(m[0]) if (m := re.match(r"\s*-?[0-9]{1,9}", values.get(name, ""))) else None
+    across, down = number("colspan"), number("rowspan")
+    down = 1 if down is None or down < 0 else down or _DOWN  # 0: to the end of the table
+    first = number("start") if "start" in values else number("value")
+    return how, (min(max(across or 1, 1), _ACROSS), min(down, _DOWN)), first
 
 
 def render(page: str) -> str:
     """The page's visible text as laid out: blocks on lines of their own, blank lines around paragraphs, headings, lists and
-    tables, list marks with indents, table columns aligned, preformatted text as it is. Tags may be missing or unclosed."""
+    tables, list marks with indents, table columns aligned (cells of several lines side by side), preformatted text as it is.
+    Tags may be missing or unclosed. The result is at most a constant times as long as the page (see _WIDE)."""
     p = _Page()
     at = 0
     while m := _TOKEN.match(page, at):

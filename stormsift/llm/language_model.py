@@ -8,7 +8,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stormsift.llm.common import CHUNK_BYTES, chunks, mix, table, word_hashes, word_spans, written
@@ -236,13 +237,27 @@ def traverse(a: Automaton, n: np.ndarray, token: np.ndarray, order: int) -> np.n
     return np.bincount(row, score, len(n))
 
 
+def dealt(docs: DataFrame, columns: list[Column], n_blocks: int) -> DataFrame:
+    """columns of docs and the block of each row, the same whenever the rows are read again.
+
+    A row is known by its file and its place in it, which do not hang on how the scan is split, as a running number of rows
+    would: the passes may run on clusters of different size. Rows that are no plain scan of files are written first.
+    """
+    try:
+        at = docs.metadataColumn("_metadata")
+        named = docs.select(*columns, F.xxhash64(at["file_path"], at["row_index"]).alias("block"))
+    except AnalysisException:
+        return dealt(written(docs.select(*columns)), [F.col(c) for c in docs.select(*columns).columns], n_blocks)
+    return named.withColumn("block", F.pmod("block", F.lit(n_blocks)).cast("int"))
+
+
 def score_documents(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text.
 
     N-grams of all training rows are counted and become the states of a backoff automaton (see automaton), over which each
     text is one traversal from left to right.
 
-    Rows are dealt to blocks of about block_bytes. Each block sends its distinct n-grams in ranges of hashes (buckets), a
+    Rows are dealt to blocks of about block_bytes (dealt), to which each pass reads the same rows. Each block sends its distinct n-grams in ranges of hashes (buckets), a
     row for each range that it touches; a bucket sums all blocks' counts and answers each with the totals of its own
     n-grams. From length 3 on, a block sends only n-grams of which both parts stand in other blocks too, as the others
     stand nowhere else. So a block scores with just the part of the automaton that its texts can reach, what is sent
@@ -251,13 +266,12 @@ def score_documents(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOC
     Null text counts as empty (one token, the end); repeated rows count as often as they stand; an empty table gives no
     rows; null doc_ids count as training rows; other columns are not read.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text") + F.lit(16)), F.count("*")).first()
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
+    total = docs.select(*columns).agg(F.sum(F.octet_length("text") + F.lit(16)), F.count("*")).first()
     n_blocks = max(1, -(-max(total[0] or 0, total[1]) // block_bytes))
     n_buckets = max(1, n_blocks // BUCKET_BLOCKS)
     out_held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
-    rows = rows.withColumn("held_out", out_held).withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_blocks)).cast("int"))
-    rows = rows.repartition(n_blocks, "block")
+    rows = dealt(docs, columns, n_blocks).withColumn("held_out", out_held).repartition(n_blocks, "block")
 
     def read(block: pa.Table, upto: int) -> tuple[np.ndarray, list[Level], np.ndarray]:
         n, found = levels(_one(block, "text"), upto)

@@ -138,6 +138,34 @@ def test_language_model_equals_a_walk(docs, texts, order):
     assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in got) == want
 
 
+def test_language_model_reads_the_same_blocks_when_the_cluster_changes(spark, tmp_path, monkeypatch):
+    """The scan is split otherwise in each pass, as on a cluster that gains and loses executors; also for rows of no file."""
+    rng = random.Random(1)
+    rows = [(k % 900, " ".join(f"w{rng.randrange(50)}" for _ in range(rng.randrange(30)))) for k in range(1000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    frame.repartition(6).write.parquet(f"{tmp_path}/documents.parquet")
+    of = lambda df: sorted((r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 9), round(r["score"], 9)) for r in df.collect())
+    scan = lambda: spark.read.parquet(f"{tmp_path}/documents.parquet")
+    want = of(language_model.score_documents(scan(), block_bytes=4000))
+    kept, splits = language_model.written, iter([1, 7, 2, 5, 3] * 4)
+
+    def other_split(df):
+        out = kept(df)
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", next(splits))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 1000 * next(splits))
+        return out
+
+    monkeypatch.setattr(language_model, "written", other_split)
+    try:
+        assert of(language_model.score_documents(scan(), block_bytes=4000)) == want
+        scan().selectExpr("*", "doc_id AS _metadata").write.parquet(f"{tmp_path}/clash.parquet")
+        for docs in (spark.read.parquet(f"{tmp_path}/clash.parquet"), scan().limit(2000), scan().union(scan().limit(0)), frame):
+            assert of(language_model.score_documents(docs, block_bytes=4000)) == want
+    finally:
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_licences(spark, docs, texts):
     """Base columns, labels and scores against a plain scan of every template at every place."""
     rng = random.Random(8)
@@ -329,12 +357,32 @@ def test_html_attributes_and_stray_cells(page, text):
     ("<!-->a<!--->b<!-- c --!>d", "abd"), ("<div style='visibility:hidden'>no<p style='visibility:visible'>yes</p></div>", "yes"), ("<div style='display:none'>no<p style='visibility:visible'>no</p></div>a", "a"),
     ("<table><tr><td colspan=2>wide cell<td>c<tr><td>a<td>b<td>d</table>", "wide cell  c\na  b  d"), ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a  b\n   c"),
     ("<table><tr><td>a<td hidden>no<td>b</table>", "a  b"), ("<ul><li><li>x<li hidden>no<li>y</ul>", "- x\n- y"), ("<ol>" + "<li>x" * 10, "\n".join(f"{k}. x" for k in range(1, 11))),
-    ("<dl><dt>a<dd>b<dt>c</dl>", "a\n  b\nc"), ("<table><tr><td>a<table><tr><td>b<td>c</table></table>", "a b  c"), ("a<hr>b", "a\n\nb"), ("<textarea>&lt;b></textarea><xmp><b></xmp>", "<b><b>"),
+    ("<dl><dt>a<dd>b<dt>c</dl>", "a\n  b\nc"), ("<table><tr><td>a<table><tr><td>b<td>c</table></table>", "a\n\nb  c"), ("a<hr>b", "a\n\nb"), ("<textarea>&lt;b></textarea><xmp><b></xmp>", "<b><b>"),
 ])
 def test_html_layout(page, text):
     assert html_text.render(page) == text
 
 
+@pytest.mark.parametrize("page,text", [
+    ("<table><tr><td>a<p>b</p><ul><li>c<li>d</ul><td>e<tr><td>f<td>g</table>", "a    e\n\nb\n\n- c\n- d\nf    g"), ("<table><tr><td>x<td><table><tr><td>yy<td>zzz<tr><td>y<td>z</table><td>w</table>", "x  yy  zzz  w\n   y   z"),
+    ("<table><tr><td>a<br>b<td>c<br>d<br>e</table>", "a  c\nb  d\n   e"), ("<ol start=3><li>a<li value=7>b<li>c</ol>", "3. a\n7. b\n8. c"), ("<ul><li><table><tr><td>a<br>b<td>c</table></ul>", "- a  c\n  b"),
+    ("<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d</table>", "a  b\n   c\n   d"), ("<p>a\x0bb&nbsp;</p>c\0", "a\x0bb\xa0\n\nc\ufffd"), (f"<table><tr><td>{'x' * 50}<td>y<tr><td>z<td>w</table>", "x" * 50 + "  y\nz" + " " * 41 + "w"),
+])
+def test_html_cells_of_several_lines(page, text):
+    assert html_text.render(page) == text
+
+
+@pytest.mark.parametrize("page", [
+    lambda n: f"<table><tr><td>{'x' * n}<td>y" + "<tr><td>a<td>b" * (n // 14), lambda n: "<table>" + "<tr><td colspan=999><td>b" * (n // 25) + "<tr>" + "<td>" * 2000 + "x", lambda n: "<table><tr>" + "<td>wide" * (n // 8) + ("<tr>" + "<td>" * 999 + "x") * (n // 4000),
+    lambda n: "<table><tr><td>aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa<td>" * (n // 100) + "<br>b" * (n // 5), lambda n: "<ul><li><table><tr><td>a<td>" * (n // 60) + "<br>b" * (n // 10), lambda n: "<table>" + "<tr><td rowspan=65534 colspan=1000>a<td>b" * (n // 40), lambda n: "<table><tr><td>" + "a<br>" * (n // 10) + "<td>" + "b<br>" * (n // 10),
+])
+def test_html_output_grows_with_the_page(page):
+    """Wide cells, far columns, many rows and nested tables cost a constant times the page, and 1 MB takes seconds."""
+    small, large = (html_text.render(page(n)) for n in (30_000, 300_000))
+    assert len(small) < 40 * 30_000 and len(large) < 40 * 300_000
+    assert len(html_text.render(f"<table><tr><td>{'x' * 46_000}<td>y" + "<tr><td>a<td>b" * 3300)) < 1_000_000
+
+
 @pytest.mark.parametrize("part", ["<ul><li>x", "<div>", "<b>", "<table><tr><td>", "<blockquote>y", "<p>x<table><td>a", "<a ", "<!-- ", "<p x='"])
 def test_html_nested_deeply_costs_its_length(part):
     began = time.process_time()
@@ -364,8 +412,9 @@ def _plain(nodes, depth=0):
                 out += [x if x is None else (mark if j == first else " " * len(mark)) + x for j, x in enumerate(lines)]
             out += gap
         elif kind == "table":
-            widths = [max(len(r[c]) for r in value) for c in range(len(value[0]))]
-            out += [None, *("  ".join(x.ljust(w) for x, w in zip(r, widths, strict=True)).rstrip() for r in value), None]
+            widths = [max(len(x) for r in value for x in r[c].split("|")) for c in range(len(value[0]))]
+            tall = [list(itertools.zip_longest(*(x.split("|") for x in r), fillvalue="")) for r in value]
+            out += [None, *("  ".join(x.ljust(w) for x, w in zip(r, widths, strict=True)).rstrip() for rs in tall for r in rs), None]
     return out
 
 
@@ -379,7 +428,7 @@ def _tree(rng, depth=0):
             nodes.append((kind, "|".join(word() for _ in range(rng.randrange(1, 3)))))
         elif kind == "table":
             n = rng.randrange(1, 4)
-            nodes.append((kind, [[word() for _ in range(n)] for _ in range(rng.randrange(1, 4))]))
+            nodes.append((kind, [["|".join(word() for _ in range(rng.choice([1, 1, 2, 3]))) for _ in range(n)] for _ in range(rng.randrange(1, 4))]))
         elif kind in ("ul", "ol"):
             nodes.append((kind, [[("text", word()), *(_tree(rng, depth + 1) if rng.random() < 0.4 else [])] for _ in range(rng.randrange(1, 4))]))
         else:
@@ -398,7 +447,7 @@ def _html(rng, nodes):
         elif kind == "hidden":
             out.append(f"<div hidden><p>{value}</div>")
         elif kind == "table":
-            out.append("<table>" + "".join("<tr>" + "".join(f"<td>{c}{end('td')}" for c in r) + end("tr") for r in value) + "</table>")
+            out.append("<table>" + "".join("<tr>" + "".join(f"<td>{c.replace('|', '<br>')}{end('td')}" for c in r) + end("tr") for r in value) + "</table>")
         elif kind in ("ul", "ol"):
             out.append(f"<{kind}>" + "".join("<li>" + _html(rng, item) + end("li") for item in value) + f"</{kind}>")
         else:
@@ -407,9 +456,13 @@ def _html(rng, nodes):
     return "".join(out)
 
 
-@pytest.mark.parametrize("seed", range(300))
-def test_html_equals_a_plain_walk_over_random_trees(seed):
-    rng = random.Random(seed)
+@pytest.mark.parametrize("part", range(6))
+def test_html_equals_a_plain_walk_over_random_trees(part):
+    for seed in range(50 * part, 50 * part + 50):
+        _walk_a_tree(random.Random(seed))
+
+
+def _walk_a_tree(rng):
     tree = _tree(rng)
     lines, gap = [], False
     for x in _plain(tree):
