@@ -85,9 +85,12 @@ TEMPLATES = (
     Template("gpl-3-text", _GPL.format(3), ("gnu general public license", "either version 3")),
     Template("unlicense-text", _PUBLIC, ("unencumbered software released into the public domain",)),
 )
-#: Distinct words of a file, those of highest IDF, that are looked up besides the rarest word of each key phrase; a word
-#: that more than half of all documents hold is looked up only as the latter.
-RARE = 8
+#: Of each stretch of so many words of a file, so many distinct licence words, those of highest IDF, are looked up; a word
+#: that more than half of all documents hold never is.
+STRETCH, RARE = 32, 8
+#: Words that a template's words may stand off their place, so that texts with a few words more or fewer still fit; and the
+#: share of a template's IDF that looked-up words must vote for within such a band.
+BAND, VOTES = 8, 0.1
 
 
 def words_of(text: str) -> list[str]:
@@ -137,10 +140,13 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES,
     """One row per document: n_words, base places, labels, and the best score.
 
     Method: a positional rare-token index. Document frequencies of all licence words are counted over all documents. Each
-    word posts the templates and positions at which it stands. A file looks up the postings of its RARE licence words of
-    highest IDF and of the rarest word of each key phrase; what they agree on by relative position are places where a
-    template may start. There all key phrases must stand in place, and the IDF-weighted share of template words in place
-    must reach min_score. A match holds its key phrases, so looking up their rarest words loses none.
+    word posts the templates and positions at which it stands. A file looks up the postings of its rarest licence words
+    (RARE of each STRETCH), which vote with their IDF for a template and the band of relative positions where it would
+    begin. Where a band gets enough votes (VOTES), all key phrases must stand in it, whole and in their order, and the
+    IDF-weighted share of template words within BAND words of their place must reach min_score.
+
+    Base phrases are exact: the rarest word of each is looked up wherever it stands, and the phrase must begin there, so
+    none is lost.
 
     Null text counts as empty (n_words 0, no labels, score 0, null first_word and last_word); an empty table gives no
     rows; repeated rows each give a row; other columns are not read.
@@ -153,18 +159,14 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES,
 
     most = max(len(words_of(t.text)) for t in templates)
     want = np.full((len(templates), most), -2)
-    must = np.zeros((len(templates), most), bool)
     anchor_at = np.zeros(len(templates), np.int64)
     is_anchor = np.zeros(len(names), bool)
     for k, t in enumerate(templates):
         words = words_of(t.text)
         want[k, : len(words)] = [number[w] for w in words]
-        for key in map(words_of, t.keys):
-            at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
-            must[k, at : at + len(key)] = True
-        anchor_at[k] = max(np.flatnonzero(must[k]), key=lambda j: (idf[want[k, j]], -j))
-        is_anchor[want[k, anchor_at[k]]] = True
-    anchor_word = want[np.arange(len(templates)), anchor_at]
+        if t.base:
+            anchor_at[k] = max(range(len(words)), key=lambda j: (idf[want[k, j]], -j))
+            is_anchor[want[k, anchor_at[k]]] = True
     # postings of word v: (template, position) at first_post[v]..first_post[v + 1]
     post_t, post_j = np.nonzero(want >= 0)
     by_word = np.argsort(want[post_t, post_j], kind="stable")
@@ -177,42 +179,84 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES,
     base = np.array([t.base for t in templates])
     labels = [t.label for t in templates]
 
-    def looked_up(doc: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Which occurrences of licence words are looked up: anchors, and those of each document's RARE rarest words."""
-        pair = np.unique(doc * len(names) + rarity[word])
+    size = (want >= 0).sum(axis=1)
+    keys_of = [[np.array([number[x] for x in key]) for key in map(words_of, t.keys)] for t in templates]
+    long_post = ~base[post_t]  # postings of templates that votes find
+
+    def looked_up(at: np.ndarray, doc: np.ndarray, word: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Which occurrences of licence words are among the RARE rarest of their stretch."""
+        part = doc * (int(np.diff(first).max(initial=0)) // STRETCH + 1) + (at - first[doc]) // STRETCH
+        pair = np.unique(part * len(names) + rarity[word])
         of = pair // len(names)
-        place = np.arange(len(pair)) - np.searchsorted(of, of)
-        few = pair[place < RARE]
-        return is_anchor[word] | (np.isin(doc * len(names) + rarity[word], few) & ~usual[word])
+        few = pair[np.arange(len(pair)) - np.searchsorted(of, of) < RARE]
+        return np.isin(part * len(names) + rarity[word], few) & ~usual[word]
+
+    def postings(at: np.ndarray, doc: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(document, template, position in it, where it would begin) of all postings of these occurrences."""
+        n = first_post[word + 1] - first_post[word]
+        item = np.repeat(first_post[word] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
+        return np.repeat(doc, n), post_t[item], post_j[item], np.repeat(at, n) - post_j[item], long_post[item]
+
+    def base_places(w: np.ndarray, first: np.ndarray, at: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(document, template, first word) of all base phrases."""
+        hit = is_anchor[w[at]]
+        doc, tmpl, j, start, votes = postings(at[hit], doc[hit], w[at[hit]])
+        ok = ~votes & (j == anchor_at[tmpl]) & (start >= first[doc]) & (start + size[tmpl] <= first[doc + 1])
+        doc, tmpl, start = doc[ok], tmpl[ok], start[ok]
+        for j in range(int(size[base].max(initial=0))):
+            same = (j >= size[tmpl]) | (w[np.where(j < size[tmpl], start + j, 0)] == want[tmpl, j])
+            doc, tmpl, start = doc[same], tmpl[same], start[same]
+        return doc, tmpl, start
+
+    def bands(w: np.ndarray, first: np.ndarray, at: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(document, template, middle of the band) where the looked-up words' votes suffice. A band is two steps of BAND
+        wide, so that places at the edge of a step fall well within one; a template word votes once in it."""
+        pick = looked_up(at, doc, w[at], first)
+        doc, tmpl, j, start, votes = postings(at[pick], doc[pick], w[at[pick]])
+        doc, tmpl, j, start = doc[votes], tmpl[votes], j[votes], start[votes]
+        step = (start - first[doc]) // BAND
+        step = np.concatenate([step - 1, step])
+        doc, tmpl, j = np.tile(doc, 2), np.tile(tmpl, 2), np.tile(j, 2)
+        if not len(doc):
+            return doc, tmpl, step
+        low = int(step.min())
+        band = (doc * len(templates) + tmpl) * (int(step.max()) - low + 1) + step - low
+        one = np.unique(band * most + j, return_index=True)[1]
+        keys, back = np.unique(band[one], return_inverse=True)
+        total = np.bincount(back, weight[tmpl[one], j[one]], len(keys))
+        of = one[np.unique(back, return_index=True)[1]][total >= VOTES]
+        return doc[of], tmpl[of], first[doc[of]] + (step[of] + 1) * BAND
+
+    def in_order(text: np.ndarray, keys: list[np.ndarray]) -> bool:
+        at = 0
+        for key in keys:
+            starts = np.flatnonzero(text[at : len(text) - len(key) + 1] == key[0])
+            found = next((k for k in starts if np.array_equal(text[at + k : at + k + len(key)], key)), None)
+            if found is None:
+                return False
+            at += int(found) + len(key)
+        return True
 
     def match(n: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ...]:
         """Accepted (document, template, first word) with scores, of one chunk."""
         first = np.concatenate(([0], np.cumsum(n)))
         at = np.flatnonzero(w >= 0)
-        doc = np.searchsorted(first, at, "right") - 1
-        at, doc = (x[looked_up(doc, w[at])] for x in (at, doc)) if len(at) else (at, doc)
-        posts = first_post[w[at] + 1] - first_post[w[at]]
-        item = np.repeat(first_post[w[at]] - np.concatenate(([0], np.cumsum(posts)[:-1])), posts) + np.arange(int(posts.sum()))
-        tmpl, start, doc = post_t[item], np.repeat(at, posts) - post_j[item], np.repeat(doc, posts)
-        # the rarest word of the key phrases must agree on the place
-        pivot = start + anchor_at[tmpl]
-        ok = (pivot >= first[doc]) & (pivot < first[doc + 1])
-        ok &= w[np.where(ok, pivot, 0)] == anchor_word[tmpl]
-        tmpl, start, doc = tmpl[ok], start[ok], doc[ok]
-        one = np.unique((start - start.min(initial=0)) * len(templates) + tmpl, return_index=True)[1]
-        tmpl, start, doc = tmpl[one], start[one], doc[one]
-        score, keys = np.zeros(len(start)), np.ones(len(start), bool)
-        for j in range(most):
-            live = np.flatnonzero(want[tmpl, j] >= 0)
-            if not len(live):
-                break
-            at = start[live] + j
-            inside = (at >= first[doc[live]]) & (at < first[doc[live] + 1])
-            same = inside & (w[np.where(inside, at, 0)] == want[tmpl[live], j])
+        of = np.searchsorted(first, at, "right") - 1
+        b_doc, b_tmpl, b_start = base_places(w, first, at, of)
+        doc, tmpl, middle = bands(w, first, at, of)
+        score = np.zeros(len(doc))
+        for j in range(int(size[tmpl].max(initial=0))):
+            live = np.flatnonzero(j < size[tmpl])
+            same = np.zeros(len(live), bool)
+            for off in range(-BAND, BAND + 1):
+                here = middle[live] + j + off
+                inside = (here >= first[doc[live]]) & (here < first[doc[live] + 1])
+                same |= inside & (w[np.where(inside, here, 0)] == want[tmpl[live], j])
             score[live] += np.where(same, weight[tmpl[live], j], 0)
-            keys[live] &= same | ~must[tmpl[live], j]
-        good = keys & (score >= np.where(base[tmpl], 1 - 1e-9, min_score))
-        return doc[good], tmpl[good], (start - first[doc])[good], np.minimum(score[good], 1.0)
+        lo, hi = np.maximum(middle - BAND, first[doc]), np.minimum(middle + size[tmpl] + BAND, first[doc + 1])
+        good = np.array([k for k in np.flatnonzero(score >= min_score) if in_order(w[lo[k] : hi[k]], keys_of[tmpl[k]])], np.int64)
+        doc, tmpl, middle, score = doc[good], tmpl[good], middle[good], score[good]
+        return np.concatenate([b_doc, doc]), np.concatenate([b_tmpl, tmpl]), np.concatenate([b_start - first[b_doc], middle - first[doc]]), np.concatenate([np.ones(len(b_doc)), np.minimum(score, 1.0)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -166,41 +166,85 @@ def test_language_model_reads_the_same_blocks_when_the_cluster_changes(spark, tm
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
-def test_licences(spark, docs, texts):
-    """Base columns, labels and scores against a plain scan of every template at every place."""
+def test_licences(spark, docs, texts, monkeypatch):
+    """Base columns against a plain scan; labels and scores against a plain scan of every template in every band.
+
+    Texts have words replaced, inserted and dropped; one holds all templates.
+    """
     rng = random.Random(8)
     more = []
     for k, t in enumerate(license_scan.TEMPLATES):
         w = license_scan.words_of(t.text)
         for rate in (0, 0.1, 0.6):
             more.append((2000 + len(more), " ".join(["x"] * (k % 3) + [y if rng.random() >= rate else "zzz" for y in w] + ["the mit", "license"] * (k % 2)).upper()))
-    more.append((3000, "\n".join(t.text for t in license_scan.TEMPLATES)))
+        some = [x for y in w for x in ([y] if rng.random() < 0.97 else [] if rng.random() < 0.5 else [y, "new"])]
+        more.append((2000 + len(more), " ".join(["pre"] * rng.randrange(40) + some)))
+    more.append((3000, "\n".join(t.text + " |" * 40 for t in license_scan.TEMPLATES)))
     docs = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
     every = texts + more
     lists = [license_scan.words_of(t or "") for _, t in every]
     df = Counter(w for ws in lists for w in set(ws))
     idf = {w: math.log((len(every) + 1) / (df[w] + 1)) + 1e-9 for w in license_scan.vocabulary(license_scan.TEMPLATES)}
+    band = license_scan.BAND
+    _, names = license_scan._keyed(license_scan.vocabulary(license_scan.TEMPLATES))
+    rarest = sorted((x for x in names if idf[x] >= math.log(2)), key=lambda x: -idf[x])  # ties in the index's order
+
+    def looked_up(w):
+        """Places of the rarest licence words of each stretch."""
+        out = []
+        for a in range(0, len(w), license_scan.STRETCH):
+            part = w[a : a + license_scan.STRETCH]
+            few = [x for x in sorted(set(part) & set(idf), key=lambda x: (-idf[x], names.index(x)))][: license_scan.RARE]
+            out += [a + k for k, x in enumerate(part) if x in few and x in rarest]
+        return out
+
+    def ordered(text, keys):
+        for key in keys:
+            at = next((j for j in range(len(text)) if text[j : j + len(key)] == key), None)
+            if at is None:
+                return False
+            text = text[at + len(key) :]
+        return True
+
     want = Counter()
     for (i, _), w in zip(every, lists, strict=True):
         labels, best, at, plain = set(), 0.0, [], set()
         for t in license_scan.TEMPLATES:
             ws = license_scan.words_of(t.text)
-            keys = [(next(j for j in range(len(ws)) if ws[j : j + len(k)] == k), k) for k in map(license_scan.words_of, t.keys)]
-            whole = sum(idf[x] for x in ws)
-            for start in range(-len(ws), len(w)):
-                if not all(start + j >= 0 and w[start + j : start + j + len(k)] == k for j, k in keys):
-                    continue
-                score = sum(idf[x] for j, x in enumerate(ws) if 0 <= start + j < len(w) and w[start + j] == x) / whole
-                if score >= (1 - 1e-9 if t.base else 0.6):
+            if t.base:
+                places = [k for k in range(len(w)) if w[k : k + len(ws)] == ws]
+                at += places
+                if places:
+                    labels.add(t.label)
+                    plain.add(t.label)
+                    best = 1.0
+                continue
+            keys, whole = list(map(license_scan.words_of, t.keys)), sum(idf[x] for x in ws)
+            votes = {}
+            for k in looked_up(w):
+                for j in (j for j, x in enumerate(ws) if x == w[k]):
+                    for step in ((k - j) // band - 1, (k - j) // band):
+                        votes.setdefault((step + 1) * band, set()).add(j)
+            for middle in (m for m, js in votes.items() if sum(idf[ws[j]] for j in js) / whole >= license_scan.VOTES):
+                score = sum(idf[x] for j, x in enumerate(ws) if x in w[max(0, middle + j - band) : max(0, middle + j + band + 1)]) / whole
+                if score >= 0.6 and ordered(w[max(0, middle - band) : max(0, middle + len(ws) + band)], keys):
                     labels.add(t.label)
                     best = max(best, min(score, 1.0))
-                    if t.base:
-                        at.append(start)
-                        plain.add(t.label)
         want[i, len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(plain)), ",".join(sorted(labels)), round(best, 6)] += 1
-    got = Counter((r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"], r["labels"], round(r["score"], 6)) for r in license_scan.scan_licenses(docs).collect())
+    scanned = lambda: Counter((r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"], r["labels"], round(r["score"], 6)) for r in license_scan.scan_licenses(docs).collect())
+    got = scanned()
     assert got == want
-    assert {"mit-text", "bsd-3-text", "gpl-3-text", "unlicense-text"} <= {x for r in got for x in r[6].split(",")}
+    assert {t.label for t in license_scan.TEMPLATES} == {x for r in got if r[0] == 3000 for x in r[6].split(",")}
+    monkeypatch.setattr(license_scan, "RARE", 0)  # without rare words, base phrases are all that is found
+    assert {x for r in scanned() for x in r[6].split(",")} == {"", "mit", "apache", "gpl"} and {r[:6] for r in scanned()} == {r[:6] for r in got}
+
+
+@pytest.mark.parametrize("edit", [lambda w: w[:30] + ["NEW"] + w[30:], lambda w: w[:50] + w[53:], lambda w: [x for k, x in enumerate(w) if k % 12 != 11 or k < 12]])
+def test_licence_text_with_words_more_or_fewer(spark, edit):
+    text = next(t.text for t in license_scan.TEMPLATES if t.label == "mit-text")
+    rows = [(1, " ".join(edit(license_scan.words_of(text)))), (2, text)] + [(k, f"plain prose {k}") for k in range(3, 30)]
+    got = {r["doc_id"]: r for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1]["labels"] == got[2]["labels"] == "mit-text" and 0.6 <= got[1]["score"] <= 1.0 and got[2]["score"] == pytest.approx(1.0) and got[5]["labels"] == ""
 
 
 def test_mixing(docs, texts):
