@@ -239,7 +239,7 @@ def test_licences(spark, docs, texts, monkeypatch):
     assert {x for r in scanned() for x in r[6].split(",")} == {"", "mit", "apache", "gpl"} and {r[:6] for r in scanned()} == {r[:6] for r in got}
 
 
-@pytest.mark.parametrize("edit", [lambda w: w[:30] + ["NEW"] + w[30:], lambda w: w[:50] + w[53:], lambda w: [x for k, x in enumerate(w) if k % 12 != 11 or k < 12]])
+@pytest.mark.parametrize("edit", [lambda w: w[:30] + ["NEW"] + w[30:], lambda w: w[:50] + w[53:], lambda w: [x for k, x in enumerate(w) if k not in (20, 35, 75, 90, 110, 130)]])
 def test_licence_text_with_words_more_or_fewer(spark, edit):
     text = next(t.text for t in license_scan.TEMPLATES if t.label == "mit-text")
     rows = [(1, " ".join(edit(license_scan.words_of(text)))), (2, text)] + [(k, f"plain prose {k}") for k in range(3, 30)]

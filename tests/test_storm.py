@@ -16,7 +16,7 @@ from stormsift.plans.storm import documents, held_by_cards, outputs, reduce_stor
 from stormsift.sources import fixtures, io
 
 SF = "/root/testdata/sf0.001"
-ORACLE = ["input_checks", "enrich_alarms", "spike_windows", "rule_counts", "centrality", "root_and_counter", "suggested_owner", "explanations", "formula_links", "formula_ledger", "formula_integrity", "summary", "card_facts", "card_membership", "card_stats", "ledger_cube", "edge_metadata", "timeline", "apply_transitions", "retained_runs", "signatures", "similar_incidents"]
+ORACLE = ["input_checks", "enrich_alarms", "spike_windows", "rule_counts", "centrality", "root_and_counter", "suggested_owner", "explanations", "formula_links", "formula_ledger", "formula_integrity", "summary", "card_facts", "ledger_cube", "edge_metadata", "timeline", "apply_transitions", "retained_runs", "signatures", "similar_incidents"]
 
 
 @pytest.mark.parametrize("name", ORACLE)
