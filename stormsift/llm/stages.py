@@ -8,13 +8,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from stormsift.llm import mixing, near_dup, quality, sentence_piece, toxicity
 from stormsift.llm.common import WORD_PATTERN
 
 
-#: A column of the stages' own; no table has a name like this.
-_KEY = "__stage_key__"
+#: Columns of the stages' own; no table has names like these.
+_KEY, _PLACE = "__stage_key__", "__stage_place__"
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -56,13 +57,17 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """
     ids = near_dup.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select(F.struct("doc_id").alias(_KEY)).distinct()
     known = docs.where("doc_id IS NOT NULL").withColumn(_KEY, F.struct(F.col("doc_id").cast("long").alias("doc_id")))
-    row = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
+    # a map has no hash; as text it has
+    row = F.xxhash64(*(F.to_json(F.struct(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema))
     least = known.groupBy(_KEY).agg(F.count("*").alias("n"), F.min(row).alias("least")).where("n > 1").select(F.col(_KEY).alias("other"), "least")
     kept = known.join(ids, _KEY, "left_semi")
     one = kept.join(least, F.col(_KEY) == F.col("other"), "left_semi")
     once = kept.join(least, F.col(_KEY) == F.col("other"), "left_anti").select(*docs.columns)
     one = one.join(least.select(F.struct(F.col("other").alias("id"), F.col("least").alias("hash")).alias("best")), F.struct(F.col(_KEY).alias("id"), row.alias("hash")) == F.col("best"), "left_semi")
-    return once.union(one.select(*docs.columns).dropDuplicates()).union(docs.where("doc_id IS NULL"))
+    # what is left of an id are equal rows, of which each task keeps one before they are shuffled
+    first = F.row_number().over(W.partitionBy(_KEY).orderBy(row))
+    one = one.withColumn(_PLACE, first).where(F.col(_PLACE) == 1)
+    return once.union(one.select(*docs.columns)).union(docs.where("doc_id IS NULL"))
 
 
 def mixed(docs: DataFrame, seed: int = 42) -> DataFrame:

@@ -122,3 +122,18 @@ def test_run_chains_all_stages(spark, docs, labels, tmp_path):
         assert step.columns == docs.columns, name
     assert Counter(tuple(r) for r in step.collect()) == Counter(tuple(r)[:-1] for r in got)
     assert not any(r["text"] is None or "zorgl" in r["text"] for r in got) and step.where(F.col("text").contains("same line")).count() == 0
+
+
+def test_stages_carry_a_map(docs, rows, labels):
+    """A further column of type MAP, null in places, goes through all stages; of repeated rows near-dedup keeps one."""
+    wide = docs.withColumn("tags", F.when(F.col("doc_id") % 3 > 0, F.create_map(F.lit("id"), F.col("doc_id"), F.lit("n"), F.col("n_chars"))))
+    wide = wide.union(wide.where("doc_id = 5"))
+    once = stages.without_near_duplicates(wide)
+    ids = lambda df: Counter(r["doc_id"] for r in df.select("doc_id").collect())  # noqa: E731  of different rows of one id, the hash picks
+    assert ids(once) == ids(stages.without_near_duplicates(docs))
+    assert once.where("doc_id = 5").count() == 1
+    last = wide
+    for stage in (lambda d: stages.without_toxic(d, labels), stages.of_quality, stages.without_near_duplicates, stages.mixed, stages.encoded):
+        last = stage(last)
+    out = last.select("doc_id", "tags").where("doc_id % 3 > 0").collect()
+    assert out and all(r["tags"]["id"] == r["doc_id"] for r in out)
