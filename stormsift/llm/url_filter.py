@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stormsift.llm.common import skew_join, table
+from stormsift.llm.common import skew_join, table, written
 
 #: (verdict, host, path, base): the base rules are fixed values of the query's contract; the others are the operator's own.
 RULES = (
@@ -19,6 +19,8 @@ RULES = (
     ("block", "cheap-pills.example.org", "/", False),
     ("block", "cheap-pills.example.net", "/", False),
 )
+#: Rules that are broadcast at most.
+MOST_RULES = 100_000
 #: Hex digits of the digest that the join compares first.
 PREFIX = 8
 
@@ -36,6 +38,18 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return F.coalesce(lower_ascii(host), F.lit("")), F.coalesce(path, F.lit(""))
 
 
+def _met(expanded: DataFrame, keyed: DataFrame) -> DataFrame:
+    """Expressions with the rules of their prefix. Up to MOST_RULES rules are broadcast, counted first; with more, most URLs may
+    still share the prefix of one rule (a whole top-level domain), so rules are packed by prefix and hot ones broadcast."""
+    if keyed.count() <= MOST_RULES:
+        return expanded.join(F.broadcast(keyed), "prefix")
+    expanded = written(expanded.withColumnRenamed("copies", "urls"))
+    packed = keyed.groupBy("prefix").agg(F.collect_list(F.struct(*(c for c in keyed.columns if c != "prefix"))).alias("rules"))  # rules whose digests begin alike
+    packed = packed.join(expanded.groupBy("prefix").agg(F.count("*").alias("copies")), "prefix")
+    met = skew_join(expanded, packed, ["prefix"], expanded.count(), "inner", grows=True)
+    return met.select(*expanded.columns, F.inline("rules")).withColumnRenamed("urls", "copies")
+
+
 def filter_urls(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """Adds host, path, rule and verdict to each row of pages (page_id, url).
 
@@ -62,7 +76,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame) -> DataFrame:
     expanded = urls.withColumn("suffix", F.explode(suffixes)).withColumn("size", F.explode(at)).where(F.length("path") >= F.col("size"))
     expanded = expanded.select("host", "path", "copies", digest(F.concat(F.lit("h:"), F.col("suffix"), F.substring(F.col("path"), F.lit(1), F.col("size")))).alias("found"))
     expanded = expanded.withColumn("prefix", F.substring("found", 1, PREFIX))
-    met = expanded.join(keyed, "prefix").where(F.col("found") == F.col("digest"))
+    met = _met(expanded, keyed.distinct()).where(F.col("found") == F.col("digest"))
     order = F.struct(F.col("base"), F.col("length"), (F.col("verdict") == "block"))
     best = met.groupBy("host", "path").agg(F.max_by(F.struct("base", "expr", "verdict"), order).alias("best"), F.max("copies").alias("copies"))
     # rows without a host share one key and meet no rule: they take no part in the join

@@ -340,6 +340,23 @@ def test_urls(spark):
     assert [got[k] for k in range(10)] == [("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), (None, "allow"), (None, "allow"), (None, "allow"), ("com/", "allow"), (None, "block"), ("net/fr/", "block"), ("example.com/en/", "block")]
 
 
+@pytest.mark.parametrize("most", [url_filter.MOST_RULES, 0])
+def test_urls_equal_a_plain_look_up(spark, monkeypatch, most):
+    """3,000 rules, and two thirds of all URLs under one of them."""
+    monkeypatch.setattr(url_filter, "MOST_RULES", most)
+    rng = random.Random(6)
+    host = lambda: ".".join(rng.choice(["a", "b", "c", "www"]) for _ in range(rng.randrange(1, 4)))
+    rules = list({(h, p): (rng.choice(["allow", "block"]), h, p, True) for h, p in ((f"{host()}.{rng.choice(['net', 'org', 'com'])}", rng.choice(["/", "/x/", "/x/y/", "/z"])) for _ in range(3000))}.values()) + [("allow", "com", "/", True)] * 2
+    urls = [f"https://{host()}.{rng.choice(['com', 'com', 'net'])}{rng.choice(['/', '/x/', '/x/y/z', '/zz', ''])}" for _ in range(600)]
+    got = url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), spark.createDataFrame(rules, "verdict string, host string, path string, base boolean")).collect()
+    assert len(got) == 600
+    for r in got:
+        fits = [(len(h + p), h + p, v) for v, h, p, _ in rules if (r["host"] == h or r["host"].endswith("." + h)) and r["path"].startswith(p)]
+        longest = max((n for n, _, _ in fits), default=0)
+        best = sorted(((e, v) for n, e, v in fits if n == longest), key=lambda x: x[1] != "block")
+        assert (r["verdict"] == best[0][1] and r["rule"] in {e for e, v in best if v == best[0][1]}) if best else (r["rule"], r["verdict"]) == (None, "allow")
+
+
 def test_urls_with_many_dots_and_repeats(spark):
     rules = spark.createDataFrame(list(url_filter.RULES), "verdict string, host string, path string, base boolean")
     rows = [(1, "http://" + "a." * 100_000 + "com/x"), (2, "http://x.net/es/")] + [(None, "http://x.net/es/")] * 50 + [(k, None) for k in range(60)]
