@@ -25,8 +25,14 @@ def enrichment_warnings(enriched: DataFrame) -> DataFrame:
     known = F.col("known_host")
     moved = known & ((F.col("own_datacenter") != "") & (F.col("own_datacenter") != F.col("datacenter")) | (F.col("own_rack") != "") & (F.col("own_rack") != F.col("rack")))
     conflict = F.when(known & (F.col("service") != F.col("host_service")), F.concat("host", F.lit(": "), "service", F.lit(" != "), "host_service"))
-    hosts = enriched.where(~known).select("host").distinct().agg(F.count("*").alias("n"), F.slice(F.sort_array(F.collect_list("host")), 1, 5).alias("x"))
-    pairs = enriched.select(conflict.alias("c")).where("c IS NOT NULL").distinct().agg(F.count("*").alias("n"), F.slice(F.sort_array(F.collect_list("c")), 1, 3).alias("x"))
+
+    def named(names: DataFrame, k: int) -> DataFrame:
+        """How many different names, and the first k of them, which each task finds for itself before they meet."""
+        few = names.orderBy("x").limit(k).agg(F.sort_array(F.collect_list("x")).alias("x"))
+        return names.agg(F.count("*").alias("n")).join(F.broadcast(few))  # one row each
+
+    hosts = named(enriched.where(~known).select(F.col("host").alias("x")).where("x IS NOT NULL").distinct(), 5)
+    pairs = named(enriched.select(conflict.alias("x")).where("x IS NOT NULL").distinct(), 3)
     places = enriched.agg(F.count(F.when(moved, 1)).alias("n"), F.array().cast("array<string>").alias("x"))
     parts = [d.select(F.lit(k).alias("kind"), "n", F.col("x").alias("examples")) for k, d in (("unknown_hosts", hosts), ("moved_alarms", places), ("service_conflicts", pairs))]
     return parts[0].union(parts[1]).union(parts[2])
