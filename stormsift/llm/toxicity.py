@@ -103,7 +103,7 @@ class Model:
         starts = np.concatenate(([0], np.cumsum(grams)[:-1]))
         m, v, t = [0.0] * 3, [0.0] * 3, 0
         for _ in range(ROUNDS):
-            value = spans(score[buckets], grams) / grams
+            value = word_scores(score, grams, buckets)
             order = np.lexsort((-value, word_doc))
             rank = np.arange(len(order)) - np.repeat(np.concatenate(([0], np.cumsum(words)[:-1])), words)
             pick = np.sort(order[rank < WORST])
@@ -135,6 +135,14 @@ class Model:
             score = self.bucket_scores()
 
 
+def word_scores(score: np.ndarray, grams: np.ndarray, buckets: np.ndarray, at_once: int = 1 << 18) -> np.ndarray:
+    """The mean of each word's buckets' scores, some words after the other, as n-grams are many times the words."""
+    ends = np.concatenate(([0], np.cumsum(grams)))
+    parts = [slice(k, k + at_once) for k in range(0, len(grams), at_once)]
+    found = [spans(score[buckets[ends[p.start] : ends[min(p.stop, len(grams))]]], grams[p]) / grams[p] for p in parts]
+    return np.concatenate(found) if found else np.zeros(0)
+
+
 def word_values(scores: np.ndarray, words: np.ndarray, grams: np.ndarray, buckets: np.ndarray, bias: float) -> np.ndarray:
     """Logit of each document: the mean of its POOL highest words' logits; 0 words give the bias."""
     out = np.full(len(words), bias, np.float64)
