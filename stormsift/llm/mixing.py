@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from stormsift.llm.common import WORD_PATTERN, skew_join, table, written
+from stormsift.llm.common import HOT_KEYS, WORD_PATTERN, skew_join, table, written
 
 #: Words in a block, documents in a shard about, shards in a rack (a source has as many racks as its documents need).
 BLOCK, SHARD_DOCS, RACK = 8, 100, 4096
@@ -109,6 +109,24 @@ def seats_within(parties: DataFrame, by: list[str], key: str, seats: str) -> Dat
     return parties.groupBy(*by).applyInArrow(deal, f"{kinds}, won long")
 
 
+def in_parcels(rows: DataFrame, hot: DataFrame | None, carry: bool) -> DataFrame:
+    """Adds parcel, mark and n (equal rows that one row stands for): rows of keys that are not hot stand for themselves.
+
+    Equal rows of a hot key are counted where they lie, so no task gathers them, and their number is cut into parcels of
+    SHARD_DOCS, each of which goes to a shard of its own. With carry, equal means equal in all columns of doc (mark is their
+    hash), and any of the equal docs stands for all.
+    """
+    own = {"parcel": F.lit(0).cast("long"), "mark": F.lit(0).cast("long"), "n": F.lit(1).cast("long")}
+    if hot is None:
+        return rows.drop("key").withColumns(own)
+    plain = rows.join(F.broadcast(hot), "key", "left_anti").drop("key").withColumns(own)
+    many = rows.join(F.broadcast(hot), "key", "left_semi").withColumn("mark", F.xxhash64(F.to_json("doc")) if carry else F.lit(0).cast("long"))
+    many = many.groupBy("doc_id", "source", "size", "tie", "mark").agg(F.count("*").alias("all"), *((F.any_value("doc").alias("doc"),) if carry else ()))
+    many = many.withColumn("parcel", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("all") - 1) / SHARD_DOCS))))
+    many = many.withColumn("n", F.least(F.lit(SHARD_DOCS).cast("long"), F.col("all") - F.col("parcel") * SHARD_DOCS)).drop("all")
+    return plain.unionByName(many)
+
+
 def mix_sources(docs: DataFrame, seed: int = 42, block: int = BLOCK, carry: bool = False) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document, and where its taken words lie.
 
@@ -119,34 +137,48 @@ def mix_sources(docs: DataFrame, seed: int = 42, block: int = BLOCK, carry: bool
     around if part_from > part_to; with carry also `doc`, the row as a struct.
 
     Null and empty texts have size 0 and nothing taken; an empty table gives no rows; repeated rows are documents of
-    their own; other columns are not read. Reruns agree: order and start come from hashes of seed, text and doc_id.
+    their own; other columns are read with carry alone. Reruns agree: order and start come from hashes of seed, text and
+    doc_id. Equal rows (same doc_id, source and text) of more than a shard's number, and of more than one in HOT_KEYS of
+    all rows, are dealt to shards in parcels; with carry rows are equal that agree in all columns, so parcels, and with
+    them the words taken of such rows, may differ from those without.
     """
     row = (F.struct("*").alias("doc"),) if carry else ()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(seed), "text", "doc_id").alias("tie"), *row)
+    rows = rows.withColumn("key", F.xxhash64("source", "doc_id", "tie"))
     sized = written(rows.drop("doc"))
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("copies"))
     weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("rank") % len(WEIGHTS) + 1).cast("int"))
     sources = written(with_targets(with_rank(sources, "source").withColumn("weight", weight)))
     x = sources.agg(F.sum("source_size").alias("words"), F.sum("copies").alias("docs")).first()
+    hot = written(sized.groupBy("key").count().where(F.col("count") > max(SHARD_DOCS, (x["docs"] or 0) // HOT_KEYS)).select("key"))  # fewer than HOT_KEYS longs
+    hot = hot if hot.head(1) else None
     sources = sainte_lague(sources, "target", round((x["words"] or 0) / block), ["rank"])
     n_shards = F.greatest(F.lit(1), F.ceil(F.col("copies") / SHARD_DOCS)).cast("long")
     sources = written(sources.withColumn("n_shards", n_shards).withColumn("source_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).select("source_key", "rank", "source_size", "target", "seats", "n_shards", "copies"))
 
+    at = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "tie"), F.col("n_shards"))
+    parcel_at = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "tie", "mark", "parcel"), F.col("n_shards"))
+
     def in_shards(df: DataFrame) -> DataFrame:
         df = df.withColumn("source_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).drop("source")
-        return skew_join(df, sources, ["source_key"], x["docs"] or 0, "inner").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "tie"), F.col("n_shards")))
+        return skew_join(df, sources, ["source_key"], x["docs"] or 0, "inner").withColumn("shard", F.when(F.col("parcel") + F.col("mark") == 0, at).otherwise(parcel_at))
 
-    shards = in_shards(sized).groupBy("rank", "shard").agg(F.sum("size").alias("votes"), F.max("seats").alias("seats"), F.count("*").alias("copies"))
+    shards = in_shards(in_parcels(rows if carry and hot is not None else sized, hot, carry).drop("doc")).groupBy("rank", "shard")
+    shards = shards.agg(F.sum(F.col("size") * F.col("n")).alias("votes"), F.max("seats").alias("seats"), F.sum("n").alias("copies"))
     shards = written(shards.withColumn("rack", F.floor(F.col("shard") / RACK)))
     racks = shards.groupBy("rank", "rack").agg(F.sum("votes").alias("votes"), F.max("seats").alias("seats"))
     racks = seats_within(racks, ["rank"], "rack", "seats").select("rank", "rack", F.col("won").alias("quota"))
     shards = seats_within(shards.join(racks, ["rank", "rack"]), ["rank", "rack"], "shard", "quota")
     shards = written(shards.select("rank", "shard", F.col("votes").alias("shard_size"), F.col("won").alias("blocks"), "copies"))
     cell = W.partitionBy("rank", "shard")
-    rows = in_shards(rows if carry else sized).drop("source_key", "seats", "n_shards")
-    rows = rows.withColumn("end", F.sum("size").over(cell.orderBy(F.xxhash64(F.lit(seed + 2), "doc_id"), "doc_id", "tie").rowsBetween(W.unboundedPreceding, 0)))
-    # a shard holds about SHARD_DOCS rows, so no key of this join is hot
-    return placed(rows.join(shards.drop("copies"), ["rank", "shard"]), block, seed, ("doc",) if carry else ())
+    rows = in_shards(in_parcels(rows if carry else sized, hot, carry)).drop("source_key", "seats", "n_shards")
+    order = cell.orderBy(F.xxhash64(F.lit(seed + 2), "doc_id"), "doc_id", "tie", "mark", "parcel")
+    rows = rows.withColumn("end", F.sum(F.col("size") * F.col("n")).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    # a shard holds about SHARD_DOCS rows, or one in HOT_KEYS of all rows if these are equal: no key of this join is hot
+    rows = rows.join(shards.drop("copies"), ["rank", "shard"])
+    if hot is not None:
+        rows = rows.withColumn("left", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).withColumn("end", F.col("end") - F.col("left") * F.col("size"))
+    return placed(rows, block, seed, ("doc",) if carry else ())
 
 
 def placed(rows: DataFrame, block: int, seed: int, more: tuple[str, ...] = ()) -> DataFrame:

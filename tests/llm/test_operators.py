@@ -288,6 +288,30 @@ def test_mix_of_two_sources_in_shards(spark, monkeypatch, rack):
     assert next(g["taken"] for g in got if g["doc_id"] == 200) == 12
 
 
+def test_mix_deals_equal_rows_to_many_shards(spark):
+    """20,000 equal rows, 3,000 more without ids, and others: no shard gathers them, and reruns agree."""
+    rows = [(7, "one two three", "a", 1)] * 20_000 + [(None, "four five", "a", 2)] * 3_000 + [(None, "four five", None, 2)] * 500 + [(k, "w " * (k % 9), "ab"[k % 2], k) for k in range(100, 700)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, more int").repartition(5)
+    got = mixing.mix_sources(d)
+    assert got.count() == len(rows) and Counter((r["doc_id"], r["size"], r["taken"]) for r in got.collect()) == Counter((r["doc_id"], r["size"], r["taken"]) for r in mixing.mix_sources(d.repartition(3)).collect())
+    by_source = got.groupBy("source_size", "target").agg({"taken": "sum", "size": "sum"}).collect()
+    assert len(by_source) == 3
+    for r in by_source:
+        assert r["sum(size)"] == r["source_size"] and abs(r["sum(taken)"] - r["target"]) <= 0.03 * r["target"] + 8
+    assert got.where("taken > 3 * size OR taken < 0").count() == 0
+    hot = spark.createDataFrame([(1,), (2,)], "key long")
+    keyed = spark.createDataFrame([(7, "a", 3, 5, 1)] * 20_000 + [(8, "a", 1, 6, 3)] * 4, "doc_id long, source string, size long, tie long, key long")
+    parcels = mixing.in_parcels(keyed, hot, False).collect()
+    assert len(parcels) == 204 and max(r["n"] for r in parcels) == mixing.SHARD_DOCS and sum(r["n"] for r in parcels) == 20_004
+    for r in (stages.mixed(d), mixing.mix_sources(d, carry=True)):
+        texts = r if "text" in r.columns else r.where("taken > 0").select("doc.*")
+        assert set(texts.columns) == set(d.columns) and texts.where("doc_id = 7 AND more <> 1").count() == 0
+    a, b = (stages.mixed(x).groupBy("doc_id", "text", "source", "more").count().collect() for x in (d, d.repartition(3)))
+    assert sorted(map(str, a)) == sorted(map(str, b))
+    words = sum(len(r["text"].split()) * r["count"] for r in a if r["source"] == "a")
+    assert words == mixing.mix_sources(d, carry=True).where("doc.source = 'a'").agg({"taken": "sum"}).first()[0]
+
+
 @pytest.mark.parametrize("long", [4, 2048])
 def test_pieces_round_trip_and_best_score(docs, texts, monkeypatch, long):
     rows = sentence_piece.digests(docs).collect()
