@@ -15,9 +15,11 @@ from stormsift.llm.common import table, written
 
 #: Segments of the levels, coarse to fine.
 LEVELS = (1, 4, 16)
-#: Vectors in a block of queries and of candidates, candidate blocks that a task takes one after the other, and queries
-#: that it holds against a block at once.
-QUERY_ROWS, BLOCK_ROWS, RUN, AT_ONCE = 4096, 4096, 2, 512
+#: Components in a block of queries and of candidates (32,768 and 4,096 vectors of 64), and queries that a task holds
+#: against a block at once.
+QUERY_SIZE, BLOCK_SIZE, AT_ONCE = 1 << 21, 1 << 18, 512
+#: Candidate blocks that a task holds against its block of queries: as many as leave TASKS tasks, and RUN at most.
+RUN, TASKS = 16, 1024
 
 
 def stats(x: np.ndarray, segments: int) -> np.ndarray:
@@ -34,7 +36,7 @@ def stats(x: np.ndarray, segments: int) -> np.ndarray:
 
 @dataclass
 class Block:
-    """Vectors with their ids and, stored with them, their statistics on each level."""
+    """Vectors with their ids and their statistics on each level, which are made anew from the vectors: what is sent is less by more than half."""
 
     ids: np.ndarray
     x: np.ndarray
@@ -44,7 +46,7 @@ class Block:
     def of(row: dict) -> Block:
         ids = np.frombuffer(row["ids"], np.int64)
         x = np.frombuffer(row["data"], np.int32 if row["narrow"] else np.int64).reshape(len(ids), -1).astype(np.float64)
-        return Block(ids, x, [np.frombuffer(s, np.float64).reshape(len(ids), -1) for s in row["stats"]])
+        return Block(ids, x, [stats(x, s) for s in LEVELS])
 
 
 def block_top(q: Block, blocks: list[Block], k: int, least: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -85,24 +87,24 @@ def block_top(q: Block, blocks: list[Block], k: int, least: np.ndarray) -> tuple
     return rows, ids, scores
 
 
-_PACKED = "dim int, ids binary, narrow boolean, data binary, stats array<binary>, high array<double>, low array<double>"
+_PACKED = "dim int, ids binary, narrow boolean, data binary, high array<double>, low array<double>"
 
 
-def packed(df: DataFrame, rows: int, name: str) -> DataFrame:
-    """Blocks of about so many vectors of one length, those of large norm first: their ids, components, statistics on each
-    level, and the highest and lowest of the finest (high, low)."""
+def packed(df: DataFrame, size: int, name: str) -> DataFrame:
+    """Blocks of vectors of one length, of about so many components, those of large norm first: their ids, components, and
+    the highest and lowest of their finest statistics (high, low)."""
     df = df.where("vec_id IS NOT NULL AND ints IS NOT NULL").select("vec_id", "ints", F.size("ints").alias("dim"))
     norm = F.aggregate("ints", F.lit(0.0), lambda a, v: a + v.cast("double") * v)
-    n = max(1, -(-df.count() // rows))
+    n = max(1, -(-(df.agg(F.sum(F.greatest("dim", F.lit(1)))).first()[0] or 0) // size))
     dealt = df.repartitionByRange(n, F.col("dim"), norm.desc(), "vec_id").withColumn(name, F.spark_partition_id())
 
     def pack(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         flat = t.column("ints").combine_chunks().flatten().to_numpy()
         x = flat.reshape(t.num_rows, -1)
         narrow = bool(np.abs(flat).max(initial=0) < 1 << 31)
-        levels = [stats(x.astype(np.float64), s) for s in LEVELS]
+        finest = stats(x.astype(np.float64), LEVELS[-1])
         one = lambda v, kind: pa.array([v], kind)
-        return pa.table({name: one(key[0].as_py(), pa.int32()), "dim": one(key[1].as_py(), pa.int32()), "ids": one(t.column("vec_id").to_numpy().tobytes(), pa.binary()), "narrow": one(narrow, pa.bool_()), "data": one((x.astype(np.int32) if narrow else x).tobytes(), pa.binary()), "stats": one([s.tobytes() for s in levels], pa.list_(pa.binary())), "high": one(levels[-1].max(0), pa.list_(pa.float64())), "low": one(levels[-1].min(0), pa.list_(pa.float64()))})
+        return pa.table({name: one(key[0].as_py(), pa.int32()), "dim": one(key[1].as_py(), pa.int32()), "ids": one(t.column("vec_id").to_numpy().tobytes(), pa.binary()), "narrow": one(narrow, pa.bool_()), "data": one((x.astype(np.int32) if narrow else x).tobytes(), pa.binary()), "high": one(finest.max(0), pa.list_(pa.float64())), "low": one(finest.min(0), pa.list_(pa.float64()))})
 
     return written(dealt.groupBy(name, "dim").applyInArrow(pack, f"{name} int, {_PACKED}"))
 
@@ -117,15 +119,17 @@ def may_meet(q: dict, c: dict, least: float) -> bool:
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: the k candidates of highest inner product for each query, ties to the smaller vec_id.
 
-    Inputs are (vec_id, ints: array<long>). Vectors are packed in blocks with their segment statistics, large norms first.
+    Inputs are (vec_id, ints: array<long>). Vectors are packed in blocks with the extremes of their segment statistics, large norms first.
     Each block of queries meets the first block of candidates, which gives every query a k-th best score to start from;
     block pairs whose extremes cannot reach the least of these are never sent. The others meet in runs of candidate
     blocks, from coarse bounds to fine ones to exact scores; a task keeps k per query, and a window ranks what tasks keep.
+    A candidate is sent once for each block of queries, which is eight times its own block, and a block of queries once for
+    each run, so what is sent of either is about the same.
 
     Only vectors of one length meet. Repeated candidate rows each count; rows that repeat a query's id are ranked together;
     a query's own id is never its result; null ids and null vectors take no part. Empty tables give no rows.
     """
-    q, c = packed(queries, QUERY_ROWS, "qb"), packed(candidates, BLOCK_ROWS, "cb")
+    q, c = packed(queries, QUERY_SIZE, "qb"), packed(candidates, BLOCK_SIZE, "cb")
     first = c.join(c.groupBy("dim").agg(F.min("cb").alias("cb")), ["dim", "cb"], "left_semi")
     names = {x: f"c_{x}" for x in first.columns if x != "dim"}
 
@@ -149,7 +153,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20) -> DataFrame:
             keep = [may_meet(r, {"high": r["c_high"], "low": r["c_low"]}, r["lowest"]) for r in batch.to_pylist()]
             yield batch.select(["qb", "cb", "dim"]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = written(met.select("qb", "cb", "dim", "high", "low", "c_high", "c_low", "lowest").mapInArrow(open_pairs, "qb int, cb int, dim int").withColumn("run", F.floor(F.col("cb") / RUN).cast("int")))
+    pairs = written(met.select("qb", "cb", "dim", "high", "low", "c_high", "c_low", "lowest").mapInArrow(open_pairs, "qb int, cb int, dim int"))
+    pairs = pairs.withColumn("run", F.floor(F.col("cb") / min(RUN, 1 + pairs.count() // TASKS)).cast("int"))
     right = pairs.join(c.drop("high", "low"), ["cb", "dim"])
     left = pairs.select("qb", "run", "dim").distinct().join(q.drop("high", "low"), ["qb", "dim"]).join(seeded.select("qb", "dim", "least"), ["qb", "dim"])
     left = left.select(*(F.col(x).alias(x) for x in left.columns))  # columns of its own beside right's, which also stem from pairs

@@ -391,10 +391,11 @@ def test_urls_with_many_dots_and_repeats(spark):
     assert {r["verdict"] for r in url_filter.filter_urls(pages, rules.limit(0)).collect()} == {"allow"}
 
 
-@pytest.mark.parametrize("spread", [1, 40])
-def test_topk_with_ties_repeats_and_bad_vectors(spark, monkeypatch, spread):
-    """Small blocks, so bounds skip blocks; with the second spread a few large norms take all first places."""
-    for name, n in (("QUERY_ROWS", 3), ("BLOCK_ROWS", 16)):
+@pytest.mark.parametrize("spread,tasks", [(1, 1024), (40, 1024), (40, 8)])
+def test_topk_with_ties_repeats_and_bad_vectors(spark, monkeypatch, spread, tasks):
+    """Blocks of 3 and 16 vectors, so bounds skip blocks; with the second spread a few large norms take all first places. With
+    few tasks, each holds a run of several blocks."""
+    for name, n in (("QUERY_SIZE", 18), ("BLOCK_SIZE", 96), ("TASKS", tasks)):
         monkeypatch.setattr(topk, name, n)
     rng = random.Random(2)
     rows = [(k, [float(rng.randrange(-2, 3)) / 8 * (spread if k % 9 == 0 else 1) for _ in range(6)], "x") for k in range(150)]
