@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stormsift.functions import ordering
-from stormsift.operators import baseline, cards, cluster, merge, patterns, reports, rootcause
+from stormsift.operators import baseline, cards, cluster, merge, noise, patterns, reports, rootcause
 from stormsift.operators.graph import impact_set
 from stormsift.params import DEFAULT, MINUTE
 from stormsift.plans import queries
@@ -252,3 +252,19 @@ def test_bucket_over_residual_alone(spark):
     none = spark.createDataFrame([], "incident_id string, rank int, alarm_count long, score double, root_alarm_id string, slot string, card_id string")
     r = cards.bucket_card(none, a.limit(0).select("alarm_id", F.lit("i").alias("incident_id")), a, a.where("alarm_id = 'y'")).collect()
     assert [(x["alarm_ids"], x["reasons"]) for x in r] == [(["y"], ["1 alarms in no cluster"])]
+
+
+def test_audit_search_sees_every_service(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{SF}/events.parquet'").fetchall()
+    got = queries.audit_search(spark, SF)
+    want = con.execute(queries.ORACLE_SQL["audit_search"]).fetchall()
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    services = got.join(fixtures.alarms(spark, SF), "alarm_id").agg(F.count_distinct("service")).first()[0]
+    assert services > 4
+
+
+def test_audit_search_by_service(spark):
+    entries = spark.createDataFrame([("A1", "r", 1, "s1", "disk_warn 3", "disk_warn"), ("A2", "r", 1, "s2", "disk_warn 4", "disk_warn"), ("A3", "r", 1, None, "x", "x")], "alarm_id string, rule string, severity int, service string, message string, alarm_type string")
+    found = lambda **by: sorted(r["alarm_id"] for r in noise.audit_search(entries, **by).collect())
+    assert found(services=("s1",)) == ["A1"] and found(text="DISK") == ["A1", "A2"] and found() == ["A1", "A2", "A3"]
