@@ -40,8 +40,8 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ordered = keys[by]
     new = np.ones(len(keys), bool)
     new[1:] = ordered[1:] != ordered[:-1]
-    number = np.empty(len(keys), np.int64)
-    number[by] = np.cumsum(new) - 1
+    number = np.empty(len(keys), np.int32)  # a block's or a bucket's n-grams
+    number[by] = np.cumsum(new, dtype=np.int32) - 1
     return ordered[new], by[new], number
 
 
@@ -61,24 +61,33 @@ def levels(texts: pa.Array, order: int) -> tuple[np.ndarray, list[Level]]:
     found = list(tokens(texts))
     n = np.concatenate([x for x, _ in found]) if found else np.empty(0, np.int64)
     word = np.concatenate([x for _, x in found]) if found else np.empty(0, np.uint64)
+    del found
     hashes, _, at = distinct(word)
-    none = np.zeros(len(hashes), np.int64)
-    out = [Level(hashes, np.arange(len(hashes)), none, none, at)]
-    place = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+    del word
+    none = np.zeros(len(hashes), np.int32)
+    out = [Level(hashes, np.arange(len(hashes), dtype=np.int32), none, none, at)]
+    first = (np.cumsum(n) - n)[n > 0]
     end = int(np.searchsorted(hashes, _END))
     for k in range(2, order + 1):
         low = out[-1]
-        before = np.full(len(at), -1)
+        before = np.full(len(at), -1, np.int32)
         before[1:] = low.at[:-1]
-        before[place == 0] = end if k == 2 else -1
-        here = np.flatnonzero(before >= 0)
-        keys, place_of, back = distinct(before[here] * len(hashes) + at[here])
-        context, token = np.divmod(keys, len(hashes)) if len(keys) else (keys, keys)
-        own = np.full(len(at), -1)
+        before[first] = end if k == 2 else -1
+        here = np.flatnonzero(before >= 0).astype(np.int32)
+        keys = before[here].astype(np.int64)
+        del before
+        keys *= len(hashes)
+        keys += at[here]
+        keys, place_of, back = distinct(keys)
+        suffix = low.at[here[place_of]]
+        own = np.full(len(at), -1, np.int32)
         own[here] = back
+        del here, place_of, back
+        context, token = (x.astype(np.int32) for x in (np.divmod(keys, len(hashes)) if len(keys) else (keys, keys)))
+        del keys
         # 56 bits of hash: the last byte is 0 and costs nothing on its way
         h = mix(low.hashes[context] * _STEP + hashes[token] + np.uint64(k)) & ~np.uint64(255)
-        out.append(Level(h, token, context, low.at[here[place_of]], own))
+        out.append(Level(h, token, context, suffix, own))
     return n, out
 
 
@@ -155,7 +164,8 @@ def totals_of(model: pa.Table, found: list[Level], train: np.ndarray) -> list[tu
 class Automaton:
     """States are the root (0) and the n-grams seen in training. An arc takes a token from a state to the state of the
     longest suffix and weighs a log10 probability; where a state has no arc for a token, its failure arc leads to the
-    n-gram without its first token and weighs what the state gives away."""
+    n-gram without its first token and weighs what the state gives away. Arcs ascend by key (state, token): levels do, and
+    within a level n-grams ascend by context and token."""
 
     n_types: int
     keys: np.ndarray
@@ -189,7 +199,7 @@ def automaton(found: list[Level], totals: list[np.ndarray], size: int, types: in
     arc weighs PULL / (c + PULL). At the root stands the add-one unigram.
     """
     n, order = len(found[0].hashes), len(found)
-    first = np.cumsum([1] + [len(x.hashes) for x in found[: order - 1]])  # the first state of each level
+    first = np.cumsum([1] + [len(x.hashes) for x in found[: order - 1]])  # the first state of each level (64 bits, as keys are)
     p = (totals[0] + 1) / (size + types + 1)
     keys, target, weight = [np.arange(n)], [np.where(totals[0] > 0, first[0] + np.arange(n), 0) if order > 1 else np.zeros(n, np.int64)], [np.log10(p)]
     failure, give = [np.zeros(1, np.int64)], [np.zeros(1)]
@@ -205,11 +215,9 @@ def automaton(found: list[Level], totals: list[np.ndarray], size: int, types: in
         target.append(first[k] + seen if k < order - 1 else first[k - 1] + level.suffix[seen])
         weight.append(np.log10(q[seen]))
         p = q
-    key = np.concatenate(keys)
-    by = np.argsort(key)
     end = int(np.searchsorted(found[0].hashes, _END))
     start = int(first[0]) + end if order > 1 and n and totals[0][end] else 0
-    return Automaton(n, key[by], np.concatenate(target)[by], np.concatenate(weight)[by], np.concatenate(failure), np.concatenate(give), start)
+    return Automaton(n, np.concatenate(keys), np.concatenate(target, dtype=np.int32), np.concatenate(weight), np.concatenate(failure), np.concatenate(give), start)
 
 
 def traverse(a: Automaton, n: np.ndarray, token: np.ndarray, order: int) -> np.ndarray:

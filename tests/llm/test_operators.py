@@ -5,11 +5,13 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from stormsift.llm import html_text, language_model, license_scan, mixing, near_dup, quality, sentence_piece, stages, topk, toxicity, url_filter
@@ -611,3 +613,28 @@ def test_empty_tables(spark, docs):
     none = docs.limit(0)
     for f in (near_dup.near_duplicates, license_scan.scan_licenses, mixing.mix_sources, quality.judge, language_model.score_documents, sentence_piece.digests):
         assert f(none).count() == 0
+
+
+def test_block_of_language_model_stays_small():
+    rng = np.random.default_rng(5)
+    texts = pa.array([" ".join(f"w{x}" for x in rng.zipf(1.2, 2_000) % 50_000) for _ in range(150)])
+    language_model.levels(texts, 3)  # what is made once
+    tracemalloc.start()
+    n, found = language_model.levels(texts, 3)
+    train = np.ones(n.sum(), bool)
+    a = language_model.automaton(found, [language_model.local_counts(x, train) for x in found], int(n.sum()), len(found[0].hashes))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.all(np.diff(a.keys) > 0)
+    assert peak < 200 * n.sum()
+
+
+def test_tasks_of_text_features_follow_the_bytes(spark, monkeypatch):
+    rows = [(k, "en", "s", " ".join(f"w{(k * j) % 17}" for j in range(100))) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, source string, text string")
+    once = sorted(map(str, quality.text_features(docs).collect()))
+    monkeypatch.setattr(quality, "TASK_BYTES", 1_000)
+    many = quality.text_features(docs)
+    assert many.rdd.getNumPartitions() >= 20
+    assert sorted(map(str, many.collect())) == once
+    assert quality.text_features(docs.limit(0)).count() == 0
