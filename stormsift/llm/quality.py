@@ -15,17 +15,21 @@ LEAST = {"symbols": 34, "capitals": 34, "repeats": 200, "dup_lines": 400}
 SPREAD = 3
 #: Buckets of a share in a sketch, and documents that a group's parent counts for in the group's limit.
 FINE, PARENT = 10_000, 20
+#: Bytes of text that a task counts words of about; its windows take some twenty times that.
+TASK_BYTES = 8 << 20
 
 
 def text_features(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source, text_hash and counts of each whole text, one row per input row.
 
-    The rows are dealt once by a row number. Each then becomes one row per window of three words plus one that carries
+    The rows are dealt once by a row number, to as many tasks as their bytes ask for, so that a task's share, and the memory
+    of its windows, stays the same however much there is. Each then becomes one row per window of three words plus one that carries
     the other counts; windows are counted by (row, hash) and places by row, both within that partitioning, so words
     never cross the network and a document costs its own length.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("row", F.monotonically_increasing_id()).repartition("row")
+    size = rows.agg(F.sum(F.octet_length("text") + F.lit(16))).first()[0] or 0
+    rows = rows.withColumn("row", F.monotonically_increasing_id()).repartition(max(1, -(-size // TASK_BYTES)), "row")
     rows = rows.withColumn("words", F.regexp_extract_all("text", F.lit(WORD_PATTERN), F.lit(0)))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD_PATTERN))
     counts = F.struct(
