@@ -268,3 +268,9 @@ def test_audit_search_by_service(spark):
     entries = spark.createDataFrame([("A1", "r", 1, "s1", "disk_warn 3", "disk_warn"), ("A2", "r", 1, "s2", "disk_warn 4", "disk_warn"), ("A3", "r", 1, None, "x", "x")], "alarm_id string, rule string, severity int, service string, message string, alarm_type string")
     found = lambda **by: sorted(r["alarm_id"] for r in noise.audit_search(entries, **by).collect())
     assert found(services=("s1",)) == ["A1"] and found(text="DISK") == ["A1", "A2"] and found() == ["A1", "A2", "A3"]
+
+
+@pytest.mark.parametrize("name", ["upstream_set", "hop_distance"])
+def test_graph_reads_the_events_once(spark, name):
+    plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().toString()
+    assert "events.parquet" not in plan  # counted and kept before
