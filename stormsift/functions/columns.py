@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from stormsift.params import CRITICALITY_WEIGHT, OWNERS, PATTERNS, SEVERITY_LABEL, TYPE_PRIOR
 
 
+def with_alarms(members: DataFrame, alarms: DataFrame, *columns: str) -> DataFrame:
+    """members (alarm_id, ...) with these columns of their alarms; what members carry already is not joined again."""
+    missing = [c for c in columns if c not in members.columns]
+    return members.join(alarms.select("alarm_id", *missing), "alarm_id") if missing else members
+
+
 def lookup(key: Column, values: Mapping, default: Column) -> Column:
     return F.coalesce(F.create_map(*(F.lit(x) for pair in values.items() for x in pair))[key], default)
 

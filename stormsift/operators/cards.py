@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from stormsift.functions.columns import criticality_weight, half_up, type_prior
+from stormsift.functions.columns import criticality_weight, half_up, type_prior, with_alarms
 from stormsift.functions.ordering import in_order
 from stormsift.params import DEFAULT, MINUTE, Params
 from stormsift.sources.io import kept
@@ -23,7 +23,7 @@ def with_gate(incidents: DataFrame, roots: DataFrame, p: Params = DEFAULT) -> Da
 
 def prioritise(gated: DataFrame, members: DataFrame, alarms: DataFrame) -> DataFrame:
     """Adds the four parts, score, rank and label to incidents that pass; maxima are over those alone."""
-    crit = members.join(alarms.select("alarm_id", "criticality"), "alarm_id").groupBy("incident_id").agg(F.avg(criticality_weight(F.col("criticality"))).alias("crit"))
+    crit = with_alarms(members, alarms, "criticality").groupBy("incident_id").agg(F.avg(criticality_weight(F.col("criticality"))).alias("crit"))
     i = gated.where("passes").join(crit, "incident_id").withColumn("breadth_raw", F.size("services") + 0.25 * F.size("hosts"))
     top = i.agg(F.greatest(F.lit(1.0), F.max("breadth_raw")).alias("max_breadth"), F.greatest(F.lit(1), F.max("alarm_count")).alias("max_volume"))
     i = i.join(F.broadcast(top))  # one row

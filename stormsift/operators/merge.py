@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from stormsift.functions.columns import with_alarms
 from stormsift.functions.ordering import in_order
 from stormsift.params import DEFAULT, MINUTE, Params
 from stormsift.sources.io import kept
@@ -248,7 +249,7 @@ def number_incidents(merged: DataFrame) -> DataFrame:
 
 def incident_summary(members: DataFrame, alarms: DataFrame) -> DataFrame:
     """Per incident of (alarm_id, incident_id): counts, sorted sets, times, duration and severity."""
-    a = members.join(alarms, "alarm_id").withColumn("location", F.concat_ws("/", "datacenter", "rack"))
+    a = with_alarms(members, alarms, "us", "service", "host", "severity", "datacenter", "rack").withColumn("location", F.concat_ws("/", "datacenter", "rack"))
     sets = {c: F.sort_array(F.collect_set(x)).alias(c) for c, x in (("services", "service"), ("hosts", "host"), ("locations", "location"))}
     s = a.groupBy("incident_id").agg(F.count("*").alias("alarm_count"), *sets.values(), F.min("us").alias("start_us"), F.max("us").alias("end_us"), F.max("severity").alias("max_severity"))
     return s.withColumn("duration_min", F.floor((F.col("end_us") - F.col("start_us")) / float(MINUTE) * 10 + 0.5) / 10)

@@ -274,3 +274,10 @@ def test_audit_search_by_service(spark):
 def test_graph_reads_the_events_once(spark, name):
     plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().toString()
     assert "events.parquet" not in plan  # counted and kept before
+
+
+def test_formula_integrity_derives_the_alarms_once(spark):
+    capped, gated, m, a = queries._ranked(spark, SF)
+    row = queries.formula_integrity(spark, SF)
+    assert not any("events.parquet" in x._jdf.queryExecution().toString() for x in (capped, gated, m, a, row))
+    assert row.first()["no_loss"] and row.first()["ids_unique"]
